@@ -1,0 +1 @@
+"""The data model has no streams: every input is a finite table, so no streaming operator exists."""
