@@ -30,7 +30,9 @@ DNASE_HEXAMER = {
     "G": [22, 17, 11, 20, 33, 20],
 }
 
+# finding a position in a string walks over the letters before it, hence two cuts
 PIECE = 65536
+SHORT_PIECE = 256
 
 
 def _count(seq: Column, letters: str) -> Column:
@@ -112,27 +114,28 @@ def sequence_columns(classes: Sequence[str], yardstick: int = 0, seq: str = "seq
 def kmer_counts(df: DataFrame, ids: Sequence[str], k: int, seq: str = "seq") -> DataFrame:
     """Occurrences of each k-mer per row id, overlapping and case-blind: ``ids, kmer, n, total``.
 
-    Sequences are read in pieces that overlap by k - 1, so the word list in memory stays small
-    for a sequence of any length, and counts are combined before the shuffle.
+    Sequences are cut into overlapping pieces, so no row holds a long word list, and counts are
+    combined before the shuffle.
     """
-    up = F.upper(F.col(seq))
-    total = F.length(seq) - k + 1
-    pieces = (
-        df.select(*ids, up.alias("_s"), total.alias("total"))
+    words = (
+        df.select(*ids, F.upper(F.col(seq)).alias("_s"), (F.length(seq) - k + 1).alias("total"))
         .filter(F.col("total") > 0)
-        .select(*ids, "_s", "total", F.explode(F.sequence(F.lit(0), F.col("total") - 1, F.lit(PIECE))).alias("_at"))
-        .select(*ids, "total", F.substr(F.col("_s"), F.col("_at") + 1, F.lit(PIECE + k - 1)).alias("_s"))
-    )
-    words = pieces.select(
-        *ids,
-        "total",
-        F.explode(
-            F.transform(F.sequence(F.lit(1), F.length("_s") - k + 1), lambda i: F.substr(F.col("_s"), i, F.lit(k)))
-        ).alias("kmer"),
+        .transform(lambda d: _overlapping_pieces(d, [*ids, "total"], k, PIECE))
+        .transform(lambda d: _overlapping_pieces(d, [*ids, "total"], k, SHORT_PIECE))
+        .select(*ids, "total", "_s", F.explode(F.sequence(F.lit(1), F.length("_s") - k + 1)).alias("_i"))
+        .select(*ids, "total", F.substr(F.col("_s"), F.col("_i"), F.lit(k)).alias("kmer"))
     )
     return words.groupBy(*ids, "total", "kmer").agg(F.count(F.lit(1)).alias("n")).select(*ids, "kmer", "n", "total")
 
 
+def _overlapping_pieces(df: DataFrame, kept: Sequence[str], k: int, size: int) -> DataFrame:
+    """Cut ``_s`` into pieces that share k - 1 letters, so that each word lies in exactly one."""
+    starts = F.sequence(F.lit(1), F.length("_s") - k + 1, F.lit(size))
+    return df.select(*kept, "_s", F.explode(starts).alias("_at")).select(
+        *kept, F.substr(F.col("_s"), F.col("_at"), F.lit(size + k - 1)).alias("_s")
+    )
+
+
 def kmer_frequency(df: DataFrame, ids: Sequence[str], k: int, seq: str = "seq") -> DataFrame:
     """k-mer percentages in long form."""
     return kmer_counts(df, ids, k, seq).select(*ids, "kmer", (F.col("n") / F.col("total") * 100).alias("pct"))

@@ -61,6 +61,15 @@ def _grid_cells(df: DataFrame, other_levels: Column, start: str, end: str) -> Da
     return on_grid.select("*", F.explode(cells).alias("_cell"))
 
 
+def _levels_in_use(df: DataFrame, bound: DataFrame | None) -> Column:
+    """Grids the table's intervals sit on, as a scalar subquery."""
+    level = _grid_level(F.col("start"), F.col("end"))
+    if bound is None:
+        return df.agg(F.collect_set(level)).scalar()
+    first, step = GRID_BITS[0], GRID_BITS[1] - GRID_BITS[0]
+    return bound.agg(F.sequence(F.lit(first), F.coalesce(F.max(level), F.lit(first)), F.lit(step))).scalar()
+
+
 def range_join(
     left: DataFrame,
     right: DataFrame,
@@ -68,17 +77,21 @@ def range_join(
     mode: str = "overlap",
     suffix: str = "_r",
     keys: Sequence[str] = ("chrom",),
+    left_bound: DataFrame | None = None,
+    right_bound: DataFrame | None = None,
 ) -> DataFrame:
     """Pairs of intervals that overlap, or where the right lies inside the left.
 
     The join is an equi-join on (keys, grid, cell): a pair meets on the coarser of its two
     grids and is kept in the first cell both touch. ``right``'s columns get ``suffix``.
+
+    Which grids are in use is looked up in the inputs. For inputs that are costly to compute,
+    a ``bound`` names a cheaper table whose longest interval is at least as long.
     """
     keys = list(keys)
     renamed = right.select(*[F.col(c).alias(c if c in keys else c + suffix) for c in right.columns])
     rs, re_ = f"start{suffix}", f"end{suffix}"
-    left_levels = left.agg(F.collect_set(_grid_level(F.col("start"), F.col("end")))).scalar()
-    right_levels = right.agg(F.collect_set(_grid_level(F.col("start"), F.col("end")))).scalar()
+    left_levels, right_levels = _levels_in_use(left, left_bound), _levels_in_use(right, right_bound)
     a = _grid_cells(left, right_levels, "start", "end").withColumnRenamed("_own", "_own_a")
     b = _grid_cells(renamed, left_levels, rs, re_).withColumnRenamed("_own", "_own_b")
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from .scan import position_tile, prefix_scan
 from .values import decile_ranks, exact_percentiles
 
 SIGNAL_PREFIX = "ftmsig_"
+LONG_REGION = 1 << 20
 
 
 def overlay_last_wins(runs: DataFrame, order: str) -> DataFrame:
@@ -50,17 +52,83 @@ def merge_samples(df: DataFrame, keys: Sequence[str], stat: str, n_samples: int)
     return df.groupBy(*keys).agg(merged.alias("value"))
 
 
-def split_at_boundaries(runs: DataFrame) -> DataFrame:
-    """Cut the runs of all samples at each other's boundaries, so that equal spans line up."""
-    cuts = runs.select("chrom", F.explode(F.array("start", "end")).alias("pos")).distinct()
-    pieces = (
-        prefix_scan(cuts, ["chrom"], "pos", position_tile(F.col("pos")), {"_next": ("min", F.col("pos"))}, reverse=True)
-        .filter(F.col("_next").isNotNull())
-        .select("chrom", F.col("pos").alias("start"), F.col("_next").alias("end"))
+def axis_pieces(tracks: Mapping[str, DataFrame], masks: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """Pieces of the axis between neighbouring boundaries: ``chrom, start, end``, one column per track and mask.
+
+    A track column holds the value of the run over the piece or NULL; runs are disjoint within
+    a track. A mask column tells whether any of its intervals, which may overlap, covers the
+    piece. One prefix scan over all boundaries serves every column; pieces nothing covers are
+    left out.
+    """
+    masks = masks or {}
+    rows = []
+    for i, runs in enumerate(tracks.values()):
+        run = F.struct(F.col("start").alias("s"), F.col("end").alias("e"), F.col("value").cast("double").alias("v"))
+        none = F.lit(None).cast("struct<s:bigint,e:bigint,v:double>")
+        ends = F.array(F.struct(F.col("start").alias("pos"), run.alias("run")), F.struct(F.col("end").alias("pos"), none.alias("run")))
+        rows.append(
+            runs.select("chrom", F.explode(ends).alias("p")).select("chrom", "p.pos", F.lit(i).alias("which"), "p.run", F.lit(0).alias("net"))
+        )
+    for j, intervals in enumerate(masks.values(), start=len(tracks)):
+        none = F.lit(None).cast("struct<s:bigint,e:bigint,v:double>")
+        ends = F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("net")), F.struct(F.col("end").alias("pos"), F.lit(-1).alias("net")))
+        rows.append(
+            intervals.select("chrom", F.explode(ends).alias("p")).select("chrom", "p.pos", F.lit(j).alias("which"), none.alias("run"), "p.net")
+        )
+    own = [F.max(F.when(F.col("which") == i, F.col("run"))).alias(f"_r{i}") for i in range(len(tracks))]
+    net = [F.sum(F.when(F.col("which") == j, F.col("net"))).alias(f"_m{j}") for j in range(len(tracks), len(tracks) + len(masks))]
+    points = reduce(DataFrame.unionByName, rows).groupBy("chrom", "pos").agg(*own, *net)
+    spec = {"_from": ("max", F.col("pos"))}
+    spec |= {f"_last{i}": ("max", F.col(f"_r{i}")) for i in range(len(tracks))}
+    spec |= {f"_depth{j}": ("sum", F.col(f"_m{j}")) for j in range(len(tracks), len(tracks) + len(masks))}
+    scanned = prefix_scan(points, ["chrom"], "pos", position_tile(F.col("pos")), spec)
+    values = [F.when(F.col(f"_last{i}.e") >= F.col("pos"), F.col(f"_last{i}.v")).alias(n) for i, n in enumerate(tracks)]
+    flags = [(F.col(f"_depth{j}") > 0).alias(n) for j, n in enumerate(masks, start=len(tracks))]
+    pieces = scanned.filter(F.col("_from").isNotNull()).select(
+        "chrom", F.col("_from").alias("start"), F.col("pos").alias("end"), *values, *flags
+    )
+    covered = [F.col(n).isNotNull() for n in tracks] + [F.col(n) for n in masks]
+    return pieces.filter(reduce(lambda a, b: a | b, covered))
+
+
+def masked_track(runs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The track over conserved positions only, its zeros spelled out: ``chrom, start, end, value``."""
+    pieces = axis_pieces({"v": runs}, {"cons": blocks})
+    return pieces.filter("cons").select("chrom", "start", "end", F.coalesce("v", F.lit(0.0)).alias("value"))
+
+
+def split_at_boundaries(runs: DataFrame, samples: Sequence | None = None) -> DataFrame:
+    """Cut the runs of all samples at each other's boundaries: ``chrom, start, end, sample, value``.
+
+    Every boundary becomes a point of every sample. One scan per sample then tells, for the
+    piece that ends at a point, where it began and which run of the sample was opened last.
+    Runs are disjoint within a sample; ``samples`` lists them where the caller knows them.
+    """
+    run = F.struct(F.col("start").alias("s"), F.col("end").alias("e"), F.col("value").alias("v"))
+    if samples is None:
+        known = runs.groupBy("chrom").agg(F.collect_set("sample").alias("_samples"))
+        spread = runs.join(known, "chrom")
+    else:
+        spread = runs.withColumn("_samples", F.array(*[F.lit(x) for x in samples]))
+    ends = F.array(
+        F.struct(F.col("start").alias("pos"), F.lit(True).alias("opens")), F.struct(F.col("end").alias("pos"), F.lit(False).alias("opens"))
+    )
+    points = (
+        spread.select("chrom", "sample", run.alias("_run"), F.explode("_samples").alias("_other"), ends.alias("_ends"))
+        .select("chrom", F.col("_other"), "sample", "_run", F.explode("_ends").alias("_end"))
+        .groupBy("chrom", F.col("_other").alias("sample"), F.col("_end.pos").alias("pos"))
+        .agg(F.max(F.when(F.col("_end.opens") & (F.col("_other") == F.col("sample")), F.col("_run"))).alias("_run"))
+    )
+    scanned = prefix_scan(
+        points,
+        ["chrom", "sample"],
+        "pos",
+        position_tile(F.col("pos")),
+        {"_from": ("max", F.col("pos")), "_last": ("max", F.col("_run"))},
+    )
+    return scanned.filter(F.col("_last.e") >= F.col("pos")).select(
+        "chrom", F.col("_from").alias("start"), F.col("pos").alias("end"), "sample", F.col("_last.v").alias("value")
     )
-    hits = iv.range_join(pieces, runs)
-    extra = [c for c in runs.columns if c not in ("chrom", "start", "end")]
-    return hits.select("chrom", "start", "end", *[F.col(c + "_r").alias(c) for c in extra])
 
 
 def signal_deciles(runs: DataFrame) -> DataFrame:
@@ -116,65 +184,48 @@ def bin_signal(
     return out.select("chrom", begin.alias("start"), (begin + F.col("len")).alias("end"), "value")
 
 
-def masked_pieces(regions: DataFrame, runs: DataFrame, blocks: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Signal pieces inside conserved parts of regions, and the conserved length per region.
-
-    Both are keyed on the distinct (chrom, start, end) of the regions. ``blocks=None`` means
-    that every position is conserved.
-    """
-    spans = regions.select("chrom", "start", "end").distinct()
-    if blocks is None:
-        tracks = runs.select("chrom", "start", "end", "value")
-        kept = spans.withColumn("n_cons", F.col("end") - F.col("start"))
-    else:
-        clean = iv.merge_overlapping(blocks.select("chrom", "start", "end")).select("chrom", "start", "end")
-        tracks = iv.range_join(runs.select("chrom", "start", "end", "value"), clean).select(
-            "chrom", F.greatest("start", "start_r").alias("start"), F.least("end", "end_r").alias("end"), "value"
-        )
-        kept = iv.overlap_totals(spans, clean).select("chrom", "start", "end", F.col("bp_overlap").alias("n_cons"))
-    pieces = iv.range_join(spans, tracks).select(
-        "chrom",
-        "start",
-        "end",
-        F.col("value_r").alias("value"),
-        iv.overlap_length(F.col("start"), F.col("end"), F.col("start_r"), F.col("end_r")).alias("w"),
-    )
-    return pieces, kept
-
-
 def masked_stats(regions: DataFrame, runs: DataFrame, blocks: DataFrame | None = None, label: str = "") -> DataFrame:
     """Signal features per distinct region: share conserved; mean, median, max, min over conserved positions.
 
-    A region without conserved position gets zeros.
+    A region without conserved position gets zeros. ``blocks=None`` means that every position
+    is conserved. Medians of regions up to ``LONG_REGION`` positions come from one aggregation,
+    whose buffer that length bounds; longer ones, if any, take the two-pass percentile.
     """
     infix = f"{label}_" if label and not label.endswith("_") else label
     keys = ["chrom", "start", "end"]
-    pieces, kept = masked_pieces(regions, runs, blocks)
-    folded = pieces.groupBy(*keys).agg(
-        F.sum("w").alias("n_sig"), F.sum(F.col("value") * F.col("w")).alias("total"), F.max("value").alias("hi"), F.min("value").alias("lo")
+    spans = regions.select(*keys).distinct()
+    length = F.col("end") - F.col("start")
+    track = masked_track(runs, regions.select(*keys) if blocks is None else blocks)
+    pieces = iv.range_join(spans, track, left_bound=regions, right_bound=regions if blocks is None else blocks).select(
+        *keys, F.col("value_r").alias("value"), iv.overlap_length(F.col("start"), F.col("end"), F.col("start_r"), F.col("end_r")).alias("w")
     )
-    base = kept.join(folded, keys, "left").select(
-        *keys, "n_cons", F.coalesce("n_sig", F.lit(0)).alias("n_sig"), F.coalesce("total", F.lit(0.0)).alias("total"), "hi", "lo"
+    v, w = F.col("value"), F.col("w")
+    short = F.when(length <= LONG_REGION, v)
+    folded = pieces.groupBy(*keys).agg(
+        F.sum("w").alias("n_cons"),
+        F.sum(v * w).alias("total"),
+        F.max(v).alias("hi"),
+        F.min(v).alias("lo"),
+        F.percentile(short, 0.5, w).alias("mid"),
     )
-    zeros = F.col("n_cons") - F.col("n_sig")
-    # the implicit zeros below decide every median of a region that is mostly silent
-    silent = base.filter(zeros > 0).select(*keys, F.lit(0.0).alias("value"), zeros.alias("w"))
-    medians = exact_percentiles(pieces.unionByName(silent), keys, F.col("value"), [0.5], F.col("w"))
+    out = spans.join(folded, keys, "left")
+    mid = F.col("mid")
+    if not regions.filter(length > LONG_REGION).isEmpty():
+        medians = exact_percentiles(pieces.filter(length > LONG_REGION), keys, v, [0.5], w)
+        out = out.join(medians.select(*keys, "pct"), keys, "left")
+        mid = F.coalesce("mid", F.element_at("pct", 1))
     p = SIGNAL_PREFIX + infix
-    hi = F.when(zeros > 0, F.greatest(F.coalesce("hi", F.lit(0.0)), F.lit(0.0))).otherwise(F.col("hi"))
-    lo = F.when(zeros > 0, F.least(F.coalesce("lo", F.lit(0.0)), F.lit(0.0))).otherwise(F.col("lo"))
-    some = F.col("n_cons") > 0
 
     def or_zero(c: Column) -> Column:
-        return F.when(some, c).otherwise(F.lit(0.0))
+        return F.coalesce(c, F.lit(0.0))
 
-    return base.join(medians.select(*keys, "pct"), keys, "left").select(
+    return out.select(
         *keys,
-        (F.col("n_cons") / (F.col("end") - F.col("start")) * 100).alias(p + "pct_cons"),
+        or_zero(F.col("n_cons") / length * 100).alias(p + "pct_cons"),
         or_zero(F.col("total") / F.col("n_cons")).alias(p + "abs_mean"),
-        or_zero(F.element_at("pct", 1)).alias(p + "abs_median"),
-        or_zero(hi).alias(p + "abs_max"),
-        or_zero(lo).alias(p + "abs_min"),
+        or_zero(mid).alias(p + "abs_median"),
+        or_zero(F.col("hi")).alias(p + "abs_max"),
+        or_zero(F.col("lo")).alias(p + "abs_min"),
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import intervals as iv
 from .scan import position_tile, prefix_scan, value_tile
-from .signal import split_at_boundaries
+from .signal import axis_pieces
 from .values import exact_percentiles, rank_values
 
 # ---------------------------------------------------------------- correlation of columns
@@ -103,14 +103,8 @@ def kendall_tau(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame
 
 def aligned_tracks(a: DataFrame, b: DataFrame) -> DataFrame:
     """Spans where at least one of two sparse tracks has a run: ``chrom, start, end, a, b``."""
-    both = a.select("chrom", "start", "end", "value", F.lit(0).alias("side")).unionByName(
-        b.select("chrom", "start", "end", "value", F.lit(1).alias("side"))
-    )
-    spans = split_at_boundaries(both)
-    return spans.groupBy("chrom", "start", "end").agg(
-        F.coalesce(F.max(F.when(F.col("side") == 0, F.col("value"))), F.lit(0.0)).alias("a"),
-        F.coalesce(F.max(F.when(F.col("side") == 1, F.col("value"))), F.lit(0.0)).alias("b"),
-    )
+    pieces = axis_pieces({"a": a, "b": b})
+    return pieces.select("chrom", "start", "end", F.coalesce("a", F.lit(0.0)).alias("a"), F.coalesce("b", F.lit(0.0)).alias("b"))
 
 
 def corr_full(spans: DataFrame, sizes: DataFrame, measure: str = "pearson") -> DataFrame:
@@ -129,26 +123,20 @@ def corr_active(spans: DataFrame, measure: str = "pearson") -> DataFrame:
     return MEASURES[measure](active, ["chrom"], "a", "b", F.col("end") - F.col("start"))
 
 
-def segment_means(spans: DataFrame, blocks: DataFrame, rois: DataFrame | None = None, skip_size: int = 0) -> DataFrame:
-    """Mean of both tracks per conserved segment (merged blocks, cut to ROIs if given) of at least ``skip_size``."""
-    segments = iv.merge_overlapping(blocks.select("chrom", "start", "end")).select("chrom", "start", "end")
-    if rois is not None:
-        segments = iv.intersect(segments, iv.merge_overlapping(rois.select("chrom", "start", "end")))
-    segments = segments.filter(F.col("end") - F.col("start") >= skip_size)
-    w = iv.overlap_length(F.col("start"), F.col("end"), F.col("start_r"), F.col("end_r"))
-    sums = (
-        iv.range_join(segments, spans)
-        .groupBy("chrom", "start", "end")
-        .agg(F.sum(F.col("a_r") * w).alias("sa"), F.sum(F.col("b_r") * w).alias("sb"))
-    )
-    size = F.col("end") - F.col("start")
-    return segments.join(sums, ["chrom", "start", "end"], "left").select(
-        "chrom",
-        "start",
-        "end",
-        size.alias("size"),
-        (F.coalesce("sa", F.lit(0.0)) / size).alias("a"),
-        (F.coalesce("sb", F.lit(0.0)) / size).alias("b"),
+def segment_means(
+    a: DataFrame, b: DataFrame, blocks: DataFrame, rois: DataFrame | None = None, skip_size: int = 0
+) -> DataFrame:
+    """Mean of both tracks per conserved segment (touching blocks are one, cut to ROIs if given) of at least ``skip_size``."""
+    masks = {"cons": blocks} if rois is None else {"cons": blocks, "roi": rois}
+    pieces = axis_pieces({"a": a, "b": b}, masks)
+    for name in masks:
+        pieces = pieces.filter(name)
+    w = F.col("end") - F.col("start")
+    segments = iv.merge_overlapping(
+        pieces, sa=F.coalesce("a", F.lit(0.0)) * w, sb=F.coalesce("b", F.lit(0.0)) * w
+    ).withColumn("size", w)
+    return segments.filter(F.col("size") >= skip_size).select(
+        "chrom", "start", "end", "size", (F.col("sa") / F.col("size")).alias("a"), (F.col("sb") / F.col("size")).alias("b")
     )
 
 
@@ -163,13 +151,21 @@ def segment_summary(segments: DataFrame) -> DataFrame:
         F.round(F.min("b"), 2).alias("sig2_mean_min"),
         F.round(F.max("b"), 2).alias("sig2_mean_max"),
     )
-    for column, name in (("size", "reg_size_median"), ("a", "sig1_mean_median"), ("b", "sig2_mean_median")):
-        median = F.element_at("pct", 1)
-        median = median.cast("bigint") if column == "size" else F.round(median, 2)
-        folded = folded.join(
-            exact_percentiles(segments, ["chrom"], F.col(column), [0.5]).select("chrom", median.alias(name)), "chrom"
-        )
-    return folded
+    long = segments.select(
+        "chrom",
+        F.explode(F.create_map(F.lit("reg_size"), F.col("size").cast("double"), F.lit("sig1_mean"), F.col("a"), F.lit("sig2_mean"), F.col("b"))).alias("what", "x"),
+    )
+    medians = exact_percentiles(long, ["chrom", "what"], F.col("x"), [0.5])
+
+    def median(what: str) -> Column:
+        return F.max(F.when(F.col("what") == what, F.element_at("pct", 1)))
+
+    picked = medians.groupBy("chrom").agg(
+        median("reg_size").cast("bigint").alias("reg_size_median"),
+        F.round(median("sig1_mean"), 2).alias("sig1_mean_median"),
+        F.round(median("sig2_mean"), 2).alias("sig2_mean_median"),
+    )
+    return folded.join(picked, "chrom")
 
 
 # ---------------------------------------------------------------- scores of predictions

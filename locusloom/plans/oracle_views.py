@@ -18,7 +18,7 @@ CTES = {
         (event_id // 25)*3750 + 1000 + 100*length(event_type) as "end", round(sum(value), 3) as value
         from events group by 1, 2, 3, 4""",
     "track": """select chrom, "start", max("end") as "end", round(sum(value), 3) as value from tracks group by 1, 2""",
-    "sizes": """select chrom, max("end") + 100 as size from (select chrom, "end" from regions union all select chrom, "end" from tracks) group by 1""",
+    "sizes": """select chrom, max("end") + 100 as size from (select chrom, "end" from regions union all select chrom, "end" from tracks union all select chrom, "end" from tblocks) group by 1""",
     "seqs": """select doc_id, translate(regexp_replace(text, '[^A-Za-z]', 'N', 'g'),
         'bdefhijklmnopqrsuvwxyzBDEFGHIJKLMOPQRSUVWXYZ', 'acgtacgtacgtacgtacgtacACGTACGTACGTACGTACGTA') as seq, lang
         from documents where n_chars >= 20""",
@@ -41,7 +41,7 @@ CTES = {
 NEEDS = {
     "tblocks": ["blocks"],
     "track": ["tracks"],
-    "sizes": ["regions", "tracks"],
+    "sizes": ["regions", "tracks", "tblocks"],
     "cuts": ["tracks"],
     "spans": ["cuts", "tracks"],
     "islands_of_blocks": ["tblocks"],

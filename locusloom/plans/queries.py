@@ -484,8 +484,8 @@ def chain_blocks(spark, sf):
     from track t join islands_of_blocks b on t.chrom = b.chrom and t."start" < b."end" and t."end" > b."start" """,
 )
 def signal_on_conserved(spark, sf):
-    cut = iv.range_join(views.track(spark, sf), iv.merge_overlapping(views.target_blocks(spark, sf)))
-    return cut.select("chrom", F.greatest("start", "start_r").alias("start"), F.least("end", "end_r").alias("end"), "value")
+    masked = sg.axis_pieces({"value": views.track(spark, sf)}, {"cons": views.target_blocks(spark, sf)})
+    return masked.filter("cons and value is not null").select("chrom", "start", "end", "value")
 
 
 # ---------------------------------------------------------------- signal
@@ -624,8 +624,8 @@ def binned_median(spark, sf):
       on u.chrom = b.chrom and u."start" < b."end" and u."end" > b."start" group by 1, 2, 3),
     sm as (select chrom, "start", "end", sum(w) as w, sum(w*value) as t, max(value) as hi, min(value) as lo from px group by 1, 2, 3),
     md as (select chrom, "start", "end", median(v) as md from (
-      select chrom, "start", "end", unnest(list_transform(range(w), lambda x: value)) as v from px
-      union all select chrom, "start", "end", unnest(list_transform(range(cn.n - coalesce(sm.w, 0)), lambda x: 0.0::double)) from cn left join sm using (chrom, "start", "end"))
+      select chrom, "start", "end", unnest(list_transform(range(cast(w as bigint)), lambda x: value)) as v from px
+      union all select chrom, "start", "end", unnest(list_transform(range(cast(cn.n - coalesce(sm.w, 0) as bigint)), lambda x: 0.0::double)) from cn left join sm using (chrom, "start", "end"))
       group by 1, 2, 3)
     select u.chrom, u."start", u."end", round(coalesce(cn.n, 0) / (u."end" - u."start")::double * 100, 6) as ftmsig_s_pct_cons,
       round(coalesce(sm.t / cn.n, 0), 6) as ftmsig_s_abs_mean, round(coalesce(md, 0), 6) as ftmsig_s_abs_median,
@@ -703,7 +703,9 @@ _SEGMENTS = (
 
 
 def _segments(spark, sf):
-    return st.segment_means(_click_view(spark, sf), views.target_blocks(spark, sf), views.rois(spark, sf), 30)
+    t = views.tracks(spark, sf)
+    a, b = t.filter("sample = 'click'"), t.filter("sample = 'view'")
+    return st.segment_means(a, b, views.target_blocks(spark, sf), views.rois(spark, sf), 30)
 
 
 @query("corr_segments", _SEGMENTS + " , f as (select chrom, a, b, 1 as w from sg)" + _pearson_sql("f"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,8 +88,9 @@ def track(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chromosome sizes: past the last region and run."""
-    ends = regions(spark, sf_dir).select("chrom", "end").unionByName(tracks(spark, sf_dir).select("chrom", "end"))
+    """Chromosome sizes: past the last region, run and block."""
+    tables = [regions(spark, sf_dir), tracks(spark, sf_dir), target_blocks(spark, sf_dir)]
+    ends = reduce(DataFrame.unionByName, [t.select("chrom", "end") for t in tables])
     return ends.groupBy("chrom").agg((F.max("end") + 100).alias("size"))
 
 
