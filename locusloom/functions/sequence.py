@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .names import kmer_columns
@@ -152,7 +152,7 @@ def kmer_table(df: DataFrame, ids: Sequence[str], k: int, seq: str = "seq") -> D
 def dnase_motif(df: DataFrame, ids: Sequence[str], seq: str = "seq") -> DataFrame:
     """Median, maximum and median absolute deviation of hexamer probabilities; zeros without a hexamer.
 
-    A row id has at most 4096 distinct hexamers, so its values fit one aggregation buffer.
+    A row id has at most 4096 distinct hexamers, which bounds its window and its aggregation buffer.
     """
     ids = list(ids)
     words = (
@@ -160,13 +160,13 @@ def dnase_motif(df: DataFrame, ids: Sequence[str], seq: str = "seq") -> DataFram
         .filter(F.col("kmer").rlike("^[ACGT]{6}$"))
         .select(*ids, hexamer_probability(F.col("kmer")).alias("p"), "n")
     )
-    centre = words.groupBy(*ids).agg(F.percentile("p", 0.5, F.col("n")).alias("med"), F.max("p").alias("top"))
+    whole = Window.partitionBy(*ids)
     spread = (
-        words.join(centre, ids)
+        words.withColumn("med", F.percentile("p", 0.5, F.col("n")).over(whole))
         .groupBy(*ids)
         .agg(
             F.first("med").alias("ftdnm_abs_medprob"),
-            F.first("top").alias("ftdnm_abs_maxprob"),
+            F.max("p").alias("ftdnm_abs_maxprob"),
             F.percentile(F.abs(F.col("p") - F.col("med")), 0.5, F.col("n")).alias("ftdnm_abs_medad"),
         )
     )

@@ -51,15 +51,17 @@ def nearest_within(
 
     Radii grow: whoever finds a target within a small radius has found the nearest one and
     leaves, so wide cells are only searched for candidates in sparse places. Equal feature
-    vectors are looked up once; ties go to the smallest target id.
+    vectors are looked up once; ties go to the smallest target id. Rounds are checkpointed,
+    else each would compute all earlier ones again.
     """
     keys = list(keys)
     point = [*keys, *features]
-    unique = targets.groupBy(*point).agg(F.min("id").alias("id"))
+    candidates = cut_lineage(candidates.select(*keys, "id", *features))
+    unique = cut_lineage(targets.groupBy(*point).agg(F.min("id").alias("id")))
     open_points = candidates.select(*point).distinct()
     found = None
     for radius in sorted(radii):
-        hits = (
+        hits = cut_lineage(
             within_radius(open_points, unique, features, radius, keys)
             .groupBy(*point)
             .agg(F.min(F.struct("dist", "target_id")).alias("best"))

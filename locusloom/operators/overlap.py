@@ -4,18 +4,25 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import intervals as iv
 
 
-def _side(regions: DataFrame, hit: str) -> DataFrame:
-    """Counts of one side: rows, covered bases, distinct names with a hit."""
-    return regions.groupBy("chrom").agg(
+def _side(regions: DataFrame, hit: Column, shared: Column) -> DataFrame:
+    """Counts of one side: rows, covered and shared bases, distinct names with a hit.
+
+    Rows are folded per name first; the map side combines them.
+    """
+    per_name = regions.groupBy("chrom", "name").agg(
         F.count(F.lit(1)).alias("num"),
         F.sum(F.col("end") - F.col("start")).alias("cov"),
-        F.count_distinct(F.when(F.col(hit), F.col("name"))).alias("hits"),
+        F.max(hit).alias("hit"),
+        F.sum(shared).alias("shared"),
+    )
+    return per_name.groupBy("chrom").agg(
+        F.sum("num").alias("num"), F.sum("cov").alias("cov"), F.count_if("hit").alias("hits"), F.sum("shared").alias("shared")
     )
 
 
@@ -49,22 +56,24 @@ def pair_stats(a: DataFrame, b: DataFrame, rois: DataFrame | None = None, mode:
             F.sum(hit).alias("roi_hits"), F.sum(1 - hit).alias("roi_miss")
         )
         a, b = iv.restrict_to(a, rois), iv.restrict_to(b, rois)
+    zero = F.lit(0).cast("bigint")
     if mode == "contained":
-        side_a = _side(iv.contains_any(a, b), "contains")
-        side_b = _side(iv.inside_any(b, a), "inside")
+        side_a = _side(iv.contains_any(a, b), F.col("contains"), zero)
+        side_b = _side(iv.inside_any(b, a), F.col("inside"), zero)
         shared = _contained_bp(a, b)
     elif mode == "overlap":
-        meets_a = iv.overlap_totals(a, b)
-        side_a = _side(meets_a.withColumn("hit", F.col("n_overlap") > 0), "hit")
-        side_b = _side(iv.overlap_totals(b, a).withColumn("hit", F.col("n_overlap") > 0), "hit")
-        shared = meets_a.groupBy("chrom").agg(F.sum("bp_overlap").alias("ovl_cov_bp"))
+        meets = F.col("n_overlap") > 0
+        side_a = _side(iv.overlap_totals(a, b), meets, F.col("bp_overlap"))
+        side_b = _side(iv.overlap_totals(b, a), meets, zero)
+        shared = None
     else:
         raise ValueError(f"unknown overlap mode: {mode}")
-    out = (
-        side_a.select("chrom", *[F.col(c).alias(f"a_{c}") for c in ("num", "cov", "hits")])
-        .join(side_b.select("chrom", *[F.col(c).alias(f"b_{c}") for c in ("num", "cov", "hits")]), "chrom", "full_outer")
-        .join(shared, "chrom", "left")
+    total = [] if shared is not None else [F.col("shared").alias("ovl_cov_bp")]
+    out = side_a.select("chrom", *[F.col(c).alias(f"a_{c}") for c in ("num", "cov", "hits")], *total).join(
+        side_b.select("chrom", *[F.col(c).alias(f"b_{c}") for c in ("num", "cov", "hits")]), "chrom", "full_outer"
     )
+    if shared is not None:
+        out = out.join(shared, "chrom", "left")
     if rois is not None:
         out = out.join(roi_counts, "chrom", "full_outer")
     else:

@@ -52,3 +52,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint, used between the rounds of iterative operators."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Redistribute a plain file scan that has fewer splits than the cluster has cores.
+
+    For inputs whose per-row work is heavy (long texts in few files). A scan with enough splits
+    is left alone, so large inputs are not shuffled.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .session import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -101,7 +103,7 @@ _BASES = "acgtacgtacgtacgtacgtacACGTACGTACGTACGTACGTA"
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents spelled in sequence letters; lower case stays lower case."""
     text = F.regexp_replace("text", "[^A-Za-z]", "N")
-    return table(spark, sf_dir, "documents").filter("n_chars >= 20").select(
+    return spread(table(spark, sf_dir, "documents")).filter("n_chars >= 20").select(
         "doc_id", F.translate(text, _LETTERS, _BASES).alias("seq"), "lang"
     )
 
