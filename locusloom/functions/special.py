@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -40,7 +41,7 @@ def incomplete_beta(a: float, b: float, x: float) -> float:
     return 1.0 - front * _beta_fraction(b, a, 1 - x) / b
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _p_value(r: pd.Series, n: pd.Series) -> pd.Series:
     def one(r_: float, n_: float) -> float | None:
         if r_ is None or n_ is None or math.isnan(r_) or n_ < 3:

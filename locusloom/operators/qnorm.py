@@ -1,6 +1,7 @@
 """Quantile normalisation of samples x positions held as rows ``keys, sample, pos, value``.
 
-Values are handled as integer thousandths, the precision of the method, so sums are exact.
+A row may stand for ``w`` neighbouring positions that are equal in every sample, so run-length
+signal is normalised without spelling out positions. Values are handled as integer thousandths, the precision of the method, so sums are exact.
 """
 
 from __future__ import annotations
@@ -26,17 +27,22 @@ def densify(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     The per-position list holds one entry per sample, i.e. per input file.
     """
     keys = list(keys)
-    cells = df.select(*keys, "sample", "pos", _thousandths(F.col("value")).alias("v"))
+    width = F.col("w") if "w" in df.columns else F.lit(1)
+    cells = df.select(*keys, "sample", "pos", _thousandths(F.col("value")).alias("v"), width.cast("bigint").alias("w"))
     samples = cells.groupBy(*keys).agg(F.collect_set("sample").alias("_samples"))
     rows = (
         cells.groupBy(*keys, "pos")
-        .agg(F.map_from_entries(F.collect_list(F.struct("sample", "v"))).alias("_at"), F.sum("v").alias("_sum"))
+        .agg(
+            F.map_from_entries(F.collect_list(F.struct("sample", "v"))).alias("_at"),
+            F.sum("v").alias("_sum"),
+            F.max("w").alias("w"),
+        )
         .filter(F.col("_sum") > 0)
     )
     return rows.join(samples, keys).select(
-        *keys, "pos", F.size("_samples").alias("n_samples"), F.explode("_samples").alias("sample"), "_at"
+        *keys, "pos", "w", F.size("_samples").alias("n_samples"), F.explode("_samples").alias("sample"), "_at"
     ).select(
-        *keys, "sample", "pos", "n_samples", F.coalesce(F.try_element_at("_at", F.col("sample")), F.lit(0)).alias("v")
+        *keys, "sample", "pos", "w", "n_samples", F.coalesce(F.try_element_at("_at", F.col("sample")), F.lit(0)).alias("v")
     )
 
 
@@ -57,8 +63,9 @@ def nonzero_qnorm(df: DataFrame, keys: Sequence[str] = ("chrom",)) -> DataFrame:
     Positions whose values sum to zero or less are not in the result: they stay zero.
     """
     keys = list(keys)
+    width = ["w"] if "w" in df.columns else []
     dense = densify(df, keys)
-    folded = dense.groupBy(*keys, "sample", "v").agg(F.count(F.lit(1)).alias("n"), F.max("n_samples").alias("n_samples"))
+    folded = dense.groupBy(*keys, "sample", "v").agg(F.sum("w").alias("n"), F.max("n_samples").alias("n_samples"))
     runs = prefix_scan(
         folded,
         [*keys, "sample"],
@@ -88,7 +95,9 @@ def nonzero_qnorm(df: DataFrame, keys: Sequence[str] = ("chrom",)) -> DataFrame:
         *keys, "i", F.when(F.col("i") == F.col("first_i"), F.col("m")).otherwise(middle).alias("new")
     )
     lookup = runs.select(*keys, "sample", "v", "i").join(by_rank, [*keys, "i"]).select(*keys, "sample", "v", "new")
-    return dense.join(lookup, [*keys, "sample", "v"]).select(*keys, "sample", "pos", (F.col("new") / 1000).alias("value"))
+    return dense.join(lookup, [*keys, "sample", "v"]).select(
+        *keys, "sample", "pos", *width, (F.col("new") / 1000).alias("value")
+    )
 
 
 def simple_qnorm(df: DataFrame, keys: Sequence[str] = ("chrom",)) -> DataFrame:
