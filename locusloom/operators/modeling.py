@@ -303,7 +303,7 @@ def permutation_test(
     rows = cut_lineage(rows)
     scores = []
     for turn in range(count):
-        shuffled = permuted(rows, truth, turn, seed)
+        shuffled = cut_lineage(permuted(rows, truth, turn, seed))
         scores += [(s, score_table(shuffled, s, truth, prob=prob)) for s in scorers]
     table = spark.createDataFrame(scores, "scorer string, score double")
     return {s: st.permutation_summary(table.filter(F.col("scorer") == s)).first().asDict() for s in scorers}

@@ -11,7 +11,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.names import classes_of, feature_columns, matches_from_start, select_features
+from ..functions.names import available_from_sequence, classes_of, feature_columns, select_features
 from ..functions.special import correlation_p_value
 from ..model import DatasetRef
 from ..operators import features as ft
@@ -23,6 +23,7 @@ from ..operators import tables as tb
 from ..operators.matching import match_background
 from ..operators.signal import bin_signal, map_signal, masked_stats
 from ..operators.values import sample_per_class
+from ..session import cut_lineage
 from ..sources import store, text
 from ..sources.twobit import read_sequences, twobit_sizes
 from . import convert as cv
@@ -150,29 +151,39 @@ def compute_features(spark: SparkSession, samples: DataFrame, args: Namespace) -
         assembly = store.assembly_of_map(spark, args.mapfile, args.mapreference)
     if getattr(args, "window", 0) > 0:
         samples = ft.sliding_windows(samples, args.window, args.stepsize)
-    sequence = [c for c in args.features if c in ("len", "prm", "gc", "cpg", "oecpg", "rep", "kmf", "dnm")]
-    if args.addseq or set(sequence) - {"len"}:
-        samples = ft.attach_sequence(samples, read_sequences(spark, args.seqfile))
+    base = cut_lineage(samples)
+    spans = cut_lineage(base.select(*ft.REGION).distinct())
+    # each class is computed from the distinct spans and joined once, so no step repeats another
+    parts: list[DataFrame] = []
+    sequence = available_from_sequence(args.features)
     if sequence:
-        samples = ft.sequence_features(samples, sequence, args.kmers)
+        with_seq = spans.withColumn("seq", F.lit("")) if sequence == ["len"] else ft.attach_sequence(spans, read_sequences(spark, args.seqfile))
+        parts.append(ft.sequence_features(cut_lineage(with_seq), sequence, args.kmers).drop("seq"))
     if "tfm" in args.features:
         motifs = spark.read.parquet(args.tfmotifs)
         width = motifs.select("bin").distinct().orderBy("bin").limit(2).agg(F.max("bin") - F.min("bin")).first()[0]
         labels = sorted(r["motif"] for r in motifs.select("motif").distinct().collect())
-        samples = ft.motif_features(samples, motifs, width, labels)
+        parts.append(ft.motif_features(spans, motifs, width, labels))
     tracks = _feature_inputs(spark, args.sigfile, assembly)
     if "msig" in args.features:
-        samples = ft.signal_features(samples, tracks, blocks)
+        parts += [masked_stats(spans, runs, blocks, label) for label, runs in tracks.items()]
     if "roi" in args.features:
-        for label, rois in _feature_inputs(spark, args.roifile, assembly).items():
-            samples = ft.roi_features(samples, rois, label, args.roiquant)
+        parts += [ft.roi_features(spans, rois, label, args.roiquant) for label, rois in _feature_inputs(spark, args.roifile, assembly).items()]
+    made = base
+    for part in parts:
+        made = made.join(part, ft.REGION)
     if "asc" in args.features:
+        own = "source" if "source" in base.columns else "name"
+        named = base.select(own, *ft.REGION).distinct()
         for t in args.ascregions:
             ref = DatasetRef.parse_feature(t, assembly)
-            for label, runs in tracks.items():
-                made = ft.associated_features(samples, text.read_associated(spark, ref.path), ref.label, runs, label, blocks)
-                samples = made.select(*dict.fromkeys([*samples.columns, *made.columns]))
-    return samples.drop("seq")
+            regions = text.read_associated(spark, ref.path)
+            for i, (label, runs) in enumerate(tracks.items()):
+                one = ft.associated_features(named, regions, ref.label, runs, label, blocks)
+                # distances and counts do not depend on the track: keep them once
+                keep = [c for c in one.columns if i == 0 or c.startswith(f"ftasc_{ref.label}_{label}_") or c in named.columns]
+                made = made.join(one.select(*[F.col(f"`{c}`") for c in keep]), [own, *ft.REGION])
+    return made.drop("seq")
 
 
 def run_compfeat(spark: SparkSession, args: Namespace) -> None:
@@ -248,8 +259,6 @@ def run_norm(spark: SparkSession, args: Namespace) -> None:
         sizes = here if sizes is None else sizes.unionByName(here)
     sizes = sizes.groupBy("chrom").agg(F.max("size").alias("size"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     shared = [t.join(sizes.select("chrom"), "chrom", "left_semi") for t in tracks]
-    from ..session import cut_lineage
-
     normed = cut_lineage(cv.normalise_tracks(shared, names))
     group = _norm_group(args)
     for path in names:
@@ -277,10 +286,10 @@ def run_corr(spark: SparkSession, args: Namespace) -> None:
     segments = None
     if args.task in ("cons", "roi"):
         blocks = store.conserved_blocks(spark, args.mapfile, args.mapreference)
-        segments = st.segment_means(a, b, blocks, rois, args.skipsize)
+        segments = cut_lineage(st.segment_means(a, b, blocks, rois, args.skipsize))
         for row in st.segment_summary(segments).collect():
             results[row["chrom"]] = {k: v for k, v in row.asDict().items() if k != "chrom"}
-    spans = st.aligned_tracks(a, b) if segments is None else None
+    spans = cut_lineage(st.aligned_tracks(a, b)) if segments is None else None
     sizes = store.read_metadata(spark, a_ref.path).select("chrom", F.col("length").alias("size")).distinct()
     for measure in args.measure:
         if segments is not None:
@@ -413,6 +422,8 @@ def load_training_data(spark: SparkSession, args: Namespace, features: list[str]
     missing = set(features) - set(data.columns)
     if missing or len(features) < 2:
         raise ValueError(f"features missing or too few: {sorted(missing) or features}")
+    # models read their data many times
+    data = cut_lineage(data)
     md.check_predictors(data, features)
     info = {
         "dataset_info": {"subset": args.subset, "num_samples": data.count(), "num_features": len(features), "target_var": target, "derive_target": args.derivetarget, "target_type": kind},

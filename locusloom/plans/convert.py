@@ -14,6 +14,7 @@ from ..operators.qnorm import nonzero_qnorm
 from ..operators.signal import axis_pieces, merge_samples, overlay_last_wins, signal_deciles
 from ..operators.tables import concat_common, row_number_by_position
 from ..operators.values import clip_percentile, top_percent
+from ..session import cut_lineage
 from ..sources import store, text
 from ..sources.chain import parse_chain_lines
 
@@ -24,7 +25,10 @@ log = logging.getLogger(__name__)
 
 
 def load_track(spark: SparkSession, path: str, sizes: DataFrame, clip: float) -> DataFrame:
-    """One bedGraph file as disjoint runs, cut to the chromosomes and clipped at a percentile."""
+    """One bedGraph file as disjoint runs, cut to the chromosomes and clipped at a percentile.
+
+    Checkpointed: the steps that follow read the track several times.
+    """
     lines = text.read_bedgraph(spark, path).join(sizes, "chrom")
     lines = lines.select(
         "chrom", F.greatest("start", F.lit(0)).alias("start"), F.least("end", "size").alias("end"), "value", "line_no"
@@ -33,12 +37,13 @@ def load_track(spark: SparkSession, path: str, sizes: DataFrame, clip: float) ->
         runs = lines.drop("line_no")
     else:
         runs = overlay_last_wins(lines, "line_no")
+    runs = cut_lineage(runs)
     if clip >= 100:
         return runs
     length = F.col("end") - F.col("start")
     used = runs.groupBy("chrom").agg(F.sum(length).alias("used"))
     zeros = sizes.join(used, "chrom").select("chrom", (F.col("size") - F.col("used")).alias("n_zero"))
-    return clip_percentile(runs, ["chrom"], "value", clip, length, zeros)
+    return cut_lineage(clip_percentile(runs, ["chrom"], "value", clip, length, zeros))
 
 
 def normalise_tracks(tracks: Sequence[DataFrame], names: Sequence[str]) -> DataFrame:
@@ -49,7 +54,7 @@ def normalise_tracks(tracks: Sequence[DataFrame], names: Sequence[str]) -> DataF
     pieces = axis_pieces(dict(zip([f"s{i}" for i in range(len(tracks))], tracks)))
     values = F.array(*[F.struct(F.lit(n).alias("sample"), F.coalesce(f"s{i}", F.lit(0.0)).alias("value")) for i, n in enumerate(names)])
     wide = pieces.select("chrom", F.col("start").alias("pos"), (F.col("end") - F.col("start")).alias("w"), F.explode(values).alias("v"))
-    normed = nonzero_qnorm(wide.select("chrom", "pos", "w", "v.*"))
+    normed = nonzero_qnorm(cut_lineage(wide.select("chrom", "pos", "w", "v.*")))
     return normed.select("chrom", F.col("pos").alias("start"), (F.col("pos") + F.col("w")).alias("end"), "sample", "value")
 
 
@@ -79,7 +84,7 @@ def convert_signal(
             cells = F.array(*[F.col(f"s{i}") for i in range(len(tracks))])
             spans = pieces.select("chrom", "start", "end", F.explode(cells).alias("value")).filter("value is not null")
         runs = merge_samples(spans, ["chrom", "start", "end"], merge_stat, len(tracks))
-    runs = runs.filter(F.col("value") != 0)
+    runs = cut_lineage(runs.filter(F.col("value") != 0))
     if dec_ranks:
         runs = signal_deciles(runs).select("chrom", "start", "end", F.col("dec_rank").alias("value"))
     return runs.select("chrom", "start", "end", "value"), sizes
