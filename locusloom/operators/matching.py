@@ -146,6 +146,7 @@ def match_background(
     """
     if len(features) + len(kmers) > 10:
         raise ValueError("too many features for a nearest neighbour search")
+    foreground = cut_lineage(foreground)
     longest = foreground.agg(F.max(F.col("end") - F.col("start"))).first()[0]
     yardstick = int(longest * (1 + relax_limit / 100))
     fg = sequence_features(attach_sequence(foreground, chunks), features, kmers, yardstick)
@@ -162,14 +163,15 @@ def match_background(
         wanted = open_targets.groupBy("chrom").agg(F.count(F.lit(1)).alias("missing"))
         if wanted.isEmpty():
             break
-        drawn = keep_disjoint(draw_candidates(foreground, sizes, taken, wanted, relax_limit, seed + 2 * turn))
+        drawn = cut_lineage(draw_candidates(fg, sizes, taken, wanted, relax_limit, seed + 2 * turn))
+        drawn = cut_lineage(keep_disjoint(drawn))
         with_seq = attach_sequence(drawn, chunks).filter(
             F.length(F.regexp_replace("seq", "[^N]", "")) <= (F.col("end") - F.col("start")) * 0.05
         )
         cand = cut_lineage(
             sequence_features(with_seq, features, kmers, yardstick).withColumn("id", F.concat_ws(":", "chrom", "start", "end"))
         )
-        pairs = within_radius(cand.select("chrom", "id", *names), open_targets, names, radius, ["chrom"])
+        pairs = cut_lineage(within_radius(cand.select("chrom", "id", *names), open_targets, names, radius, ["chrom"]))
         pairs = greedy_pairs(pairs)
         now = cut_lineage(cand.join(pairs, "id").select(*cand.columns, "target_id", "dist"))
         background = now if background is None else cut_lineage(background.unionByName(now))

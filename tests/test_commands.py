@@ -290,7 +290,6 @@ def test_match_writes_both_groups(spark, tmp_path):
     assert fg.count() == bg.count() > 0
     run(spark, "compfeat", "-tk", "matched", "-i", tmp_path / "o", "-pig", "fg", "-nig", "bg", "-o", tmp_path / "p", "-slc", ALL, "-ft", "gc", "len", "-sf", tmp_path / "genome", "-ads")
     assert store.list_groups(spark, str(tmp_path / "p")) == ["neg", "pos"]
-    run(spark, "compfeat", "-h") if False else None
 
 
 def test_configuration(tmp_path, monkeypatch):
