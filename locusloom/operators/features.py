@@ -55,6 +55,15 @@ def training_positions(sizes: DataFrame, num_samples: int, resolution: int, boun
     )
 
 
+def estimate_windows(sizes: DataFrame, resolution: int, boundary: int = CHROMOSOME_BOUNDARY) -> DataFrame:
+    """Adjacent windows from ``boundary`` to the last full one: the rows a signal estimate predicts."""
+    last = F.floor(F.col("size") / resolution) * resolution - resolution
+    starts = F.sequence(F.lit(boundary).cast("bigint"), last.cast("bigint"), F.lit(resolution).cast("bigint"))
+    return sizes.filter(last >= boundary).select("chrom", F.explode(starts).alias("start")).select(
+        "chrom", "start", (F.col("start") + resolution).alias("end")
+    )
+
+
 def _by_chrom():
     from pyspark.sql import Window
 

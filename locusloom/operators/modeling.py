@@ -270,6 +270,12 @@ def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     return out.drop("features", "rawPrediction", "probability")
 
 
+def estimate_signal(model: PipelineModel, windows: DataFrame) -> DataFrame:
+    """Predictions for feature windows as a signal track; silent windows are left out."""
+    out = predict(model, windows)
+    return out.select("chrom", "start", "end", F.col("prediction").alias("value")).filter("value != 0")
+
+
 def permuted(df: DataFrame, truth: str, turn: int, seed: int, group_size: int = 1 << 20) -> DataFrame:
     """Rows with the truth column shuffled: two seeded orders of the rows are joined by place.
 

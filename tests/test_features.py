@@ -255,3 +255,26 @@ def test_background_matching(spark):
     assert all(a[1] <= b[0] for a, b in zip(placed, placed[1:])) and placed[0][0] >= 10_000
     assert all(genome[r["start"] : r["end"]] == r["seq"] for r in rows)
     assert found.count() == fg.count()
+
+
+def test_smoothing_keeps_cubics_and_short_windows(spark):
+    pos = np.arange(0, 130)
+    cubic = 5 + 0.1 * pos - 0.002 * pos**2 + 1e-5 * pos**3
+    df = spark.createDataFrame([("c", int(p), float(v)) for p, v in zip(pos, cubic)], "chrom string, pos bigint, value double")
+    got = np.array([r["value"] for r in sg.smooth_signal(df, 5, boundary=20).orderBy("pos").collect()])
+    np.testing.assert_allclose(got, np.clip(cubic, 0, None), atol=1e-6)
+    noisy = df.withColumn("value", F.when(F.col("pos") % 2 == 0, 11.0).otherwise(9.0))
+    raw = np.where(pos % 2 == 0, 11.0, 9.0)
+    out = np.array([r["value"] for r in sg.smooth_signal(noisy, 5, boundary=20).orderBy("pos").collect()])
+    # outside complete windows nothing changes; inside, the residual is orthogonal to the cubics
+    assert (out[:20] == raw[:20]).all() and (out[120:] == raw[120:]).all()
+    for lo in (20, 70):
+        rest, x = (raw - out)[lo : lo + 50], np.arange(50) / 50
+        assert rest.any() and max(abs(rest @ x**k) for k in range(4)) < 1e-8
+    below = spark.createDataFrame([("c", 0, -1.0)], "chrom string, pos bigint, value double")
+    assert sg.smooth_signal(below, 5, boundary=20).first()["value"] == 0
+
+
+def test_estimate_windows(spark, rows):
+    sizes = spark.createDataFrame([("c", 107), ("d", 20)], "chrom string, size bigint")
+    assert rows(ft.estimate_windows(sizes, 25, 30)) == [("c", 30, 55), ("c", 55, 80)]
