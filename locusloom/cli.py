@@ -159,7 +159,7 @@ def build_parser(config: str | None = None) -> argparse.ArgumentParser:
     p.add_argument("--calc-weights", "-cwt", action="store_true", dest="calcweights")
     p.add_argument("--load-weights", "-swt", default="", dest="loadweights")
     p.add_argument("--subset", "-sub", default="", dest="subset")
-    p.add_argument("--sample-metadata", "-cmd", default=None, dest="crpmetadata", help="SQL condition on name, weight, target, pred of the run in --subset")
+    p.add_argument("--sample-metadata", "-cmd", default=None, dest="metadatafilter", help="SQL condition on name, weight, target, pred of the run in --subset")
 
     p = sub.add_parser("mapsig", help="lift a signal track to the query assembly")
     _regions_io(p)
@@ -174,7 +174,7 @@ def build_parser(config: str | None = None) -> argparse.ArgumentParser:
     p.add_argument("--model-metadata", "-mdd", default="", dest="modelmetadata")
     p.add_argument("--reduce-classes", "-red", nargs="*", default=[], dest="reduce")
     p.add_argument("--subset", "-sub", default="", dest="subset")
-    p.add_argument("--sample-metadata", "-cmd", default=None, dest="crpmetadata")
+    p.add_argument("--sample-metadata", "-cmd", default=None, dest="metadatafilter")
     p.add_argument("--num-perm", "-nump", type=int, default=0, dest="numperm")
     p.add_argument("--perm-extra-scorer", "-exscore", default="", dest="extrascorer")
     p.add_argument("--scoring", "-sc", default="", dest="scoring")

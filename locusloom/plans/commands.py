@@ -111,6 +111,8 @@ def run_dump(spark: SparkSession, args: Namespace) -> None:
         rows = bin_signal(data, sizes, args.resolution, args.summstat, args.skipends).orderBy("chrom", "start")
     elif kind in ("regions", "features"):
         rows = region_rows(data, group, args.commentheader)
+        if args.rtable:
+            return _show_or_write(rows.select(F.col("crp_group_index").alias("_row"), *[F.col(f"`{c}`") for c in rows.columns]).orderBy("_row"), args.outputfile, delimiter, not args.noheader)
     else:
         raise RuntimeError(f"cannot tell the kind of data in {ref.path}")
     if args.rtable:
@@ -404,8 +406,8 @@ def load_training_data(spark: SparkSession, args: Namespace, features: list[str]
         data = tb.add_weights(data, tb.weights_from_file(spark, args.loadweights))
     if args.subset:
         if os.path.exists(args.subset):
-            if args.crpmetadata:
-                names = tb.names_from_metadata(spark, args.subset, args.crpmetadata)
+            if args.metadatafilter:
+                names = tb.names_from_metadata(spark, args.subset, args.metadatafilter)
             else:
                 names = tb.names_from_file(spark, args.subset)
             data = tb.subset_by_names(data, names)
