@@ -41,3 +41,19 @@ def op1_bit_planes(spark, sf):
     path = scratch_path(spark, "planes")
     write_planes(read(spark, sf, "documents"), path, vocabulary("word_bpe_49k.json"), end_id=1)
     return read_planes(spark, path)
+
+
+@query("op4_bpe_chunks")
+def op4_bpe_chunks(spark, sf):
+    """Ids and decoded texts of all documents, as digests."""
+    from .bpe_chunks import encode_decode
+
+    return encode_decode(read(spark, sf, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+@query("op7_piece_counts")
+def op7_piece_counts(spark, sf):
+    """Words and greedy word pieces of all documents."""
+    from .wordpiece import piece_counts
+
+    return piece_counts(read(spark, sf, "documents"), vocabulary("byte_bpe_50k.json"))
