@@ -29,7 +29,7 @@ MASK_BITS = 11
 CHUNK_MEMORY = 64 << 20
 
 #: White space of the tokenizer's own pattern (fixed values).
-SPACE = "\t-\r \x85\xa0  -     　"
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PIECE = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 _SAFE = re.compile(f"(?<=[^{SPACE}])(?=[{SPACE}])")
 

@@ -57,3 +57,11 @@ def op7_piece_counts(spark, sf):
     from .wordpiece import piece_counts
 
     return piece_counts(read(spark, sf, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+@query("op3_fair_mix")
+def op3_fair_mix(spark, sf):
+    """Words the mix takes of each document."""
+    from .fair_mix import mix_counts
+
+    return mix_counts(read(spark, sf, "documents"))
