@@ -65,3 +65,11 @@ def op3_fair_mix(spark, sf):
     from .fair_mix import mix_counts
 
     return mix_counts(read(spark, sf, "documents"))
+
+
+@query("op6_isolation")
+def op6_isolation(spark, sf):
+    """Quality counts and verdicts of all documents."""
+    from .isolation import quality_verdicts
+
+    return quality_verdicts(read(spark, sf, "documents"), read(spark, sf, "labels"))
