@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, batches
+from .common import Memo, batches, byte_stand_ins
 
 BLOCK = 65_536
 SEGMENT = 1_000_000
@@ -103,12 +103,14 @@ _ENCODERS: dict = {}
 
 
 class WordEncoder:
-    """Ids of a text by a tokenizer whose words end at white space.
+    """Ids of a text by a lower-casing tokenizer whose words end at white space.
 
     White space is dropped by its pre-tokenizer and no word of it crosses white space, so a text's ids
-    are those of its white-space runs in a row; runs are remembered. Texts with a string that the
-    tokenizer treats as one special token, or with a separator (U+001C to U+001F) that Python's split
-    counts as white space and the tokenizer doesn't, go to the tokenizer as they are.
+    are those of its white-space runs in a row; runs are remembered. Its normaliser (NFC, lower case)
+    does to Latin-1 text just what ``str.lower`` does, so such texts are lowered at once and their runs,
+    mostly plain letters, go to the model itself; runs of other texts take the whole tokenizer. Texts with
+    a string that the tokenizer treats as one special token, or with a separator (U+001C to U+001F) that
+    Python's split counts as white space and the tokenizer doesn't, are encoded as they are.
     """
 
     def __init__(self, path: str):
@@ -117,30 +119,34 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         with open(path, encoding="utf-8") as f:
             added = json.load(f).get("added_tokens", [])
         self.odd = [a["content"] for a in added] + [chr(c) for c in range(0x1C, 0x20)]
-        self.runs = Memo(self._one, limit=700_000)
+        self.letters = str.maketrans({chr(b): c for c, b in byte_stand_ins().items()})
+        self.lowered, self.others = Memo(self._lowered, limit=600_000), Memo(self._whole, limit=100_000)
 
-    def _one(self, run: str) -> bytes:
+    def _whole(self, run: str) -> bytes:
         return np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = [None if t is None or any(s in t for s in self.odd) else t.split() for t in texts]
-        runs, new = self.runs, set()
-        for part in split:
-            if part:
-                new.update(part)
-        new = [r for r in new if r not in runs]
-        if len(runs) + len(new) > runs.limit:
-            new = list(set().union(*(p for p in split if p)))
-            runs.clear()
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
-            for run, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                runs[run] = np.array(e.ids, dtype="<u4").tobytes()
-        look = runs.__getitem__
-        return [b"" if not t else self._one(t) if part is None else b"".join(map(look, part)) for t, part in zip(texts, split, strict=True)]
+    def _lowered(self, run: str) -> bytes:
+        if run.isalpha():
+            found = self.model.tokenize(run if run.isascii() else run.encode().decode("latin-1").translate(self.letters))
+            return np.array([t.id for t in found], dtype="<u4").tobytes()
+        if run[:-1].isalpha() and run[-1] in ",.;:!?":
+            return self.lowered[run[:-1]] + self.lowered[run[-1]]
+        return self._whole(run)
+
+    def __call__(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if any(s in text for s in self.odd):
+            return self._whole(text)
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return b"".join(map(self.others.__getitem__, text.split()))
+        return b"".join(map(self.lowered.__getitem__, text.lower().split()))
 
 
 def encoder_of(path: str) -> WordEncoder:
@@ -186,7 +192,7 @@ def write_planes(
             return pa.RecordBatch.from_arrays([pa.array([v], type=t.type) for v, t in zip(row, STORE, strict=True)], schema=STORE)
 
         for batch in batches(rows):
-            found = encode(batch.column(1).to_pylist())
+            found = map(encode, batch.column(1).to_pylist())
             for doc, got in zip(batch.column(0).to_pylist(), found, strict=True):
                 ids.append(got + end)
                 doc_ids.append(doc)

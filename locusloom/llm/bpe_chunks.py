@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, batches
+from .common import Memo, batches, byte_stand_ins
 
 MASK_BITS = 11
 CHUNK_MEMORY = 64 << 20
@@ -72,7 +72,7 @@ class ChunkEncoder:
         self.reused = self.encoded = 0
 
         # bytes of each token: the printable stand-ins of byte-level BPE turned back
-        stand_in = self._stand_ins()
+        stand_in = byte_stand_ins()
         size = 1 + max([*spec["model"]["vocab"].values(), *self.special.values()])
         self.bytes_of = [b""] * size
         for token, i in spec["model"]["vocab"].items():
@@ -80,13 +80,6 @@ class ChunkEncoder:
         for token, i in self.special.items():
             self.bytes_of[i] = token.encode()
 
-    @staticmethod
-    def _stand_ins() -> dict[str, int]:
-        """Character for each byte: itself if printable Latin-1, else the next one from U+0100 on."""
-        plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-        rest = (b for b in range(256) if b not in plain)
-        return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(rest)}
-
     def _piece(self, piece: str) -> bytes:
         return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
 

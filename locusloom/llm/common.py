@@ -56,6 +56,13 @@ class Memo(dict):
         return value
 
 
+def byte_stand_ins() -> dict[str, int]:
+    """Byte of each character of byte-level BPE: printable Latin-1 stands for itself, the rest from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = (b for b in range(256) if b not in plain)
+    return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(rest)}
+
+
 _HASHES = Memo(xxhash.xxh3_64_intdigest)
 
 

@@ -73,3 +73,19 @@ def op6_isolation(spark, sf):
     from .isolation import quality_verdicts
 
     return quality_verdicts(read(spark, sf, "documents"), read(spark, sf, "labels"))
+
+
+@query("op8_superminhash")
+def op8_superminhash(spark, sf):
+    """Near-duplicate components of all documents: three-word shingles at 0.85."""
+    from .superminhash import near_duplicates
+
+    return near_duplicates(read(spark, sf, "documents"), words=3, percent=85)
+
+
+@query("op9_spherical")
+def op9_spherical(spark, sf):
+    """Near-duplicate components of all embeddings at cosine 0.95."""
+    from .spherical import near_duplicate_vectors
+
+    return near_duplicate_vectors(read(spark, sf, "embeddings"))

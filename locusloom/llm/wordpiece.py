@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, batches, words
+from .common import Memo, batches, byte_stand_ins, words
 
 
 class PieceCounter:
@@ -82,11 +82,9 @@ class PieceCounter:
 
 def byte_level_pieces(path: str) -> tuple[list[bytes], list[bytes]]:
     """First and later pieces from a byte-level vocabulary: those that begin with a space, and those without."""
-    from .bpe_chunks import ChunkEncoder
-
     with open(path, encoding="utf-8") as f:
         vocabulary = json.load(f)["model"]["vocab"]
-    back = ChunkEncoder._stand_ins()
+    back = byte_stand_ins()
     raw = [bytes(back[c] for c in token) for token in vocabulary]
     return [t for t in raw if t.startswith(b" ")], [t for t in raw if not t.startswith(b" ")]
 
