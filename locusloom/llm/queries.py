@@ -89,3 +89,12 @@ def op9_spherical(spark, sf):
     from .spherical import near_duplicate_vectors
 
     return near_duplicate_vectors(read(spark, sf, "embeddings"))
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark, sf):
+    """Toxicity of all documents by a model of the labels that are not held out."""
+    from .toxicity import score_texts, train
+
+    docs = read(spark, sf, "documents")
+    return score_texts(docs, train(docs, read(spark, sf, "labels")))
