@@ -98,3 +98,11 @@ def op10_toxicity(spark, sf):
 
     docs = read(spark, sf, "documents")
     return score_texts(docs, train(docs, read(spark, sf, "labels")))
+
+
+@query("op5_ppm")
+def op5_ppm(spark, sf):
+    """Log probabilities of all documents by a trained byte-context trie, beside a base score."""
+    from .ppm import lm_scores
+
+    return lm_scores(read(spark, sf, "documents"))
