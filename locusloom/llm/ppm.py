@@ -1,21 +1,22 @@
 """Language-model scores by prediction by partial matching over bytes.
 
 Tokens are words of lower-cased text; a text is spelled as its words, each closed by a space, and an end sign. A
-byte is predicted from the up to ``ORDER`` bytes before it, back to the space before its word. Where a context has
-not seen the byte, the model escapes to the context without its oldest byte; bytes that the longer context has seen
-are excluded there. Escape estimates are those of method C: ``q / (n + q)`` with ``q`` kinds among ``n`` bytes.
-
-The model is trained once and then fixed: counts of contexts come from the word counts of the training texts. A
-context is kept if it makes up at least ``2 ** -CONTEXT_BITS`` of all training bytes. Contexts of one length are
-disjoint, so there are at most ``2 ** CONTEXT_BITS`` of each length, whatever the corpus; rarer ones escape at
-once. That bounds what is broadcast. The same holds for the words whose counts are broadcast for the base score
-(``WORD_BITS``); counts of all other words are joined by a shuffle, none is left out.
+byte is predicted from up to ``ORDER`` bytes before it: the first ``HEAD`` bytes of a word from the last ``HEAD``
+bytes of the word before and what follows them, later ones from their own word. Where a context has not seen the
+byte, the model escapes to the context without its oldest byte; bytes that the longer context has seen are
+excluded there. Escapes are estimated by method D: ``q / 2n`` with ``q`` kinds among ``n`` bytes, half a count
+taken from each kind.
+
+The model is trained once and then fixed. So a word's later bytes always cost the same, and its first ones depend
+on a pair of short strings: texts are scored by word and by pair, each computed once for many. A context is kept
+if it makes up at least ``2 ** -CONTEXT_BITS`` of all training bytes. Contexts of one length are disjoint, so there
+are at most ``2 ** CONTEXT_BITS`` of each length, whatever the corpus; rarer ones escape at once. That bounds what
+is broadcast. The same holds for the words whose counts are broadcast for the base score (``WORD_BITS``); counts
+of all other words are joined by a shuffle, none is left out.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,26 +27,54 @@ from pyspark.sql import functions as F
 
 from .common import U64, batches, lower_words, signed, word_hashes, written
 
-ORDER = 5
-CONTEXT_BITS = 18
+ORDER = 6
+HEAD = 3  # ORDER is twice HEAD
+CONTEXT_BITS = 20
 WORD_BITS = 20
 FLUSH = 400_000  # words a task counts before it passes them on
 END = b"\n"  # can't occur in a word
 
 
 def contexts(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each byte of the words and their closing spaces: context length, context, byte; and where words begin."""
+    """Of the bytes of each word and its closing space from the fourth on: context length, context, byte, word's number."""
     stream = np.frombuffer(b" " + b" ".join(words) + b" ", dtype=np.uint8)
     n = len(stream) - 1
-    here = np.arange(n)
-    space = np.maximum.accumulate(np.where(stream[:-1] == 0x20, here, 0))
-    length = np.minimum(ORDER, here - space + 1)
-    context = np.zeros(n, dtype=U64)
-    for back in range(ORDER):
-        context[back:] |= stream[: n - back].astype(U64) << U64(8 * back)
-    context &= (U64(1) << (length * 8).astype(U64)) - U64(1)
     sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
-    return length, context, stream[1:], np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(words)), sizes)
+    place = np.arange(n) - (np.cumsum(sizes) - sizes)[owner]
+    late = np.flatnonzero(place >= HEAD)
+    length = np.minimum(ORDER, place[late] + 1)
+    context = np.zeros(len(late), dtype=U64)
+    for back in range(ORDER):
+        context |= np.where(length > back, stream[np.maximum(late - back, 0)], 0).astype(U64) << U64(8 * back)
+    return length, context, stream[late + 1], owner[late]
+
+
+def word_ends(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each word, as small integers: its last ``HEAD`` bytes (spaces before a shorter one), and its first bytes.
+
+    The latter hold up to ``HEAD`` bytes of the word and its closing space, and how many they are above them.
+    """
+    last = np.fromiter((int.from_bytes((b"  " + w)[-HEAD:], "big") for w in words), dtype=U64, count=len(words))
+    heads = [(w + b" ")[:HEAD] for w in words]
+    first = np.fromiter((int.from_bytes(h, "little") | len(h) << 24 for h in heads), dtype=U64, count=len(words))
+    return last, first
+
+
+def pair_key(last: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return (last << U64(26)) | first
+
+
+def pair_contexts(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the first bytes of words after others (``pair_key``): context length, context, byte, pair's number."""
+    last, count, head = pairs >> U64(26), (pairs >> U64(24)) & U64(3), pairs & U64((1 << 24) - 1)
+    context, out = (last << U64(8)) | U64(0x20), []
+    for j in range(HEAD):
+        byte = (head >> U64(8 * j)) & U64(255)
+        own = np.flatnonzero(count > j)
+        out.append((np.full(len(own), HEAD + 1 + j), context[own], byte[own].astype(np.uint8), own))
+        context = ((context << U64(8)) | byte) & U64((1 << 48) - 1)
+    return tuple(np.concatenate([o[i] for o in out]) for i in range(4))
 
 
 def key_of(length: np.ndarray, context: np.ndarray, byte: np.ndarray | int) -> np.ndarray:
@@ -66,8 +95,8 @@ class Trie:
             return
         total, kinds = np.add.reduceat(counts, first), np.diff(np.append(first, len(keys))).astype(np.float64)
         owner = np.repeat(np.arange(len(first)), kinds.astype(int))
-        self.log_p = np.log10(counts / (total[owner] + kinds[owner]))
-        escape = kinds / (total + kinds)
+        self.log_p = np.log10((counts - 0.5) / total[owner])
+        escape = kinds / (2 * total)
         length = (self.contexts >> U64(48)).astype(np.int64)
         for k in range(ORDER + 1):  # shorter contexts first: an escape is measured by what they leave
             own = np.flatnonzero(length == k)
@@ -112,16 +141,17 @@ class Trie:
         out[rest] -= np.log10(256)
         return out
 
+    def _sums(self, found: tuple[np.ndarray, ...], n: int) -> np.ndarray:
+        length, context, byte, owner = found
+        return np.bincount(owner, self.log_bytes(length, context, byte), n) if len(owner) else np.zeros(n)
+
     def log_words(self, words: list[bytes]) -> np.ndarray:
-        """Log10 probability of each word with its closing space."""
-        if not words:
-            return np.zeros(0)
-        length, context, byte, starts = contexts(words)
-        return np.add.reduceat(self.log_bytes(length, context, byte), starts)
+        """Log10 probability of the later bytes of each word."""
+        return self._sums(contexts(words), len(words)) if words else np.zeros(0)
 
-    def log_end(self) -> float:
-        """Log10 probability of the end sign where a word might begin."""
-        return float(self.log_bytes(np.array([1]), np.array([0x20], dtype=U64), np.array([END[0]], dtype=np.uint8))[0])
+    def log_pairs(self, pairs: np.ndarray) -> np.ndarray:
+        """Log10 probability of a word's first bytes after the word before."""
+        return self._sums(pair_contexts(pairs), len(pairs))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -129,37 +159,71 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
+class WordTable:
+    """Numbers for words, and what is known of each in arrays; begun anew when it holds ``FLUSH`` words."""
+
+    def __init__(self, columns):
+        self.columns = columns  # of a list of words: a tuple of arrays
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.known = tuple(self.columns([]))
+
+    def numbers(self, texts: list[list[bytes]]) -> np.ndarray:
+        """Numbers of the words of all texts in a row, the end sign before the first and after each text."""
+        new = list({END}.union(*texts).difference(self.number))
+        if new:
+            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
+            self.known = tuple(np.append(a, b) for a, b in zip(self.known, self.columns(new), strict=True))
+        look = self.number.__getitem__
+        parts = [np.fromiter(map(look, [*t, END]), dtype=np.int64, count=len(t) + 1) for t in texts]
+        return np.concatenate([[look(END)], *parts])
+
+
 def corpus_counts(texts: DataFrame) -> DataFrame:
-    """``kind, key, n`` over texts ``(text)``: counts of word hashes (0), of context and byte (1), and of texts (2)."""
+    """``kind, key, n`` over texts ``(text)``: counts of word hashes (0), of context and byte (1), and of texts (2).
+
+    The end sign is not among the words of kind 0 but is spelled like one in kind 1.
+    """
     schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
 
-    def passed_on(count: Counter, texts_seen: int) -> pa.RecordBatch:
-        found, n = list(count), np.fromiter(count.values(), dtype=np.int64, count=len(count))
-        out = [(np.zeros(len(found), np.int32), signed(word_hashes(found)), n)]
-        if found:
-            length, context, byte, starts = contexts(found)
-            keys, where = np.unique(key_of(length, context, byte), return_inverse=True)
-            each = np.repeat(n, np.diff(np.append(starts, len(byte))))
-            out.append((np.ones(len(keys), np.int32), signed(keys), np.bincount(where, each, len(keys)).astype(np.int64)))
-        out.append((np.full(1, 2, np.int32), np.zeros(1, np.int64), np.full(1, texts_seen)))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out]), t.type) for i, t in enumerate(schema)], schema=schema)
+    def keyed(found: tuple[np.ndarray, ...], times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        length, context, byte, owner = found
+        keys, where = np.unique(key_of(length, context, byte), return_inverse=True)
+        return keys, np.bincount(where, times[owner], len(keys)).astype(np.int64)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, seen = Counter(), 0
+        table, count, heads, seen = WordTable(word_ends), np.zeros(0, np.int64), [], 0
+
+        def passed_on() -> pa.RecordBatch:
+            found = list(table.number)
+            own = np.array([w != END for w in found])
+            keys, n = map(np.concatenate, zip(*heads, keyed(contexts(found), count), strict=True))
+            keys, where = np.unique(keys, return_inverse=True)
+            out = [(np.zeros(own.sum(), np.int32), signed(word_hashes(found))[own], count[own])]
+            out.append((np.ones(len(keys), np.int32), signed(keys), np.bincount(where, n, len(keys)).astype(np.int64)))
+            out.append((np.full(1, 2, np.int32), np.zeros(1, np.int64), np.full(1, seen)))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out]), t.type) for i, t in enumerate(schema)], schema=schema)
+
         for batch in batches(rows):
-            for text in batch.column(0).to_pylist():
-                count.update(lower_words(text))
-                seen += 1
-            if len(count) >= FLUSH:
-                yield passed_on(count, seen)
-                count, seen = Counter(), 0
+            ids = table.numbers([lower_words(t) for t in batch.column(0).to_pylist()])
+            last, first = table.known
+            count = np.append(count, np.zeros(len(last) - len(count), np.int64)) + np.bincount(ids[1:], minlength=len(last))
+            pairs, times = np.unique(pair_key(last[ids[:-1]], first[ids[1:]]), return_counts=True)
+            heads.append(keyed(pair_contexts(pairs), times))
+            seen += batch.num_rows
+            if len(count) >= FLUSH or sum(len(h[0]) for h in heads) > 4 * FLUSH:
+                yield passed_on()
+                table.clear()
+                count, heads, seen = count[:0], [], 0
         if seen:
-            yield passed_on(count, seen)
+            yield passed_on()
 
     return texts.mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def trained_trie(counts: DataFrame, texts: int) -> Trie:
+def trained_trie(counts: DataFrame) -> Trie:
     """The trie of all kept contexts, from counts of longest contexts."""
 
     def shorter(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,9 +236,6 @@ def trained_trie(counts: DataFrame, texts: int) -> Trie:
                 yield pa.RecordBatch.from_arrays([pa.array(signed(got)), pa.array(n[own])], names=["key", "n"])
 
     longest = counts.filter("kind = 1").select("key", "n")
-    if texts:  # the end sign follows a space
-        end = int(key_of(np.array([1]), np.array([0x20], dtype=U64), END[0])[0])
-        longest = longest.unionByName(counts.filter("kind = 2").select(F.lit(end).cast("long").alias("key"), "n"))
     every = written(longest.mapInArrow(shorter, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).withColumn("context", F.shiftright("key", 8)), "contexts")
     size = every.filter("key < 256 AND key >= 0").agg(F.sum("n")).first()[0] or 0
     kept = every.groupBy("context").agg(F.sum("n").alias("all")).filter(F.col("all") * float(1 << CONTEXT_BITS) >= F.lit(size)).select("context")
@@ -197,7 +258,7 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     ends = n_of.get(2, 0)
     tokens, distinct = n_of.get(0, 0) + ends, kinds_of.get(0, 0) + (ends > 0)
     size = tokens + distinct + 1
-    trie = trained_trie(counts, ends)
+    trie = trained_trie(counts)
 
     # frequent words: at most 2 ** WORD_BITS reach the share, so they may be broadcast
     often = F.col("n") * float(1 << WORD_BITS) >= F.lit(tokens)
@@ -211,28 +272,36 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, keys, n = shared.value
         log_n = np.log10((n + 1) / size)
-        log_end, base_end = model.log_end(), float(np.log10((ends + 1) / size))
-        number: dict[bytes, int] = {}  # words of this task; what is known of each stands in arrays
-        log_word, log_base, hashes = np.zeros(0), np.zeros(0), np.zeros(0, dtype=np.int64)
+        base_end = float(np.log10((ends + 1) / size))
+
+        def columns(new: list[bytes]) -> tuple[np.ndarray, ...]:
+            h = signed(np.fromiter(map(xxhash.xxh3_64_intdigest, new), dtype=U64, count=len(new)))
+            base = np.full(len(new), np.nan)
+            if len(keys) and len(new):
+                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                base = np.where(keys[at] == h, log_n[at], np.nan)
+            return *word_ends(new), h, base, model.log_words(new)
+
+        table = WordTable(columns)
         for batch in batches(rows):
             found = [lower_words(t) for t in batch.column(1).to_pylist()]
-            if len(number) >= FLUSH:
-                number, log_word, log_base, hashes = {}, log_word[:0], log_base[:0], hashes[:0]
-            new = list(set().union(*found).difference(number)) if found else []
-            if new:
-                number.update(zip(new, range(len(number), len(number) + len(new)), strict=True))
-                h = signed(np.fromiter(map(xxhash.xxh3_64_intdigest, new), dtype=U64, count=len(new)))
-                at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
-                hit = keys[at] == h if len(keys) else np.zeros(len(h), dtype=bool)
-                log_base = np.append(log_base, np.where(hit, log_n[at] if len(keys) else 0.0, np.nan))
-                log_word, hashes = np.append(log_word, model.log_words(new)), np.append(hashes, h)
-            out = [[], [], [], [], [], []]
+            if len(table.number) >= FLUSH:
+                table.clear()
+            ids = table.numbers(found)
+            last, first, hashes, log_base, log_word = table.known
+            pairs, where = np.unique(pair_key(last[ids[:-1]], first[ids[1:]]), return_inverse=True)
+            log_p = model.log_pairs(pairs)[where] + log_word[ids[1:]]
+            out, lo = [[], [], [], [], [], []], 0
             for own in found:
-                ids = np.fromiter(map(number.__getitem__, own), dtype=np.int64, count=len(own))
-                base = log_base[ids]
+                hi = lo + len(own)
+                of_words = ids[lo + 1 : hi + 1]
+                base = log_base[of_words]
                 unknown = np.isnan(base)
-                rare, times = np.unique(hashes[ids[unknown]], return_counts=True)
-                for col, v in zip(out, (len(own) + 1, len(own) - int(unknown.sum()) + (ends > 0), float(np.nansum(base)) + base_end, float(log_word[ids].sum()) + log_end, rare, times.astype(np.int32)), strict=True):
+                rare, times = np.unique(hashes[of_words[unknown]], return_counts=True)
+                score = float(log_p[lo : hi + 1].sum())
+                lo = hi + 1
+                row = (len(own) + 1, len(own) - int(unknown.sum()) + (ends > 0), float(np.nansum(base)) + base_end, score, rare, times.astype(np.int32))
+                for col, v in zip(out, row, strict=True):
                     col.append(v)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(c, t.type) for c, t in zip(out, list(schema)[2:], strict=True)]], schema=schema)
 
