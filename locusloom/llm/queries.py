@@ -106,3 +106,11 @@ def op5_ppm(spark, sf):
     from .ppm import lm_scores
 
     return lm_scores(read(spark, sf, "documents"))
+
+
+@query("op2_paragraphs")
+def op2_paragraphs(spark, sf):
+    """Repeated passages of all documents that dedup removes."""
+    from .paragraphs import repeated_passages
+
+    return repeated_passages(read(spark, sf, "documents"))
