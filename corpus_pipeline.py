@@ -32,9 +32,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages that an earlier document has; those of which nothing is left leave."""
+    """Texts without passages that an earlier document has, and their new lengths; those of which nothing is left leave."""
     workers_find_package(spark)
-    cut = without_passages(docs, repeated_passages(docs))
+    cut = without_passages(docs, repeated_passages(docs)).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return cut.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
 
 

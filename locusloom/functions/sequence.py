@@ -41,11 +41,11 @@ def _count(seq: Column, letters: str) -> Column:
 
 
 def gc_percent(seq: Column) -> Column:
-    return _count(seq, "GCgc") / F.length(seq) * 100
+    return F.try_divide(_count(seq, "GCgc"), F.length(seq)) * 100
 
 
 def repeat_percent(seq: Column) -> Column:
-    return _count(seq, "acgt") / F.length(seq) * 100
+    return F.try_divide(_count(seq, "acgt"), F.length(seq)) * 100
 
 
 def cpg_count(seq: Column) -> Column:
@@ -54,7 +54,7 @@ def cpg_count(seq: Column) -> Column:
 
 
 def cpg_percent(seq: Column) -> Column:
-    return cpg_count(seq) / (F.length(seq) / 2) * 100
+    return F.try_divide(cpg_count(seq), F.length(seq) / 2) * 100
 
 
 def observed_expected_cpg(seq: Column) -> Column:
@@ -74,7 +74,7 @@ def motif_count(seq: Column, pattern: str) -> Column:
 def motif_percent(seq: Column, pattern: str) -> Column:
     """Share of the sequence covered by non-overlapping matches."""
     up = F.upper(seq)
-    return (F.length(up) - F.length(F.regexp_replace(up, pattern, ""))) / F.length(up) * 100
+    return F.try_divide(F.length(up) - F.length(F.regexp_replace(up, pattern, "")), F.length(up)) * 100
 
 
 def hexamer_probability(word: Column) -> Column:

@@ -88,7 +88,7 @@ class ChunkEncoder:
         return b"".join(map(self.pieces.__getitem__, _PIECE.findall(text)))
 
     def _chunk(self, raw: bytes) -> tuple:
-        """(text before the first safe place, ids between first and last, text after, ids of all, has a safe place)."""
+        """(text before the first safe place, ids between first and last, text after, ids of all, has a safe place, memory)."""
         key = xxhash.xxh3_128_digest(raw)
         got = self.chunks.get(key)
         if got is not None:
@@ -107,11 +107,11 @@ class ChunkEncoder:
             head, mid, tail = text[:a], text[a:b], text[b:]
             middle = self._encode(mid) if mid else b""
             got = (head, middle, tail, (self._encode(head), middle, self._encode(tail)), True)
-        self.chunks[key] = got
-        self.used += 4 * len(raw) + 300
+        self.chunks[key] = got = (*got, 4 * len(raw) + 300)  # about its memory
+        self.used += got[-1]
         while self.used > self.memory and len(self.chunks) > 1:
             _, old = self.chunks.popitem(last=False)
-            self.used -= 4 * (len(old[0]) + len(old[1]) + len(old[2])) // 2 + 300
+            self.used -= old[-1]
         return got
 
     def _plain(self, text: str) -> bytes:
@@ -121,7 +121,7 @@ class ChunkEncoder:
             whole = self._chunk(raw)[3]
             return b"".join(whole) if isinstance(whole, tuple) else whole
         for hi in cuts:
-            head, middle, tail, _, safe = self._chunk(raw[lo:hi])
+            head, middle, tail, _, safe, _ = self._chunk(raw[lo:hi])
             lo = hi
             if safe:
                 out.append(self._encode(pending + head))

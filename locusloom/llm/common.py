@@ -10,10 +10,12 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
 U64 = np.uint64
+BITMAP_BITS = 26
 
 
 def workers_find_package(spark: SparkSession) -> None:
@@ -116,3 +118,24 @@ def batches(rows: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa.
         step = max(1, int(batch.num_rows * most / max(batch.nbytes, 1)))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+
+
+def bitmap(values: DataFrame, column: str) -> np.ndarray:
+    """Bits of ``2 ** BITMAP_BITS`` slots, set where the low bits of a column (long) fall: 8 MB, whatever the input.
+
+    The more values there are, the more others share their slots; so it only thins out what is shuffled next.
+    """
+    slot = F.col(column).bitwiseAND(F.lit((1 << BITMAP_BITS) - 1)) + 1
+    buckets = values.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket"))
+    out = np.zeros((1 << BITMAP_BITS) // 8, dtype=np.uint8)
+    for r in buckets.agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect():
+        bits = np.frombuffer(bytes(r.bits), dtype=np.uint8)
+        at = (r.bucket - 1) * len(bits)
+        out[at : at + len(bits)] = bits
+    return out
+
+
+def may_hold(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """False only for 64-bit values that the bitmap was not made of."""
+    slot = values.view(U64) & U64((1 << BITMAP_BITS) - 1)
+    return (bits[(slot >> U64(3)).astype(np.int64)] >> (slot & U64(7)).astype(np.uint8)) & 1 == 1

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, batches, lower_words, mixed, signed, window_hashes, word_hashes, written
+from .common import U64, batches, bitmap, lower_words, may_hold, mixed, signed, window_hashes, word_hashes, written
 from .components import components
 from .superminhash import confirmed
 
@@ -32,7 +32,6 @@ SHINGLE = 5
 LEAST, NEAR, LEAST_RUN = 5, 8, 20
 CUT = 32
 BANDS = 3
-BITMAP_BITS = 26
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -116,28 +115,9 @@ def paragraph_table(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, place int, words int, start int, end int, print long, keys array<long>")
 
 
-def bitmap(values: DataFrame, column: str) -> np.ndarray:
-    """Bits of ``2 ** BITMAP_BITS`` slots, set where a value of the column (long) falls."""
-    slot = F.shiftrightunsigned(column, 64 - BITMAP_BITS) + 1
-    rows = values.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect()
-    size = 1 << 15  # slots of a bucket
-    out = np.zeros((1 << BITMAP_BITS) // 8, dtype=np.uint8)
-    for r in rows:
-        at = (r.bucket - 1) * size // 8
-        bits = np.frombuffer(bytes(r.bits), dtype=np.uint8)
-        out[at : at + size // 8] = bits[: size // 8]
-    return out
-
-
-def may_hold(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """False only for values (unsigned or signed 64-bit) that the bitmap was not made of."""
-    slot = values.view(U64) >> U64(64 - BITMAP_BITS)
-    return (bits[(slot >> U64(3)).astype(np.int64)] >> (slot & U64(7)).astype(np.uint8)) & 1 == 1
-
-
 def _of_bitmap(table: DataFrame, column: str, bits: np.ndarray) -> DataFrame:
     """Rows whose long column may be in the bitmap."""
-    shared = table.sparkSession.sparkContext.broadcast(bits)  # 2 ** BITMAP_BITS bits
+    shared = table.sparkSession.sparkContext.broadcast(bits)  # of fixed size
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:

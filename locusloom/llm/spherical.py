@@ -193,7 +193,8 @@ def near_duplicate_vectors(vectors: DataFrame, *, cosine: float = 0.95, id_col:
     meets = F.when(F.col("home"), of_home).otherwise(F.sequence(F.lit(0), F.col("nb") - 1))
     number = F.when(F.col("home"), F.col("h")).otherwise(F.col("nb") + F.col("h"))
     probes = cut.select("id", "copies", "dims", "bits", "cell", F.explode(meets).alias("base"), number.alias("probe"), F.lit(False).alias("is_base"))
-    found = written(bases.unionByName(probes).groupBy("dims", "cell", "base", "probe").applyInArrow(_compare(cosine), "a long, b long, n long"), "found")
+    pair = ["dims", "cell", "base", "probe"]  # dealt out anew: else all blocks of a cell stay in the task of its join
+    found = written(bases.unionByName(probes).repartition(*pair).groupBy(*pair).applyInArrow(_compare(cosine), "a long, b long, n long"), "found")
 
     joined = components(found.filter("b IS NOT NULL").select("a", "b"))
     counts = found.filter("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("others"))

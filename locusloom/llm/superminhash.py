@@ -2,9 +2,10 @@
 
 A document's set holds the hashes of its distinct word shingles. Documents of one set are folded into a class
 first, so thousands of copies cost one signature. Signatures of classes are cut into bands; classes that share
-a band are candidates. In a shared band every class is compared with the least one, not with all others;
-classes that are still apart after that are compared with each other, so no link found by a band is lost.
-Each candidate link is confirmed on the full sets.
+a band are candidates. Every class of a band is compared with the one that shares most bands with others, which
+in a group of edited copies is the original, and in ``ROUNDS`` rounds with another one, if that lies in another
+component. Where a band's classes are still in several components after that, its signatures are compared in blocks inside tasks, and only pairs that may well link are passed on. Each such
+pair, and each pair with a leader, is confirmed on the full sets, so no link that a band finds is lost.
 """
 
 from __future__ import annotations
@@ -17,10 +18,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, batches, lower_words, mixed, signed, window_hashes, word_hashes, written
+from .common import U64, batches, bitmap, lower_words, may_hold, mixed, signed, window_hashes, word_hashes, written
 from .components import components
 
 SLOTS = 100
+MARGIN = 15  # percent by which an estimate may fall short of the wanted similarity: over 4 standard deviations
+ROUNDS = 3  # leaders taken at random in bands that lie in several components
+FEW = 16  # members up to which a band's pairs are made by a join
+BLOCK = 2_048  # members of a block of a larger band
 BANDS = 20  # bands of 5: a pair at 0.85 is missed with probability (1 - 0.85 ** 5) ** 20 < 1e-5
 
 
@@ -73,32 +78,99 @@ def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, k: int, slots: int, bands: int) -> DataFrame:
-    """``doc_id, n_shingles, print`` (of the set) and ``keys``; NULL print and no keys for an empty set."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("print", pa.binary()), ("keys", pa.list_(pa.int64()))])
+    """``doc_id, n_shingles, print`` (of the set), ``keys`` of bands, ``brief``: a byte of each slot. NULL for an empty set."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("print", pa.binary()), ("keys", pa.list_(pa.int64())), ("brief", pa.binary())])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows):
-            sizes, prints, keys = [], [], []
+            sizes, prints, keys, briefs = [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text, k)
+                signature = superminhash(s, slots)
                 sizes.append(len(s))
                 prints.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                keys.append(signed(band_keys(superminhash(s, slots), bands)) if len(s) else None)
-            out = [batch.column(0), pa.array(sizes, type=pa.int64()), pa.array(prints, type=pa.binary()), pa.array(keys, type=pa.list_(pa.int64()))]
+                keys.append(signed(band_keys(signature, bands)) if len(s) else None)
+                briefs.append(mixed(signature).astype(np.uint8).tobytes() if len(s) else None)
+            out = [batch.column(0), *[pa.array(v, type=t.type) for v, t in zip((sizes, prints, keys, briefs), list(schema)[1:], strict=True)]]
             yield pa.RecordBatch.from_arrays(out, schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, print binary, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, print binary, keys array<long>, brief binary")
 
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """``doc_id`` and its shingle set as sorted 64-bit hashes."""
+def _briefs(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), dtype=np.uint8).reshape(len(rows), -1)
+
+
+def _close_rows(percent: int):
+    """Of rows ``(a, b, briefs)`` those whose estimate comes near ``percent``."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows):
+            same = (_briefs(batch.column(2)) == _briefs(batch.column(3))).mean(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(same >= (percent - MARGIN) / 100))
+
+    return run
+
+
+def _close_in_blocks(percent: int):
+    """Of two blocks of a band, the pairs of different parts whose sizes allow a link and whose estimate comes near."""
+
+    def run(group: pa.Table) -> pa.Table:
+        left = np.array(group["left"].to_pylist(), dtype=bool)
+        ids, parts, n = (group[c].to_numpy() for c in ("id", "part", "n"))
+        brief = _briefs(group["brief"])
+        same = group["i"][0].as_py() == group["j"][0].as_py()
+        x = np.flatnonzero(left)
+        y = x if same else np.flatnonzero(~left)
+        a, b = [], []
+        for row in x.tolist():
+            open_ = y[(parts[y] != parts[row]) & (100 * np.minimum(n[y], n[row]) >= percent * np.maximum(n[y], n[row])) & ((ids[y] > ids[row]) | (not same))]
+            near = open_[(brief[open_] == brief[row]).mean(axis=1) >= (percent - MARGIN) / 100]
+            a.append(np.minimum(ids[near], ids[row]))
+            b.append(np.maximum(ids[near], ids[row]))
+        none = [np.zeros(0, dtype=np.int64)]
+        return pa.table([np.concatenate(a or none), np.concatenate(b or none)], names=["a", "b"])
+
+    return run
+
+
+def close_pairs(apart: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of one band that lie in different parts and may link; ``apart(key, id, part, n, brief)``.
+
+    A small band's members each meet a few others in a join. A larger one is cut into blocks, each pair of which is
+    compared in a task of its own; what a task emits are likely links, not all its pairs.
+    """
+    sized = written(apart.join(apart.groupBy("key").agg(F.count("*").alias("m")), "key"), "apart")
+    small, large = sized.filter(F.col("m") <= FEW), sized.filter(F.col("m") > FEW)
+    x = small.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"), F.col("brief").alias("sa"))
+    y = small.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"), F.col("brief").alias("sb"))
+    fits = (F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    met = x.join(y, "key").filter(fits).select("a", "b", "sa", "sb").mapInArrow(_close_rows(percent), "a long, b long")
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    cut = large.withColumn("h", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("nb", blocks)
+    row = ["key", "id", "part", "n", "brief"]
+    lefts = cut.select(*row, F.col("h").alias("i"), F.explode(F.sequence("h", F.col("nb") - 1)).alias("j"), F.lit(True).alias("left"))
+    rights = cut.filter("h > 0").select(*row, F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("i"), F.col("h").alias("j"), F.lit(False).alias("left"))
+    in_blocks = lefts.unionByName(rights).groupBy("key", "i", "j").applyInArrow(_close_in_blocks(percent), "a long, b long")
+    return met.unionByName(in_blocks).distinct()
+
+
+def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """``id`` and shingle set, as sorted 64-bit hashes, of the documents named in ``ids(id)``.
+
+    A bitmap of their ids tells where to look, so texts are not shuffled; a few sets more do no harm.
+    """
+    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(ids, "id"))  # of fixed size
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(rows):
+            batch = batch.filter(pa.array(may_hold(wanted.value, batch.column(0).to_numpy(zero_copy_only=False))))
             sets = [shingle_set(t, k).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, type=pa.binary())], names=["id", "elements"])
 
-    return docs.mapInArrow(run, "id long, elements binary")
+    found = docs.filter("doc_id IS NOT NULL").mapInArrow(run, "id long, elements binary")
+    return written(found.groupBy("id").agg(F.min("elements").alias("elements")), "sets")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -117,6 +189,13 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ea", "eb").mapInArrow(run, "a long, b long")
 
 
+def _apart(members: DataFrame, joined: DataFrame) -> DataFrame:
+    """``key, id, part`` of the bands ``(key, id)`` whose members lie in several components."""
+    placed = members.join(joined.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("part"))
+    split = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("key")
+    return written(placed.join(split, "key", "left_semi"), "apart")
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -136,31 +215,38 @@ def near_duplicates(
     """
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     marks = written(_signatures(named, words, slots, bands), "signatures")
-    classes = marks.filter("print IS NOT NULL AND doc_id IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.first("n_shingles").alias("n"))
-    # a class is named by the least id of its rows; ids of different classes may agree only if rows share an id
-    classes = written(classes, "classes")
-    banded = written(classes.select("id", "n", F.explode("keys").alias("key")), "bands")
-    shared = banded.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").select("key", "least")
+    fine = marks.filter("print IS NOT NULL AND doc_id IS NOT NULL")
+    # a class is named by the least id of its rows
+    classes = written(fine.groupBy("print").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("keys", "brief", "n_shingles")]), "classes")
+    banded = written(classes.select("id", F.explode("keys").alias("key")), "bands")
+    shared = banded.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("m")).filter("low < high").select("key", "m")
     members = written(banded.join(shared, "key"), "members")
 
-    candidates = written(members.filter("id > least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    needed = candidates.select(F.col("a").alias("doc_id")).unionByName(candidates.select(F.col("b").alias("doc_id"))).distinct()
-    wanted = named.join(needed, "doc_id", "left_semi")
-    sets = written(_sets(wanted, words).groupBy("id").agg(F.min("elements").alias("elements")), "sets")
-    links = written(confirmed(candidates, sets, percent), "links")
+    # the leader of a band: the class that meets most others in its bands
+    wide = members.groupBy("id").agg(F.sum("m").alias("met"))
+    known = members.select("key", "id").join(wide, "id")
+    leaders = known.groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("leader"))
+    led = members.join(leaders, "key").filter("id != leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
+    pairs = written(led.distinct(), "pairs")
+    links = written(confirmed(pairs, _sets_of(named, pairs.select(F.explode(F.array("a", "b")).alias("id")), words), percent), "links")
     joined = components(links)
 
-    # bands whose members are still in several components: compare across these, if sizes allow a link
-    placed = members.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
-    split = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("key")
-    apart = written(placed.join(split, "key", "left_semi"), "apart")
-    x = apart.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"))
-    y = apart.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"))
-    fits = (F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    rest = x.join(y, "key").filter(fits).select("a", "b").distinct().join(candidates, ["a", "b"], "left_anti")
-    more = written(confirmed(rest, sets, percent), "links")
-    if not more.isEmpty():
-        joined = components(links.unionByName(more))
+    # bands whose members still lie in several components: other leaders first, then all that is left
+    sizes = classes.select("id", F.col("n_shingles").alias("n"), "brief")
+    apart = _apart(members.select("key", "id"), joined)
+    sets = _sets_of(named, apart.select("id"), words)
+    for turn in range(ROUNDS):
+        if apart.isEmpty():
+            break
+        drawn = apart.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "key", "id").alias("h"), "id", "part")).alias("l")).select("key", F.col("l.id").alias("leader"), F.col("l.part").alias("of"))
+        led = apart.join(drawn, "key").filter("part != of").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
+        new = written(led.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+        pairs, links = pairs.unionByName(new), links.unionByName(written(confirmed(new, sets, percent), "links"))
+        joined = components(links)
+        apart = _apart(apart.select("key", "id"), joined)
+    rest = written(close_pairs(apart.join(sizes, "id"), percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    if not rest.isEmpty():
+        joined = components(links.unionByName(written(confirmed(rest, sets, percent), "links")))
 
     of_class = classes.select("print", "id").join(joined.withColumnRenamed("node", "id"), "id", "left").select("print", F.coalesce("component", "id").alias("component_id"))
     lone = marks.filter("print IS NULL OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

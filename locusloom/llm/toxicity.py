@@ -23,7 +23,7 @@ BUCKETS = 1 << 15
 GRAMS = (3, 4, 5)
 DIMENSIONS = 8
 TOXIC_ROWS, CLEAN_ROWS = 1_500, 3_000  # labelled documents the model is trained on, at most
-EPOCHS, BATCH, RATE, SCALE = 8, 128, 0.02, 50.0
+STEPS, BATCH, RATE, SCALE = 300, 128, 0.02, 50.0
 THRESHOLD = 0.3
 
 
@@ -62,7 +62,7 @@ class BagModel:
         self.E, self.W, self.b = rng.normal(size=(BUCKETS, DIMENSIONS)) * 0.1, rng.normal(size=(DIMENSIONS, 2)) * 0.1, np.zeros(2)
         params, step = [self.E, self.W, self.b], 0
         first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-        for _ in range(EPOCHS if len(bags) else 0):
+        while len(bags) and step < STEPS:
             order = rng.permutation(len(bags))
             for lo in range(0, len(order), BATCH):
                 picked = order[lo : lo + BATCH]

@@ -130,7 +130,8 @@ def run_info(spark: SparkSession, args: Namespace) -> None:
     metadata = store.read_metadata(spark, args.inputfile)
     if metadata is not None:
         print("=== Metadata")
-        metadata.show(1000, truncate=False)
+        for row in metadata.toLocalIterator():  # one partition at a time, however many rows there are
+            print("\t".join("" if v is None else str(v) for v in row))
 
 
 # ---------------------------------------------------------------- features

@@ -21,7 +21,7 @@ CTES = {
     "sizes": """select chrom, max("end") + 100 as size from (select chrom, "end" from regions union all select chrom, "end" from tracks union all select chrom, "end" from tblocks) group by 1""",
     "seqs": """select doc_id, translate(regexp_replace(text, '[^A-Za-z]', 'N', 'g'),
         'bdefhijklmnopqrsuvwxyzBDEFGHIJKLMOPQRSUVWXYZ', 'acgtacgtacgtacgtacgtacACGTACGTACGTACGTACGTA') as seq, lang
-        from documents where n_chars >= 20""",
+        from documents""",
     "motif_bins": """select concat('chr', cast(l_suppkey % 5 as varchar)) as chrom, ((l_orderkey*100 + l_linenumber*13) // 250)*250 as bin,
         concat(l_returnflag, l_linestatus) as motif, count(*) as n from lineitem group by 1, 2, 3""",
     "assoc": """select concat('chr', cast(o_custkey % 5 as varchar)) as chrom, concat('roi', o_orderkey) as name, i as idx,

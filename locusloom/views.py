@@ -103,7 +103,7 @@ _BASES = "acgtacgtacgtacgtacgtacACGTACGTACGTACGTACGTA"
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents spelled in sequence letters; lower case stays lower case."""
     text = F.regexp_replace("text", "[^A-Za-z]", "N")
-    return spread(table(spark, sf_dir, "documents")).filter("n_chars >= 20").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         "doc_id", F.translate(text, _LETTERS, _BASES).alias("seq"), "lang"
     )
 
