@@ -204,8 +204,8 @@ def build_parser(config: str | None = None) -> argparse.ArgumentParser:
     p.add_argument("--2bit-genome", "-2bg", required=True, dest="twobitgenome")
     p.add_argument("--features", "-ft", nargs="+", default=["len", "gc", "rep"], dest="features")
     p.add_argument("--kmers", "-km", type=int, nargs="+", default=[], dest="kmers")
-    p.add_argument("--timeout", "-to", type=int, default=10, dest="timeout", help="accepted and ignored: rounds bound the search")
-    p.add_argument("--rounds", type=int, default=12)
+    p.add_argument("--timeout", "-to", type=int, default=10, dest="timeout", help="accepted and ignored: the search ends when it makes no progress")
+    p.add_argument("--rounds", type=int, default=None, help="stop after so many rounds")
     p.add_argument("--seed", type=int, default=0)
     p.add_argument("--allow-nomatch", "-anm", action="store_true", dest="allownomatch")
     p.add_argument("--relax-init", "-ri", type=float, default=1.0, dest="relaxinit")

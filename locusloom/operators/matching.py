@@ -135,19 +135,21 @@ def match_background(
     relax_init: float = 1.0,
     relax_step: float = 0.5,
     relax_limit: float = 3.0,
-    max_rounds: int = 12,
+    max_rounds: int | None = None,
     seed: int = 0,
 ) -> tuple[DataFrame, DataFrame]:
     """Foreground with features, and one background region per foreground region where found.
 
     Each round draws candidates in free space, computes their features and accepts pairs within
     the current radius one-to-one. The radius grows by ``relax_step`` and starts again above
-    ``relax_limit``. ``foreground`` needs ``chrom, start, end, index``.
+    ``relax_limit``. It goes on until every region has a partner or a whole cycle of radii finds none;
+    ``max_rounds`` is a user's own limit. ``foreground`` needs ``chrom, start, end, index``; an empty one has an
+    empty background.
     """
     if len(features) + len(kmers) > 10:
         raise ValueError("too many features for a nearest neighbour search")
     foreground = cut_lineage(foreground)
-    longest = foreground.agg(F.max(F.col("end") - F.col("start"))).first()[0]
+    longest = foreground.agg(F.max(F.col("end") - F.col("start"))).first()[0] or 0
     yardstick = int(longest * (1 + relax_limit / 100))
     fg = sequence_features(attach_sequence(foreground, chunks), features, kmers, yardstick)
     fg = cut_lineage(fg)
@@ -157,8 +159,9 @@ def match_background(
 
     edge = sizes.select("chrom", F.lit(0).cast("bigint").alias("start"), F.least("size", F.lit(CHROMOSOME_BOUNDARY)).alias("end"))
     taken = fg.select("chrom", "start", "end").unionByName(edge.filter("end > start"))
-    background, radius = None, relax_init
-    for turn in range(max_rounds):
+    background, radius, turn, idle = None, relax_init, 0, 0
+    cycle = 1 + max(0, int((relax_limit - relax_init) / relax_step)) if relax_step > 0 else 1
+    while idle < cycle and (max_rounds is None or turn < max_rounds):
         open_targets = targets if background is None else targets.join(background.select(F.col("target_id").alias("id")), "id", "left_anti")
         wanted = open_targets.groupBy("chrom").agg(F.count(F.lit(1)).alias("missing"))
         if wanted.isEmpty():
@@ -177,6 +180,9 @@ def match_background(
         background = now if background is None else cut_lineage(background.unionByName(now))
         taken = cut_lineage(taken.unionByName(now.select("chrom", "start", "end")))
         radius = radius + relax_step if radius + relax_step <= relax_limit else relax_init
+        turn, idle = turn + 1, idle + 1 if now.isEmpty() else 0
+    if background is None:
+        background = fg.limit(0).withColumn("target_id", F.lit(None).cast("string"))
     idx = F.element_at(F.split("target_id", ":"), -1).cast("bigint")
     named = background.select(
         "chrom", "start", "end", F.concat(F.lit("match_"), "chrom", F.lit("_idx"), idx).alias("name"), *names, "seq", idx.alias("index")

@@ -127,8 +127,7 @@ def balanced_weights(df: DataFrame, target: str, base: str | None = None) -> Dat
     total = counts.agg(F.sum("_n").alias("all"), F.count(F.lit(1)).alias("k")).first()
     weight = F.lit(total["all"] / total["k"]) / F.col("_n")
     weight = weight * F.col(base) if base else weight
-    small = F.broadcast(counts) if total["k"] < 100_000 else counts
-    return df.join(small, target).withColumn("_wt", weight).drop("_n")
+    return df.join(counts, target).withColumn("_wt", weight).drop("_n")
 
 
 # ---------------------------------------------------------------- training

@@ -27,11 +27,21 @@ def position_tile(position: Column, bits: int = TILE_BITS) -> Column:
 
 
 def value_tile(value: Column, per_octave: int = 4096) -> Column:
-    """Tile of a double: monotone in the value, with ``per_octave`` tiles per power of two."""
+    """Tile of a double: monotone in the value, with ``per_octave`` tiles per power of two.
+
+    Infinities have a tile of their own at either end, NaN one above them, as in Spark's order.
+    """
     v = value.cast("double")
+    last = F.lit(1 << 40).cast("bigint")  # beyond the tile of any finite value
     # 1100 lifts the smallest subnormal exponent (-1074) above zero
-    magnitude = F.floor((F.log2(F.abs(v)) + F.lit(1100.0)) * F.lit(float(per_octave))).cast("bigint") + 1
-    return F.when(v == 0, F.lit(0).cast("bigint")).when(v > 0, magnitude).otherwise(-magnitude)
+    finite = F.when(F.abs(v) < F.lit(float("inf")), F.abs(v))
+    magnitude = F.floor((F.log2(finite) + F.lit(1100.0)) * F.lit(float(per_octave))).cast("bigint") + 1
+    return (
+        F.when(v == 0, F.lit(0).cast("bigint"))
+        .when(F.isnan(v), last + 1)
+        .when(v > 0, F.coalesce(magnitude, last))
+        .when(v < 0, -F.coalesce(magnitude, last))
+    )
 
 
 def prefix_scan(

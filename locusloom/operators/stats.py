@@ -16,23 +16,29 @@ from .values import exact_percentiles, rank_values
 
 
 def weighted_pearson(df: DataFrame, keys: Sequence[str], a: str, b: str, weight: Column | None = None) -> DataFrame:
-    """Pearson coefficient per key (``n``, ``stat``); a row counts ``weight`` times."""
+    """Pearson coefficient per key (``n``, ``stat``); a row counts ``weight`` times.
+
+    Values are centred on the means of their key first, so large values that vary little keep their digits. Rows
+    where a value is NULL, and NULL keys, are left out; without variance ``stat`` is NULL.
+    """
+    keys = list(keys)
     w = (F.lit(1) if weight is None else weight).cast("double")
-    x, y = F.col(a).cast("double"), F.col(b).cast("double")
-    sums = df.groupBy(*keys).agg(
+    rows = df.select(*keys, F.col(a).cast("double").alias("_x"), F.col(b).cast("double").alias("_y"), w.alias("_w"))
+    rows = rows.filter(F.col("_x").isNotNull() & F.col("_y").isNotNull())
+    by = keys or ["_k"]
+    rows = rows if keys else rows.withColumn("_k", F.lit(1))
+    w, x, y = F.col("_w"), F.col("_x"), F.col("_y")
+    means = rows.groupBy(*by).agg((F.sum(w * x) / F.sum(w)).alias("_mx"), (F.sum(w * y) / F.sum(w)).alias("_my"))
+    x, y = x - F.col("_mx"), y - F.col("_my")
+    sums = rows.join(means, by).groupBy(*by).agg(
         F.sum(w).alias("n"),
-        F.sum(w * x).alias("sx"),
-        F.sum(w * y).alias("sy"),
         F.sum(w * x * x).alias("sxx"),
         F.sum(w * y * y).alias("syy"),
         F.sum(w * x * y).alias("sxy"),
     )
-    n = F.col("n")
-    cov = n * F.col("sxy") - F.col("sx") * F.col("sy")
-    var_x = n * F.col("sxx") - F.col("sx") * F.col("sx")
-    var_y = n * F.col("syy") - F.col("sy") * F.col("sy")
-    stat = F.when((var_x > 0) & (var_y > 0), cov / (F.sqrt(var_x) * F.sqrt(var_y)))
-    return sums.select(*keys, n.cast("bigint").alias("n"), stat.alias("stat"))
+    var_x, var_y = F.col("sxx"), F.col("syy")
+    stat = F.when((var_x > 0) & (var_y > 0), F.col("sxy") / (F.sqrt(var_x) * F.sqrt(var_y)))
+    return sums.select(*keys, F.col("n").cast("bigint").alias("n"), stat.alias("stat"))
 
 
 def weighted_spearman(df: DataFrame, keys: Sequence[str], a: str, b: str, weight: Column | None = None) -> DataFrame:
@@ -217,10 +223,11 @@ def mean_squared_error(df: DataFrame, truth: str, pred: str, weight: str | None
 
 
 def r2(df: DataFrame, truth: str, pred: str, weight: str | None = None) -> DataFrame:
+    """Coefficient of determination; the truth is centred on its weighted mean first."""
     w, y = _weight(weight), F.col(truth).cast("double")
     d = y - F.col(pred)
-    spread = F.sum(w * y * y) - F.sum(w * y) * F.sum(w * y) / F.sum(w)
-    return df.agg((1 - F.sum(w * d * d) / spread).alias("score"))
+    off = y - df.agg(F.sum(w * y) / F.sum(w)).scalar()
+    return df.agg((1 - F.sum(w * d * d) / F.sum(w * off * off)).alias("score"))
 
 
 def permutation_summary(scores: DataFrame, score: str = "score") -> DataFrame:

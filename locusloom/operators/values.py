@@ -89,10 +89,10 @@ def rank_values(df: DataFrame, keys: Sequence[str], value: str, weight: Column |
     """One row per distinct value of a key with ``n_below``, ``n_equal`` and the three rank forms.
 
     ``min_rank`` gives ties the lowest rank, ``avg_rank`` their mean, ``dense_rank`` counts
-    distinct values.
+    distinct values. NULL has no rank; NaN ranks last.
     """
     keys = list(keys)
-    folded = df.groupBy(*keys, value).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n_equal"))
+    folded = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n_equal"))
     scanned = prefix_scan(
         folded,
         keys,

@@ -112,7 +112,7 @@ def run_dump(spark: SparkSession, args: Namespace) -> None:
     elif kind in ("regions", "features"):
         rows = region_rows(data, group, args.commentheader)
         if args.rtable:
-            return _show_or_write(rows.select(F.col("crp_group_index").alias("_row"), *[F.col(f"`{c}`") for c in rows.columns]).orderBy("_row"), args.outputfile, delimiter, not args.noheader)
+            return _show_or_write(rows.select(F.col("group_index").alias("_row"), *[F.col(f"`{c}`") for c in rows.columns]).orderBy("_row"), args.outputfile, delimiter, not args.noheader)
     else:
         raise RuntimeError(f"cannot tell the kind of data in {ref.path}")
     if args.rtable:
@@ -381,6 +381,7 @@ def run_match(spark: SparkSession, args: Namespace) -> None:
     if background.isEmpty() and not args.allownomatch:
         raise ValueError(f"no matches found for {args.inputfile}")
     matched = background.select("chrom", "index")
+    log.warning("%d regions have no match", foreground.join(matched, ["chrom", "index"], "left_anti").count())
     foreground = foreground.join(matched if args.savepairs else matched.select("chrom").distinct(), ["chrom", "index"] if args.savepairs else ["chrom"], "left_semi")
     store.write_group(background, out.path, bg_group, store.region_metadata(background, bg_group, [args.inputfile]), args.filemode)
     store.write_group(foreground, out.path, fg_group, store.region_metadata(foreground, fg_group, [args.inputfile]), "a")

@@ -27,7 +27,7 @@ def sorted_map(blocks: DataFrame, reference: str, full: bool) -> DataFrame:
 def region_rows(regions: DataFrame, group: str, comment_header: bool = False) -> DataFrame:
     """Regions in BED column order with the group they came from and their place in it."""
     columns = [c for c in regions.columns if c != "group"]
-    out = row_number_by_position(regions.select(*columns), "crp_group_index")
-    out = out.withColumn("crp_group_path", F.concat(F.lit("/" + group.strip("/") + "/"), "chrom"))
+    out = row_number_by_position(regions.select(*columns), "group_index")
+    out = out.withColumn("group_path", F.concat(F.lit("/" + group.strip("/") + "/"), "chrom"))
     out = out.select(*bed_order(out.columns)).orderBy("chrom", "start", "end")
     return out.withColumnRenamed("chrom", "#chrom") if comment_header else out

@@ -434,12 +434,11 @@ def map_pairs(spark, sf):
     """with l as (select l_orderkey as k, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as r,
         count(*) over (partition by l_orderkey) as n, cast(l_quantity as bigint) as size, l_linenumber as dt, l_linenumber + 2 as dq from lineitem),
     g as (select *, case when r = n then 0 else dt end as gt, case when r = n then 0 else dq end as gq from l),
-    b as (select *, sum(size + gt) over w - size - gt as ot, sum(size + gq) over w - size - gq as oq,
-        sum(size + gq) over (partition by k) as qlen from g window w as (partition by k order by r))
+    b as (select *, sum(size + gt) over w - size - gt as ot, sum(size + gq) over w - size - gq as oq from g window w as (partition by k order by r))
     select concat('chr', cast(o_custkey % 5 as varchar)) as tchrom, cast(k*1000 + ot as bigint) as tstart, cast(k*1000 + ot + size as bigint) as tend,
       concat('q', cast(k % 3 as varchar)) as qchrom,
-      cast(case when k % 4 = 0 then 100000000000 - (k*900 + qlen) + oq else k*900 + oq end as bigint) as qstart,
-      cast(case when k % 4 = 0 then 100000000000 - (k*900 + qlen) + oq else k*900 + oq end + size as bigint) as qend,
+      cast(case when k % 4 = 0 then 100000000000 - (k*900 + oq + size) else k*900 + oq end as bigint) as qstart,
+      cast(case when k % 4 = 0 then 100000000000 - (k*900 + oq) else k*900 + oq + size end as bigint) as qend,
       case when k % 4 = 0 then -1 else 1 end as qstrand, concat(k, '.', r) as blockid
     from b join orders on k = o_orderkey""",
 )
@@ -667,8 +666,9 @@ def _click_view(spark, sf):
 
 
 def _pearson_sql(source: str, keys: str = "chrom") -> str:
-    return f""" select {keys}, cast(n as bigint) as n, round((n*sxy - sx*sy) / (sqrt(n*sxx - sx*sx) * sqrt(n*syy - sy*sy)), 6) as stat from (
-    select {keys}, sum(w)::double as n, sum(w*a) as sx, sum(w*b) as sy, sum(w*a*a) as sxx, sum(w*b*b) as syy, sum(w*a*b) as sxy from {source} group by {keys})"""
+    return f""" select {keys}, cast(n as bigint) as n, round(sxy / (sqrt(sxx) * sqrt(syy)), 6) as stat from (
+    select {keys}, sum(w)::double as n, sum(w*(a - ma)*(a - ma)) as sxx, sum(w*(b - mb)*(b - mb)) as syy, sum(w*(a - ma)*(b - mb)) as sxy
+    from {source} join (select {keys}, sum(w*a)::double / sum(w) as ma, sum(w*b)::double / sum(w) as mb from {source} group by {keys}) using ({keys}) group by {keys})"""
 
 
 @query(
@@ -736,6 +736,17 @@ def spearman(spark, sf):
     return rounded(st.weighted_spearman(e, ["chrom"], "value", "user_id"), "stat")
 
 
+@query(
+    "pearson_shifted",
+    "with r as (select l_returnflag as chrom, 1e9 + l_quantity::double as a, 1e9 - l_quantity::double + l_linenumber as b, 1 as w from lineitem)" + _pearson_sql("r"),
+)
+def pearson_shifted(spark, sf):
+    """Correlation of values near 1e9 that vary by units."""
+    q = F.col("l_quantity").cast("double")
+    items = views.table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("chrom"), (F.lit(1e9) + q).alias("a"), (F.lit(1e9) - q + F.col("l_linenumber")).alias("b"))
+    return rounded(st.weighted_pearson(items, ["chrom"], "a", "b"), "stat")
+
+
 @query(
     "kendall",
     """with p as (select l_returnflag as flag, l_quantity as a, l_discount as b, count(*) as c from lineitem group by 1, 2, 3),

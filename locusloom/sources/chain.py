@@ -67,8 +67,9 @@ def parse_chain_lines(
         heads = heads.filter(matches_from_start(F.col("qchrom"), qselect))
     if read_num > 0:
         heads = heads.orderBy("head").limit(read_num)
-    q_from = F.when(F.col("qstrand") == "-", F.col("qsize") - F.col("qend")).otherwise(F.col("qstart"))
-    t0, q0 = F.col("tstart") + F.col("t_before"), q_from + F.col("q_before")
+    t0, q_along = F.col("tstart") + F.col("t_before"), F.col("qstart") + F.col("q_before")
+    # places of a minus strand count from its own start, so on the forward strand its blocks run downwards
+    q0 = F.when(F.col("qstrand") == "-", F.col("qsize") - q_along - F.col("size")).otherwise(q_along)
     return placed.join(heads, "head").select(
         "tchrom",
         t0.alias("tstart"),
@@ -86,9 +87,10 @@ def parse_chain_lines(
 def check_chains(lines: DataFrame) -> DataFrame:
     """Chains whose blocks do not end where the header says: empty for sound files."""
     blocks = parse_chain_lines(lines).withColumn("chain_id", F.element_at(F.split("blockid", r"\."), 1))
-    ends = blocks.groupBy("chain_id").agg(F.max("tend").alias("t_last"), F.max("qend").alias("q_last"))
+    reach = F.when(F.col("qstrand") == -1, -F.col("qstart")).otherwise(F.col("qend"))
+    ends = blocks.groupBy("chain_id").agg(F.max("tend").alias("t_last"), F.max(reach).alias("q_last"))
     heads = chain_headers(lines)
-    expected_q = F.when(F.col("qstrand") == "-", F.col("qsize") - F.col("qstart")).otherwise(F.col("qend"))
+    expected_q = F.when(F.col("qstrand") == "-", F.col("qend") - F.col("qsize")).otherwise(F.col("qend"))
     return heads.join(ends, "chain_id").filter((F.col("t_last") != F.col("tend")) | (F.col("q_last") != expected_q))
 
 

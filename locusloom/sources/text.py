@@ -30,7 +30,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
         "value", F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_id")
     )
     first = raw.groupBy("_b").agg(F.min("_id").alias("_first"))
-    return raw.join(F.broadcast(first), "_b").select((F.col("_b") + F.col("_id") - F.col("_first")).alias("line_no"), "value")
+    return raw.join(first, "_b").select((F.col("_b") + F.col("_id") - F.col("_first")).alias("line_no"), "value")
 
 
 def read_chrom_sizes(spark: SparkSession, path: str, keep: str = r"\w+") -> DataFrame:

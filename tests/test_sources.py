@@ -84,6 +84,9 @@ def test_chain_filters_and_index(spark, chain_file, rows):
     assert {r["tchrom"] for r in parse_chain_lines(lines, min_score=9).collect()} == {"chr16", "chr14", "chrX"}
     reverse = parse_chain_lines(lines, "chrX$").first()
     assert (reverse["qstart"], reverse["qend"], reverse["qstrand"]) == (1785075 - 1331259, 1785075 - 1331258, -1)
+    downwards = parse_chain_lines(lines, "chr16$").orderBy("tstart").collect()
+    # sizes and gaps taken off 2500 - 1820, block by block
+    assert [(r["qstart"], r["qend"]) for r in downwards] == [(679, 680), (370, 374), (365, 369), (363, 364), (267, 268), (159, 160)]
     assert ("chr16", 1000) in rows(chrom_sizes_from_chain(lines))
     assert ("chrX_random", 1785075) in rows(chrom_sizes_from_chain(lines, target=False))
     assert ("chr14", "chr2", 1) in rows(chain_index(lines), "tchrom", "qchrom", "n_chains")

@@ -136,3 +136,21 @@ def test_unknown_scorer_is_an_error(spark):
 
     with pytest.raises(ValueError, match="unknown scorer"):
         score_table(spark.createDataFrame([(1, 1)], "y int, prediction int"), "nonsense", "y")
+
+
+def test_correlation_of_large_values_that_vary_little(spark):
+    df = spark.createDataFrame([("k", 1e9 + i, 1e9 - i + (i % 3)) for i in range(60)], "k string, a double, b double")
+    got = st.weighted_pearson(df, ["k"], "a", "b").first()["stat"]
+    want = df.agg(F.corr("a", "b")).first()[0]
+    assert got == pytest.approx(want, abs=1e-9)
+    assert st.weighted_pearson(df, [], "a", "b").first()["stat"] == pytest.approx(want, abs=1e-9)
+    total = sum((i - 29.5) ** 2 for i in range(60))
+    off = sum((2 * i - i % 3) ** 2 for i in range(60))
+    assert st.r2(df, "a", "b").first()["score"] == pytest.approx(1 - off / total, rel=1e-9)
+
+
+def test_ranks_leave_null_out_and_put_nan_last(spark):
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([("k", x) for x in (1.0, nan, None, inf, -inf, 2.0, None)], "k string, x double")
+    ranks = {str(r["x"]): r["min_rank"] for r in vl.rank_values(df, ["k"], "x").collect()}
+    assert ranks == {"-inf": 1, "1.0": 2, "2.0": 3, "inf": 4, "nan": 5}
