@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, batches, bitmap, lower_words, may_hold, mixed, signed, window_hashes, word_hashes, written
 from .components import components
-from .superminhash import confirmed
+from .superminhash import brief, close_pairs, confirmed, other_leaders
 
 SHINGLE = 5
 LEAST, NEAR, LEAST_RUN = 5, 8, 20
@@ -127,8 +127,15 @@ def _of_bitmap(table: DataFrame, column: str, bits: np.ndarray) -> DataFrame:
     return table.mapInArrow(run, table.schema)
 
 
-def near_links(docs: DataFrame, table: DataFrame, percent: int = 80) -> DataFrame:
-    """Verified links ``a, b`` between fingerprints of different paragraphs."""
+def _sized(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``id, n, brief`` of sets ``id, elements``: their size and a byte of each slot of their signature."""
+    for batch in batches(rows):
+        sets = [np.frombuffer(e, dtype=U64) for e in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(e) for e in sets], pa.int64()), pa.array([brief(e) for e in sets], pa.binary())], names=["id", "n", "brief"])
+
+
+def near_clusters(docs: DataFrame, table: DataFrame, percent: int = 80) -> DataFrame:
+    """``node, component`` of fingerprints of different paragraphs that verified links of ``percent`` connect."""
     keyed = table.filter(F.size("keys") > 0).select(F.explode("keys").alias("key"), "print")
     # bands with two different paragraphs; equal ones fold before the shuffle
     shared = written(keyed.groupBy("key").agg(F.min("print").alias("least"), F.max("print").alias("most")).filter("least < most").select("key", "least"), "shared")
@@ -151,15 +158,14 @@ def near_links(docs: DataFrame, table: DataFrame, percent: int = 80) -> DataFram
 
     found = written(docs.mapInArrow(sets, "id long, elements binary").groupBy("id").agg(F.min("elements").alias("elements")), "sets")
     links = written(confirmed(pairs, found, percent), "links")
-    # bands whose members still lie in several components: compare across those, the least of each first
-    placed = members.select("key", "print").join(components(links).withColumnRenamed("node", "print"), "print", "left").withColumn("part", F.coalesce("component", "print")).drop("component")
-    split = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("key")
-    apart = written(placed.join(split, "key", "left_semi").join(found.select(F.col("id").alias("print"), F.length("elements").alias("n")), "print"), "apart")
-    x, y = apart.toDF("print", "key", "pa", "na"), apart.toDF("b", "key", "pb", "nb")
-    x = x.withColumnRenamed("print", "a")
-    fits = (F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    rest = x.join(y, "key").filter(fits).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    return links.unionByName(confirmed(rest, found, percent))
+    # bands whose members still lie in several components: other leaders first, then all that is left
+    banded = members.select("key", F.col("print").alias("id"))
+    pairs, links, joined, apart = other_leaders(banded, pairs, links, lambda _: found, percent)
+    if apart is None:
+        return joined
+    sizes = found.join(apart.select("id").distinct(), "id", "left_semi").mapInArrow(_sized, "id long, n long, brief binary")
+    rest = written(close_pairs(apart.join(sizes, "id"), percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    return joined if rest.isEmpty() else components(links.unionByName(written(confirmed(rest, found, percent), "links")))
 
 
 def repeated_passages(docs: DataFrame, *, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,7 +178,7 @@ def repeated_passages(docs: DataFrame, *, percent: int = 80, id_col: str = "doc_
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     table = written(paragraph_table(named), "paragraphs")
     repeated = written(table.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1").select("print"), "repeated")
-    clusters = written(components(near_links(named, table, percent)).toDF("print", "cluster"), "clusters")
+    clusters = written(near_clusters(named, table, percent).toDF("print", "cluster"), "clusters")
     of_print = repeated.join(clusters, "print", "full_outer").select("print", F.coalesce("cluster", "print").alias("cluster"))
     narrow = table.select("doc_id", "place", "words", "start", "end", "print")
     hot = _of_bitmap(narrow, "print", bitmap(of_print, "print")).join(of_print, "print").dropDuplicates(["doc_id", "place"])

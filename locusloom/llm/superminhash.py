@@ -10,7 +10,7 @@ pair, and each pair with a leader, is confirmed on the full sets, so no link tha
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -97,6 +97,11 @@ def _signatures(docs: DataFrame, k: int, slots: int, bands: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, print binary, keys array<long>, brief binary")
 
 
+def brief(elements: np.ndarray, slots: int = SLOTS) -> bytes:
+    """A byte of each slot of the signature of a set."""
+    return mixed(superminhash(elements, slots)).astype(np.uint8).tobytes()
+
+
 def _briefs(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     rows = column.to_pylist()
     return np.frombuffer(b"".join(rows), dtype=np.uint8).reshape(len(rows), -1)
@@ -196,6 +201,29 @@ def _apart(members: DataFrame, joined: DataFrame) -> DataFrame:
     return written(placed.join(split, "key", "left_semi"), "apart")
 
 
+def other_leaders(members: DataFrame, pairs: DataFrame, links: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int):
+    """Compares bands ``(key, id)`` that lie in several components with leaders drawn by hash, ``ROUNDS`` times.
+
+    ``pairs`` are compared already, ``links`` are those of them that hold, ``sets_of`` gives ``id, elements`` of some
+    ids. Returns pairs, links and components after that, and the bands still apart (None if there are none).
+    """
+    joined = components(links)
+    apart = _apart(members, joined)
+    if apart.isEmpty():
+        return pairs, links, joined, None
+    sets = sets_of(apart.select("id"))
+    for turn in range(ROUNDS):
+        drawn = apart.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "key", "id").alias("h"), "id", "part")).alias("l")).select("key", F.col("l.id").alias("leader"), F.col("l.part").alias("of"))
+        led = apart.join(drawn, "key").filter("part != of").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
+        new = written(led.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+        pairs, links = pairs.unionByName(new), links.unionByName(written(confirmed(new, sets, percent), "links"))
+        joined = components(links)
+        apart = _apart(apart.select("key", "id"), joined)
+        if apart.isEmpty():
+            return pairs, links, joined, None
+    return pairs, links, joined, apart
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -233,20 +261,12 @@ def near_duplicates(
 
     # bands whose members still lie in several components: other leaders first, then all that is left
     sizes = classes.select("id", F.col("n_shingles").alias("n"), "brief")
-    apart = _apart(members.select("key", "id"), joined)
-    sets = _sets_of(named, apart.select("id"), words)
-    for turn in range(ROUNDS):
-        if apart.isEmpty():
-            break
-        drawn = apart.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "key", "id").alias("h"), "id", "part")).alias("l")).select("key", F.col("l.id").alias("leader"), F.col("l.part").alias("of"))
-        led = apart.join(drawn, "key").filter("part != of").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
-        new = written(led.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-        pairs, links = pairs.unionByName(new), links.unionByName(written(confirmed(new, sets, percent), "links"))
-        joined = components(links)
-        apart = _apart(apart.select("key", "id"), joined)
-    rest = written(close_pairs(apart.join(sizes, "id"), percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    if not rest.isEmpty():
-        joined = components(links.unionByName(written(confirmed(rest, sets, percent), "links")))
+    pairs, links, joined, apart = other_leaders(members.select("key", "id"), pairs, links, lambda ids: _sets_of(named, ids, words), percent)
+    if apart is not None:
+        rest = written(close_pairs(apart.join(sizes, "id"), percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        if not rest.isEmpty():
+            sets = _sets_of(named, rest.select(F.explode(F.array("a", "b")).alias("id")), words)
+            joined = components(links.unionByName(written(confirmed(rest, sets, percent), "links")))
 
     of_class = classes.select("print", "id").join(joined.withColumnRenamed("node", "id"), "id", "left").select("print", F.coalesce("component", "id").alias("component_id"))
     lone = marks.filter("print IS NULL OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
