@@ -164,7 +164,7 @@ def compute_features(spark: SparkSession, samples: DataFrame, args: Namespace) -
         parts.append(ft.sequence_features(cut_lineage(with_seq), sequence, args.kmers).drop("seq"))
     if "tfm" in args.features:
         motifs = spark.read.parquet(args.tfmotifs)
-        width = motifs.select("bin").distinct().orderBy("bin").limit(2).agg(F.max("bin") - F.min("bin")).first()[0]
+        width = motifs.agg(F.max("width")).first()[0] or 1  # stored by the conversion; any will do without bins
         labels = sorted(r["motif"] for r in motifs.select("motif").distinct().collect())
         parts.append(ft.motif_features(spans, motifs, width, labels))
     tracks = _feature_inputs(spark, args.sigfile, assembly)

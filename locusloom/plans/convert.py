@@ -197,7 +197,14 @@ def convert_chain(spark: SparkSession, path: str, select: str, target: str, quer
 
 
 def convert_motifs(spark: SparkSession, files: Sequence[str], database: str, form: str) -> DataFrame:
-    """Motif counts per bin under the feature name of each known motif, long form; unknown motifs are dropped."""
+    """Motif counts per bin under the feature name of each known motif, long form; unknown motifs are dropped.
+
+    ``width`` is the width of all bins. A bin that starts at no multiple of it fails the job.
+    """
     names = text.read_motif_names(spark, database, form)
     counts = text.read_binned_motifs(spark, list(files))
-    return counts.join(names, "motif").select("chrom", "bin", F.col("label").alias("motif"), F.col("count").cast("bigint").alias("count"))
+    width = F.lit(text.motif_bin_width(spark, list(files))).cast("bigint")
+    on_grid = counts.filter(F.assert_true(F.col("bin") % width == 0, F.concat_ws(" ", F.lit("bin off the grid:"), "chrom", "bin")).isNull())
+    return on_grid.join(names, "motif").select(
+        "chrom", "bin", F.col("label").alias("motif"), F.col("count").cast("bigint").alias("count"), width.alias("width")
+    )

@@ -183,6 +183,12 @@ def read_binned_motifs(spark: SparkSession, paths: str | list[str]) -> DataFrame
     return rows.groupBy("chrom", "bin", "motif").agg(F.sum("ovl").alias("count"))
 
 
+def motif_bin_width(spark: SparkSession, paths: str | list[str]) -> int | None:
+    """Width of the bins of binned motif hits: that of the longest, as the last bin of a chromosome may be cut short."""
+    t = _tokens(spark.read.text(paths))
+    return t.agg(F.max(F.element_at("t", 3).cast("bigint") - F.element_at("t", 2).cast("bigint"))).first()[0]
+
+
 def read_checksum(spark: SparkSession, path: str) -> str:
     """MD5 of a file, streamed in blocks by one task."""
     import hashlib

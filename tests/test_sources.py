@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from locusloom.model import DatasetRef
 from locusloom.operators import intervals as iv
 from locusloom.operators.features import attach_sequence, chunk_sequences
+from locusloom.plans.convert import convert_motifs
 from locusloom.sources import store, text
 from locusloom.sources.chain import chain_index, check_chains, chrom_sizes_from_chain, parse_chain_lines, read_chain
 from locusloom.sources.twobit import read_twobit, twobit_sizes
@@ -193,6 +194,16 @@ def test_motifs_and_associations(spark, tmp_path, rows):
     assert rows(text.read_associated(spark, str(tmp_path / "asc.tsv"))) == [("c", "g1", [1, 5], [3, 9], [1.0, 1.0])]
 
 
+def test_width_of_sparse_motif_bins_is_that_of_the_lines(spark, tmp_path, rows):
+    (tmp_path / "db.list").write_text("MA1\n")
+    (tmp_path / "hits").write_text("c 0 250 c 1 12 MA1 11\nc 750 1000 c 760 770 MA1 10\nc 1000 1100 c 1005 1009 MA1 4\n")
+    stored = convert_motifs(spark, [str(tmp_path / "hits")], str(tmp_path / "db.list"), "list")
+    assert {(r["bin"], r["width"]) for r in stored.collect()} == {(0, 250), (750, 250), (1000, 250)}
+    (tmp_path / "off").write_text("c 0 250 c 1 12 MA1 11\nc 300 550 c 310 320 MA1 10\n")
+    with pytest.raises(Exception, match="bin off the grid"):
+        convert_motifs(spark, [str(tmp_path / "off")], str(tmp_path / "db.list"), "list").collect()
+
+
 def test_store_groups_append_and_kind(spark, tmp_path, rows):
     path = str(tmp_path / "store")
     a = spark.createDataFrame([("1", 0, 5, "x"), ("2", 0, 7, "y")], "chrom string, start bigint, end bigint, name string")
