@@ -199,3 +199,28 @@ def test_kmeans_separates_clusters():
     centres = spherical.spherical_kmeans(points, 4)
     assert np.allclose(np.linalg.norm(centres, axis=1), 1)
     assert len(spherical.spherical_kmeans(points[:2], 4)) == 2
+
+
+def test_paragraph_clusters_in_blocks_equal_brute_force(spark, table, monkeypatch):
+    """Without leader rounds, bands that stay apart are compared in small blocks."""
+    for name, value in (("ROUNDS", 0), ("FEW", 2), ("BLOCK", 4)):
+        monkeypatch.setattr(superminhash, name, value)
+    rng = np.random.default_rng(5)
+    stem = [f"s{i}" for i in range(20)]
+    docs = []
+    for _ in range(25):
+        own = stem + [f"w{i}" for i in rng.integers(0, 10**6, 10)]
+        docs += [" ".join(own), " ".join([*own[:-1], f"w{rng.integers(0, 10**6)}"])]
+    df = table(list(enumerate(docs))).select("doc_id", "text")
+    sets = {}
+    for text in docs:
+        first, end, _, _, h = paragraphs.paragraphs(text)
+        prints = paragraphs.fingerprints(first, end, h).view(np.int64)
+        for p, a, b in zip(prints.tolist(), first, end, strict=True):
+            if b - a >= paragraphs.NEAR:
+                sets[p] = set(paragraphs.window_hashes(h[a:b], 5).tolist())
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert links
+    ids = group_ids(list(sets), links)
+    got = {r["node"]: r["component"] for r in paragraphs.near_clusters(df, paragraphs.paragraph_table(df)).collect()}
+    assert got == {p: ids[p] for p in {x for pair in links for x in pair}}
