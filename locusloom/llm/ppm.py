@@ -8,11 +8,12 @@ excluded there. Escapes are estimated by method D: ``q / 2n`` with ``q`` kinds a
 taken from each kind.
 
 The model is trained once and then fixed. So a word's later bytes always cost the same, and its first ones depend
-on a pair of short strings: texts are scored by word and by pair, each computed once for many. A context is kept
-if it makes up at least ``2 ** -CONTEXT_BITS`` of all training bytes. Contexts of one length are disjoint, so there
-are at most ``2 ** CONTEXT_BITS`` of each length, whatever the corpus; rarer ones escape at once. That bounds what
-is broadcast. The same holds for the words whose counts are broadcast for the base score (``WORD_BITS``); counts
-of all other words are joined by a shuffle, none is left out.
+on a pair of short strings: texts are scored by word and by pair, each computed once for many. All contexts count.
+Those that make up at least ``2 ** -CONTEXT_BITS`` of all training bytes are broadcast. Contexts of one length are
+disjoint, so there are at most ``2 ** CONTEXT_BITS`` of each length, whatever the corpus. Words and pairs that need
+rarer ones are spelled once more, each only once, and joined with the table of all counts. The same holds for the words
+whose counts are broadcast for the base score (``WORD_BITS``); counts of all other words are joined by a shuffle,
+none is left out.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,7 +84,10 @@ def key_of(length: np.ndarray, context: np.ndarray, byte: np.ndarray | int) -> n
 
 
 class Trie:
-    """Log probabilities of bytes seen in kept contexts, and what an escape from each context costs."""
+    """Log probabilities of bytes seen in some contexts, and what an escape from each context costs.
+
+    With a context all shorter ones that end it are there too.
+    """
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray):
         keys = keys.astype(U64)
@@ -141,17 +146,38 @@ class Trie:
         out[rest] -= np.log10(256)
         return out
 
-    def _sums(self, found: tuple[np.ndarray, ...], n: int) -> np.ndarray:
+    def holds(self, length: np.ndarray, context: np.ndarray) -> np.ndarray:
+        """True for bytes whose whole context is here; without any context for all, as nothing was learned."""
+        if not len(self.contexts):
+            return np.ones(len(context), dtype=bool)
+        return self._find(self.contexts, (np.asarray(length).astype(U64) << U64(48)) | context)[1]
+
+    def _sums(self, found: tuple[np.ndarray, ...], n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sums over bytes whose context is here, and what has others besides."""
         length, context, byte, owner = found
-        return np.bincount(owner, self.log_bytes(length, context, byte), n) if len(owner) else np.zeros(n)
+        here, rest = self.holds(length, context), np.zeros(n, dtype=bool)
+        rest[owner[~here]] = True
+        if not here.any():
+            return np.zeros(n), rest
+        return np.bincount(owner[here], self.log_bytes(length[here], context[here], byte[here]), n), rest
+
+    def part_of_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Log10 probability of the later bytes of each word whose context is here; True for words that have others."""
+        return self._sums(contexts(words), len(words)) if words else (np.zeros(0), np.zeros(0, dtype=bool))
+
+    def part_of_pairs(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same of a word's first bytes after the word before."""
+        return self._sums(pair_contexts(pairs), len(pairs))
 
     def log_words(self, words: list[bytes]) -> np.ndarray:
-        """Log10 probability of the later bytes of each word."""
-        return self._sums(contexts(words), len(words)) if words else np.zeros(0)
+        """Log10 probability of the later bytes of each word, if all contexts are here."""
+        found = contexts(words) if words else (np.zeros(0, np.int64),) * 4
+        return np.bincount(found[3], self.log_bytes(*found[:3]), len(words)) if len(found[3]) else np.zeros(len(words))
 
     def log_pairs(self, pairs: np.ndarray) -> np.ndarray:
-        """Log10 probability of a word's first bytes after the word before."""
-        return self._sums(pair_contexts(pairs), len(pairs))
+        """Log10 probability of a word's first bytes after the word before, if all contexts are here."""
+        length, context, byte, owner = pair_contexts(pairs)
+        return np.bincount(owner, self.log_bytes(length, context, byte), len(pairs)) if len(owner) else np.zeros(len(pairs))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -223,8 +249,8 @@ def corpus_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def trained_trie(counts: DataFrame) -> Trie:
-    """The trie of all kept contexts, from counts of longest contexts."""
+def context_counts(counts: DataFrame) -> DataFrame:
+    """``key, n, context`` of contexts of all lengths, from counts of longest contexts."""
 
     def shorter(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -236,13 +262,90 @@ def trained_trie(counts: DataFrame) -> Trie:
                 yield pa.RecordBatch.from_arrays([pa.array(signed(got)), pa.array(n[own])], names=["key", "n"])
 
     longest = counts.filter("kind = 1").select("key", "n")
-    every = written(longest.mapInArrow(shorter, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).withColumn("context", F.shiftright("key", 8)), "contexts")
+    return written(longest.mapInArrow(shorter, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).withColumn("context", F.shiftright("key", 8)), "contexts")
+
+
+def trained_trie(every: DataFrame) -> Trie:
+    """The trie of the frequent contexts of ``every`` (see ``context_counts``)."""
     size = every.filter("key < 256 AND key >= 0").agg(F.sum("n")).first()[0] or 0
     kept = every.groupBy("context").agg(F.sum("n").alias("all")).filter(F.col("all") * float(1 << CONTEXT_BITS) >= F.lit(size)).select("context")
     rows = every.join(kept, "context").select("key", "n").toArrow()  # bounded, see above
     return Trie(rows["key"].to_numpy().view(U64), rows["n"].to_numpy())
 
 
+def _shorter(key: str) -> str:
+    """SQL: the key of the same byte in the context without its oldest byte; NULL for the empty context."""
+    k = f"shiftright({key}, 56)"
+    return f"if({k} > 0, shiftleft({k} - 1, 56) | ({key} & (shiftleft(1L, cast(8 * {k} as int)) - 1)), NULL)"
+
+
+def unit_scores(units: DataFrame, every: DataFrame, model: Broadcast) -> DataFrame:
+    """``unit, part``: log10 probability of those bytes of each unit whose context the trie doesn't hold.
+
+    A unit is a word, or a space and the number of a pair. ``model`` is a tuple that begins with the trie.
+    """
+
+    def spelt(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = model.value[0]
+        for batch in batches(rows, 1 << 20):
+            found = batch.column(0).to_pylist()
+            words = [u for u in found if u[:1] != b" "]
+            pairs = [u for u in found if u[:1] == b" "]
+            for of, parts in ((words, contexts), (pairs, lambda p: pair_contexts(np.array([int.from_bytes(u[1:], "big") for u in p], dtype=U64)))):
+                if not of:
+                    continue
+                length, context, byte, owner = parts(of)
+                away = np.flatnonzero(~trie.holds(length, context))
+                keys = key_of(length[away], context[away], byte[away])
+                for at in range(0, len(away), 1 << 16):
+                    some = slice(at, at + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([pa.array([of[i] for i in owner[away[some]].tolist()], pa.binary()), pa.array(signed(keys[some]))], names=["unit", "key"])
+
+    def steps(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each key in all its contexts that the trie doesn't hold, and the log probability from the first that it does."""
+        trie = model.value[0]
+        for batch in batches(rows, 1 << 20):
+            key = batch.column(0).to_numpy().view(U64)
+            length, context, byte = (key >> U64(56)).astype(np.int64), (key >> U64(8)) & U64((1 << 48) - 1), key & U64(255)
+            held = np.full(len(key), -1)
+            out = []
+            for k in range(ORDER + 1):
+                part = context & ((U64(1) << U64(8 * k)) - U64(1))
+                held[(length >= k) & trie.holds(np.full(len(key), k), part)] = k
+                out.append(key_of(np.full(len(key), k), part, byte))
+            low = trie.log_bytes(held, context, byte.astype(np.uint8))
+            for k in range(ORDER + 1):
+                own = np.flatnonzero((length >= k) & (held < k))
+                cols = [signed(key[own]), signed(out[k][own]), low[own]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["wanted", "key", "low"])
+
+    lookups = written(units.mapInArrow(spelt, "unit binary, key long"), "lookups")
+    wanted = lookups.select("key").distinct()
+    all_of = every.groupBy("context").agg(F.sum("n").alias("all"), F.count("*").alias("kinds"))
+    log_p = F.log10((F.col("n") - 0.5) / F.col("all"))
+    asked = written(wanted.join(every.select("key", "n"), "key", "left").withColumn("context", F.shiftright("key", 8)), "asked")
+    seen = asked.filter("n IS NOT NULL").join(all_of, "context").select("key", log_p.alias("log_p"))
+
+    # the others escape: by the bytes that each of their contexts and the next shorter one have seen
+    walk = written(asked.filter("n IS NULL").select("key").mapInArrow(steps, "wanted long, key long, low double").withColumn("context", F.shiftright("key", 8)), "walk")
+    used = written(walk.select("context").distinct().join(all_of, "context"), "used")
+    below = every.join(used.select("context"), "context", "left_semi").select("context", F.expr(_shorter("key")).alias("key"))
+    taken = below.join(every.select("key", "n"), "key").groupBy("context").agg(F.sum("n").alias("taken"))
+    shorter = used.join(taken, "context").withColumn("next", F.shiftright(F.expr(_shorter("shiftleft(context, 8)")), 8))
+    open_ = (2 * (F.col("above") - F.col("taken")) + F.col("kinds")) / (2 * F.col("above"))  # never 0
+    escape = shorter.join(all_of.select(F.col("context").alias("next"), F.col("all").alias("above")), "next").select("context", F.log10(F.col("kinds") / (2 * F.col("all")) / open_).alias("escape"), "all")
+    level = F.shiftright("context", 48)
+    met = walk.join(every.select("key", "n"), "key", "left").join(written(escape, "escapes"), "context", "left")
+    met = met.groupBy("wanted").agg(
+        F.max(F.when(F.col("n").isNotNull(), F.struct(level.alias("level"), log_p.alias("log_p")))).alias("best"),
+        F.collect_list(F.struct(level.alias("level"), F.coalesce("escape", F.lit(0.0)).alias("escape"))).alias("escapes"),  # ORDER + 1 at most
+        F.max("low").alias("low"),
+    )
+    left = F.aggregate(F.filter("escapes", lambda e: e["level"] > F.coalesce("best.level", F.lit(-1))), F.lit(0.0), lambda a, e: a + e["escape"])
+    missed = met.select(F.col("wanted").alias("key"), (F.coalesce("best.log_p", "low") + left).alias("log_p"))
+    return lookups.join(written(seen.unionByName(missed), "values"), "key").groupBy("unit").agg(F.sum("log_p").alias("part"))
+
+
 def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
@@ -258,7 +361,8 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     ends = n_of.get(2, 0)
     tokens, distinct = n_of.get(0, 0) + ends, kinds_of.get(0, 0) + (ends > 0)
     size = tokens + distinct + 1
-    trie = trained_trie(counts)
+    every = context_counts(counts)
+    trie = trained_trie(every)
 
     # frequent words: at most 2 ** WORD_BITS reach the share, so they may be broadcast
     often = F.col("n") * float(1 << WORD_BITS) >= F.lit(tokens)
@@ -266,7 +370,7 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     shared = spark.sparkContext.broadcast((trie, frequent["key"].to_numpy(), frequent["n"].to_numpy()))
     schema = pa.schema(
         [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
-        + [("rare", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))]
+        + [("rare", pa.list_(pa.int64())), ("times", pa.list_(pa.int32())), ("units", pa.list_(pa.binary())), ("unit_times", pa.list_(pa.int32()))]
     )
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +384,9 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
             if len(keys) and len(new):
                 at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
                 base = np.where(keys[at] == h, log_n[at], np.nan)
-            return *word_ends(new), h, base, model.log_words(new)
+            names = np.empty(len(new), dtype=object)
+            names[:] = new
+            return *word_ends(new), h, base, *model.part_of_words(new), names
 
         table = WordTable(columns)
         for batch in batches(rows):
@@ -288,10 +394,11 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
             if len(table.number) >= FLUSH:
                 table.clear()
             ids = table.numbers(found)
-            last, first, hashes, log_base, log_word = table.known
+            last, first, hashes, log_base, log_word, more_word, names = table.known
             pairs, where = np.unique(pair_key(last[ids[:-1]], first[ids[1:]]), return_inverse=True)
-            log_p = model.log_pairs(pairs)[where] + log_word[ids[1:]]
-            out, lo = [[], [], [], [], [], []], 0
+            log_pair, more_pair = model.part_of_pairs(pairs)
+            log_p = log_pair[where] + log_word[ids[1:]]
+            out, lo = [[], [], [], [], [], [], [], []], 0
             for own in found:
                 hi = lo + len(own)
                 of_words = ids[lo + 1 : hi + 1]
@@ -299,13 +406,17 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
                 unknown = np.isnan(base)
                 rare, times = np.unique(hashes[of_words[unknown]], return_counts=True)
                 score = float(log_p[lo : hi + 1].sum())
+                of_pairs = where[lo : hi + 1]
+                seldom_words, word_times = np.unique(of_words[more_word[of_words]], return_counts=True)
+                seldom_pairs, pair_times = np.unique(of_pairs[more_pair[of_pairs]], return_counts=True)
+                units = names[seldom_words].tolist() + [b" " + p.to_bytes(7, "big") for p in pairs[seldom_pairs].tolist()]
                 lo = hi + 1
-                row = (len(own) + 1, len(own) - int(unknown.sum()) + (ends > 0), float(np.nansum(base)) + base_end, score, rare, times.astype(np.int32))
+                row = (len(own) + 1, len(own) - int(unknown.sum()) + (ends > 0), float(np.nansum(base)) + base_end, score, rare, times.astype(np.int32), units, np.append(word_times, pair_times).astype(np.int32))
                 for col, v in zip(out, row, strict=True):
                     col.append(v)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(c, t.type) for c, t in zip(out, list(schema)[2:], strict=True)]], schema=schema)
 
-    ddl = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>, times array<int>"
+    ddl = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>, times array<int>, units array<binary>, unit_times array<int>"
     scored = written(texts.mapInArrow(run, ddl).withColumn("row", F.monotonically_increasing_id()), "scored")
     seldom = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("key"), F.col("w.times").alias("times"))
     of_word = counts.filter("kind = 0").filter(~often).select("key", "n")
@@ -315,10 +426,13 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
         .groupBy("row")
         .agg(F.sum(F.col("times") * F.log10((n + 1) / F.lit(size))).alias("more_base"), F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("more_known"))
     )
-    return scored.drop("rare", "times").join(added, "row", "left").select(
+    of_row = scored.select("row", F.explode(F.arrays_zip("units", "unit_times")).alias("u")).select("row", F.col("u.units").alias("unit"), F.col("u.unit_times").alias("times"))
+    of_unit = written(unit_scores(of_row.select("unit").distinct(), every, shared), "units")
+    more = of_row.join(of_unit, "unit").groupBy("row").agg(F.sum(F.col("times") * F.col("part")).alias("more"))
+    return scored.drop("rare", "times", "units", "unit_times").join(added, "row", "left").join(more, "row", "left").select(
         "doc_id", "held_out", "n_tokens",
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("base_score") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"),
     )

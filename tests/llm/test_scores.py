@@ -131,6 +131,35 @@ def test_trie_is_a_distribution_and_escapes_with_exclusion():
         assert one[b] == pytest.approx(want)
 
 
+@pytest.mark.parametrize("bits", [1, 8, 20])
+def test_rare_contexts_count_like_frequent_ones(table, odd_rows, prose, monkeypatch, bits):
+    """Whatever is broadcast, scores are those of a trie of all contexts."""
+    monkeypatch.setattr(ppm, "CONTEXT_BITS", bits)
+    rows = [r[:2] for r in odd_rows] + [(i + 50, t) for i, t in enumerate(prose(30) + prose(10, seed=2))]
+    counts = Counter()
+
+    def spelled(text):
+        w = [ppm.END, *[x.lower() for x in words(text)], ppm.END]
+        last, first = ppm.word_ends(w)
+        return w[1:], ppm.pair_key(last[:-1], first[1:])
+
+    for d, t in rows:
+        if d is None or zlib.crc32(str(d).encode()) % 7 != 2:
+            own, pairs = spelled(t)
+            for length, context, byte, _ in (ppm.contexts(own), ppm.pair_contexts(pairs)):
+                for n, c, b in zip(length.tolist(), context.tolist(), byte.tolist(), strict=True):
+                    counts.update((k << 56) | ((c & ((1 << 8 * k) - 1)) << 8) | b for k in range(n + 1))
+    trie = ppm.Trie(np.array(list(counts), dtype=np.uint64), np.array(list(counts.values())))
+    want = {}
+    for d, t in rows:
+        own, pairs = spelled(t)
+        want[d] = trie.log_pairs(pairs).sum() + trie.log_words(own).sum()
+    got = ppm.lm_scores(table(rows)).collect()
+    assert len(got) == len(rows) and any(r.held_out for r in got)
+    for r in got:
+        assert r.score == pytest.approx(want[r.doc_id], rel=1e-9)
+
+
 def test_words_by_pair_equal_bytes_one_by_one():
     found = [b"\n", b"alpha", b"be", b"c", b"\n"]
     trie = ppm.Trie(np.zeros(0, np.uint64), np.zeros(0, np.int64))
