@@ -8,8 +8,15 @@ Equal paragraphs share a fingerprint. Paragraphs of ``NEAR`` words or more also
 five-word shingles, each a band of its own: at Jaccard 0.8 one of them agrees with probability 1 - 0.2 ** BANDS.
 (Of fewer words, 0.8 means equality, but for repeats of one word.) Paragraphs that share a band with others are joined
 to the least of the band, verified on their exact shingle sets, and clustered by components. Of each cluster the
-first paragraph by (document, place) stays. A run of others is removed if it has ``LEAST_RUN`` words or more, so
-that a stock phrase doesn't cost a clean document its text.
+first paragraph by (document, place) stays.
+
+Besides, each text is cut into pieces, some 9 words each, wherever a word's hash is the least of ``REACH`` words to either
+side. Whether a place is cut depends on these words alone, so any 50 equal words hold several whole pieces, wherever
+they stand and without any line or sentence end. Of equal pieces the first stays; the others are extended word by word
+to both sides as far as the text around the first is equal.
+
+A run of what goes is removed if it has ``LEAST_RUN`` words or more, so that a stock phrase doesn't cost a clean document
+its text.
 
 Almost all paragraphs occur once. Before each shuffle of paragraphs a bitmap of fixed size, made of the keys that do
 repeat, tells which may matter; it only ever lets too many through.
@@ -32,6 +39,7 @@ SHINGLE = 5
 LEAST, NEAR, LEAST_RUN = 5, 8, 20
 CUT = 32
 BANDS = 3
+REACH = 4
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -86,13 +94,109 @@ def min_hashes(first: np.ndarray, end: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out
 
 
+def pieces(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First word and end word of each piece of a text whose words have the hashes ``h``."""
+    least = np.ones(len(h), dtype=bool)
+    for d in range(1, min(REACH, len(h) - 1) + 1):
+        least[d:] &= h[d:] <= h[:-d]
+        least[:-d] &= h[:-d] <= h[d:]
+    places = np.flatnonzero(least) + 1
+    if len(places) > 1 and np.diff(places).min() <= REACH:  # equal words near each other
+        kept = [int(places[0])]
+        for place in places.tolist():
+            if place - kept[-1] > REACH:
+                kept.append(place)
+        places = np.array(kept)
+    cuts = np.concatenate([[0], places[places < len(h)], [len(h)]]) if len(h) else np.zeros(1, dtype=np.int64)
+    return cuts[:-1], cuts[1:]
+
+
+def _piece_prints(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fingerprints of the pieces of ``doc_id, text``."""
+    for batch in batches(rows):
+        for text in batch.column(1).to_pylist():
+            h = word_hashes(lower_words(text))
+            if len(h):
+                yield pa.RecordBatch.from_arrays([pa.array(signed(fingerprints(*pieces(h), h)))], names=["print"])
+
+
+def _extended(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces made as long as the words around them and around those that stay (``kept_before``, ``kept_after``) are equal."""
+
+    def same(x: bytes, y: bytes) -> int:
+        n = min(len(x), len(y))
+        differ = np.flatnonzero(np.frombuffer(x[:n], np.uint32) != np.frombuffer(y[:n], np.uint32))
+        return int(differ[0]) if len(differ) else n // 4
+
+    for batch in batches(rows):
+        col = {name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)}
+        for i in range(batch.num_rows):
+            left, right = same(col["before"][i], col["kept_before"][i]), same(col["after"][i], col["kept_after"][i])
+            col["lo"][i] -= left
+            col["hi"][i] += right
+            if left:
+                col["start"][i] = int(np.frombuffer(col["starts"][i], np.int32)[left - 1])
+            if right:
+                col["end"][i] = int(np.frombuffer(col["ends"][i], np.int32)[right - 1])
+        names = ["doc_id", "lo", "hi", "start", "end", "kept"]
+        yield pa.RecordBatch.from_arrays([pa.array(col[n], pa.int64() if n in ("doc_id", "kept") else pa.int32()) for n in names], names=names)
+
+
+def equal_pieces(docs: DataFrame) -> DataFrame:
+    """``doc_id, lo, hi, start, end, kept`` of each piece that isn't the first of its kind: words, characters, and the first one's document."""
+    prints = docs.mapInArrow(_piece_prints, "print long").groupBy("print").agg(F.count("*").alias("n"))
+    repeated = written(prints.filter("n > 1").select("print"), "repeated_pieces")
+    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(repeated, "print"))  # of fixed size
+    schema = pa.schema(
+        [("doc_id", pa.int64()), *[(c, pa.int32()) for c in ("lo", "hi", "start", "end")], ("print", pa.int64())]
+        + [(c, pa.binary()) for c in ("before", "after", "starts", "ends")]
+    )
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(rows):
+            out = [[] for _ in schema]
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                h = word_hashes(lower_words(text))
+                first, end = pieces(h)
+                if not len(first):
+                    continue
+                prints = fingerprints(first, end, h)
+                hot = np.flatnonzero(may_hold(wanted.value, prints))
+                if not len(hot):
+                    continue
+                b = np.frombuffer(text.encode(), dtype=np.uint8)
+                chars = np.cumsum((b & 0xC0) != 0x80)
+                edge = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[b], [True]]).astype(np.int8)))
+                starts, ends = (chars[edge[::2]] - 1).astype(np.int32), chars[edge[1::2] - 1].astype(np.int32)
+                words = h.astype(np.uint32)
+                size, n = np.diff(np.concatenate([[0], end, [len(h)]])), len(first)
+                for i in hot.tolist():
+                    lo, hi = int(first[i]), int(end[i])
+                    # the pieces beside it, and what decides on their other ends
+                    low = max(lo - (int(size[i - 1]) if i else 0) - REACH, 0)
+                    high = hi + (int(size[i + 1]) if i + 1 < n else 0) + REACH
+                    row = (doc, lo, hi, int(starts[lo]), int(ends[hi - 1]), int(signed(prints)[i]))
+                    row += (words[low:lo][::-1].tobytes(), words[hi:high].tobytes(), starts[low:lo][::-1].tobytes(), ends[hi:high].tobytes())
+                    for col, v in zip(out, row, strict=True):
+                        col.append(v)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(out, schema, strict=True)], schema=schema)
+
+    found = docs.mapInArrow(run, "doc_id long, lo int, hi int, start int, end int, print long, before binary, after binary, starts binary, ends binary")
+    hot = written(found.join(repeated, "print"), "hot_pieces")
+    kept = hot.groupBy("print").agg(F.min(F.struct("doc_id", "lo", "before", "after")).alias("kept"))
+    gone = hot.join(kept, "print").filter("doc_id != kept.doc_id OR lo != kept.lo")
+    gone = gone.select("doc_id", "lo", "hi", "start", "end", "before", "after", "starts", "ends", F.col("kept.doc_id").alias("kept"), F.col("kept.before").alias("kept_before"), F.col("kept.after").alias("kept_after"))
+    return gone.mapInArrow(_extended, "doc_id long, lo int, hi int, start int, end int, kept long").distinct()
+
+
 def paragraph_table(docs: DataFrame) -> DataFrame:
-    """``doc_id, place, words, start, end, print, keys`` of all paragraphs of ``docs(doc_id, text)``.
+    """``doc_id, place, first, words, start, end, print, keys`` of all paragraphs of ``docs(doc_id, text)``.
 
-    ``start`` and ``end`` count characters (code points).
+    ``start`` and ``end`` count characters (code points), ``first`` the words before the paragraph.
     """
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("place", pa.int32()), ("words", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("print", pa.int64()), ("keys", pa.list_(pa.int64()))]
+        [("doc_id", pa.int64()), ("place", pa.int32()), ("first", pa.int32()), ("words", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("print", pa.int64()), ("keys", pa.list_(pa.int64()))]
     )
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,14 +209,14 @@ def paragraph_table(docs: DataFrame) -> DataFrame:
                 chars = np.cumsum((np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80)
                 n = end - first
                 # characters before the paragraph's first byte, and up to its last
-                parts.append((np.full(len(first), doc), np.arange(len(first)), n, chars[lo] - 1, chars[hi - 1], signed(fingerprints(first, end, h)), np.where(n >= NEAR, BANDS, 0), signed(min_hashes(first, end, h).T[n >= NEAR].ravel())))
+                parts.append((np.full(len(first), doc), np.arange(len(first)), first, n, chars[lo] - 1, chars[hi - 1], signed(fingerprints(first, end, h)), np.where(n >= NEAR, BANDS, 0), signed(min_hashes(first, end, h).T[n >= NEAR].ravel())))
             if parts:
                 cols = [np.concatenate(c) for c in zip(*parts, strict=True)]
-                offsets = np.concatenate([[0], np.cumsum(cols[6])]).astype(np.int32)
-                keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(cols[7]))
-                yield pa.RecordBatch.from_arrays([*[pa.array(c.astype(t.type.to_pandas_dtype())) for c, t in zip(cols[:6], schema, strict=False)], keys], schema=schema)
+                offsets = np.concatenate([[0], np.cumsum(cols[7])]).astype(np.int32)
+                keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(cols[8]))
+                yield pa.RecordBatch.from_arrays([*[pa.array(c.astype(t.type.to_pandas_dtype())) for c, t in zip(cols[:7], schema, strict=False)], keys], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, place int, words int, start int, end int, print long, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, place int, first int, words int, start int, end int, print long, keys array<long>")
 
 
 def _of_bitmap(table: DataFrame, column: str, bits: np.ndarray) -> DataFrame:
@@ -163,7 +267,7 @@ def near_clusters(docs: DataFrame, table: DataFrame, percent: int = 80) -> DataF
     pairs, links, joined, apart = other_leaders(banded, pairs, links, lambda _: found, percent)
     if apart is None:
         return joined
-    sizes = found.join(apart.select("id").distinct(), "id", "left_semi").mapInArrow(_sized, "id long, n long, brief binary")
+    sizes = written(found.join(apart.select("id").distinct(), "id", "left_semi").mapInArrow(_sized, "id long, n long, brief binary"), "sizes")
     rest = written(close_pairs(apart.join(sizes, "id"), percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
     return joined if rest.isEmpty() else components(links.unionByName(written(confirmed(rest, found, percent), "links")))
 
@@ -171,8 +275,8 @@ def near_clusters(docs: DataFrame, table: DataFrame, percent: int = 80) -> DataF
 def repeated_passages(docs: DataFrame, *, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Passages to remove: ``doc_id, start, end, words, paragraphs, kept_in``, one row for each run.
 
-    ``start`` and ``end`` are places in the text in characters, ``kept_in`` lists the documents that keep the
-    paragraphs. NULL and empty texts have none; rows without an id are left alone. Ids should be unique; equal rows of
+    ``start`` and ``end`` are places in the text in characters, ``paragraphs`` counts the paragraphs and pieces in the run,
+    ``kept_in`` lists the documents that keep them. NULL and empty texts have none; rows without an id are left alone. Ids should be unique; equal rows of
     one id count as one document.
     """
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
@@ -180,16 +284,19 @@ def repeated_passages(docs: DataFrame, *, percent: int = 80, id_col: str = "doc_
     repeated = written(table.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1").select("print"), "repeated")
     clusters = written(near_clusters(named, table, percent).toDF("print", "cluster"), "clusters")
     of_print = repeated.join(clusters, "print", "full_outer").select("print", F.coalesce("cluster", "print").alias("cluster"))
-    narrow = table.select("doc_id", "place", "words", "start", "end", "print")
+    narrow = table.select("doc_id", "place", "first", "words", "start", "end", "print")
     hot = _of_bitmap(narrow, "print", bitmap(of_print, "print")).join(of_print, "print").dropDuplicates(["doc_id", "place"])
     hot = written(hot, "hot")
     keeper = hot.groupBy("cluster").agg(F.min(F.struct("doc_id", "place")).alias("keeper"))
     gone = hot.join(keeper, "cluster").filter(F.struct("doc_id", "place") != F.col("keeper"))
-    order = Window.partitionBy("doc_id").orderBy("place")  # paragraphs of one document
-    runs = gone.withColumn("run", F.col("place") - F.row_number().over(order))
+    gone = gone.select("doc_id", F.col("first").alias("lo"), (F.col("first") + F.col("words")).alias("hi"), "start", "end", F.col("keeper.doc_id").alias("kept"))
+    order = Window.partitionBy("doc_id").orderBy("lo", "hi")  # paragraphs and pieces of one document
+    before = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begins = gone.unionByName(equal_pieces(named)).withColumn("begins", F.coalesce((F.col("lo") > before).cast("int"), F.lit(1)))
+    runs = begins.withColumn("run", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return (
         runs.groupBy("doc_id", "run")
-        .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.count("*").alias("paragraphs"), F.sort_array(F.collect_set("keeper.doc_id")).alias("kept_in"))
+        .agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("hi") - F.min("lo")).cast("long").alias("words"), F.count("*").alias("paragraphs"), F.sort_array(F.collect_set("kept")).alias("kept_in"))
         .filter(F.col("words") >= LEAST_RUN)
         .drop("run")
     )

@@ -148,6 +148,37 @@ def test_pasted_passages_go_and_clean_texts_stay(table, prose, odd_rows):
         assert r.words >= paragraphs.LEAST_RUN and min(r.kept_in) <= r.doc_id
 
 
+def test_short_passages_without_marks_go_whole_at_any_place(table):
+    """51 words pasted into two texts each, without line or sentence ends."""
+    rng = random.Random(12)
+    words = lambda n: [f"w{rng.randrange(10**6)}é" for _ in range(n)]
+    docs, passages = [], []
+    for k in range(80):
+        passages.append(" ".join(words(51)))
+        for d in (2 * k, 2 * k + 1):
+            docs.append((d, " ".join([*words(rng.randrange(1, 90)), passages[k], *words(rng.randrange(1, 90))])))
+    df, text = table(docs).select("doc_id", "text"), dict(docs)
+    at = {2 * k + 1: (text[2 * k + 1].index(p), text[2 * k + 1].index(p) + len(p)) for k, p in enumerate(passages)}
+    equal = {}
+    for r in paragraphs.equal_pieces(df).collect():
+        assert r.kept == r.doc_id - 1
+        lo, hi = equal.get(r.doc_id, (r.start, r.end))
+        equal[r.doc_id] = (min(lo, r.start), max(hi, r.end))
+    assert equal == at
+    got = {r.doc_id: r for r in paragraphs.repeated_passages(df).collect()}
+    assert set(got) == set(at)
+    for d, (start, end) in at.items():  # near paragraphs may reach a little further
+        assert got[d].start <= start and got[d].end >= end and 51 <= got[d].words <= 65 and got[d].kept_in == [d - 1]
+
+
+def test_pieces_of_periodic_texts():
+    for period in range(1, 5):
+        h = np.tile(common.mixed(np.arange(1, period + 1, dtype=np.uint64)), 60 // period)
+        first, end = paragraphs.pieces(h)
+        assert first[0] == 0 and end[-1] == len(h) and (first[1:] == end[:-1]).all()
+        assert len(first) >= 6
+
+
 def test_near_paragraphs_are_found(table, prose):
     base = prose(1, words=400, vocabulary=5_000)[0]
     w = base.split(" ")
