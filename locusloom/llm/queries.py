@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import fill_middle, filter_audit, license_scan
 from .common import read, scratch_path, workers_find_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +115,21 @@ def op2_paragraphs(spark, sf):
     from .paragraphs import repeated_passages
 
     return repeated_passages(read(spark, sf, "documents"))
+
+
+@query("op11_fill_middle", sql=fill_middle.ORACLE)
+def op11_fill_middle(spark, sf):
+    """All documents with their middle moved to the end, as digests of output and restored text."""
+    return fill_middle.fill_in_middle_digests(read(spark, sf, "documents"))
+
+
+@query("op12_license_scan", sql=license_scan.oracle())
+def op12_license_scan(spark, sf):
+    """Licence labels of all documents by signature rules, and counts of the fixed phrases."""
+    return license_scan.license_scan(read(spark, sf, "documents"))
+
+
+@query("op13_filter_audit", sql=filter_audit.ORACLE)
+def op13_filter_audit(spark, sf):
+    """What each of five filters removes from every source, in every order of the filters."""
+    return filter_audit.filter_audit(read(spark, sf, "documents"), read(spark, sf, "labels"))
