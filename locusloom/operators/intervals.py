@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from .scan import TILE_BITS, position_tile, prefix_scan
 
 KEY = ["chrom"]
-# widths of the join grid: 2**10, 2**14, ... 2**42 positions
-GRID_BITS = list(range(10, 43, 4))
+# cells of the join tree: 2**10 positions in a leaf, 16 cells in one of the next level, up to 2**42
+LEAF_BITS, LEVEL_BITS, TOP_LEVEL = 10, 4, 8
+POINTS_PER_CELL = 1024
 
 
 # ---------------------------------------------------------------- predicates
@@ -38,36 +39,62 @@ def check_regions(df: DataFrame, sequence: str | None = None) -> DataFrame:
 # ---------------------------------------------------------------- range join
 
 
-def _grid_level(start: Column, end: Column) -> Column:
-    """Narrowest grid whose cells are at least as long as the interval."""
-    length = end - start
-    level = F.lit(GRID_BITS[-1])
-    for bits in reversed(GRID_BITS[:-1]):
-        level = F.when(length <= (1 << bits), F.lit(bits)).otherwise(level)
+def _level_of(cells: Column) -> Column:
+    """Level whose cells are at least as long as ``cells`` leaves."""
+    level = F.lit(TOP_LEVEL)
+    for i in reversed(range(TOP_LEVEL)):
+        level = F.when(cells <= (1 << (LEVEL_BITS * i)), F.lit(i)).otherwise(level)
     return level
 
 
-def _grid_cells(df: DataFrame, other_levels: Column, start: str, end: str) -> DataFrame:
-    """One row per (grid, cell) touched, on the own grid and every coarser one in use.
+def _shift(value: Column, bits: Column) -> Column:
+    return F.call_function("shiftright", value, bits)
 
-    A cell is no shorter than the interval on any of these grids, so an interval gives at
-    most two rows per grid: long intervals do not explode.
+
+def _levels(df: DataFrame, keys: Sequence[str]) -> tuple[Column, Column]:
+    """Level of the longest interval, and the highest one whose cells would hold no more than ``POINTS_PER_CELL`` starts
+    if these were spread evenly; from one small aggregate, as a scalar subquery."""
+    length, start = F.col("end") - F.col("start"), F.col("start")
+    found = df.agg(
+        F.coalesce(F.max(length), F.lit(1)).cast("bigint").alias("len"),
+        ((F.max(start) - F.min(start) + 1) * F.approx_count_distinct(F.struct(*keys)) / F.count(F.lit(1)) * POINTS_PER_CELL).alias("room"),
+    )
+    fits = F.lit(0)
+    for i in range(1, TOP_LEVEL + 1):
+        fits = F.when(F.col("room") >= float(1 << (LEAF_BITS + LEVEL_BITS * i)), F.lit(i)).otherwise(fits)
+    levels = found.select(F.struct(_level_of(_shift(F.col("len"), F.lit(LEAF_BITS)) + 2).alias("longest"), fits.alias("fits"))).scalar()
+    return levels["longest"], levels["fits"]
+
+
+def _point_cells(df: DataFrame, position: Column, top: Column) -> DataFrame:
+    """One row per level: the leaf of a position and the cells above it."""
+    on_level = df.select("*", F.explode(F.sequence(F.lit(0), top)).alias("_level"))
+    return on_level.select("*", _shift(position.cast("bigint"), F.col("_level") * LEVEL_BITS + LEAF_BITS).alias("_cell"))
+
+
+def _interval_cells(df: DataFrame, start: Column, end: Column, top: Column) -> DataFrame:
+    """One row per cell of the smallest set that covers an interval, leaves at its ends taken whole.
+
+    On each level these are the cells before the first and after the last whole cell of the next level, at most 30;
+    on the top level, or where no whole cell of the next level fits, all that are left.
     """
-    s, e = F.col(start), F.col(end)
-    tagged = df.select("*", _grid_level(s, e).alias("_own"), other_levels.alias("_levels"))
-    grids = F.array_union(F.array("_own"), F.filter("_levels", lambda g: g > F.col("_own")))
-    on_grid = tagged.select("*", F.explode(grids).alias("_grid")).drop("_levels")
-    cells = F.sequence(F.call_function("shiftright", s, F.col("_grid")), F.call_function("shiftright", e - 1, F.col("_grid")))
-    return on_grid.select("*", F.explode(cells).alias("_cell"))
+    start, end = start.cast("bigint"), end.cast("bigint")
+    first, last = _shift(start, F.lit(LEAF_BITS)), _shift(end - 1, F.lit(LEAF_BITS)) + 1
+    own = F.least(top, _level_of(last - first))
+    on_level = df.select("*", F.explode(F.sequence(F.lit(0), own)).alias("_level"))
+    up = 1 << LEVEL_BITS
+    ceiled = lambda x, bits: _shift(x + _pow2(bits) - 1, bits)
+    bits = F.col("_level") * LEVEL_BITS
+    low, high = ceiled(first, bits), _shift(last, bits)
+    low_up, high_up = ceiled(first, bits + LEVEL_BITS) * up, _shift(last, bits + LEVEL_BITS) * up
+    whole = (F.col("_level") == own) | (low_up >= high_up)
+    run = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>"))
+    cells = F.when(whole, run(low, high)).otherwise(F.concat(run(low, low_up), run(high_up, high)))
+    return on_level.select("*", F.explode(cells).alias("_cell"))
 
 
-def _levels_in_use(df: DataFrame, bound: DataFrame | None) -> Column:
-    """Grids the table's intervals sit on, as a scalar subquery."""
-    level = _grid_level(F.col("start"), F.col("end"))
-    if bound is None:
-        return df.agg(F.collect_set(level)).scalar()
-    first, step = GRID_BITS[0], GRID_BITS[1] - GRID_BITS[0]
-    return bound.agg(F.sequence(F.lit(first), F.coalesce(F.max(level), F.lit(first)), F.lit(step))).scalar()
+def _pow2(bits: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), bits)
 
 
 def range_join(
@@ -82,32 +109,33 @@ def range_join(
 ) -> DataFrame:
     """Pairs of intervals that overlap, or where the right lies inside the left.
 
-    The join is an equi-join on (keys, grid, cell): a pair meets on the coarser of its two
-    grids and is kept in the first cell both touch. ``right``'s columns get ``suffix``.
+    Two intervals overlap if the right one starts within the left one, or the left one strictly within the right
+    one: never both. So each interval stands for its start, one row per level of a tree of cells, and for its extent, cut into
+    cells of that tree: an equi-join on (keys, role, level, cell). Above the leaves every pair that meets is a result;
+    in a leaf, starts are compared. A short interval has a few rows; a long one is cut into cells that hold
+    about ``POINTS_PER_CELL`` starts, so it meets those beneath it in many tasks. ``right``'s columns get ``suffix``.
 
-    Which grids are in use is looked up in the inputs. For inputs that are costly to compute,
-    a ``bound`` names a cheaper table whose longest interval is at least as long.
+    The levels in use are looked up in the inputs. For inputs that are costly to compute, a ``bound`` names a cheaper
+    table whose longest interval is at least as long.
     """
+    if mode not in ("overlap", "contained"):
+        raise ValueError(f"unknown range join mode: {mode}")
     keys = list(keys)
     renamed = right.select(*[F.col(c).alias(c if c in keys else c + suffix) for c in right.columns])
-    rs, re_ = f"start{suffix}", f"end{suffix}"
-    left_levels, right_levels = _levels_in_use(left, left_bound), _levels_in_use(right, right_bound)
-    a = _grid_cells(left, right_levels, "start", "end").withColumnRenamed("_own", "_own_a")
-    b = _grid_cells(renamed, left_levels, rs, re_).withColumnRenamed("_own", "_own_b")
-
-    grid = F.col("_grid")
-    first_cell = F.call_function("shiftright", F.greatest(F.col("start"), F.col(rs)), grid)
+    s, e, rs, re_ = F.col("start"), F.col("end"), F.col(f"start{suffix}"), F.col(f"end{suffix}")
+    tagged = lambda df, role: df.withColumn("_role", F.lit(role))
+    left_longest, left_fits = _levels(left if left_bound is None else left_bound, keys)
+    right_longest, right_fits = _levels(right if right_bound is None else right_bound, keys)
+    top = F.least(left_longest, right_fits)
+    a, b = tagged(_interval_cells(left, s, e, top), 0), tagged(_point_cells(renamed, rs, top), 0)
     if mode == "overlap":
-        hit = (F.col("start") < F.col(re_)) & (F.col("end") > F.col(rs))
-    elif mode == "contained":
-        hit = (F.col(rs) >= F.col("start")) & (F.col(re_) <= F.col("end"))
+        top = F.least(right_longest, left_fits)
+        a = a.unionByName(tagged(_point_cells(left, s, top), 1))
+        b = b.unionByName(tagged(_interval_cells(renamed, rs, re_, top), 1))
+        hit = F.when(F.col("_role") == 0, (rs >= s) & (rs < e)).otherwise((s > rs) & (s < re_))
     else:
-        raise ValueError(f"unknown range join mode: {mode}")
-    return (
-        a.join(b, [*keys, "_grid", "_cell"])
-        .filter((grid == F.greatest("_own_a", "_own_b")) & (F.col("_cell") == first_cell) & hit)
-        .drop("_grid", "_cell", "_own_a", "_own_b")
-    )
+        hit = (rs >= s) & (re_ <= e)
+    return a.join(b, [*keys, "_role", "_level", "_cell"]).filter(hit).drop("_role", "_level", "_cell")
 
 
 # ---------------------------------------------------------------- islands

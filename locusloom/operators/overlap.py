@@ -2,41 +2,149 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import intervals as iv
+from .dominance import nested_sums
+from .scan import TILE_BITS, position_tile, prefix_scan
 
 
-def _side(regions: DataFrame, hit: Column, shared: Column) -> DataFrame:
-    """Counts of one side: rows, covered and shared bases, distinct names with a hit.
+_COUNTS = ("a_num", "a_cov", "a_hits", "b_num", "b_cov", "b_hits", "ovl_cov_bp", "roi_hits", "roi_miss")
+
+
+def _stacked(sets: Sequence[DataFrame]) -> DataFrame:
+    """All sets as one table, each row with the number of its set (``_set``)."""
+    columns = ["chrom", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), "name"]
+    return reduce(DataFrame.unionByName, [d.select(F.lit(i).alias("_set"), *columns) for i, d in enumerate(sets)])
 
-    Rows are folded per name first; the map side combines them.
-    """
-    per_name = regions.groupBy("chrom", "name").agg(
-        F.count(F.lit(1)).alias("num"),
-        F.sum(F.col("end") - F.col("start")).alias("cov"),
-        F.max(hit).alias("hit"),
-        F.sum(shared).alias("shared"),
-    )
-    return per_name.groupBy("chrom").agg(
-        F.sum("num").alias("num"), F.sum("cov").alias("cov"), F.count_if("hit").alias("hits"), F.sum("shared").alias("shared")
-    )
 
+def _nearest_ends(rows: DataFrame, n: int, probes: DataFrame | None = None, *, strict: bool = False) -> DataFrame:
+    """Per (chrom, start) and set ``i``: the farthest end of those that start no later (``far_i``), and the nearest end of
+    those that start no earlier (``near_i``); ``strict`` leaves out equal starts. One scan for all sets and both ways."""
+    mine = lambda i: F.when(F.col("_set") == i, F.col("end"))
+    points = rows.select("_set", "chrom", "start", "end")
+    if probes is not None:
+        points = points.unionByName(probes.select(F.lit(-1).alias("_set"), "chrom", "start", "end"))
+    folded = points.groupBy("chrom", "start").agg(*[f(mine(i)).alias(f"{kind}_{i}") for i in range(n) for kind, f in (("far", F.max), ("near", F.min))])
+    spec = {f"far_{i}": ("max", F.col(f"far_{i}")) for i in range(n)} | {f"near_{i}": ("min", F.col(f"near_{i}")) for i in range(n)}
+    return prefix_scan(folded, ["chrom"], "start", position_tile(F.col("start")), spec, reverse={f"near_{i}" for i in range(n)}, inclusive=not strict)
 
-def _contained_bp(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Bases of B regions inside A regions, counted once per containing region.
 
-    Copies of one interval are folded to a count on both sides before the join.
+def _contained_flags(rows: DataFrame, n: int) -> DataFrame:
+    """Rows with, for each set ``j``, ``hit_j``: contains one of a later set, or lies in one of an earlier set."""
+    ends = _nearest_ends(rows, n)
+    hits = [
+        F.coalesce(F.when(F.col("_set") < j, F.col(f"near_{j}") <= F.col("end")).otherwise(F.col(f"far_{j}") >= F.col("end")), F.lit(False)).alias(f"hit_{j}")
+        for j in range(n)
+    ]
+    return rows.join(ends, ["chrom", "start"]).select(*rows.columns, *hits, *[F.lit(0).cast("bigint").alias(f"bp_{j}") for j in range(n)])
+
+
+def _overlap_flags(rows: DataFrame, n: int) -> DataFrame:
+    """Rows with, for each set ``j``, ``hit_j`` (shares a base with some interval of it) and ``bp_j`` (bases shared in all).
+
+    The prefix sums of ``intervals.overlap_totals``, with one slot per set: every end of every row is an event of its
+    set and a probe for the others.
     """
-    fa = a.groupBy("chrom", "start", "end").agg(F.count(F.lit(1)).alias("n"))
-    fb = b.groupBy("chrom", "start", "end").agg(F.count(F.lit(1)).alias("n"))
-    pairs = iv.range_join(fa, fb, mode="contained")
-    return pairs.groupBy("chrom").agg(
-        F.sum((F.col("end_r") - F.col("start_r")) * F.col("n") * F.col("n_r")).alias("ovl_cov_bp")
+    ends = rows.select("_set", "chrom", F.explode(F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("open")), F.struct(F.col("end").alias("pos"), F.lit(-1).alias("open")))).alias("p"))
+    mine = lambda i, way: F.sum(F.when((F.col("_set") == i) & (F.col("p.open") == way), F.lit(1)).otherwise(F.lit(0)))
+    points = ends.groupBy("chrom", F.col("p.pos").alias("pos")).agg(*[mine(i, way).alias(f"{name}_{i}") for i in range(n) for name, way in (("s", 1), ("e", -1))])
+    pos, tile = F.col("pos"), position_tile(F.col("pos"))
+    inner = pos - F.shiftleft(tile, TILE_BITS)
+    spec = {}
+    for i in range(n):
+        s, e = F.col(f"s_{i}"), F.col(f"e_{i}")
+        spec |= {f"begun_{i}": ("sum", s), f"ended_{i}": ("sum", e), f"tiles_{i}": ("sum", (s - e) * tile), f"inner_{i}": ("sum", (s - e) * inner)}
+    scanned = prefix_scan(points, ["chrom"], "pos", tile, spec)
+
+    def covered(i: int) -> Column:
+        depth = F.col(f"begun_{i}") - F.col(f"ended_{i}")
+        return F.shiftleft(tile * depth - F.col(f"tiles_{i}"), TILE_BITS) + inner * depth - F.col(f"inner_{i}")
+
+    at_start = scanned.select("chrom", pos.alias("start"), *[c for i in range(n) for c in ((F.col(f"ended_{i}") + F.col(f"e_{i}")).alias(f"_ended_{i}"), covered(i).alias(f"_from_{i}"))])
+    at_end = scanned.select("chrom", pos.alias("end"), *[c for i in range(n) for c in (F.col(f"begun_{i}").alias(f"_begun_{i}"), covered(i).alias(f"_to_{i}"))])
+    met = rows.join(at_start, ["chrom", "start"]).join(at_end, ["chrom", "end"])
+    flags = [c for j in range(n) for c in ((F.col(f"_begun_{j}") > F.col(f"_ended_{j}")).alias(f"hit_{j}"), (F.col(f"_to_{j}") - F.col(f"_from_{j}")).alias(f"bp_{j}"))]
+    return met.select(*rows.columns, *flags)
+
+
+def _counts(**given: Column) -> list[Column]:
+    return [given.get(c, F.lit(0)).cast("bigint").alias(c) for c in _COUNTS]
+
+
+def _restricted(sets: Sequence[DataFrame], rois: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct rows of all sets strictly after the start of, and ending within, some ROI; and the ROIs with ``in_i``,
+    whether they hold such a region of set ``i``. One scan for each."""
+    n = len(sets)
+    other = [[c for c in d.columns if c not in ("chrom", "start", "end", "name")] for d in sets]
+    told = [d.withColumn("_rest", F.to_json(F.struct(*o)) if o else F.lit("")) for d, o in zip(sets, other, strict=True)]
+    columns = ["chrom", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), "name", "_rest"]
+    rows = reduce(DataFrame.unionByName, [d.select(F.lit(i).alias("_set"), *columns) for i, d in enumerate(told)])
+    inside = iv.inside_any(rows, rois, strict_start=True).filter("inside").drop("inside").distinct().drop("_rest")
+    ends = _nearest_ends(rows, n, rois, strict=True)
+    holds = [F.coalesce(F.col(f"near_{i}") <= F.col("end"), F.lit(False)).alias(f"in_{i}") for i in range(n)]
+    return inside, rois.select("chrom", "start", "end").join(ends, ["chrom", "start"]).select("chrom", *holds)
+
+
+def pair_counts(sets: Sequence[DataFrame], rois: DataFrame | None = None, mode: str = "contained") -> DataFrame:
+    """Lines of counts per chromosome and unordered pair of sets (``_a`` < ``_b``), to be added up.
+
+    All pairs come from one sweep: each scan carries a slot for each set, and the rows of a set are joined to it
+    once, whatever the number of sets. Copies and shared ends are folded before every scan; no pair of regions is built.
+    """
+    n = len(sets)
+    if rois is None:
+        rows, of_rois = _stacked(sets), None
+    else:
+        rows, of_rois = _restricted(sets, rois)
+    if mode == "contained":
+        flagged = _contained_flags(rows, n)
+    elif mode == "overlap":
+        flagged = _overlap_flags(rows, n)
+    else:
+        raise ValueError(f"unknown overlap mode: {mode}")
+    per_name = flagged.groupBy("_set", "chrom", "name").agg(
+        F.count(F.lit(1)).alias("num"),
+        F.sum(F.col("end") - F.col("start")).alias("cov"),
+        *[F.max(f"hit_{j}").cast("int").alias(f"hit_{j}") for j in range(n)],
+        *[F.sum(f"bp_{j}").alias(f"bp_{j}") for j in range(n)],
     )
+    others = F.array(*[F.struct(F.lit(j).alias("j"), F.col(f"hit_{j}").alias("hit"), F.col(f"bp_{j}").alias("bp")) for j in range(n)])
+    paired = per_name.select("_set", "chrom", "num", "cov", F.explode(others).alias("o")).filter("_set != o.j")
+    first = F.col("_set") < F.col("o.j")
+    a, b = (lambda c: F.when(first, c).otherwise(0)), (lambda c: F.when(first, 0).otherwise(c))
+    out = paired.select(
+        F.least("_set", "o.j").alias("_a"),
+        F.greatest("_set", "o.j").alias("_b"),
+        "chrom",
+        *_counts(
+            a_num=a(F.col("num")), a_cov=a(F.col("cov")), a_hits=a(F.col("o.hit")), b_num=b(F.col("num")), b_cov=b(F.col("cov")), b_hits=b(F.col("o.hit")),
+            ovl_cov_bp=a(F.col("o.bp")),
+        ),
+    )
+    pairs = list(combinations(range(n), 2))
+
+    def by_pair(df: DataFrame, value) -> DataFrame:
+        """One line for each pair of a row: ``value(i, j)`` names its counts."""
+        lines = F.array(*[F.struct(F.lit(i).alias("_a"), F.lit(j).alias("_b"), *_counts(**value(i, j))) for i, j in pairs])
+        return df.select("chrom", F.explode(lines).alias("l")).select("l._a", "l._b", "chrom", *[f"l.{c}" for c in _COUNTS])
+
+    if mode == "contained":
+        # bases of later sets inside regions of earlier ones, once per containing region; regions without a hit have none
+        some = lambda js: reduce(Column.__or__, [F.col(f"hit_{j}") for j in js])
+        outer = {f"o{i}": F.when((F.col("_set") == i) & some(range(i + 1, n)), F.lit(1)).otherwise(0) for i in range(n - 1)}
+        inner = {f"i{j}": F.when((F.col("_set") == j) & some(range(j)), F.col("end") - F.col("start")).otherwise(0) for j in range(1, n)}
+        sums = nested_sums(flagged, ["chrom"], outer, inner, [(f"o{i}", f"i{j}") for i, j in pairs], rows)
+        out = out.unionByName(by_pair(sums, lambda i, j: {"ovl_cov_bp": F.col(f"o{i}_i{j}")}))
+    if of_rois is not None:
+        hit = lambda i, j: F.col(f"in_{i}") | F.col(f"in_{j}")
+        out = out.unionByName(by_pair(of_rois, lambda i, j: {"roi_hits": hit(i, j).cast("int"), "roi_miss": (~hit(i, j)).cast("int")}))
+    return out
 
 
 def pair_stats(a: DataFrame, b: DataFrame, rois: DataFrame | None = None, mode: str = "contained") -> DataFrame:
@@ -45,41 +153,7 @@ def pair_stats(a: DataFrame, b: DataFrame, rois: DataFrame | None = None, mode:
     ``contained``: a hit is a B region inside an A region. ``overlap``: any shared base.
     With ROIs both sides are first cut to the regions inside some ROI.
     """
-    if rois is not None:
-        with_hit = (
-            iv.contains_any(rois, a.select("chrom", "start", "end"), strict_start=True)
-            .withColumnRenamed("contains", "in_a")
-            .transform(lambda d: iv.contains_any(d, b.select("chrom", "start", "end"), strict_start=True))
-        )
-        hit = (F.col("in_a") | F.col("contains")).cast("bigint")
-        roi_counts = with_hit.groupBy("chrom").agg(
-            F.sum(hit).alias("roi_hits"), F.sum(1 - hit).alias("roi_miss")
-        )
-        a, b = iv.restrict_to(a, rois), iv.restrict_to(b, rois)
-    zero = F.lit(0).cast("bigint")
-    if mode == "contained":
-        side_a = _side(iv.contains_any(a, b), F.col("contains"), zero)
-        side_b = _side(iv.inside_any(b, a), F.col("inside"), zero)
-        shared = _contained_bp(a, b)
-    elif mode == "overlap":
-        meets = F.col("n_overlap") > 0
-        side_a = _side(iv.overlap_totals(a, b), meets, F.col("bp_overlap"))
-        side_b = _side(iv.overlap_totals(b, a), meets, zero)
-        shared = None
-    else:
-        raise ValueError(f"unknown overlap mode: {mode}")
-    total = [] if shared is not None else [F.col("shared").alias("ovl_cov_bp")]
-    out = side_a.select("chrom", *[F.col(c).alias(f"a_{c}") for c in ("num", "cov", "hits")], *total).join(
-        side_b.select("chrom", *[F.col(c).alias(f"b_{c}") for c in ("num", "cov", "hits")]), "chrom", "full_outer"
-    )
-    if shared is not None:
-        out = out.join(shared, "chrom", "left")
-    if rois is not None:
-        out = out.join(roi_counts, "chrom", "full_outer")
-    else:
-        out = out.withColumn("roi_hits", F.lit(0).cast("bigint")).withColumn("roi_miss", F.lit(0).cast("bigint"))
-    counts = ["a_num", "a_cov", "a_hits", "b_num", "b_cov", "b_hits", "ovl_cov_bp", "roi_hits", "roi_miss"]
-    return out.select("chrom", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts])
+    return pair_counts([a, b], rois, mode).groupBy("chrom").agg(*[F.sum(c).alias(c) for c in _COUNTS])
 
 
 def with_genome_row(stats: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -103,13 +177,12 @@ def with_genome_row(stats: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 
 def pairwise_overlap(sets: dict[str, DataFrame], rois: DataFrame | None = None, mode: str = "contained") -> DataFrame:
     """Statistics of every unordered pair of labelled region sets, with whole-genome rows."""
-    parts = None
-    for (label_a, a), (label_b, b) in combinations(sets.items(), 2):
-        one = pair_stats(a, b, rois, mode).select(F.lit(label_a).alias("label_a"), F.lit(label_b).alias("label_b"), "*")
-        parts = one if parts is None else parts.unionByName(one)
-    if parts is None:
+    if len(sets) < 2:
         raise ValueError("at least two region sets are needed")
-    return with_genome_row(parts, ("label_a", "label_b"))
+    stats = with_genome_row(pair_counts(list(sets.values()), rois, mode), ("_a", "_b"))
+    label = F.array(*map(F.lit, sets))
+    named = [F.element_at(label, F.col(c) + 1).alias(n) for c, n in (("_a", "label_a"), ("_b", "label_b"))]
+    return stats.select(*named, *[c for c in stats.columns if c not in ("_a", "_b")])
 
 
 def common_chroms(*tables: DataFrame) -> DataFrame:

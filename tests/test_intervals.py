@@ -1,7 +1,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from locusloom.operators import dominance
 from locusloom.operators import intervals as iv
 from locusloom.operators import overlap as ov
 
@@ -64,6 +66,35 @@ def test_range_join_equals_nested_loop(spark, rows, mode):
     assert rows(iv.range_join(da, db, mode=mode), "name", "name_r") == want
 
 
+@pytest.mark.parametrize("longest", [5, 3_000, 40_000, 3_000_000])
+def test_range_join_of_long_and_short(spark, rows, longest):
+    """Intervals over several levels of the tree, from one position to a thousand leaves and more."""
+    rng = random.Random(longest)
+    a = [("c", s, s + rng.choice([1, 3, rng.randint(1, longest)]), f"a{i}") for i in range(150) for s in [rng.choice([0, 1023, 1024, rng.randrange(3_000_000)])]]
+    b = [("c", s, s + rng.choice([1, 1024, rng.randint(1, longest)]), f"b{i}") for i in range(150) for s in [rng.choice([1024, 16384, rng.randrange(3_000_000)])]]
+    da, db = (spark.createDataFrame(x, REGION + ", name string") for x in (a, b))
+    for mode, hit in (("overlap", lambda x, y: x[1] < y[2] and x[2] > y[1]), ("contained", lambda x, y: y[1] >= x[1] and y[2] <= x[2])):
+        want = sorted((x[3], y[3]) for x in a for y in b if hit(x, y))
+        assert rows(iv.range_join(da, db, mode=mode), "name", "name_r") == want
+
+
+def test_short_intervals_beside_a_long_one_spread(spark):
+    """100,000 short intervals and one as long as the chromosome: no cell holds above 2 % of the rows."""
+    n, span = 100_000, 250_000_000
+    short = spark.range(n).select(F.lit("c").alias("chrom"), F.pmod(F.xxhash64("id"), F.lit(span)).alias("start")).withColumn("end", F.col("start") + 50)
+    long = spark.createDataFrame([("c", 0, span + 100)], REGION)
+    _, fits = iv._levels(short, ["chrom"])
+    longest, _ = iv._levels(long, ["chrom"])
+    top = F.least(longest, fits)
+    points = iv._point_cells(short, F.col("start"), top)
+    cells = iv._interval_cells(long, F.col("start"), F.col("end"), top)
+    met = points.join(cells.select("_level", "_cell"), ["_level", "_cell"]).groupBy("_level", "_cell").count()
+    assert met.agg(F.sum("count")).first()[0] == n
+    assert met.agg(F.max("count")).first()[0] <= n // 50
+    assert cells.count() < 5_000
+    assert iv.range_join(long, short).count() == iv.range_join(short, long).count() == n
+
+
 @pytest.mark.parametrize("bits", [4, 20])
 def test_overlap_totals_equal_nested_loop(spark, rows, bits):
     a, b = random_regions(4), random_regions(5, longest=900)
@@ -110,3 +141,67 @@ def test_set_absent_on_a_chromosome(spark):
     b = spark.createDataFrame([("d", 0, 10, "y")], REGION + ", name string")
     got = {r["chrom"]: r for r in ov.pairwise_overlap({"A": a, "B": b}).collect()}
     assert got["c"]["a_miss"] == 1 and got["d"]["b_miss"] == 1 and got["wg"]["ovl_cov_bp"] == 0
+
+
+# ---------------------------------------------------------------- one sweep over all sets
+
+
+def brute_pairs(sets, mode, rois=None):
+    """Counts of each pair of sets per chromosome, by nested loops."""
+    inside = lambda o, x: o[0] == x[0] and o[1] <= x[1] and x[2] <= o[2]
+    shared = lambda x, y: min(x[2], y[2]) - max(x[1], y[1]) if x[0] == y[0] else 0
+    strictly = lambda o, x: o[0] == x[0] and o[1] < x[1] and x[2] <= o[2]
+    cut = sets if rois is None else [sorted({x for x in d if any(strictly(o, x) for o in rois)}) for d in sets]
+    out = {}
+    for i, j in [(i, j) for j in range(len(sets)) for i in range(j)]:
+        for chrom in {x[0] for d in (*cut, rois or []) for x in d}:
+            a, b = ([x for x in cut[k] if x[0] == chrom] for k in (i, j))
+            if mode == "contained":
+                a_hits = {x[3] for x in a if any(inside(x, y) for y in b)}
+                b_hits = {y[3] for y in b if any(inside(x, y) for x in a)}
+                bp = sum(y[2] - y[1] for x in a for y in b if inside(x, y))
+            else:
+                a_hits = {x[3] for x in a if any(shared(x, y) > 0 for y in b)}
+                b_hits = {y[3] for y in b if any(shared(x, y) > 0 for x in a)}
+                bp = sum(max(0, shared(x, y)) for x in a for y in b)
+            own = [o for o in rois or [] if o[0] == chrom]
+            held = sum(any(strictly(o, x) for d in (sets[i], sets[j]) for x in d) for o in own)
+            cov = [sum(x[2] - x[1] for x in d) for d in (a, b)]
+            counts = (len(a), cov[0], len(a_hits), len(b), cov[1], len(b_hits), bp, held, len(own) - held)
+            if any(counts):
+                out[i, j, chrom] = counts
+    return out
+
+
+@pytest.mark.parametrize("mode", ["contained", "overlap"])
+@pytest.mark.parametrize("with_rois", [False, True])
+def test_all_pairs_of_sets_equal_nested_loops(spark, mode, with_rois):
+    data = [random_regions(11, n=120, longest=300), random_regions(12, n=90, longest=60), random_regions(13, n=60, longest=900, chroms=("chr1", "chr3"))]
+    data[1] += data[0][:20]  # shared intervals and names
+    roi_rows = [(c, s - 1, e + 40) for c, s, e, _ in random_regions(14, n=25, longest=400) if s > 0]
+    sets = [spark.createDataFrame(d, REGION + ", name string") for d in data]
+    rois = spark.createDataFrame(roi_rows, REGION) if with_rois else None
+    lines = ov.pair_counts(sets, rois, mode)
+    got = {(r[0], r[1], r["chrom"]): tuple(r)[3:] for r in lines.groupBy("_a", "_b", "chrom").agg(*[F.sum(c).alias(c) for c in ov._COUNTS]).collect()}
+    assert {k: v for k, v in got.items() if any(v)} == brute_pairs(data, mode, roi_rows if with_rois else None)
+
+
+def test_nested_intervals_stay_linear(spark):
+    """20,000 nested intervals hold 2 * 10^8 pairs; what is shuffled is about twenty rows for each."""
+    n = 20_000
+    nested = spark.range(n).select(F.lit("c").alias("chrom"), F.col("id").alias("start"), (2 * n - F.col("id")).alias("end"))
+    points = dominance.nested_points(nested, ["chrom"], {"o": F.lit(1)}, {"i": F.col("end") - F.col("start")})
+    assert points.count() < 20 * n
+    got = dominance.nested_sums(nested, ["chrom"], {"o": F.lit(1)}, {"i": F.col("end") - F.col("start")}, [("o", "i")]).agg(F.sum("o_i")).first()[0]
+    assert got == sum((i + 1) * (2 * n - 2 * i) for i in range(n))
+
+
+@pytest.mark.parametrize("mode", ["contained", "overlap"])
+def test_number_of_shuffles_does_not_grow_with_the_sets(spark, mode):
+    df = spark.createDataFrame(random_regions(15, n=20), REGION + ", name string")
+
+    def shuffles(n):
+        plan = ov.pairwise_overlap({f"s{i}": df for i in range(n)}, mode=mode)._jdf.queryExecution().executedPlan().toString()
+        return plan.count("Exchange hashpartitioning")
+
+    assert shuffles(2) == shuffles(5) <= 18  # some are one shuffle read twice
