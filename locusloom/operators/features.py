@@ -40,13 +40,15 @@ def sliding_windows(df: DataFrame, window: int, step: int) -> DataFrame:
 
 def training_positions(sizes: DataFrame, num_samples: int, resolution: int, boundary: int = CHROMOSOME_BOUNDARY, seed: int = 0) -> DataFrame:
     """Five windows around each of ``num_samples`` seeded positions, shared out over the chromosomes."""
-    per_chrom = num_samples // max(1, sizes.count())
-    rest = num_samples - per_chrom * sizes.count()
-    ranked = sizes.select("chrom", "size", F.row_number().over(_by_chrom()).alias("_rank"))
-    wanted = F.lit(per_chrom) + F.when(F.col("_rank") <= rest, F.lit(1)).otherwise(F.lit(0))
-    drawn = ranked.withColumn("_n", wanted).filter("_n > 0").select(
-        "chrom", "size", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("sample_n")
-    )
+    n_chroms = max(1, sizes.count())
+    per_chrom, rest = divmod(num_samples, n_chroms)
+    ranked = sizes.select("chrom", "size", (F.row_number().over(_by_chrom()) - 1).cast("bigint").alias("_rank"))
+    # the first ``rest`` chromosomes get one more; samples are numbered over all tasks, not per chromosome
+    g, larger = F.col("id"), rest * (per_chrom + 1)
+    small = max(1, per_chrom)
+    rank = F.when(g < larger, F.floor(g / (per_chrom + 1))).otherwise(rest + F.floor((g - larger) / small)).cast("bigint")
+    number = F.when(g < larger, g % (per_chrom + 1)).otherwise((g - larger) % small)
+    drawn = sizes.sparkSession.range(num_samples).select(rank.alias("_rank"), number.alias("sample_n")).join(ranked, "_rank")
     span = F.greatest(F.col("size") - 2 * boundary, F.lit(1))
     pos = F.lit(boundary) + F.pmod(F.xxhash64(F.lit(seed), "chrom", "sample_n"), span)
     offsets = F.array(*[F.lit(k * resolution) for k in (-4, -2, 0, 2, 4)])

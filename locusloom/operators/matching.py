@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from . import intervals as iv
 from .features import CHROMOSOME_BOUNDARY, attach_sequence, sequence_features
+from .scan import position_tile, prefix_scan
 
 GRID_DIMS = 3
 
@@ -93,29 +94,45 @@ def greedy_pairs(pairs: DataFrame) -> DataFrame:
         )
 
 
+def complement_positions(free: DataFrame, wanted: DataFrame, seed: int, block: int = 4_096) -> DataFrame:
+    """``n`` positions of each chromosome (``wanted``: ``chrom, n``), drawn with replacement from the pieces of ``free``.
+
+    ``free`` holds disjoint ``chrom, start, end``. Each draw is a rank among the free positions, the first 15 hex digits of
+    the MD5 of ``seed:chrom:k`` modulo their number; prefix sums of the pieces' lengths turn a piece into a range of
+    ranks, and a range join finds the piece of a rank. Draws are numbered in blocks, so a chromosome's draws are
+    spread over tasks. Returns ``chrom, k, pos, piece_start, piece_end``; chromosomes without free positions give none.
+    """
+    sized = free.withColumn("_len", F.col("end") - F.col("start"))
+    ranked = prefix_scan(sized, ["chrom"], "start", position_tile(F.col("start")), {"_rank": ("sum", F.col("_len"))})
+    ranges = ranked.select("chrom", F.col("_rank").alias("start"), (F.col("_rank") + F.col("_len")).alias("end"), F.col("start").alias("piece_start"), F.col("end").alias("piece_end"))
+    totals = sized.groupBy("chrom").agg(F.sum("_len").alias("_total"))
+    asked = wanted.filter("n > 0").join(totals, "chrom").select("chrom", "n", "_total", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / block))).alias("_block"))
+    first, last = F.col("_block") * block, F.least(F.col("n"), (F.col("_block") + 1) * block) - 1
+    draws = asked.repartition("chrom", "_block").select("chrom", "_total", F.explode(F.sequence(first, last)).alias("k"))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), "chrom", "k"))
+    rank = F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint") % F.col("_total")
+    points = draws.select("chrom", "k", rank.alias("start"), (rank + 1).alias("end"))
+    met = iv.range_join(ranges, points, mode="contained")
+    return met.select("chrom", F.col("k_r").alias("k"), (F.col("piece_start") + F.col("start_r") - F.col("start")).alias("pos"), "piece_start", "piece_end")
+
+
 def draw_candidates(
     foreground: DataFrame, sizes: DataFrame, taken: DataFrame, wanted: DataFrame, length_limit: float, seed: int
 ) -> DataFrame:
     """Seeded random regions on free positions, 1.2 per region still wanted (``chrom, missing``).
 
-    Half lengths lie in [min / 2 * (1 - limit %), max / 2) of the foreground of the chromosome.
+    Half lengths lie in [min / 2 * (1 - limit %), max / 2) of the foreground of the chromosome. Centres are drawn from the
+    positions that nothing taken covers; a region that leaves its free piece is dropped.
     """
     lengths = foreground.groupBy("chrom").agg(
         F.floor(F.min(F.col("end") - F.col("start")) * F.lit(1 - length_limit / 100) / 2).alias("lo"),
         F.floor(F.max(F.col("end") - F.col("start")) / 2).alias("hi"),
     )
-    slots = (
-        wanted.join(sizes, "chrom")
-        .join(lengths, "chrom")
-        .select("chrom", "size", "lo", "hi", F.explode(F.sequence(F.lit(1), F.ceil(F.col("missing") * 1.2).cast("bigint"))).alias("n"))
-    )
-    pos = F.pmod(F.xxhash64(F.lit(seed), "chrom", "n"), F.col("size"))
-    half = F.greatest(F.lit(1), F.col("lo") + F.pmod(F.xxhash64(F.lit(seed + 1), "chrom", "n"), F.greatest(F.lit(1), F.col("hi") - F.col("lo"))))
-    drawn = slots.select("chrom", "size", (pos - half).alias("start"), (pos + half).alias("end")).filter(
-        (F.col("start") >= 0) & (F.col("end") <= F.col("size"))
-    )
-    free = iv.overlap_totals(drawn.select("chrom", "start", "end").distinct(), taken)
-    return free.filter("n_overlap = 0").select("chrom", "start", "end")
+    free = iv.gaps(taken, sizes)
+    placed = complement_positions(free, wanted.select("chrom", F.ceil(F.col("missing") * 1.2).cast("bigint").alias("n")), seed)
+    half = F.greatest(F.lit(1), F.col("lo") + F.pmod(F.xxhash64(F.lit(seed + 1), "chrom", "k"), F.greatest(F.lit(1), F.col("hi") - F.col("lo"))))
+    drawn = placed.join(lengths, "chrom").select("chrom", (F.col("pos") - half).alias("start"), (F.col("pos") + half).alias("end"), "piece_start", "piece_end")
+    return drawn.filter((F.col("start") >= F.col("piece_start")) & (F.col("end") <= F.col("piece_end"))).select("chrom", "start", "end").distinct()
 
 
 def keep_disjoint(df: DataFrame) -> DataFrame:

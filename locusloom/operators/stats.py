@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import intervals as iv
-from .scan import position_tile, prefix_scan, value_tile
+from .scan import position_tile, prefix_scan, with_axis
 from .signal import axis_pieces
 from .values import exact_percentiles, rank_values
 
@@ -210,7 +210,8 @@ def roc_auc(df: DataFrame, truth: str, score: str, weight: str | None = None, ke
         F.sum(F.when(F.col(truth) == 1, w).otherwise(F.lit(0.0))).alias("pos"),
         F.sum(F.when(F.col(truth) == 1, F.lit(0.0)).otherwise(w)).alias("neg"),
     )
-    scanned = prefix_scan(folded, keys, "s", value_tile(F.col("s")), {"below": ("sum", F.col("neg"))})
+    tiled = with_axis(folded, "s", tagged.select(F.col(score).cast("double").alias("s")))
+    scanned = prefix_scan(tiled, keys, "s", F.col("_axis"), {"below": ("sum", F.col("neg"))})
     area = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))
     out = scanned.groupBy(*keys).agg(area.alias("score"))
     return out.drop("_k")

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scan import prefix_scan, value_tile
+from .scan import prefix_scan, with_axis
 
 DECILES = [10, 20, 30, 40, 50, 60, 70, 80, 90, 100]
 
@@ -32,7 +32,8 @@ def exact_percentiles(
     keys = list(keys)
     weight = F.lit(1) if weight is None else weight
     base = df.select(*keys, value.cast("double").alias("_v"), weight.cast("bigint").alias("_w"))
-    base = base.filter(F.col("_v").isNotNull() & (F.col("_w") > 0)).withColumn("_tile", value_tile(F.col("_v")))
+    base = base.filter(F.col("_v").isNotNull() & (F.col("_w") > 0))
+    base = with_axis(base, "_v").withColumnRenamed("_axis", "_tile")
 
     along = Window.partitionBy(*keys)
     histogram = (
@@ -92,12 +93,13 @@ def rank_values(df: DataFrame, keys: Sequence[str], value: str, weight: Column |
     distinct values. NULL has no rank; NaN ranks last.
     """
     keys = list(keys)
-    folded = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n_equal"))
+    rows = df.filter(F.col(value).isNotNull())
+    folded = rows.groupBy(*keys, value).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n_equal"))
     scanned = prefix_scan(
-        folded,
+        with_axis(folded, value, rows),
         keys,
         value,
-        value_tile(F.col(value)),
+        F.col("_axis"),
         {"n_below": ("sum", F.col("n_equal")), "_distinct": ("sum", F.lit(1).cast("bigint"))},
     )
     return scanned.select(
@@ -149,20 +151,25 @@ def top_percent(df: DataFrame, score: str, keep: float) -> DataFrame:
     return df.filter(F.col(score) >= floor)
 
 
-def sample_per_class(df: DataFrame, label: str, name: str, limit: int, seed: int = 0, salts: int = 64) -> DataFrame:
-    """``min(limit, smallest class)`` rows of each class, chosen by a seeded hash of the name.
+def bottom_k(df: DataFrame, keys: Sequence[str], digest: Column, rest: Sequence[Column], k: int | Column) -> DataFrame:
+    """The ``k`` rows of each key that come first by ``digest`` (hex, evenly spread), then ``rest``.
 
-    Each class is first cut to ``limit`` rows per salt, so no task sees a whole class.
+    A histogram over the first four digits, combined before the shuffle, tells in which bucket the last wanted row
+    lies; rows of later buckets are dropped where they are read. So about ``k`` rows of a key and one bucket's share
+    are shuffled and sorted, however many it has.
     """
-    order = [F.xxhash64(F.lit(seed), F.col(name)), F.col(name)]
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(F.lit(seed + 1), F.col(name)), F.lit(salts)))
-    first = Window.partitionBy(label, "_salt").orderBy(*order)
-    second = Window.partitionBy(label).orderBy(*order)
-    picked = (
-        salted.withColumn("_rn", F.row_number().over(first))
-        .filter(F.col("_rn") <= limit)
-        .withColumn("_rn", F.row_number().over(second))
-        .filter(F.col("_rn") <= limit)
-    )
+    keys = list(keys)
+    rows = df.withColumn("_digest", digest).withColumn("_bucket", F.conv(F.substring("_digest", 1, 4), 16, 10).cast("int"))
+    upto = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0)))
+    last = before.filter(F.col("_before") < k).groupBy(*keys).agg(F.max("_bucket").alias("_last"))
+    near = rows.join(last, keys).filter(F.col("_bucket") <= F.col("_last"))
+    order = Window.partitionBy(*keys).orderBy("_digest", *rest)
+    return near.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= k).select(*df.columns)
+
+
+def sample_per_class(df: DataFrame, label: str, name: str, limit: int, seed: int = 0) -> DataFrame:
+    """``min(limit, smallest class)`` rows of each class, chosen by a seeded hash of the name (MD5 of ``seed:name``)."""
     smallest = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).scalar()
-    return picked.filter(F.col("_rn") <= smallest).drop("_salt", "_rn")
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(name).cast("string")))
+    return bottom_k(df.filter(F.col(name).isNotNull()), [label], digest, [F.col(name)], F.least(F.lit(limit), smallest))

@@ -37,10 +37,10 @@ def parse_chain_lines(
     before it end: two prefix scans over line numbers, so a chain may span any number of tasks.
     ``read_num`` keeps the first chains that pass the filters.
     """
-    filled = lines.filter(F.trim("value") != "").select("line_no", "value", F.lit(0).alias("_f"))
+    filled = lines.filter(F.trim("value") != "").select("line_no", "value")
     tile = position_tile(F.col("line_no"))
     is_head = F.col("value").startswith("chain")
-    owned = prefix_scan(filled, ["_f"], "line_no", tile, {"head": ("max", F.when(is_head, F.col("line_no")))}, inclusive=True)
+    owned = prefix_scan(filled, [], "line_no", tile, {"head": ("max", F.when(is_head, F.col("line_no")))}, inclusive=True, blocks=True)
     tokens = F.split(F.trim("value"), r"\s+")
 
     def number(i: int) -> Column:

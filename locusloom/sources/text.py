@@ -125,15 +125,14 @@ def map_super_blocks(blocks: DataFrame) -> DataFrame:
     """Number runs of consecutive blocks of one chromosome pair (``super_block``, from 1), in block order."""
     from ..operators.scan import position_tile, prefix_scan
 
-    numbered = blocks.withColumn("_f", F.lit(0))
     pair = F.concat_ws("\t", "tchrom", "qchrom")
     tile = position_tile(F.col("blockid"))
-    previous = prefix_scan(numbered, ["_f"], "blockid", tile, {"_prev": ("max", F.col("blockid"))})
-    before = numbered.select(F.col("blockid").alias("_prev"), pair.alias("_pair"))
+    previous = prefix_scan(blocks, [], "blockid", tile, {"_prev": ("max", F.col("blockid"))}, blocks=True)
+    before = blocks.select(F.col("blockid").alias("_prev"), pair.alias("_pair"))
     steps = previous.join(before, "_prev", "left").withColumn(
         "_new", F.when(F.col("_pair").isNull() | (F.col("_pair") != pair), F.lit(1)).otherwise(F.lit(0)).cast("bigint")
     )
-    scanned = prefix_scan(steps, ["_f"], "blockid", tile, {"super_block": ("sum", F.col("_new"))}, inclusive=True)
+    scanned = prefix_scan(steps, [], "blockid", tile, {"super_block": ("sum", F.col("_new"))}, inclusive=True, blocks=True)
     return scanned.select(*blocks.columns, "super_block")
 
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from locusloom.functions.special import correlation_p_value, incomplete_beta
+from locusloom.operators import scan
 from locusloom.operators import stats as st
 from locusloom.operators import values as vl
 from locusloom.operators.qnorm import nonzero_qnorm, simple_qnorm
@@ -154,3 +155,48 @@ def test_ranks_leave_null_out_and_put_nan_last(spark):
     df = spark.createDataFrame([("k", x) for x in (1.0, nan, None, inf, -inf, 2.0, None)], "k string, x double")
     ranks = {str(r["x"]): r["min_rank"] for r in vl.rank_values(df, ["k"], "x").collect()}
     assert ranks == {"-inf": 1, "1.0": 2, "2.0": 3, "inf": 4, "nan": 5}
+
+
+def test_value_axis_follows_the_data(spark):
+    """A million values in [0.9999, 1) spread evenly over tiles, beside a few far away."""
+    df = spark.range(1_000_000).select((F.lit(0.9999) + F.col("id") * 1e-10).alias("v")).unionByName(spark.range(100).select((F.col("id") * 1e6 - 5e7).alias("v")))
+    tiles = scan.with_axis(df, "v").groupBy(F.col("_axis").alias("t")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    found = tiles.orderBy("t").collect()
+    assert max(r.n for r in found) < 3_000
+    assert all(a.hi < b.lo for a, b in zip(found, found[1:], strict=False))
+
+
+def test_value_axis_of_odd_values(spark):
+    values = [float("nan"), float("inf"), float("-inf"), 0.0, -0.0, 5e-324, -5e-324, 1.0, 1.0, 2.5, -3.0, 1e308]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = [r.n_below for r in vl.rank_values(df, [], "v").orderBy("n_below").collect()]
+    assert got == [0, 1, 2, 3, 5, 6, 8, 9, 10, 11]
+    none = spark.createDataFrame([(None,)], "v double")
+    assert vl.rank_values(none, [], "v").collect() == [] and vl.exact_percentiles(none, [], F.col("v"), [0.5]).collect() == []
+
+
+def test_tile_totals_are_scanned_in_blocks(spark, rows):
+    """Over 2^32 line numbers without a key no window task holds more than a block of tile totals."""
+    df = spark.range(6_000).select((F.col("id") * 1_000_003).alias("at"), (F.col("id") % 7).alias("v"))
+    out = scan.prefix_scan(df, [], "at", scan.position_tile(F.col("at")), {"s": ("sum", F.col("v")), "m": ("max", F.col("at"))}, blocks=True)
+    total, want = 0, []
+    for i in range(6_000):
+        want.append((i * 1_000_003, total, (i - 1) * 1_000_003 if i else None))
+        total += i % 7
+    assert sorted((r["at"], r.s, r.m) for r in out.collect()) == want
+    tiles = df.select(F.shiftright(scan.position_tile(F.col("at")), scan.BLOCK_BITS).alias("b"), scan.position_tile(F.col("at")).alias("t")).distinct()
+    assert tiles.groupBy("b").count().agg(F.max("count")).first()[0] <= 1 << scan.BLOCK_BITS
+    assert tiles.select("b").distinct().count() == 6  # what the last window sees
+
+
+def test_bottom_k_equals_sorting(spark):
+    df = spark.range(20_000).select(F.when(F.col("id") < 19_000, "big").otherwise("small").alias("y"), F.concat(F.lit("n"), F.col("id") % 15_000).alias("name"))
+    digest = F.md5("name")
+    got = sorted((r.y, r.name) for r in vl.bottom_k(df, ["y"], digest, [F.col("name")], 300).collect())
+    import hashlib
+
+    want = []
+    for y, ids in (("big", range(19_000)), ("small", range(19_000, 20_000))):
+        names = sorted((f"n{i % 15_000}" for i in ids), key=lambda n: (hashlib.md5(n.encode()).hexdigest(), n))
+        want += [(y, n) for n in names[:300]]
+    assert got == sorted(want)
