@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, batches, bitmap, lower_words, may_hold, mixed, signed, window_hashes, word_hashes, written
 from .components import components
-from .superminhash import brief, close_pairs, confirmed, other_leaders
+from .superminhash import confirmed, settled
 
 SHINGLE = 5
 LEAST, NEAR, LEAST_RUN = 5, 8, 20
@@ -231,13 +231,6 @@ def _of_bitmap(table: DataFrame, column: str, bits: np.ndarray) -> DataFrame:
     return table.mapInArrow(run, table.schema)
 
 
-def _sized(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``id, n, brief`` of sets ``id, elements``: their size and a byte of each slot of their signature."""
-    for batch in batches(rows):
-        sets = [np.frombuffer(e, dtype=U64) for e in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(e) for e in sets], pa.int64()), pa.array([brief(e) for e in sets], pa.binary())], names=["id", "n", "brief"])
-
-
 def near_clusters(docs: DataFrame, table: DataFrame, percent: int = 80) -> DataFrame:
     """``node, component`` of fingerprints of different paragraphs that verified links of ``percent`` connect."""
     keyed = table.filter(F.size("keys") > 0).select(F.explode("keys").alias("key"), "print")
@@ -245,7 +238,7 @@ def near_clusters(docs: DataFrame, table: DataFrame, percent: int = 80) -> DataF
     shared = written(keyed.groupBy("key").agg(F.min("print").alias("least"), F.max("print").alias("most")).filter("least < most").select("key", "least"), "shared")
     members = written(_of_bitmap(keyed, "key", bitmap(shared, "key")).distinct().join(shared, "key"), "members")
     pairs = written(members.filter("print != least").select(F.col("least").alias("a"), F.col("print").alias("b")).distinct(), "pairs")
-    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(pairs.select(F.explode(F.array("a", "b")).alias("print")), "print"))
+    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(members, "print"))
 
     def sets(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows):
@@ -263,13 +256,7 @@ def near_clusters(docs: DataFrame, table: DataFrame, percent: int = 80) -> DataF
     found = written(docs.mapInArrow(sets, "id long, elements binary").groupBy("id").agg(F.min("elements").alias("elements")), "sets")
     links = written(confirmed(pairs, found, percent), "links")
     # bands whose members still lie in several components: other leaders first, then all that is left
-    banded = members.select("key", F.col("print").alias("id"))
-    pairs, links, joined, apart = other_leaders(banded, pairs, links, lambda _: found, percent)
-    if apart is None:
-        return joined
-    sizes = written(found.join(apart.select("id").distinct(), "id", "left_semi").mapInArrow(_sized, "id long, n long, brief binary"), "sizes")
-    rest = written(close_pairs(apart.join(sizes, "id"), percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    return joined if rest.isEmpty() else components(links.unionByName(written(confirmed(rest, found, percent), "links")))
+    return settled(members.select("key", F.col("print").alias("id")), pairs, links, found, percent)
 
 
 def repeated_passages(docs: DataFrame, *, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,13 +4,15 @@ A document's set holds the hashes of its distinct word shingles. Documents of on
 first, so thousands of copies cost one signature. Signatures of classes are cut into bands; classes that share
 a band are candidates. Every class of a band is compared with the one that shares most bands with others, which
 in a group of edited copies is the original, and in ``ROUNDS`` rounds with another one, if that lies in another
-component. Where a band's classes are still in several components after that, its signatures are compared in blocks inside tasks, and only pairs that may well link are passed on. Each such
-pair, and each pair with a leader, is confirmed on the full sets, so no link that a band finds is lost.
+component. Where a band's classes are still in several components after that, they are compared in blocks: a task gets
+the full sets of two blocks, counts common shingles by an inverted list of its own, and returns a spanning forest of the
+links it confirmed. So what is passed on grows with the members of a band, never with its pairs, and no link that a
+band finds is lost.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +24,9 @@ from .common import U64, batches, bitmap, lower_words, may_hold, mixed, signed,
 from .components import components
 
 SLOTS = 100
-MARGIN = 15  # percent by which an estimate may fall short of the wanted similarity: over 4 standard deviations
 ROUNDS = 3  # leaders taken at random in bands that lie in several components
-FEW = 16  # members up to which a band's pairs are made by a join
-BLOCK = 2_048  # members of a block of a larger band
+BLOCK = 2_048  # members of a block of a band
+BLOCK_BYTES = 16 << 20  # bytes of their sets
 BANDS = 20  # bands of 5: a pair at 0.85 is missed with probability (1 - 0.85 ** 5) ** 20 < 1e-5
 
 
@@ -78,87 +79,83 @@ def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, k: int, slots: int, bands: int) -> DataFrame:
-    """``doc_id, n_shingles, print`` (of the set), ``keys`` of bands, ``brief``: a byte of each slot. NULL for an empty set."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("print", pa.binary()), ("keys", pa.list_(pa.int64())), ("brief", pa.binary())])
+    """``doc_id, n_shingles, print`` (of the set), ``keys`` of bands. NULL for an empty set."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("print", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows):
-            sizes, prints, keys, briefs = [], [], [], []
+            sizes, prints, keys = [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text, k)
                 signature = superminhash(s, slots)
                 sizes.append(len(s))
                 prints.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 keys.append(signed(band_keys(signature, bands)) if len(s) else None)
-                briefs.append(mixed(signature).astype(np.uint8).tobytes() if len(s) else None)
-            out = [batch.column(0), *[pa.array(v, type=t.type) for v, t in zip((sizes, prints, keys, briefs), list(schema)[1:], strict=True)]]
+            out = [batch.column(0), *[pa.array(v, type=t.type) for v, t in zip((sizes, prints, keys), list(schema)[1:], strict=True)]]
             yield pa.RecordBatch.from_arrays(out, schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, print binary, keys array<long>, brief binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, print binary, keys array<long>")
 
 
-def brief(elements: np.ndarray, slots: int = SLOTS) -> bytes:
-    """A byte of each slot of the signature of a set."""
-    return mixed(superminhash(elements, slots)).astype(np.uint8).tobytes()
-
-
-def _briefs(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    rows = column.to_pylist()
-    return np.frombuffer(b"".join(rows), dtype=np.uint8).reshape(len(rows), -1)
-
-
-def _close_rows(percent: int):
-    """Of rows ``(a, b, briefs)`` those whose estimate comes near ``percent``."""
-
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(rows):
-            same = (_briefs(batch.column(2)) == _briefs(batch.column(3))).mean(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(same >= (percent - MARGIN) / 100))
-
-    return run
-
-
-def _close_in_blocks(percent: int):
-    """Of two blocks of a band, the pairs of different parts whose sizes allow a link and whose estimate comes near."""
+def linked_forest(ids: np.ndarray, parts: np.ndarray, sets: list[np.ndarray], left: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs of ids that tie together what confirmed links between a left and another row tie together.
 
+    Rows of one part are together already. A row's common shingles with all others are counted at once by an
+    inverted list. Rows are taken part by part, and a row only as long as some other row lies in another tree; so a group that
+    hangs together is settled after a few rows.
+    """
+    n = len(ids)
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(n), sizes)
+    elements, posting = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(posting, kind="stable")
+    owners, ends = owner[order], np.concatenate([[0], np.cumsum(np.bincount(posting, minlength=len(elements)))])
+    begins = np.concatenate([[0], np.cumsum(sizes)])
+    _, tree = np.unique(parts, return_inverse=True)
+    right = ~left if not left.all() else left
+    out = []
+    for x in np.flatnonzero(left).tolist():
+        if not (right & (tree != tree[x])).any():
+            continue
+        at = posting[begins[x] : begins[x + 1]]
+        counts = ends[at + 1] - ends[at]
+        places = np.repeat(ends[at] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+        common = np.bincount(owners[places], minlength=n)
+        linked = right & (tree != tree[x]) & (100 * common >= percent * (sizes[x] + sizes - common))
+        for y in np.flatnonzero(linked).tolist():
+            if tree[y] != tree[x]:
+                out.append((int(min(ids[x], ids[y])), int(max(ids[x], ids[y]))))
+                tree[tree == tree[y]] = tree[x]
+    return out
+
+
+def _linked_in_blocks(percent: int):
     def run(group: pa.Table) -> pa.Table:
         left = np.array(group["left"].to_pylist(), dtype=bool)
-        ids, parts, n = (group[c].to_numpy() for c in ("id", "part", "n"))
-        brief = _briefs(group["brief"])
-        same = group["i"][0].as_py() == group["j"][0].as_py()
-        x = np.flatnonzero(left)
-        y = x if same else np.flatnonzero(~left)
-        a, b = [], []
-        for row in x.tolist():
-            open_ = y[(parts[y] != parts[row]) & (100 * np.minimum(n[y], n[row]) >= percent * np.maximum(n[y], n[row])) & ((ids[y] > ids[row]) | (not same))]
-            near = open_[(brief[open_] == brief[row]).mean(axis=1) >= (percent - MARGIN) / 100]
-            a.append(np.minimum(ids[near], ids[row]))
-            b.append(np.maximum(ids[near], ids[row]))
-        none = [np.zeros(0, dtype=np.int64)]
-        return pa.table([np.concatenate(a or none), np.concatenate(b or none)], names=["a", "b"])
+        sets = [np.frombuffer(e.as_buffer(), dtype=U64) for e in group["elements"]]
+        pairs = linked_forest(group["id"].to_numpy(), group["part"].to_numpy(), sets, left, percent)
+        return pa.table([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     return run
 
 
-def close_pairs(apart: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a, b`` of one band that lie in different parts and may link; ``apart(key, id, part, n, brief)``.
+def links_in_blocks(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links ``a, b`` between members of one band in different parts, a forest of them for each two blocks.
 
-    A small band's members each meet a few others in a join. A larger one is cut into blocks, each pair of which is
-    compared in a task of its own; what a task emits are likely links, not all its pairs.
+    ``apart`` has ``key, id, part``, ``sets`` has ``id, elements``. Bands of the same members are taken once. A band is cut
+    into blocks of at most about ``BLOCK`` members and ``BLOCK_BYTES`` of sets, by a hash of the id; each two blocks meet in a task of
+    their own.
     """
-    sized = written(apart.join(apart.groupBy("key").agg(F.count("*").alias("m")), "key"), "apart")
-    small, large = sized.filter(F.col("m") <= FEW), sized.filter(F.col("m") > FEW)
-    x = small.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"), F.col("brief").alias("sa"))
-    y = small.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"), F.col("brief").alias("sb"))
-    fits = (F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    met = x.join(y, "key").filter(fits).select("a", "b", "sa", "sb").mapInArrow(_close_rows(percent), "a long, b long")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    cut = large.withColumn("h", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("nb", blocks)
-    row = ["key", "id", "part", "n", "brief"]
-    lefts = cut.select(*row, F.col("h").alias("i"), F.explode(F.sequence("h", F.col("nb") - 1)).alias("j"), F.lit(True).alias("left"))
-    rights = cut.filter("h > 0").select(*row, F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("i"), F.col("h").alias("j"), F.lit(False).alias("left"))
-    in_blocks = lefts.unionByName(rights).groupBy("key", "i", "j").applyInArrow(_close_in_blocks(percent), "a long, b long")
-    return met.unionByName(in_blocks).distinct()
+    sized = apart.join(sets.select("id", F.length("elements").alias("bytes")), "id")
+    h = F.xxhash64("id")
+    bands = sized.groupBy("key").agg(F.count("*").alias("m"), F.sum("bytes").alias("bytes"), F.bit_xor(h).alias("x"), F.bit_xor(F.xxhash64(h)).alias("y"))
+    once = bands.groupBy("m", "bytes", "x", "y").agg(F.min("key").alias("key"))
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    cut = apart.join(once.select("key", blocks.alias("nb")), "key").withColumn("h", F.pmod(F.xxhash64("id"), "nb").cast("int"))
+    lefts = cut.select("key", "id", "part", F.col("h").alias("i"), F.explode(F.sequence("h", F.col("nb") - 1)).alias("j"), F.lit(True).alias("left"))
+    rights = cut.filter("h > 0").select("key", "id", "part", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("i"), F.col("h").alias("j"), F.lit(False).alias("left"))
+    met = lefts.unionByName(rights).join(sets, "id").select("key", "i", "j", "id", "part", "left", "elements")
+    return met.groupBy("key", "i", "j").applyInArrow(_linked_in_blocks(percent), "a long, b long").distinct()
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -201,27 +198,27 @@ def _apart(members: DataFrame, joined: DataFrame) -> DataFrame:
     return written(placed.join(split, "key", "left_semi"), "apart")
 
 
-def other_leaders(members: DataFrame, pairs: DataFrame, links: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int):
-    """Compares bands ``(key, id)`` that lie in several components with leaders drawn by hash, ``ROUNDS`` times.
+def settled(members: DataFrame, pairs: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``node, component`` once every two members of a band ``(key, id)`` are linked, or found not to be.
 
-    ``pairs`` are compared already, ``links`` are those of them that hold, ``sets_of`` gives ``id, elements`` of some
-    ids. Returns pairs, links and components after that, and the bands still apart (None if there are none).
+    ``pairs`` are compared already, ``links`` are those of them that hold, ``sets`` has ``id, elements`` of all members.
+    Bands that lie in several components are compared with leaders drawn by hash, ``ROUNDS`` times, then in blocks.
     """
     joined = components(links)
     apart = _apart(members, joined)
-    if apart.isEmpty():
-        return pairs, links, joined, None
-    sets = sets_of(apart.select("id"))
     for turn in range(ROUNDS):
+        if apart.isEmpty():
+            return joined
         drawn = apart.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "key", "id").alias("h"), "id", "part")).alias("l")).select("key", F.col("l.id").alias("leader"), F.col("l.part").alias("of"))
         led = apart.join(drawn, "key").filter("part != of").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
         new = written(led.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
         pairs, links = pairs.unionByName(new), links.unionByName(written(confirmed(new, sets, percent), "links"))
         joined = components(links)
         apart = _apart(apart.select("key", "id"), joined)
-        if apart.isEmpty():
-            return pairs, links, joined, None
-    return pairs, links, joined, apart
+    if apart.isEmpty():
+        return joined
+    rest = written(links_in_blocks(apart, sets, percent), "links")
+    return joined if rest.isEmpty() else components(links.unionByName(rest))
 
 
 def near_duplicates(
@@ -245,7 +242,7 @@ def near_duplicates(
     marks = written(_signatures(named, words, slots, bands), "signatures")
     fine = marks.filter("print IS NOT NULL AND doc_id IS NOT NULL")
     # a class is named by the least id of its rows
-    classes = written(fine.groupBy("print").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("keys", "brief", "n_shingles")]), "classes")
+    classes = written(fine.groupBy("print").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys")), "classes")
     banded = written(classes.select("id", F.explode("keys").alias("key")), "bands")
     shared = banded.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("m")).filter("low < high").select("key", "m")
     members = written(banded.join(shared, "key"), "members")
@@ -256,17 +253,11 @@ def near_duplicates(
     leaders = known.groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("leader"))
     led = members.join(leaders, "key").filter("id != leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
     pairs = written(led.distinct(), "pairs")
-    links = written(confirmed(pairs, _sets_of(named, pairs.select(F.explode(F.array("a", "b")).alias("id")), words), percent), "links")
-    joined = components(links)
+    sets = _sets_of(named, members.select("id"), words)  # every member of a band is in some pair
+    links = written(confirmed(pairs, sets, percent), "links")
 
     # bands whose members still lie in several components: other leaders first, then all that is left
-    sizes = classes.select("id", F.col("n_shingles").alias("n"), "brief")
-    pairs, links, joined, apart = other_leaders(members.select("key", "id"), pairs, links, lambda ids: _sets_of(named, ids, words), percent)
-    if apart is not None:
-        rest = written(close_pairs(apart.join(sizes, "id"), percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
-        if not rest.isEmpty():
-            sets = _sets_of(named, rest.select(F.explode(F.array("a", "b")).alias("id")), words)
-            joined = components(links.unionByName(written(confirmed(rest, sets, percent), "links")))
+    joined = settled(members.select("key", "id"), pairs, links, sets, percent)
 
     of_class = classes.select("print", "id").join(joined.withColumnRenamed("node", "id"), "id", "left").select("print", F.coalesce("component", "id").alias("component_id"))
     lone = marks.filter("print IS NULL OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

@@ -102,7 +102,7 @@ def test_near_duplicates_equal_brute_force(table, copies, words, percent):
 
 
 def test_large_bands_are_compared_in_blocks(table, copies, monkeypatch):
-    monkeypatch.setattr(superminhash, "FEW", 3)
+    monkeypatch.setattr(superminhash, "ROUNDS", 1)
     monkeypatch.setattr(superminhash, "BLOCK", 8)
     want = {str(r.doc_id): r.component_id for r in superminhash.near_duplicates(table(copies), words=3, percent=85).collect()}
     sets = {d: shingles(t, 3) for d, t in copies if d is not None}
@@ -110,6 +110,33 @@ def test_large_bands_are_compared_in_blocks(table, copies, monkeypatch):
     assert {k: v for k, v in want.items() if k != "None"} == {str(k): v for k, v in group_ids(sets, links).items()}
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_forest_ties_what_links_tie(seed):
+    rng = np.random.default_rng(seed)
+    pool = rng.integers(0, 2**63, 60).astype(np.uint64)
+    sets = [np.unique(rng.choice(pool, rng.integers(1, 50))) for _ in range(40)]
+    ids, parts = rng.permutation(1_000)[:40], rng.integers(0, 12, 40)
+    for left in (np.ones(40, dtype=bool), rng.random(40) < 0.5):
+        right = left if left.all() else ~left
+        links = [(int(ids[x]), int(ids[y])) for x in np.flatnonzero(left) for y in np.flatnonzero(right) if x != y and 100 * len(np.intersect1d(sets[x], sets[y])) >= 60 * len(np.union1d(sets[x], sets[y]))]
+        same = [(int(ids[x]), int(ids[y])) for x in range(40) for y in range(x) if parts[x] == parts[y]]
+        forest = superminhash.linked_forest(ids, parts, sets, left, 60)
+        nodes = [int(i) for i in ids]
+        assert group_ids(nodes, same + forest) == group_ids(nodes, same + links)
+        assert set(forest) <= {(min(p), max(p)) for p in links} and len(forest) < 40
+
+
+def test_links_in_blocks_are_linear(spark):
+    """200 near copies and 100 unrelated sets in one band give fewer links than members."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 100).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base, rng.integers(0, 2**63, 3).astype(np.uint64)])) for _ in range(200)] + [np.unique(rng.integers(0, 2**63, 50).astype(np.uint64)) for _ in range(100)]
+    elements = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "id long, elements binary")
+    apart = spark.createDataFrame([(k, i, i) for k in (1, 2) for i in range(300)], "key long, id long, part long")
+    got = [(r.a, r.b) for r in superminhash.links_in_blocks(apart, elements, 85).collect()]
+    assert len(got) == 199 and len(set(group_ids(range(200), got).values())) == 1
+
+
 def test_no_documents(table, copies):
     none = table(copies).limit(0)
     assert superminhash.near_duplicates(none).collect() == []
@@ -234,7 +261,7 @@ def test_kmeans_separates_clusters():
 
 def test_paragraph_clusters_in_blocks_equal_brute_force(spark, table, monkeypatch):
     """Without leader rounds, bands that stay apart are compared in small blocks."""
-    for name, value in (("ROUNDS", 0), ("FEW", 2), ("BLOCK", 4)):
+    for name, value in (("ROUNDS", 0), ("BLOCK", 4)):
         monkeypatch.setattr(superminhash, name, value)
     rng = np.random.default_rng(5)
     stem = [f"s{i}" for i in range(20)]
