@@ -100,17 +100,32 @@ def nonzero_qnorm(df: DataFrame, keys: Sequence[str] = ("chrom",)) -> DataFrame:
     )
 
 
-def simple_qnorm(df: DataFrame, keys: Sequence[str] = ("chrom",)) -> DataFrame:
-    """Quantile normalisation that breaks ties by position instead of sharing a rank."""
-    keys = list(keys)
+def _ordered(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with their place ``i`` in the order of the sample's values (ties by position) and their average rank."""
     group = [*keys, "sample"]
-    below = rank_values(df, group, "value").select(*group, "value", "n_below")
+    ranks = rank_values(df, group, "value").select(*group, "value", "n_below", "avg_rank")
     within = prefix_scan(
         df.select(*group, "value", "pos"), [*group, "value"], "pos", position_tile(F.col("pos")),
         {"_same": ("sum", F.lit(1).cast("bigint"))},
     )
-    ordered = within.join(below, [*group, "value"]).select(
-        *group, "pos", "value", (F.col("n_below") + F.col("_same") + 1).alias("i")
+    return within.join(ranks, [*group, "value"]).select(
+        *group, "pos", "value", (F.col("n_below") + F.col("_same") + 1).alias("i"), "avg_rank"
     )
+
+
+def simple_qnorm(df: DataFrame, keys: Sequence[str] = ("chrom",)) -> DataFrame:
+    """Quantile normalisation that breaks ties by position instead of sharing a rank."""
+    keys = list(keys)
+    ordered = _ordered(df, keys)
     means = ordered.groupBy(*keys, "i").agg(F.avg("value").alias("mean"))
     return ordered.join(means, [*keys, "i"]).select(*keys, "sample", "pos", F.col("mean").alias("value"))
+
+
+def preprocess_qnorm(df: DataFrame, keys: Sequence[str] = ("chrom",)) -> DataFrame:
+    """Quantile normalisation with average ranks for ties: between two places, the mean of both their means."""
+    keys = list(keys)
+    ordered = _ordered(df, keys)
+    means = ordered.groupBy(*keys, "i").agg(F.avg("value").alias("mean"))
+    low, high = means.select(*keys, F.col("i").alias("_lo"), F.col("mean").alias("_a")), means.select(*keys, F.col("i").alias("_hi"), F.col("mean").alias("_b"))
+    placed = ordered.select(*keys, "sample", "pos", F.floor("avg_rank").cast("bigint").alias("_lo"), F.ceil("avg_rank").cast("bigint").alias("_hi"))
+    return placed.join(low, [*keys, "_lo"]).join(high, [*keys, "_hi"]).select(*keys, "sample", "pos", ((F.col("_a") + F.col("_b")) / 2).alias("value"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -113,42 +114,67 @@ def aligned_tracks(a: DataFrame, b: DataFrame) -> DataFrame:
     return pieces.select("chrom", "start", "end", F.coalesce("a", F.lit(0.0)).alias("a"), F.coalesce("b", F.lit(0.0)).alias("b"))
 
 
-def corr_full(spans: DataFrame, sizes: DataFrame, measure: str = "pearson") -> DataFrame:
-    """Correlation over every position; positions outside the spans are (0, 0)."""
-    w = spans.select("chrom", "a", "b", (F.col("end") - F.col("start")).alias("w"))
-    used = w.groupBy("chrom").agg(F.sum("w").alias("used"))
-    rest = sizes.join(used, "chrom").select(
-        "chrom", F.lit(0.0).alias("a"), F.lit(0.0).alias("b"), (F.col("size") - F.col("used")).alias("w")
-    )
-    return MEASURES[measure](w.unionByName(rest.filter("w > 0")), ["chrom"], "a", "b", F.col("w"))
+PAIR = ("sample_a", "sample_b")
+
+
+def _pairs_of(pieces: DataFrame, names: Sequence[str], columns: Sequence[str], kept: Sequence[str]) -> DataFrame:
+    """One row for each pair of ``names`` and row: ``sample_a, sample_b, kept..., a, b`` from the columns of the pair."""
+    pairs = [
+        F.struct(F.lit(names[i]).alias("sample_a"), F.lit(names[j]).alias("sample_b"), F.col(columns[i]).alias("a"), F.col(columns[j]).alias("b"))
+        for i, j in combinations(range(len(names)), 2)
+    ]
+    if not pairs:
+        raise ValueError("at least two tracks are needed")
+    return pieces.select(*kept, F.explode(F.array(*pairs)).alias("p")).select(*[f"p.{c}" for c in PAIR], *kept, "p.a", "p.b")
+
+
+def aligned_pairs(tracks: Mapping[str, DataFrame]) -> DataFrame:
+    """``aligned_tracks`` of every pair of tracks, with both names as keys; the tracks are aligned once, all together."""
+    columns = [f"_t{i}" for i in range(len(tracks))]
+    pieces = axis_pieces(dict(zip(columns, tracks.values(), strict=True)))
+    rows = _pairs_of(pieces, list(tracks), columns, ["chrom", "start", "end"]).filter("a IS NOT NULL OR b IS NOT NULL")
+    return rows.fillna(0.0, ["a", "b"])
+
+
+def corr_full(spans: DataFrame, sizes: DataFrame, measure: str = "pearson", keys: Sequence[str] = ("chrom",)) -> DataFrame:
+    """Correlation over all positions of each chromosome, those without a run included as pairs of zeros."""
+    keys = list(keys)
+    w = spans.select(*keys, "a", "b", (F.col("end") - F.col("start")).alias("w"))
+    used = w.groupBy(*keys).agg(F.sum("w").alias("used"))
+    rest = used.join(sizes, "chrom").select(*keys, F.lit(0.0).alias("a"), F.lit(0.0).alias("b"), (F.col("size") - F.col("used")).alias("w"))
+    return MEASURES[measure](w.unionByName(rest.filter("w > 0")), keys, "a", "b", F.col("w"))
 
 
-def corr_active(spans: DataFrame, measure: str = "pearson") -> DataFrame:
+def corr_active(spans: DataFrame, measure: str = "pearson", keys: Sequence[str] = ("chrom",)) -> DataFrame:
     """Correlation over positions where at least one track is above zero."""
     active = spans.filter((F.col("a") > 0) | (F.col("b") > 0))
-    return MEASURES[measure](active, ["chrom"], "a", "b", F.col("end") - F.col("start"))
+    return MEASURES[measure](active, keys, "a", "b", F.col("end") - F.col("start"))
 
 
 def segment_means(
     a: DataFrame, b: DataFrame, blocks: DataFrame, rois: DataFrame | None = None, skip_size: int = 0
 ) -> DataFrame:
     """Mean of both tracks per conserved segment (touching blocks are one, cut to ROIs if given) of at least ``skip_size``."""
+    return segment_pairs({"a": a, "b": b}, blocks, rois, skip_size).drop(*PAIR)
+
+
+def segment_pairs(tracks: Mapping[str, DataFrame], blocks: DataFrame, rois: DataFrame | None = None, skip_size: int = 0) -> DataFrame:
+    """``segment_means`` of every pair of tracks, with both names as keys; segments and sums are made once for all."""
     masks = {"cons": blocks} if rois is None else {"cons": blocks, "roi": rois}
-    pieces = axis_pieces({"a": a, "b": b}, masks)
+    columns = [f"_t{i}" for i in range(len(tracks))]
+    pieces = axis_pieces(dict(zip(columns, tracks.values(), strict=True)), masks)
     for name in masks:
         pieces = pieces.filter(name)
-    w = F.col("end") - F.col("start")
-    segments = iv.merge_overlapping(
-        pieces, sa=F.coalesce("a", F.lit(0.0)) * w, sb=F.coalesce("b", F.lit(0.0)) * w
-    ).withColumn("size", w)
-    return segments.filter(F.col("size") >= skip_size).select(
-        "chrom", "start", "end", "size", (F.col("sa") / F.col("size")).alias("a"), (F.col("sb") / F.col("size")).alias("b")
-    )
+    size = F.col("end") - F.col("start")
+    segments = iv.merge_overlapping(pieces, **{c: F.coalesce(c, F.lit(0.0)) * size for c in columns}).withColumn("size", size)
+    means = segments.filter(F.col("size") >= skip_size).select("chrom", "start", "end", "size", *[(F.col(c) / F.col("size")).alias(c) for c in columns])
+    return _pairs_of(means, list(tracks), columns, ["chrom", "start", "end", "size"])
 
 
-def segment_summary(segments: DataFrame) -> DataFrame:
+def segment_summary(segments: DataFrame, keys: Sequence[str] = ("chrom",)) -> DataFrame:
     """Number of segments, and median, minimum and maximum of their size and of both means."""
-    folded = segments.groupBy("chrom").agg(
+    keys = list(keys)
+    folded = segments.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("num_regions"),
         F.min("size").alias("reg_size_min"),
         F.max("size").alias("reg_size_max"),
@@ -158,20 +184,20 @@ def segment_summary(segments: DataFrame) -> DataFrame:
         F.round(F.max("b"), 2).alias("sig2_mean_max"),
     )
     long = segments.select(
-        "chrom",
+        *keys,
         F.explode(F.create_map(F.lit("reg_size"), F.col("size").cast("double"), F.lit("sig1_mean"), F.col("a"), F.lit("sig2_mean"), F.col("b"))).alias("what", "x"),
     )
-    medians = exact_percentiles(long, ["chrom", "what"], F.col("x"), [0.5])
+    medians = exact_percentiles(long, [*keys, "what"], F.col("x"), [0.5])
 
     def median(what: str) -> Column:
         return F.max(F.when(F.col("what") == what, F.element_at("pct", 1)))
 
-    picked = medians.groupBy("chrom").agg(
+    picked = medians.groupBy(*keys).agg(
         median("reg_size").cast("bigint").alias("reg_size_median"),
         F.round(median("sig1_mean"), 2).alias("sig1_mean_median"),
         F.round(median("sig2_mean"), 2).alias("sig2_mean_median"),
     )
-    return folded.join(picked, "chrom")
+    return folded.join(picked, keys)
 
 
 # ---------------------------------------------------------------- scores of predictions

@@ -236,7 +236,8 @@ def run_mapsig(spark: SparkSession, args: Namespace) -> None:
     ref, out = DatasetRef.parse(args.inputfile, args.inputgroup), _out(args)
     group = out.group or "default"
     sizes = store.sizes_from_map(spark, args.mapfile, "query", args.selectchroms)
-    lifted = map_signal(store.read_group(spark, ref.path, ref.group), store.read_blocks(spark, args.mapfile))
+    named = store.list_chroms(spark, ref.path)
+    lifted = map_signal(store.read_group(spark, ref.path, ref.group), store.read_blocks(spark, args.mapfile, chroms=(named, None)))
     lifted = lifted.join(sizes.select("chrom"), "chrom", "left_semi").filter(F.col("value") != 0)
     all_chroms = sizes.select("chrom", F.lit(0.0).alias("value"))
     metadata = store.signal_metadata(all_chroms, sizes, group, [args.inputfile])
@@ -288,7 +289,8 @@ def run_corr(spark: SparkSession, args: Namespace) -> None:
     results: dict[str, dict] = {}
     segments = None
     if args.task in ("cons", "roi"):
-        blocks = store.conserved_blocks(spark, args.mapfile, args.mapreference)
+        named = [r["chrom"] for r in shared.collect()]
+        blocks = store.conserved_blocks(spark, args.mapfile, args.mapreference, named)
         segments = cut_lineage(st.segment_means(a, b, blocks, rois, args.skipsize))
         for row in st.segment_summary(segments).collect():
             results[row["chrom"]] = {k: v for k, v in row.asDict().items() if k != "chrom"}

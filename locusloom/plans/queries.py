@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,12 +12,15 @@ from .. import views
 from ..functions import sequence as seqf
 from ..operators import features as ft
 from ..operators import intervals as iv
+from ..operators import matching as mt
 from ..operators import overlap as ov
 from ..operators import qnorm as qn
 from ..operators import signal as sg
 from ..operators import stats as st
 from ..operators import tables as tb
 from ..operators import values as vl
+from ..session import ensure_checkpoint_dir
+from ..sources import store
 from .oracle_views import CTES, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -546,6 +550,20 @@ def qnorm(spark, sf):
     return qn.nonzero_qnorm(t)
 
 
+@query(
+    "preprocess_qnorm",
+    with_views("tracks")
+    + """ , d as (select chrom, sample, "start" as pos, value, row_number() over w as i, rank() over (partition by chrom, sample order by value) as lo,
+      count(*) over (partition by chrom, sample, value) as n from tracks window w as (partition by chrom, sample order by value, "start")),
+    m as (select chrom, i, avg(value) as mean from d group by 1, 2), r as (select *, lo + (n - 1) / 2.0::double as r from d)
+    select r.chrom, r.sample, r.pos, round((a.mean + b.mean) / 2, 6) as value from r join m a on a.chrom = r.chrom and a.i = floor(r.r)
+    join m b on b.chrom = r.chrom and b.i = ceil(r.r)""",
+)
+def preprocess_qnorm(spark, sf):
+    t = views.tracks(spark, sf).select("chrom", "sample", F.col("start").alias("pos"), "value")
+    return rounded(qn.preprocess_qnorm(t), "value")
+
+
 @query(
     "simple_qnorm",
     with_views("tracks")
@@ -656,13 +674,18 @@ def distribution_stats(spark, sf):
 
 # ---------------------------------------------------------------- correlation
 
-_PAIR = """ , ab as (select chrom, "start", "end", coalesce(max(value) filter (sample = 'click'), 0) as a,
-    coalesce(max(value) filter (sample = 'view'), 0) as b from spans where sample in ('click', 'view') group by 1, 2, 3)"""
+_PAIR = """ , pr as (select x.sample as sample_a, y.sample as sample_b from (select distinct sample from tracks) x join (select distinct sample from tracks) y
+    on x.sample < y.sample),
+    ab as (select sample_a, sample_b, chrom, "start", "end", coalesce(max(value) filter (sample = sample_a), 0) as a,
+    coalesce(max(value) filter (sample = sample_b), 0) as b from spans join pr on sample in (sample_a, sample_b) group by 1, 2, 3, 4, 5)"""
+_BY_PAIR = "sample_a, sample_b, chrom"
 
 
-def _click_view(spark, sf):
+def _by_sample(spark, sf):
+    """One track for each sample; their names are as few as the input files."""
     t = views.tracks(spark, sf)
-    return st.aligned_tracks(t.filter("sample = 'click'"), t.filter("sample = 'view'"))
+    names = sorted(r[0] for r in views.table(spark, sf, "events").select("event_type").distinct().collect())
+    return {n: t.filter(F.col("sample") == n).drop("sample") for n in names}
 
 
 def _pearson_sql(source: str, keys: str = "chrom") -> str:
@@ -675,20 +698,25 @@ def _pearson_sql(source: str, keys: str = "chrom") -> str:
     "corr_full",
     with_views("spans", "sizes")
     + _PAIR
-    + """ , f as (select chrom, a, b, ("end" - "start") as w from ab union all
-      select s.chrom, 0, 0, s.size - u.used from sizes s join (select chrom, sum("end" - "start") as used from ab group by 1) u on s.chrom = u.chrom)"""
-    + _pearson_sql("f"),
+    + """ , f as (select sample_a, sample_b, chrom, a, b, ("end" - "start") as w from ab union all
+      select sample_a, sample_b, s.chrom, 0, 0, s.size - u.used from sizes s
+      join (select sample_a, sample_b, chrom, sum("end" - "start") as used from ab group by 1, 2, 3) u on s.chrom = u.chrom)"""
+    + _pearson_sql("f", _BY_PAIR),
 )
 def corr_full(spark, sf):
-    return rounded(st.corr_full(_click_view(spark, sf), views.sizes(spark, sf)), "stat")
+    """Every pair of samples over whole chromosomes."""
+    return rounded(st.corr_full(st.aligned_pairs(_by_sample(spark, sf)), views.sizes(spark, sf), keys=[*st.PAIR, "chrom"]), "stat")
 
 
 @query(
     "corr_active",
-    with_views("spans") + _PAIR + """ , f as (select chrom, a, b, ("end" - "start") as w from ab where a > 0 or b > 0)""" + _pearson_sql("f"),
+    with_views("spans")
+    + _PAIR
+    + """ , f as (select sample_a, sample_b, chrom, a, b, ("end" - "start") as w from ab where a > 0 or b > 0)"""
+    + _pearson_sql("f", _BY_PAIR),
 )
 def corr_active(spark, sf):
-    return rounded(st.corr_active(_click_view(spark, sf)), "stat")
+    return rounded(st.corr_active(st.aligned_pairs(_by_sample(spark, sf)), keys=[*st.PAIR, "chrom"]), "stat")
 
 
 _SEGMENTS = (
@@ -696,32 +724,31 @@ _SEGMENTS = (
     + _PAIR
     + """ , seg as (select b.chrom, greatest(b."start", r."start") as s, least(b."end", r."end") as e from islands_of_blocks b join rois r
       on b.chrom = r.chrom and b."start" < r."end" and b."end" > r."start"),
-    sg as (select seg.chrom, s, e, e - s as size, coalesce(sum(ab.a * (least(e, ab."end") - greatest(s, ab."start"))), 0) / (e - s) as a,
+    sg as (select seg.sample_a, seg.sample_b, seg.chrom, s, e, e - s as size, coalesce(sum(ab.a * (least(e, ab."end") - greatest(s, ab."start"))), 0) / (e - s) as a,
       coalesce(sum(ab.b * (least(e, ab."end") - greatest(s, ab."start"))), 0) / (e - s) as b
-      from seg left join ab on seg.chrom = ab.chrom and s < ab."end" and e > ab."start" where e - s >= 30 group by 1, 2, 3)"""
+      from (select * from seg cross join pr) seg left join ab on seg.sample_a = ab.sample_a and seg.sample_b = ab.sample_b
+      and seg.chrom = ab.chrom and s < ab."end" and e > ab."start" where e - s >= 30 group by 1, 2, 3, 4, 5)"""
 )
 
 
 def _segments(spark, sf):
-    t = views.tracks(spark, sf)
-    a, b = t.filter("sample = 'click'"), t.filter("sample = 'view'")
-    return st.segment_means(a, b, views.target_blocks(spark, sf), views.rois(spark, sf), 30)
+    return st.segment_pairs(_by_sample(spark, sf), views.target_blocks(spark, sf), views.rois(spark, sf), 30)
 
 
-@query("corr_segments", _SEGMENTS + " , f as (select chrom, a, b, 1 as w from sg)" + _pearson_sql("f"))
+@query("corr_segments", _SEGMENTS + " , f as (select sample_a, sample_b, chrom, a, b, 1 as w from sg)" + _pearson_sql("f", _BY_PAIR))
 def corr_segments(spark, sf):
-    return rounded(st.weighted_pearson(_segments(spark, sf), ["chrom"], "a", "b"), "stat")
+    return rounded(st.weighted_pearson(_segments(spark, sf), [*st.PAIR, "chrom"], "a", "b"), "stat")
 
 
 @query(
     "segment_summary",
     _SEGMENTS
-    + """ select chrom, count(*) as num_regions, min(size) as reg_size_min, max(size) as reg_size_max, round(min(a), 2) as sig1_mean_min,
+    + """ select sample_a, sample_b, chrom, count(*) as num_regions, min(size) as reg_size_min, max(size) as reg_size_max, round(min(a), 2) as sig1_mean_min,
     round(max(a), 2) as sig1_mean_max, round(min(b), 2) as sig2_mean_min, round(max(b), 2) as sig2_mean_max,
-    cast(trunc(median(size)) as bigint) as reg_size_median, round(median(a), 2) as sig1_mean_median, round(median(b), 2) as sig2_mean_median from sg group by 1""",
+    cast(trunc(median(size)) as bigint) as reg_size_median, round(median(a), 2) as sig1_mean_median, round(median(b), 2) as sig2_mean_median from sg group by 1, 2, 3""",
 )
 def segment_summary(spark, sf):
-    return st.segment_summary(_segments(spark, sf))
+    return st.segment_summary(_segments(spark, sf), [*st.PAIR, "chrom"])
 
 
 @query(
@@ -986,6 +1013,53 @@ def downsample_counts(spark, sf):
     return vl.sample_per_class(items, "l_returnflag", "name", 700, seed=11).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "downsample_rows",
+    """with n as (select concat_ws('_', l_orderkey, l_linenumber, l_partkey, l_suppkey) as name, l_returnflag from lineitem),
+    r as (select *, row_number() over (partition by l_returnflag order by md5(concat('11:', name)), name) as r from n)
+    select l_returnflag, name from r where r <= least(700, (select min(c) from (select count(*) as c from lineitem group by l_returnflag)))""",
+)
+def downsample_rows(spark, sf):
+    """The chosen rows of each class."""
+    items = views.table(spark, sf, "lineitem").select(F.concat_ws("_", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("name"), "l_returnflag")
+    return vl.sample_per_class(items, "l_returnflag", "name", 700, seed=11)
+
+
+@query(
+    "complement_sample",
+    with_views("regions", "sizes")
+    + """ , o as (select chrom, "start", "end", max("end") over (partition by chrom order by "start", "end" rows between unbounded preceding and 1 preceding) as reach
+      from (select chrom, "start", "end" from regions union all select chrom, size, size + 1 from sizes)),
+    g as (select chrom, coalesce(reach, 0) as s, "start" as e from o where "start" > coalesce(reach, 0)),
+    f as (select chrom, s, e, sum(e - s) over (partition by chrom order by s) - (e - s) as lo, sum(e - s) over (partition by chrom order by s) as hi from g),
+    t as (select chrom, max(hi) as total from f group by 1),
+    w as (select chrom, count(*) // 3 as n from regions group by 1),
+    d as (select w.chrom, k, ('0x' || md5(concat('7:', w.chrom, ':', k))[1:15])::bigint % total as rank
+      from (select chrom, unnest(range(n)) as k from w) w join t on w.chrom = t.chrom)
+    select d.chrom, d.k, cast(f.s + d.rank - f.lo as bigint) as pos, f.s as piece_start, f.e as piece_end
+    from d join f on d.chrom = f.chrom and d.rank >= f.lo and d.rank < f.hi""",
+)
+def complement_sample(spark, sf):
+    """A third as many positions as there are regions, drawn from what no region covers."""
+    r = views.regions(spark, sf)
+    wanted = r.groupBy("chrom").agg(F.floor(F.count(F.lit(1)) / 3).alias("n"))
+    return mt.complement_positions(iv.gaps(r, views.sizes(spark, sf)), wanted, 7)
+
+
+@query(
+    "map_select",
+    with_views("blocks")
+    + """ select blockid, tchrom, tstart, tend, qchrom, qstart, qend, qstrand from blocks
+    where tchrom in ('chr1', 'chr3') and qchrom = 'q2' and tend > 100000 and tstart < 3000000""",
+)
+def map_select(spark, sf):
+    """Blocks of two target chromosomes against one query chromosome within a span, from a stored map."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/map-{uuid.uuid4().hex}"
+    sizes = views.sizes(spark, sf)
+    store.write_map(views.blocks(spark, sf), path, store.map_metadata(spark, "t", "q", "md5", "", sizes, sizes, False))
+    return store.read_blocks(spark, path, targets="chr[13]", chroms=(None, ["q2"]), span=(100_000, 3_000_000))
+
+
 @query(
     "subset_expression",
     with_views("regions") + """ select chrom, "start", "end", name, score from regions where score > 20 and "end" - "start" < 80""",
@@ -1170,17 +1244,17 @@ def standard_scaler(spark, sf):
 # ---------------------------------------------------------------- matching
 
 
-@query(
-    "chebyshev_nearest",
+_NEAREST = (
     with_views("seqs")
     + """ , f as (select doc_id as id, lang, round(len(seq) / 1000.0::double, 6) as x, round(len(regexp_replace(seq, '[^GCgc]', '', 'g')) / len(seq)::double * 100, 6) as y,
       round(len(regexp_replace(seq, '[^acgt]', '', 'g')) / len(seq)::double * 100, 6) as z from seqs),
-    p as (select c.id, t.id as target_id, greatest(abs(c.x - t.x), abs(c.y - t.y), abs(c.z - t.z)) as dist from f c, f t where c.lang <> 'en' and t.lang = 'en')
-    select id, arg_min(target_id, (dist, target_id)) as target_id, round(min(dist), 6) as dist from p where dist <= 3 group by 1""",
+    p as (select c.id, t.id as target_id, greatest(abs(c.x - t.x), abs(c.y - t.y), abs(c.z - t.z)) as dist from f c, f t where c.lang <> 'en' and t.lang = 'en'),
+    r as (select *, row_number() over (partition by id order by dist, target_id) as rank from p)"""
 )
-def chebyshev_nearest(spark, sf):
-    """Nearest English document of each other document in (length, GC, repeats), at most 3 apart."""
-    from ..operators.matching import nearest_within
+
+
+def _nearest_english(spark, sf, k: int):
+    from ..operators.nearest import nearest_k
 
     s = views.sequences(spark, sf)
     points = s.select(
@@ -1190,5 +1264,16 @@ def chebyshev_nearest(spark, sf):
         F.round(seqf.gc_percent(F.col("seq")), 6).alias("y"),
         F.round(seqf.repeat_percent(F.col("seq")), 6).alias("z"),
     )
-    found = nearest_within(points.filter("lang != 'en'"), points.filter("lang = 'en'"), ["x", "y", "z"], [0.25, 0.5, 1.0, 3.0])
-    return rounded(found, "dist")
+    return rounded(nearest_k(points.filter("lang != 'en'"), points.filter("lang = 'en'"), ["x", "y", "z"], k), "dist")
+
+
+@query("chebyshev_nearest", _NEAREST + " select id, target_id, round(dist, 6) as dist from r where rank = 1")
+def chebyshev_nearest(spark, sf):
+    """Nearest English document of each other document in (length, GC, repeats), however far."""
+    return _nearest_english(spark, sf, 1).drop("rank")
+
+
+@query("chebyshev_knn", _NEAREST + " select id, rank, target_id, round(dist, 6) as dist from r where rank <= 5")
+def chebyshev_knn(spark, sf):
+    """The five nearest English documents of each other document."""
+    return _nearest_english(spark, sf, 5)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,12 @@ def build_session(app: str = "locusloom", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def workers_find_package(spark: SparkSession) -> None:
+    """Python workers that share this checkout import the package from it; elsewhere it is installed or shipped."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    spark.sparkContext.environment.setdefault("PYTHONPATH", root)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Folder for reliable checkpoints: the one the cluster names, else a private one.
 

@@ -6,7 +6,7 @@ readers use the last one.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -194,22 +194,44 @@ def assembly_of_map(spark: SparkSession, path: str, which: str) -> str:
     return row["value"]
 
 
-def read_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """Alignment blocks of a map container."""
-    return spark.read.parquet(f"{path}/data").drop("group", "chrom")
-
+def read_blocks(
+    spark: SparkSession,
+    path: str,
+    targets: str = "",
+    queries: str = "",
+    *,
+    chroms: tuple[Collection[str] | None, Collection[str] | None] = (None, None),
+    span: tuple[int, int] | None = None,
+) -> DataFrame:
+    """Alignment blocks of a map container, those of the chromosome pairs asked for.
 
-def conserved_blocks(spark: SparkSession, path: str, which: str) -> DataFrame:
-    """Blocks of a map container as intervals of the target or query side."""
+    ``targets`` and ``queries`` are patterns, ``chroms`` are lists of target and query chromosomes: both select folders, so
+    no block of another pair is read. ``span`` keeps blocks that meet [start, end) on the target; files are sorted by
+    it, so most row groups are passed over.
+    """
+    stored = spark.read.parquet(f"{path}/data")
+    for column, pattern, names in (("chrom", targets, chroms[0]), ("qside", queries, chroms[1])):
+        source = F.col(column if column in stored.columns else "qchrom")  # maps of older versions have no query folders
+        if pattern:
+            stored = stored.filter(matches_from_start(source, pattern))
+        if names is not None:
+            stored = stored.filter(source.isin(*names))
+    if span is not None:
+        stored = stored.filter((F.col("tstart") < span[1]) & (F.col("tend") > span[0]))
+    return stored.drop("group", "chrom", "qside")
+
+
+def conserved_blocks(spark: SparkSession, path: str, which: str, chroms: Collection[str] | None = None) -> DataFrame:
+    """Blocks of a map container as intervals of the target or query side, on ``chroms`` if given."""
     side = which[0]
-    return read_blocks(spark, path).select(
+    return read_blocks(spark, path, chroms=(chroms, None) if side == "t" else (None, chroms)).select(
         F.col(f"{side}chrom").alias("chrom"), F.col(f"{side}start").alias("start"), F.col(f"{side}end").alias("end")
     )
 
 
 def write_map(blocks: DataFrame, path: str, metadata: DataFrame) -> None:
-    """Blocks clustered by target chromosome, sorted by block id, with key/value metadata."""
-    stored = blocks.withColumns({"group": F.lit("blocks"), "chrom": F.col("tchrom")})
-    salted = stored.repartition("chrom", "qchrom", (F.col("tstart") / (1 << 24)).cast("bigint"))
-    salted.sortWithinPartitions("chrom", "blockid").write.mode("overwrite").partitionBy("group", "chrom").parquet(f"{path}/data")
+    """Blocks in a folder for each pair of chromosomes, sorted by target position, with key/value metadata."""
+    stored = blocks.withColumns({"group": F.lit("blocks"), "chrom": F.col("tchrom"), "qside": F.col("qchrom")})
+    salted = stored.repartition("chrom", "qside", (F.col("tstart") / (1 << 24)).cast("bigint"))
+    salted.sortWithinPartitions("chrom", "qside", "tstart").write.mode("overwrite").partitionBy("group", "chrom", "qside").parquet(f"{path}/data")
     metadata.coalesce(1).withColumn("rev", F.lit(0)).write.mode("overwrite").partitionBy("rev").parquet(f"{path}/metadata")

@@ -235,3 +235,23 @@ def test_dataset_references():
         DatasetRef.parse_feature("g:p")
     with pytest.raises(ValueError, match="assembly"):
         DatasetRef.parse_feature("l:g:p", "hg19")
+
+
+def test_maps_are_pruned_by_chromosome_pair(spark, tmp_path):
+    """Folders of other pairs are not read, and the span reaches the scan."""
+    rows = [(i, f"chr{i % 3}", i * 100, i * 100 + 60, f"q{i % 2}", i * 80, i * 80 + 60, 1) for i in range(60)]
+    blocks = spark.createDataFrame(rows, "blockid long, tchrom string, tstart long, tend long, qchrom string, qstart long, qend long, qstrand int")
+    sizes = spark.createDataFrame([("chr0", 9999)], "chrom string, size bigint")
+    path = str(tmp_path / "map")
+    store.write_map(blocks, path, store.map_metadata(spark, "t", "q", "md5", "", sizes, sizes, False))
+    some = store.read_blocks(spark, path, targets="chr[12]", chroms=(None, ["q1"]), span=(1000, 4000))
+    want = sorted(r[0] for r in rows if r[1] in ("chr1", "chr2") and r[4] == "q1" and r[2] < 4000 and r[3] > 1000)
+    assert sorted(r.blockid for r in some.collect()) == want
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    filters = plan[plan.index("PartitionFilters") :]
+    assert "qside" in filters[: filters.index("PushedFilters")] and "chrom" in filters[: filters.index("PushedFilters")]
+    assert "LessThan(tstart,4000)" in filters
+    read = {r.f.split("chrom=")[1].split("/part")[0] for r in some.select(F.input_file_name().alias("f")).distinct().collect()}
+    assert read == {"chr1/qside=q1", "chr2/qside=q1"}
+    assert sorted(r["chrom"] for r in store.conserved_blocks(spark, path, "query", ["q0"]).select("chrom").distinct().collect()) == ["q0"]
+    assert store.read_blocks(spark, path).count() == 60

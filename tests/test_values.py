@@ -8,7 +8,7 @@ from locusloom.functions.special import correlation_p_value, incomplete_beta
 from locusloom.operators import scan
 from locusloom.operators import stats as st
 from locusloom.operators import values as vl
-from locusloom.operators.qnorm import nonzero_qnorm, simple_qnorm
+from locusloom.operators.qnorm import nonzero_qnorm, preprocess_qnorm, simple_qnorm
 
 
 def matrix(spark, by_sample):
@@ -55,6 +55,16 @@ def test_weighted_rows_equal_spelled_out_positions(spark):
     np.testing.assert_allclose(np.repeat(got, width, axis=1), want)
 
 
+def test_preprocess_qnorm_goldens(spark):
+    """Examples of the normalisation with average ranks, samples in columns."""
+    wiki = np.array([[5, 4, 3], [2, 1, 4], [3, 4, 6], [4, 2, 8]], dtype=float).T
+    want = np.array([[5.666667, 5.166667, 2], [2, 2, 3], [3, 5.166667, 4.666667], [4.666667, 3, 5.666667]]).T
+    assert np.allclose(as_matrix(preprocess_qnorm(matrix(spark, wiki)), *wiki.shape), want, rtol=1e-6)
+    other = np.array([[2, 4, 4, 5], [5, 14, 4, 7], [4, 8, 6, 9], [3, 8, 5, 8], [3, 9, 3, 5]], dtype=float).T
+    want = np.array([[3.5, 3.5, 5.25, 4.25], [8.5, 8.5, 5.25, 5.5], [6.5, 5.25, 8.5, 8.5], [5.25, 5.25, 6.5, 6.5], [5.25, 6.5, 3.5, 4.25]]).T
+    assert np.allclose(as_matrix(preprocess_qnorm(matrix(spark, other)), *other.shape), want, rtol=1e-6)
+
+
 def test_simple_qnorm_wiki(spark):
     # the tie of the second sample is broken by position
     got = as_matrix(simple_qnorm(matrix(spark, WIKI)), *WIKI.shape)
