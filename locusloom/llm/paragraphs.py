@@ -255,8 +255,7 @@ def near_clusters(docs: DataFrame, table: DataFrame, percent: int = 80) -> DataF
 
     found = written(docs.mapInArrow(sets, "id long, elements binary").groupBy("id").agg(F.min("elements").alias("elements")), "sets")
     links = written(confirmed(pairs, found, percent), "links")
-    # bands whose members still lie in several components: other leaders first, then all that is left
-    return settled(members.select("key", F.col("print").alias("id")), pairs, links, found, percent)
+    return settled(members.select("key", F.col("print").alias("id")), links, found, percent)
 
 
 def repeated_passages(docs: DataFrame, *, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

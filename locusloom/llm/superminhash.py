@@ -3,9 +3,8 @@
 A document's set holds the hashes of its distinct word shingles. Documents of one set are folded into a class
 first, so thousands of copies cost one signature. Signatures of classes are cut into bands; classes that share
 a band are candidates. Every class of a band is compared with the one that shares most bands with others, which
-in a group of edited copies is the original, and in ``ROUNDS`` rounds with another one, if that lies in another
-component. Where a band's classes are still in several components after that, they are compared in blocks: a task gets
-the full sets of two blocks, counts common shingles by an inverted list of its own, and returns a spanning forest of the
+in a group of edited copies is the original. Where a band's classes are still in several components after that,
+they are compared in blocks: a task gets the full sets of two blocks, counts common shingles by an inverted list of its own, and returns a spanning forest of the
 links it confirmed. So what is passed on grows with the members of a band, never with its pairs, and no link that a
 band finds is lost.
 """
@@ -24,7 +23,6 @@ from .common import U64, batches, bitmap, lower_words, may_hold, mixed, signed,
 from .components import components
 
 SLOTS = 100
-ROUNDS = 3  # leaders taken at random in bands that lie in several components
 BLOCK = 2_048  # members of a block of a band
 BLOCK_BYTES = 16 << 20  # bytes of their sets
 BANDS = 20  # bands of 5: a pair at 0.85 is missed with probability (1 - 0.85 ** 5) ** 20 < 1e-5
@@ -198,23 +196,14 @@ def _apart(members: DataFrame, joined: DataFrame) -> DataFrame:
     return written(placed.join(split, "key", "left_semi"), "apart")
 
 
-def settled(members: DataFrame, pairs: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def settled(members: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``node, component`` once every two members of a band ``(key, id)`` are linked, or found not to be.
 
-    ``pairs`` are compared already, ``links`` are those of them that hold, ``sets`` has ``id, elements`` of all members.
-    Bands that lie in several components are compared with leaders drawn by hash, ``ROUNDS`` times, then in blocks.
+    ``links`` hold already, ``sets`` has ``id, elements`` of all members. Bands that lie in several components after these
+    links are compared in blocks.
     """
     joined = components(links)
     apart = _apart(members, joined)
-    for turn in range(ROUNDS):
-        if apart.isEmpty():
-            return joined
-        drawn = apart.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "key", "id").alias("h"), "id", "part")).alias("l")).select("key", F.col("l.id").alias("leader"), F.col("l.part").alias("of"))
-        led = apart.join(drawn, "key").filter("part != of").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
-        new = written(led.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-        pairs, links = pairs.unionByName(new), links.unionByName(written(confirmed(new, sets, percent), "links"))
-        joined = components(links)
-        apart = _apart(apart.select("key", "id"), joined)
     if apart.isEmpty():
         return joined
     rest = written(links_in_blocks(apart, sets, percent), "links")
@@ -256,8 +245,7 @@ def near_duplicates(
     sets = _sets_of(named, members.select("id"), words)  # every member of a band is in some pair
     links = written(confirmed(pairs, sets, percent), "links")
 
-    # bands whose members still lie in several components: other leaders first, then all that is left
-    joined = settled(members.select("key", "id"), pairs, links, sets, percent)
+    joined = settled(members.select("key", "id"), links, sets, percent)
 
     of_class = classes.select("print", "id").join(joined.withColumnRenamed("node", "id"), "id", "left").select("print", F.coalesce("component", "id").alias("component_id"))
     lone = marks.filter("print IS NULL OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

@@ -102,7 +102,6 @@ def test_near_duplicates_equal_brute_force(table, copies, words, percent):
 
 
 def test_large_bands_are_compared_in_blocks(table, copies, monkeypatch):
-    monkeypatch.setattr(superminhash, "ROUNDS", 1)
     monkeypatch.setattr(superminhash, "BLOCK", 8)
     want = {str(r.doc_id): r.component_id for r in superminhash.near_duplicates(table(copies), words=3, percent=85).collect()}
     sets = {d: shingles(t, 3) for d, t in copies if d is not None}
@@ -260,8 +259,8 @@ def test_kmeans_separates_clusters():
 
 
 def test_paragraph_clusters_in_blocks_equal_brute_force(spark, table, monkeypatch):
-    """Without leader rounds, bands that stay apart are compared in small blocks."""
-    for name, value in (("ROUNDS", 0), ("BLOCK", 4)):
+    """Bands that stay apart are compared in small blocks."""
+    for name, value in (("BLOCK", 4),):
         monkeypatch.setattr(superminhash, name, value)
     rng = np.random.default_rng(5)
     stem = [f"s{i}" for i in range(20)]
