@@ -41,6 +41,12 @@ HEADLINE = [
     "stack_distinct",
     "roc_auc",
     "chebyshev_nearest",
+    "chebyshev_knn",
+    "roi_restricted_eval",
+    "complement_sample",
+    "preprocess_qnorm",
+    "downsample_rows",
+    "map_select",
 ]
 
 
