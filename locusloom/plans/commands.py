@@ -6,6 +6,7 @@ import json
 import logging
 import os
 from argparse import Namespace
+from functools import partial
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -38,7 +39,7 @@ def _out(args: Namespace) -> DatasetRef:
 
 def _write_regions(df: DataFrame, args: Namespace, group: str, files) -> None:
     out = _out(args)
-    store.write_group(df, out.path, group, store.region_metadata(df, group, files), args.filemode)
+    store.write_group(iv.check_regions(df), out.path, group, lambda stored: store.region_metadata(stored, group, files), args.filemode)
 
 
 def _write_json(path: str, document) -> None:
@@ -196,7 +197,8 @@ def run_compfeat(spark: SparkSession, args: Namespace) -> None:
     if args.task == "classify":
         samples = store.read_group(spark, ref.path, ref.group, select)
         made = compute_features(spark, samples, args)
-        meta = store.feature_metadata(made, group, [args.inputfile, *args.sigfile, *args.roifile], args.window, args.features, args.kmers, args.mapfile or "")
+        files = [args.inputfile, *args.sigfile, *args.roifile]
+        meta = lambda rows: store.feature_metadata(rows, group, files, args.window, args.features, args.kmers, args.mapfile or "")
         store.write_group(made, out.path, group, meta, args.filemode)
     elif args.task == "matched":
         if not (args.posingroup and args.negingroup):
@@ -208,7 +210,7 @@ def run_compfeat(spark: SparkSession, args: Namespace) -> None:
         mode = args.filemode
         for side, y, target in ((positive, 1.0, args.posoutgroup), (negative, 0.0, args.negoutgroup)):
             made = compute_features(spark, side, args).withColumn("y_depvar", F.lit(y))
-            meta = store.feature_metadata(made, target, [args.inputfile], None, args.features, args.kmers, args.mapfile or "")
+            meta = partial(store.feature_metadata, group=target, files=[args.inputfile], resolution=None, features=args.features, kmers=args.kmers, mapfile=args.mapfile or "")
             store.write_group(made, out.path, target, meta, mode)
             mode = "a"
     elif args.task == "regress":
@@ -222,7 +224,7 @@ def run_compfeat(spark: SparkSession, args: Namespace) -> None:
         made = ft.signal_features(made, {"": runs}, blocks)
         depvar = masked_stats(windows, runs, None, "y").select("chrom", "start", "end", F.col("ftmsig_y_abs_mean").alias("y_depvar"))
         made = made.join(depvar, ["chrom", "start", "end"]).drop("seq")
-        meta = store.feature_metadata(made, group, [args.inputfile], args.resolution, args.features, args.kmers, args.mapfile)
+        meta = lambda rows: store.feature_metadata(rows, group, [args.inputfile], args.resolution, args.features, args.kmers, args.mapfile)
         store.write_group(made, out.path, group, meta, args.filemode)
     else:
         raise ValueError(f"unknown feature task: {args.task}")

@@ -6,7 +6,7 @@ readers use the last one.
 
 from __future__ import annotations
 
-from collections.abc import Collection, Sequence
+from collections.abc import Callable, Collection, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -112,26 +112,34 @@ def _revision(spark: SparkSession, path: str) -> int:
         return 0
 
 
-def write_group(df: DataFrame, path: str, group: str, metadata: DataFrame, mode: str = "w") -> None:
+def write_group(df: DataFrame, path: str, group: str, metadata: DataFrame | Callable[[DataFrame], DataFrame], mode: str = "w") -> None:
     """Write one group. ``w`` replaces the container, ``a`` only the chromosomes written.
 
     Rows are clustered by chromosome with a salt, so that each chromosome is written by
-    several tasks, and sorted inside each file.
+    several tasks, and sorted inside each file. ``metadata`` may be a function of the rows as they are stored: it then reads
+    what was written, so the pipeline behind ``df`` runs once, and files it was read from may be the ones replaced.
     """
     spark = df.sparkSession
     named = df.withColumns({"chrom": chrom_name(F.col("chrom")) if "metadata" not in df.columns else F.col("chrom"), "group": F.lit(group.strip("/") or "default")})
     order = [c for c in ("group", "chrom", "start", "end") if c in named.columns]
     parts = named.repartition(*[F.col("group"), F.col("chrom"), (F.col("start") / (1 << 24)).cast("bigint")]) if "start" in named.columns else named
     writer = parts.sortWithinPartitions(*order).write.partitionBy("group", "chrom").mode("overwrite")
+
+    def described() -> DataFrame:
+        if isinstance(metadata, DataFrame):
+            return metadata
+        stored = spark.read.schema(named.schema).parquet(f"{path}/data").filter(F.col("group") == (group.strip("/") or "default"))
+        return metadata(stored.select(*df.columns))
+
     if mode == "a":
         old = read_metadata(spark, path)
-        merged = upsert_metadata(old, metadata)
         writer = writer.option("partitionOverwriteMode", "dynamic")
         writer.parquet(f"{path}/data")
+        merged = upsert_metadata(old, described())
         merged.coalesce(1).write.mode("append").parquet(f"{path}/metadata/rev={_revision(spark, path)}")
     else:
         writer.parquet(f"{path}/data")
-        metadata.coalesce(1).withColumn("rev", F.lit(0)).write.mode("overwrite").partitionBy("rev").parquet(f"{path}/metadata")
+        described().coalesce(1).withColumn("rev", F.lit(0)).write.mode("overwrite").partitionBy("rev").parquet(f"{path}/metadata")
 
 
 def default_group(spark: SparkSession, path: str) -> str:

@@ -255,3 +255,21 @@ def test_maps_are_pruned_by_chromosome_pair(spark, tmp_path):
     assert read == {"chr1/qside=q1", "chr2/qside=q1"}
     assert sorted(r["chrom"] for r in store.conserved_blocks(spark, path, "query", ["q0"]).select("chrom").distinct().collect()) == ["q0"]
     assert store.read_blocks(spark, path).count() == 60
+
+
+def test_rows_are_made_once_and_read_from_what_they_replace(spark, tmp_path):
+    """Metadata come from the stored rows: each row of the pipeline is made once, also where it reads the same container."""
+    path, made = str(tmp_path / "box"), spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        made.add(1)
+        return x
+
+    count = F.udf(seen, "bigint").asNondeterministic()
+    df = spark.range(50).select(F.concat(F.lit("chr"), F.col("id") % 3).alias("chrom"), count(F.col("id") * 10).alias("start")).withColumn("end", F.col("start") + 5)
+    store.write_group(df, path, "g", lambda rows: store.region_metadata(rows, "g", ["x"]))
+    assert made.value == 50
+    assert {r["chrom"]: (r.numreg, r.covbp) for r in store.read_metadata(spark, path).collect()} == {"chr0": (17, 85), "chr1": (17, 85), "chr2": (16, 80)}
+    some = store.read_group(spark, path, "g", "chr[01]").filter("start < 100")
+    store.write_group(some, path, "g", lambda rows: store.region_metadata(rows, "g", ["y"]), "a")
+    assert {r["chrom"]: r.numreg for r in store.read_metadata(spark, path).collect()} == {"chr0": 4, "chr1": 3, "chr2": 16}
