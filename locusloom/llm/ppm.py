@@ -11,9 +11,11 @@ The model is trained once and then fixed. So a word's later bytes always cost th
 on a pair of short strings: texts are scored by word and by pair, each computed once for many. All contexts count.
 Those that make up at least ``2 ** -CONTEXT_BITS`` of all training bytes are broadcast. Contexts of one length are
 disjoint, so there are at most ``2 ** CONTEXT_BITS`` of each length, whatever the corpus. Words and pairs that need
-rarer ones are spelled once more, each only once, and joined with the table of all counts. The same holds for the words
-whose counts are broadcast for the base score (``WORD_BITS``); counts of all other words are joined by a shuffle,
-none is left out.
+rarer ones are spelled once more, each only once. Their bytes and the counts of the corpus are dealt out by the shortest
+end of the context that isn't broadcast: all longer contexts with that end, hence all escapes down to what is broadcast, lie
+in one group, and no group has a larger share of the training bytes than a broadcast context must have. The same holds for
+the words whose counts are broadcast for the base score (``WORD_BITS``); counts of all other words are joined by a
+shuffle, none is left out.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ ORDER = 6
 HEAD = 3  # ORDER is twice HEAD
 CONTEXT_BITS = 20
 WORD_BITS = 20
-FLUSH = 400_000  # words a task counts before it passes them on
+FLUSH = 100_000  # words a task counts before it passes them on
 END = b"\n"  # can't occur in a word
 
 
@@ -83,13 +85,36 @@ def key_of(length: np.ndarray, context: np.ndarray, byte: np.ndarray | int) -> n
     return (np.asarray(length).astype(U64) << U64(56)) | (context << U64(8)) | np.asarray(byte).astype(U64)
 
 
+def parts_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Context length, context and byte of keys made by ``key_of``."""
+    return (keys >> U64(56)).astype(np.int64), (keys >> U64(8)) & U64((1 << 48) - 1), (keys & U64(255)).astype(np.uint8)
+
+
+def ending(context: np.ndarray, k: np.ndarray | int) -> np.ndarray:
+    """The last ``k`` bytes of each context."""
+    return context & ((U64(1) << (U64(8) * np.asarray(k).astype(U64))) - U64(1))
+
+
+def shortened(keys: np.ndarray, counts: np.ndarray, least: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the same bytes in all ends of their contexts of ``least`` bytes or more, and the sums of their counts."""
+    length, context, byte = parts_of(keys)
+    found, times = [], []
+    for k in range(ORDER + 1):
+        own = (length >= k) & (least <= k)
+        found.append(key_of(np.full(own.sum(), k), ending(context[own], k), byte[own]))
+        times.append(counts[own])
+    found, where = np.unique(np.concatenate(found), return_inverse=True)
+    return found, np.bincount(where, np.concatenate(times), len(found)).astype(np.int64)
+
+
 class Trie:
     """Log probabilities of bytes seen in some contexts, and what an escape from each context costs.
 
-    With a context all shorter ones that end it are there too.
+    With a context all shorter ones that end it are there too, or in ``below``, the trie that continues this one downwards.
     """
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, below: Trie | None = None):
+        self.below = below
         keys = keys.astype(U64)
         order = np.argsort(keys)
         self.keys, counts = keys[order], counts[order].astype(np.float64)
@@ -107,15 +132,14 @@ class Trie:
             own = np.flatnonzero(length == k)
             if not len(own):
                 continue
-            rows = np.flatnonzero(np.isin(owner, own))
+            rows = np.flatnonzero(length[owner] == k)
             seen = self.keys[rows]
-            below = 10 ** self._shorter(k, seen)
-            taken = np.bincount(owner[rows], below, len(first))[own]
+            taken = np.bincount(owner[rows], 10 ** self._shorter(k, seen), len(first))[own]
             left = 1 - taken
             open_ = left > 1e-9
             self.log_escape[own] = np.log10(np.where(open_, escape[own] / np.where(open_, left, 1), 1e-300))
             full = own[~open_]  # all bytes seen: nothing escapes
-            at = np.flatnonzero(np.isin(owner, full))
+            at = rows[np.isin(owner[rows], full)]
             self.log_p[at] = np.log10(counts[at] / total[owner[at]])
 
     def _shorter(self, k: int, keys: np.ndarray) -> np.ndarray:
@@ -143,7 +167,7 @@ class Trie:
             at, known = self._find(self.contexts, (U64(k) << U64(48)) | part[~found])
             out[lost[known]] += self.log_escape[at[known]]
             rest = np.concatenate([rest[~fits], lost])
-        out[rest] -= np.log10(256)
+        out[rest] += -np.log10(256) if self.below is None else self.below.log_bytes(length[rest], context[rest], byte[rest])
         return out
 
     def holds(self, length: np.ndarray, context: np.ndarray) -> np.ndarray:
@@ -152,6 +176,15 @@ class Trie:
             return np.ones(len(context), dtype=bool)
         return self._find(self.contexts, (np.asarray(length).astype(U64) << U64(48)) | context)[1]
 
+    def level(self, length: np.ndarray, context: np.ndarray) -> np.ndarray:
+        """Length of the longest end of each context that is here."""
+        out, rest = np.zeros(len(context), dtype=np.int64), np.arange(len(context))
+        for k in range(1, ORDER + 1):
+            rest = rest[length[rest] >= k]
+            rest = rest[self.holds(np.full(len(rest), k), ending(context[rest], k))]
+            out[rest] = k
+        return out
+
     def _sums(self, found: tuple[np.ndarray, ...], n: int) -> tuple[np.ndarray, np.ndarray]:
         """Sums over bytes whose context is here, and what has others besides."""
         length, context, byte, owner = found
@@ -249,101 +282,106 @@ def corpus_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def context_counts(counts: DataFrame) -> DataFrame:
-    """``key, n, context`` of contexts of all lengths, from counts of longest contexts."""
-
-    def shorter(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            key, n = batch.column(0).to_numpy().view(U64), batch.column(1).to_numpy()
-            length, context, byte = (key >> U64(56)).astype(np.int64), (key >> U64(8)) & U64((1 << 48) - 1), key & U64(255)
-            for k in range(ORDER + 1):
-                own = length >= k
-                got = key_of(np.full(own.sum(), k), context[own] & ((U64(1) << U64(8 * k)) - U64(1)), byte[own])
-                yield pa.RecordBatch.from_arrays([pa.array(signed(got)), pa.array(n[own])], names=["key", "n"])
-
-    longest = counts.filter("kind = 1").select("key", "n")
-    return written(longest.mapInArrow(shorter, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).withColumn("context", F.shiftright("key", 8)), "contexts")
+def gathered(rows: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[pa.Table]:
+    """The rows in tables of about ``most``."""
+    held: list[pa.RecordBatch] = []
+    for batch in rows:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= most:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def trained_trie(longest: DataFrame) -> Trie:
+    """The trie of the frequent contexts, from counts ``key, n`` of bytes in their longest contexts."""
+    size = longest.agg(F.sum("n")).first()[0]
+    if not size:
+        return Trie(np.zeros(0, U64), np.zeros(0, np.int64))
+
+    def totals(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in gathered(rows):
+            keys, n = shortened(some["key"].to_numpy().view(U64), some["n"].to_numpy())
+            context, first = np.unique(keys >> U64(8), return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(context)), pa.array(np.add.reduceat(n, first))], names=["context", "n"])
+
+    often = longest.mapInArrow(totals, "context long, n long").groupBy("context").agg(F.sum("n").alias("n"))
+    often = often.filter(F.col("n") * float(1 << CONTEXT_BITS) >= F.lit(size)).select("context").toArrow()  # bounded, see above
+    kept = longest.sparkSession.sparkContext.broadcast(np.sort(often["context"].to_numpy().view(U64)))
+
+    def within(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in gathered(rows):
+            keys, n = shortened(some["key"].to_numpy().view(U64), some["n"].to_numpy())
+            context = keys >> U64(8)
+            at = np.minimum(np.searchsorted(kept.value, context), len(kept.value) - 1)
+            own = kept.value[at] == context
+            yield pa.RecordBatch.from_arrays([pa.array(signed(keys[own])), pa.array(n[own])], names=["key", "n"])
+
+    rows = longest.mapInArrow(within, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # at most 256 for each of these
+    return Trie(rows["key"].to_numpy().view(U64), rows["n"].to_numpy())
 
 
-def trained_trie(every: DataFrame) -> Trie:
-    """The trie of the frequent contexts of ``every`` (see ``context_counts``)."""
-    size = every.filter("key < 256 AND key >= 0").agg(F.sum("n")).first()[0] or 0
-    kept = every.groupBy("context").agg(F.sum("n").alias("all")).filter(F.col("all") * float(1 << CONTEXT_BITS) >= F.lit(size)).select("context")
-    rows = every.join(kept, "context").select("key", "n").toArrow()  # bounded, see above
-    return Trie(rows["key"].to_numpy().view(U64), rows["n"].to_numpy())
+_DEALT = pa.schema([("group", pa.int64()), ("asks", pa.bool_()), ("unit", pa.int64()), ("key", pa.int64()), ("n", pa.int64())])
 
 
-def _shorter(key: str) -> str:
-    """SQL: the key of the same byte in the context without its oldest byte; NULL for the empty context."""
-    k = f"shiftright({key}, 56)"
-    return f"if({k} > 0, shiftleft({k} - 1, 56) | ({key} & (shiftleft(1L, cast(8 * {k} as int)) - 1)), NULL)"
+def _dealt(trie: Trie, keys: np.ndarray, units: np.ndarray | None, n: np.ndarray | None) -> pa.RecordBatch:
+    """Rows of those keys whose context isn't in the trie, with the group they belong to: counts, or what units ask for."""
+    length, context, _ = parts_of(keys)
+    level = trie.level(length, context)
+    away = np.flatnonzero(level < length)
+    up = level[away] + 1
+    none = np.zeros(len(away), np.int64)
+    group = (up.astype(U64) << U64(48)) | ending(context[away], up)
+    cols = [signed(group), np.full(len(away), units is not None), none if units is None else units[away], signed(keys[away]), none if n is None else n[away]]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=_DEALT)
 
 
-def unit_scores(units: DataFrame, every: DataFrame, model: Broadcast) -> DataFrame:
-    """``unit, part``: log10 probability of those bytes of each unit whose context the trie doesn't hold.
+def unit_scores(units: DataFrame, longest: DataFrame, model: Broadcast) -> DataFrame:
+    """``id, part``: log10 probability of those bytes of each unit ``(id, unit)`` whose context the trie doesn't hold.
 
-    A unit is a word, or a space and the number of a pair. ``model`` is a tuple that begins with the trie.
+    A unit is a word, or a space and the number of a pair. ``longest`` holds the counts of bytes in their longest contexts,
+    ``model`` is a tuple that begins with the trie.
     """
 
     def spelt(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = model.value[0]
         for batch in batches(rows, 1 << 20):
-            found = batch.column(0).to_pylist()
+            ids, found = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            is_pair = np.array([u[:1] == b" " for u in found])
             words = [u for u in found if u[:1] != b" "]
-            pairs = [u for u in found if u[:1] == b" "]
-            for of, parts in ((words, contexts), (pairs, lambda p: pair_contexts(np.array([int.from_bytes(u[1:], "big") for u in p], dtype=U64)))):
-                if not of:
-                    continue
-                length, context, byte, owner = parts(of)
-                away = np.flatnonzero(~trie.holds(length, context))
-                keys = key_of(length[away], context[away], byte[away])
-                for at in range(0, len(away), 1 << 16):
-                    some = slice(at, at + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([pa.array([of[i] for i in owner[away[some]].tolist()], pa.binary()), pa.array(signed(keys[some]))], names=["unit", "key"])
-
-    def steps(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each key in all its contexts that the trie doesn't hold, and the log probability from the first that it does."""
+            pairs = np.array([int.from_bytes(u[1:], "big") for u in found if u[:1] == b" "], dtype=U64)
+            for of, parts in ((ids[~is_pair], contexts(words) if words else None), (ids[is_pair], pair_contexts(pairs) if len(pairs) else None)):
+                if parts is not None:
+                    length, context, byte, owner = parts
+                    yield _dealt(trie, key_of(length, context, byte), of[owner], None)
+
+    def counted(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in gathered(rows):
+            yield _dealt(model.value[0], some["key"].to_numpy().view(U64), None, some["n"].to_numpy())
+
+    def graded(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Groups one after the other, the counts of each before what is asked; counts of an unfinished group are kept."""
         trie = model.value[0]
-        for batch in batches(rows, 1 << 20):
-            key = batch.column(0).to_numpy().view(U64)
-            length, context, byte = (key >> U64(56)).astype(np.int64), (key >> U64(8)) & U64((1 << 48) - 1), key & U64(255)
-            held = np.full(len(key), -1)
-            out = []
-            for k in range(ORDER + 1):
-                part = context & ((U64(1) << U64(8 * k)) - U64(1))
-                held[(length >= k) & trie.holds(np.full(len(key), k), part)] = k
-                out.append(key_of(np.full(len(key), k), part, byte))
-            low = trie.log_bytes(held, context, byte.astype(np.uint8))
-            for k in range(ORDER + 1):
-                own = np.flatnonzero((length >= k) & (held < k))
-                cols = [signed(key[own]), signed(out[k][own]), low[own]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["wanted", "key", "low"])
-
-    lookups = written(units.mapInArrow(spelt, "unit binary, key long"), "lookups")
-    wanted = lookups.select("key").distinct()
-    all_of = every.groupBy("context").agg(F.sum("n").alias("all"), F.count("*").alias("kinds"))
-    log_p = F.log10((F.col("n") - 0.5) / F.col("all"))
-    asked = written(wanted.join(every.select("key", "n"), "key", "left").withColumn("context", F.shiftright("key", 8)), "asked")
-    seen = asked.filter("n IS NOT NULL").join(all_of, "context").select("key", log_p.alias("log_p"))
-
-    # the others escape: by the bytes that each of their contexts and the next shorter one have seen
-    walk = written(asked.filter("n IS NULL").select("key").mapInArrow(steps, "wanted long, key long, low double").withColumn("context", F.shiftright("key", 8)), "walk")
-    used = written(walk.select("context").distinct().join(all_of, "context"), "used")
-    below = every.join(used.select("context"), "context", "left_semi").select("context", F.expr(_shorter("key")).alias("key"))
-    taken = below.join(every.select("key", "n"), "key").groupBy("context").agg(F.sum("n").alias("taken"))
-    shorter = used.join(taken, "context").withColumn("next", F.shiftright(F.expr(_shorter("shiftleft(context, 8)")), 8))
-    open_ = (2 * (F.col("above") - F.col("taken")) + F.col("kinds")) / (2 * F.col("above"))  # never 0
-    escape = shorter.join(all_of.select(F.col("context").alias("next"), F.col("all").alias("above")), "next").select("context", F.log10(F.col("kinds") / (2 * F.col("all")) / open_).alias("escape"), "all")
-    level = F.shiftright("context", 48)
-    met = walk.join(every.select("key", "n"), "key", "left").join(written(escape, "escapes"), "context", "left")
-    met = met.groupBy("wanted").agg(
-        F.max(F.when(F.col("n").isNotNull(), F.struct(level.alias("level"), log_p.alias("log_p")))).alias("best"),
-        F.collect_list(F.struct(level.alias("level"), F.coalesce("escape", F.lit(0.0)).alias("escape"))).alias("escapes"),  # ORDER + 1 at most
-        F.max("low").alias("low"),
-    )
-    left = F.aggregate(F.filter("escapes", lambda e: e["level"] > F.coalesce("best.level", F.lit(-1))), F.lit(0.0), lambda a, e: a + e["escape"])
-    missed = met.select(F.col("wanted").alias("key"), (F.coalesce("best.log_p", "low") + left).alias("log_p"))
-    return lookups.join(written(seen.unionByName(missed), "values"), "key").groupBy("unit").agg(F.sum("log_p").alias("part"))
+        groups, keys, n = np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int64)
+        for some in gathered(rows):
+            asks, group, key = (some[c].to_numpy() for c in ("asks", "group", "key"))
+            groups = np.append(groups, group[~asks])
+            keys, n = np.append(keys, key[~asks].view(U64)), np.append(n, some["n"].to_numpy()[~asks])
+            if asks.any():
+                own = np.isin(groups, group[asks])
+                local = Trie(*shortened(keys[own], n[own], groups[own] >> 48), below=trie)
+                unit, where = np.unique(some["unit"].to_numpy()[asks], return_inverse=True)
+                part = np.bincount(where, local.log_bytes(*parts_of(key[asks].view(U64))), len(unit))
+                yield pa.RecordBatch.from_arrays([pa.array(unit), pa.array(part)], names=["id", "part"])
+            last = groups == group[-1]
+            groups, keys, n = groups[last], keys[last], n[last]
+
+    ddl = "group long, asks boolean, unit long, key long, n long"
+    dealt = longest.mapInArrow(counted, ddl).unionByName(units.select("id", "unit").mapInArrow(spelt, ddl))
+    ordered = dealt.repartition("group").sortWithinPartitions("group", "asks")
+    return ordered.mapInArrow(graded, "id long, part double").groupBy("id").agg(F.sum("part").alias("part"))
 
 
 def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -361,8 +399,8 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     ends = n_of.get(2, 0)
     tokens, distinct = n_of.get(0, 0) + ends, kinds_of.get(0, 0) + (ends > 0)
     size = tokens + distinct + 1
-    every = context_counts(counts)
-    trie = trained_trie(every)
+    longest = counts.filter("kind = 1").select("key", "n")
+    trie = trained_trie(longest)
 
     # frequent words: at most 2 ** WORD_BITS reach the share, so they may be broadcast
     often = F.col("n") * float(1 << WORD_BITS) >= F.lit(tokens)
@@ -426,9 +464,9 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
         .groupBy("row")
         .agg(F.sum(F.col("times") * F.log10((n + 1) / F.lit(size))).alias("more_base"), F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("more_known"))
     )
-    of_row = scored.select("row", F.explode(F.arrays_zip("units", "unit_times")).alias("u")).select("row", F.col("u.units").alias("unit"), F.col("u.unit_times").alias("times"))
-    of_unit = written(unit_scores(of_row.select("unit").distinct(), every, shared), "units")
-    more = of_row.join(of_unit, "unit").groupBy("row").agg(F.sum(F.col("times") * F.col("part")).alias("more"))
+    of_row = scored.select("row", F.explode(F.arrays_zip("units", "unit_times")).alias("u")).select("row", F.xxhash64("u.units").alias("id"), F.col("u.units").alias("unit"), F.col("u.unit_times").alias("times"))
+    of_unit = written(unit_scores(of_row.select("id", "unit").distinct(), longest, shared), "units")
+    more = of_row.select("row", "id", "times").join(of_unit, "id").groupBy("row").agg(F.sum(F.col("times") * F.col("part")).alias("more"))
     return scored.drop("rare", "times", "units", "unit_times").join(added, "row", "left").join(more, "row", "left").select(
         "doc_id", "held_out", "n_tokens",
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
