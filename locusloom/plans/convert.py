@@ -184,16 +184,24 @@ def convert_map(
 
 
 def convert_chain(spark: SparkSession, path: str, select: str, target: str, query: str) -> tuple[DataFrame, DataFrame]:
-    """Blocks of a chain file with the same metadata as a map."""
+    """Blocks of a chain file with the same metadata as a map.
+
+    A block's id is the number of its line, so ids are unique and grow along the file whatever the chains are called.
+    Files without blocks of the selected chromosomes, and blocks that overlap on either side, are errors.
+    """
     from ..sources.chain import chrom_sizes_from_chain
 
     lines = text.numbered_lines(spark, path)
-    blocks = parse_chain_lines(lines, select, select)
-    numbered = blocks.withColumn("blockid", F.expr("cast(split(blockid, '[.]')[0] as bigint) * 100000000 + cast(split(blockid, '[.]')[1] as bigint)"))
+    blocks = parse_chain_lines(lines, select, select, with_line=True)
+    numbered = cut_lineage(blocks.withColumn("blockid", F.col("line_no")).drop("line_no", "score"))
+    if numbered.isEmpty():
+        raise ValueError(f"no blocks from {path} match {select}")
+    for side in "tq":
+        check_disjoint(numbered, side)
     metadata = store.map_metadata(
         spark, target, query, "md5", text.read_checksum(spark, path), chrom_sizes_from_chain(lines), chrom_sizes_from_chain(lines, False), False
     )
-    return numbered.drop("score"), metadata
+    return numbered, metadata
 
 
 def convert_motifs(spark: SparkSession, files: Sequence[str], database: str, form: str) -> DataFrame:

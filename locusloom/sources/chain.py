@@ -30,12 +30,13 @@ def parse_chain_lines(
     min_size: int = 0,
     min_score: int = 0,
     read_num: int = 0,
+    with_line: bool = False,
 ) -> DataFrame:
     """Blocks of the chains in text lines ``line_no, value``.
 
     A line belongs to the last header before it, and a block starts where the sizes and gaps
     before it end: two prefix scans over line numbers, so a chain may span any number of tasks.
-    ``read_num`` keeps the first chains that pass the filters.
+    ``read_num`` keeps the first chains that pass the filters, ``with_line`` the number of each block's line.
     """
     filled = lines.filter(F.trim("value") != "").select("line_no", "value")
     tile = position_tile(F.col("line_no"))
@@ -81,6 +82,7 @@ def parse_chain_lines(
         F.when(F.col("qstrand") == "-", -1).otherwise(1).alias("qstrand"),
         F.concat_ws(".", "chain_id", F.col("n_before") + 1).alias("blockid"),
         "score",
+        *(["line_no"] if with_line else []),
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from locusloom.model import DatasetRef
 from locusloom.operators import intervals as iv
 from locusloom.operators.features import attach_sequence, chunk_sequences
-from locusloom.plans.convert import convert_motifs
+from locusloom.plans.convert import convert_chain, convert_motifs
 from locusloom.sources import store, text
 from locusloom.sources.chain import chain_index, check_chains, chrom_sizes_from_chain, parse_chain_lines, read_chain
 from locusloom.sources.twobit import read_twobit, twobit_sizes
@@ -77,6 +77,35 @@ def test_chain_runs_alternate_and_start_masked(spark, chain_file):
     assert runs[0]["start"] == 0 and runs[-1]["end"] == 1000 and not runs[-1]["conserved"]
 
 
+def test_converted_chains_have_unique_ids_in_file_order(spark, chain_file):
+    blocks, _ = convert_chain(spark, chain_file, "chr", "hg", "mm")
+    known = read_chain(spark, chain_file, tselect="chr", qselect="chr")
+    got = [(r.tchrom, r.tstart, r.tend, r.qchrom, r.qstart, r.qend) for r in blocks.orderBy("blockid").collect()]
+    want = [(r.tchrom, r.tstart, r.tend, r.qchrom, r.qstart, r.qend) for r in known.collect()]
+    assert sorted(got) == sorted(want) and dict(blocks.dtypes)["blockid"] == "bigint"
+    assert blocks.select("blockid").distinct().count() == len(want)
+    order = [line.split()[2] for line in CHAINS.splitlines() if line.startswith("chain")]
+    assert list(dict.fromkeys(g[0] for g in got)) == list(dict.fromkeys(order))
+
+
+@pytest.mark.parametrize("name", ["7", "92233720368547758"])  # a long id overflows nothing
+def test_overlapping_chains_are_not_converted(spark, tmp_path, name):
+    path = tmp_path / "two.chain"
+    far = f"chain 5 chr21 1000 + 10 40 chr10 1000 + 10 40 {name}\n30\n\n"
+    path.write_text(CHAINS + "\n" + far)
+    blocks, _ = convert_chain(spark, str(path), "chr", "hg", "mm")
+    assert blocks.groupBy("blockid").count().filter("count > 1").isEmpty()
+    for near in ("chr21 1000 + 830 840 chr9 1000 + 1 11", "chr9 1000 + 1 11 chr10 1000 + 557 567"):  # on the target, on the query
+        path.write_text(CHAINS + f"\nchain 5 {near} {name}\n10\n\n")
+        with pytest.raises(ValueError, match="overlapping blocks"):
+            convert_chain(spark, str(path), "chr", "hg", "mm")
+
+
+def test_chains_without_selected_blocks_are_an_error(spark, chain_file):
+    with pytest.raises(ValueError, match="no blocks"):
+        convert_chain(spark, chain_file, "chr77$", "hg", "mm")
+
+
 def test_chain_filters_and_index(spark, chain_file, rows):
     lines = text.numbered_lines(spark, chain_file)
     assert check_chains(lines).isEmpty()
