@@ -36,6 +36,7 @@ HEAD = 3  # ORDER is twice HEAD
 CONTEXT_BITS = 20
 WORD_BITS = 20
 FLUSH = 100_000  # words a task counts before it passes them on
+ROWS = 1 << 18  # counts and questions that a task takes at once
 END = b"\n"  # can't occur in a word
 
 
@@ -282,7 +283,7 @@ def corpus_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def gathered(rows: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[pa.Table]:
+def gathered(rows: Iterator[pa.RecordBatch], most: int = ROWS) -> Iterator[pa.Table]:
     """The rows in tables of about ``most``."""
     held: list[pa.RecordBatch] = []
     for batch in rows:
@@ -344,6 +345,7 @@ def unit_scores(units: DataFrame, longest: DataFrame, model: Broadcast) -> DataF
     A unit is a word, or a space and the number of a pair. ``longest`` holds the counts of bytes in their longest contexts,
     ``model`` is a tuple that begins with the trie.
     """
+    most = ROWS
 
     def spelt(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = model.value[0]
@@ -365,7 +367,7 @@ def unit_scores(units: DataFrame, longest: DataFrame, model: Broadcast) -> DataF
         """Groups one after the other, the counts of each before what is asked; counts of an unfinished group are kept."""
         trie = model.value[0]
         groups, keys, n = np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int64)
-        for some in gathered(rows):
+        for some in gathered(rows, most):
             asks, group, key = (some[c].to_numpy() for c in ("asks", "group", "key"))
             groups = np.append(groups, group[~asks])
             keys, n = np.append(keys, key[~asks].view(U64)), np.append(n, some["n"].to_numpy()[~asks])

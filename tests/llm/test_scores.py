@@ -160,6 +160,23 @@ def test_rare_contexts_count_like_frequent_ones(table, odd_rows, prose, monkeypa
         assert r.score == pytest.approx(want[r.doc_id], rel=1e-9)
 
 
+def test_groups_that_span_several_batches(table, prose, spark, monkeypatch):
+    monkeypatch.setattr(ppm, "CONTEXT_BITS", 4)
+    rows = list(enumerate(prose(20)))
+    want = {r.doc_id: r.score for r in ppm.lm_scores(table(rows)).collect()}
+    monkeypatch.setattr(ppm, "ROWS", 1)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "7")  # counts of a group, and what is asked of it, in many batches
+    try:
+        got = {r.doc_id: r.score for r in ppm.lm_scores(table(rows)).collect()}
+    finally:
+        spark.conf.set(name, before)
+    assert len(got) == len(rows)
+    for doc, score in got.items():
+        assert score == pytest.approx(want[doc], rel=1e-9)
+
+
 def test_words_by_pair_equal_bytes_one_by_one():
     found = [b"\n", b"alpha", b"be", b"c", b"\n"]
     trie = ppm.Trie(np.zeros(0, np.uint64), np.zeros(0, np.int64))
