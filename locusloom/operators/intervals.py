@@ -241,16 +241,19 @@ def consecutive_blocks(df: DataFrame, keys: Sequence[str] = ("chrom",), pos: str
 
 
 def gaps(df: DataFrame, sizes: DataFrame, boundary: int = 0) -> DataFrame:
-    """Complement of the intervals inside [boundary, size) of each chromosome of ``sizes``."""
-    edge = sizes.select("chrom", F.lit(-1).cast("bigint").alias("start"), F.lit(boundary).cast("bigint").alias("end"))
-    tail = sizes.select("chrom", F.col("size").alias("start"), (F.col("size") + 1).alias("end"))
-    inner = df.join(sizes.select("chrom"), "chrom", "left_semi").select("chrom", "start", "end")
-    folded = inner.unionByName(edge).unionByName(tail).groupBy("chrom", "start").agg(F.max("end").alias("end"))
-    reach = prefix_scan(folded, KEY, "start", position_tile(F.col("start")), {"_reach": ("max", F.col("end"))})
-    capped = reach.join(sizes, "chrom").filter(F.col("_reach").isNotNull() & (F.col("start") > F.col("_reach")))
-    return capped.select("chrom", F.col("_reach").alias("start"), F.least("start", "size").alias("end")).filter(
-        F.col("end") > F.col("start")
-    )
+    """Complement of the intervals inside [boundary, size) of each chromosome of ``sizes``.
+
+    The size travels in the scan, from the edge before the first interval, so no row is dealt out by chromosome alone.
+    """
+    none = F.lit(None).cast("bigint")
+    edge = sizes.select("chrom", F.lit(-1).cast("bigint").alias("start"), F.lit(boundary).cast("bigint").alias("end"), F.col("size").cast("bigint").alias("_size"))
+    tail = sizes.select("chrom", F.col("size").alias("start"), (F.col("size") + 1).alias("end"), none.alias("_size"))
+    inner = df.select("chrom", "start", "end", none.alias("_size"))
+    folded = inner.unionByName(edge).unionByName(tail).groupBy("chrom", "start").agg(F.max("end").alias("end"), F.max("_size").alias("_size"))
+    reach = prefix_scan(folded, KEY, "start", position_tile(F.col("start")), {"_reach": ("max", F.col("end")), "_limit": ("max", F.col("_size"))})
+    # without a limit the chromosome is not in sizes
+    free = reach.filter(F.col("_limit").isNotNull() & (F.col("start") > F.col("_reach")))
+    return free.select("chrom", F.col("_reach").alias("start"), F.least("start", "_limit").alias("end")).filter(F.col("end") > F.col("start"))
 
 
 def intersect(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -100,12 +100,13 @@ def complement_positions(free: DataFrame, wanted: DataFrame, seed: int, block: i
     ``free`` holds disjoint ``chrom, start, end``. Each draw is a rank among the free positions, the first 15 hex digits of
     the MD5 of ``seed:chrom:k`` modulo their number; prefix sums of the pieces' lengths turn a piece into a range of
     ranks, and a range join finds the piece of a rank. Draws are numbered in blocks, so a chromosome's draws are
-    spread over tasks. Returns ``chrom, k, pos, piece_start, piece_end``; chromosomes without free positions give none.
+    spread over tasks. The ranges are checkpointed, as totals, the levels of the join and the join all read them. Returns
+    ``chrom, k, pos, piece_start, piece_end``; chromosomes without free positions give none.
     """
     sized = free.withColumn("_len", F.col("end") - F.col("start"))
     ranked = prefix_scan(sized, ["chrom"], "start", position_tile(F.col("start")), {"_rank": ("sum", F.col("_len"))})
-    ranges = ranked.select("chrom", F.col("_rank").alias("start"), (F.col("_rank") + F.col("_len")).alias("end"), F.col("start").alias("piece_start"), F.col("end").alias("piece_end"))
-    totals = sized.groupBy("chrom").agg(F.sum("_len").alias("_total"))
+    ranges = cut_lineage(ranked.select("chrom", F.col("_rank").alias("start"), (F.col("_rank") + F.col("_len")).alias("end"), F.col("start").alias("piece_start"), F.col("end").alias("piece_end")))
+    totals = ranges.groupBy("chrom").agg(F.max("end").alias("_total"))
     asked = wanted.filter("n > 0").join(totals, "chrom").select("chrom", "n", "_total", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / block))).alias("_block"))
     first, last = F.col("_block") * block, F.least(F.col("n"), (F.col("_block") + 1) * block) - 1
     draws = asked.repartition("chrom", "_block").select("chrom", "_total", F.explode(F.sequence(first, last)).alias("k"))

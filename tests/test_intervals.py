@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -205,3 +206,28 @@ def test_number_of_shuffles_does_not_grow_with_the_sets(spark, mode):
         return plan.count("Exchange hashpartitioning")
 
     assert shuffles(2) == shuffles(5) <= 18  # some are one shuffle read twice
+
+
+def test_gaps_deal_out_nothing_by_chromosome_alone(spark, rows):
+    """No join on the chromosome, whose rows would meet in one task; chromosomes without a size give no gap."""
+    data = random_regions(16, n=60)
+    df = spark.createDataFrame(data, REGION + ", name string")
+    chroms = sorted({r[0] for r in data})
+    sizes = spark.createDataFrame([(c, 3_000 + i) for i, c in enumerate(chroms[1:])] + [("empty", 5)], "chrom string, size bigint")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        free = iv.gaps(df, sizes)
+        plan = free._jdf.queryExecution().executedPlan().toString()
+        got = rows(free, "chrom", "start", "end")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert not re.search(r"Join \[chrom#\d+L?\], ", plan)
+    want = []
+    for c, size in [(r["chrom"], r["size"]) for r in sizes.collect()]:
+        at = 0
+        for s, e in sorted((s, e) for x, s, e, _ in data if x == c) + [(size, size)]:
+            if min(s, size) > at:
+                want.append((c, at, min(s, size)))
+            at = max(at, e)
+    assert got == sorted(want)
