@@ -155,15 +155,15 @@ def bottom_k(df: DataFrame, keys: Sequence[str], digest: Column, rest: Sequence[
     """The ``k`` rows of each key that come first by ``digest`` (hex, evenly spread), then ``rest``.
 
     A histogram over the first four digits, combined before the shuffle, tells in which bucket the last wanted row
-    lies; rows of later buckets are dropped where they are read. So about ``k`` rows of a key and one bucket's share
-    are shuffled and sorted, however many it has.
+    lies; rows of later buckets are dropped where they are read, as these last buckets, one row per key, are broadcast.
+    So about ``k`` rows of a key and one bucket's share are shuffled and sorted, however many it has.
     """
     keys = list(keys)
     rows = df.withColumn("_digest", digest).withColumn("_bucket", F.conv(F.substring("_digest", 1, 4), 16, 10).cast("int"))
     upto = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0)))
     last = before.filter(F.col("_before") < k).groupBy(*keys).agg(F.max("_bucket").alias("_last"))
-    near = rows.join(last, keys).filter(F.col("_bucket") <= F.col("_last"))
+    near = rows.join(F.broadcast(last), keys).filter(F.col("_bucket") <= F.col("_last"))
     order = Window.partitionBy(*keys).orderBy("_digest", *rest)
     return near.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= k).select(*df.columns)
 

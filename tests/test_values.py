@@ -210,3 +210,18 @@ def test_bottom_k_equals_sorting(spark):
         names = sorted((f"n{i % 15_000}" for i in ids), key=lambda n: (hashlib.md5(n.encode()).hexdigest(), n))
         want += [(y, n) for n in names[:300]]
     assert got == sorted(want)
+
+
+def test_bottom_k_deals_out_no_row_of_a_later_bucket(spark):
+    """Rows meet the last buckets by broadcast, so no class is dealt out whole, whatever the optimiser would do."""
+    df = spark.range(20_000).select((F.col("id") % 3).alias("y"), F.col("id").cast("string").alias("name"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        chosen = vl.sample_per_class(df, "y", "name", 50, seed=1)
+        plan = chosen._jdf.queryExecution().executedPlan().toString()
+        n = chosen.groupBy("y").count().collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    assert sorted((r["y"], r["count"]) for r in n) == [(0, 50), (1, 50), (2, 50)]
