@@ -1003,12 +1003,9 @@ def concat_outer(spark, sf):
     from lineitem group by 1""",
 )
 def downsample_counts(spark, sf):
-    items = views.regions(spark, sf).join(
-        views.table(spark, sf, "lineitem").select(
-            F.concat_ws("_", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("name"),
-            "l_returnflag",
-        ),
-        "name",
+    items = views.table(spark, sf, "lineitem").select(
+        F.concat_ws("_", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("name"),
+        "l_returnflag",
     )
     return vl.sample_per_class(items, "l_returnflag", "name", 700, seed=11).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"))
 
