@@ -1,9 +1,9 @@
 """The k nearest targets by Chebyshev distance over all features, without a radius.
 
 A tree of median cuts over a bounded sample of the targets divides space into cells; what is known of a cell is
-its number of targets and the box around them. A point first searches the cells nearest by their boxes that hold k
-targets together, which bounds its k-th distance, and then every other cell whose box is no farther than that:
-a proof that nothing is missed. Cells with many points or targets are searched in blocks, each in a task of its own.
+its number of targets and the box around them. A point first searches its own cell, or those nearest by their boxes
+that hold k targets together, which bounds its k-th distance, and then every other cell whose box is no farther than that,
+looked up from the root of the tree down: a proof that nothing is missed. Cells with many points or targets are searched in blocks, each in a task of its own.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, workers_find_package
+from ..session import cut_lineage, spread, workers_find_package
 
 #: Targets the tree is grown on, about; its leaves, at most. Neither bounds what is searched.
 SAMPLE, LEAVES = 1 << 17, 1 << 13
@@ -64,6 +64,51 @@ def box_distances(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.n
     return out
 
 
+def node_boxes(tree: np.ndarray, cells: np.ndarray, held: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Boxes around the targets beneath each node and their numbers, from those of the leaves (``cells``)."""
+    lo, hi = np.full((len(tree), low.shape[1]), np.inf), np.full((len(tree), low.shape[1]), -np.inf)
+    n = np.zeros(len(tree), dtype=np.int64)
+    lo[cells], hi[cells], n[cells] = low, high, held
+    for at in range(len(tree) - 1, -1, -1):  # children come after their parent
+        if tree[at, 0] >= 0:
+            two = tree[at, 2:].astype(np.int64)
+            lo[at], hi[at], n[at] = lo[two].min(axis=0), hi[two].max(axis=0), n[two].sum()
+    return lo, hi, n
+
+
+def nearest_cells(
+    tree: np.ndarray, node_held: np.ndarray, cells: np.ndarray, held: np.ndarray, low: np.ndarray, high: np.ndarray, points: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """``row, cell``: the leaf of a point if it holds ``k`` targets, else the cells nearest by their boxes that do together."""
+    own = leaf_of(tree, points)
+    enough = node_held[own] >= k
+    row, cell = [np.flatnonzero(enough)], [own[enough]]
+    few = np.flatnonzero(~enough)
+    if len(few):
+        order = np.argsort(box_distances(points[few], low, high), axis=1, kind="stable")
+        mine = np.cumsum(held[order], axis=1) - held[order] < k
+        at, place = np.nonzero(mine)
+        row.append(few[at])
+        cell.append(cells[order[at, place]])
+    return np.concatenate(row), np.concatenate(cell).astype(np.int64)
+
+
+def cells_within(tree: np.ndarray, low: np.ndarray, high: np.ndarray, held: np.ndarray, points: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``row, cell``: every leaf with targets whose box is no farther from a point than its bound, from the root down."""
+    row, node = np.arange(len(points)), np.zeros(len(points), dtype=np.int64)
+    rows, found = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    while len(row):
+        x = points[row]
+        near = (held[node] > 0) & (np.maximum(low[node] - x, x - high[node]).max(axis=1) <= bound[row])
+        row, node = row[near], node[near]
+        leaf = tree[node, 0] < 0
+        rows.append(row[leaf])
+        found.append(node[leaf])
+        row, node = row[~leaf], node[~leaf]
+        row, node = np.concatenate([row, row]), np.concatenate([tree[node, 2], tree[node, 3]]).astype(np.int64)
+    return np.concatenate(rows), np.concatenate(found)
+
+
 def _matrix(batch: pa.RecordBatch | pa.Table, columns: Sequence[str]) -> np.ndarray:
     return np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) if isinstance(batch, pa.RecordBatch) else batch.column(c).to_numpy() for c in columns])
 
@@ -122,27 +167,28 @@ def nearest_k(candidates: DataFrame, targets: DataFrame, features: Sequence[str]
     boxes = placed.groupBy("_cell").agg(F.count("*").alias("n"), *[f(c).alias(f"{p}{i}") for i, c in enumerate(names) for p, f in (("lo", F.min), ("hi", F.max))]).orderBy("_cell").toArrow()
     cells, held = boxes.column("_cell").to_numpy(), boxes.column("n").to_numpy()
     low, high = (_matrix(boxes, [f"{p}{i}" for i in range(len(names))]) if len(cells) else np.zeros((0, len(names))) for p in ("lo", "hi"))
+    node_low, node_high, node_held = node_boxes(tree, cells, held, low, high)
     parts = dict(zip(cells.tolist(), (-(-held // TARGETS)).tolist(), strict=True))
 
     points = cut_lineage(asked.select(*names).distinct().withColumn("_pid", F.monotonically_increasing_id()))
 
     def visits(second: bool):
-        """Cells each point searches: at first those nearest that hold k targets, then all others within its bound."""
+        """Cells each point searches: at first its own leaf, or those nearest that together hold k targets if it holds
+        fewer; then all others within its bound, found from the root down."""
 
         def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in rows:
                 step = max(1, (1 << 21) // max(len(cells), 1))
                 for at in range(0, batch.num_rows if len(cells) else 0, step):
                     some = batch.slice(at, step)
-                    d = box_distances(_matrix(some, names), low, high)
-                    order = np.argsort(d, axis=1, kind="stable")
-                    before = np.cumsum(held[order], axis=1) - held[order]
-                    mine = np.zeros(d.shape, dtype=bool)
-                    np.put_along_axis(mine, order, before < k, axis=1)
+                    x = _matrix(some, names)
+                    first_row, first_cell = nearest_cells(tree, node_held, cells, held, low, high, x, k)
+                    row, cell = first_row, first_cell
                     if second:
-                        mine = ~mine & (d <= some.column("bound").to_numpy()[:, None])
-                    row, cell = np.nonzero(mine)
-                    yield pa.RecordBatch.from_arrays([*[some.column(c).take(pa.array(row)) for c in ("_pid", *names)], pa.array(cells[cell])], names=["_pid", *names, "_cell"])
+                        row, cell = cells_within(tree, node_low, node_high, node_held, x, some.column("bound").to_numpy())
+                        new = ~np.isin(row * len(tree) + cell, first_row * len(tree) + first_cell)
+                        row, cell = row[new], cell[new]
+                    yield pa.RecordBatch.from_arrays([*[some.column(c).take(pa.array(row)) for c in ("_pid", *names)], pa.array(cell)], names=["_pid", *names, "_cell"])
 
         return run
 
@@ -163,8 +209,9 @@ def nearest_k(candidates: DataFrame, targets: DataFrame, features: Sequence[str]
         return p.cogroup(t).applyInArrow(_k_best(k, names), "_pid long, target_id long, dist double")
 
     visited = f"_pid long{shape}, _cell long"
-    best = cut_lineage(_first(searched(points.select("_pid", *names).mapInArrow(visits(False), visited)), ["_pid"], ["dist", "target_id"], k).drop("rank"))
+    best = cut_lineage(_first(searched(spread(points).select("_pid", *names).mapInArrow(visits(False), visited)), ["_pid"], ["dist", "target_id"], k).drop("rank"))
     bound = best.groupBy("_pid").agg(F.when(F.count("*") >= k, F.max("dist")).otherwise(F.lit(float("inf"))).alias("bound"))
-    more = searched(points.join(bound, "_pid").select("_pid", *names, "bound").mapInArrow(visits(True), visited))
+    bounded = cut_lineage(points.join(bound, "_pid").select("_pid", *names, "bound"))
+    more = searched(spread(bounded).mapInArrow(visits(True), visited))
     final = _first(best.unionByName(more), ["_pid"], ["dist", "target_id"], k)
     return asked.join(points, names).join(final, "_pid").select("id", F.col("rank").cast("long").alias("rank"), "target_id", "dist")

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from locusloom.operators import nearest
@@ -35,3 +36,26 @@ def test_nearest_k_of_few_or_no_targets(spark):
     assert len(nearest.nearest_k(cand, two, ["x", "y"], 5).collect()) == 4
     assert nearest.nearest_k(cand, two.limit(0), ["x", "y"], 5).collect() == []
     assert nearest.nearest_k(cand.limit(0), two, ["x", "y"], 5).collect() == []
+
+
+@pytest.mark.parametrize("k", [1, 20])
+def test_cells_of_points_are_looked_up_in_the_tree(monkeypatch, k):
+    """The leaves within a bound, and the first ones, are those of all boxes; points far from few boxes never meet them all."""
+    rng = np.random.default_rng(k)
+    targets, points = rng.normal(size=(4_000, 3)), rng.normal(size=(200, 3)) * 1.5
+    tree = nearest.grow_tree(targets[::2])
+    leaf = nearest.leaf_of(tree, targets)
+    cells, held = np.unique(leaf, return_counts=True)
+    low, high = (np.array([f(targets[leaf == c], axis=0) for c in cells]) for f in (np.min, np.max))
+    node_low, node_high, node_held = nearest.node_boxes(tree, cells, held, low, high)
+    assert node_held[0] == 4_000 and (node_low[0] == targets.min(axis=0)).all()
+    bound = np.where(np.arange(200) % 10 == 0, np.inf, 0.2)
+    far = nearest.box_distances(points, low, high)
+    want = {(i, int(cells[j])) for i, j in zip(*np.nonzero(far <= bound[:, None]), strict=True)}
+    asked = []
+    monkeypatch.setattr(nearest, "box_distances", lambda x, lo, hi: asked.append(len(x)) or np.maximum(lo[None] - x[:, None], x[:, None] - hi[None]).max(axis=2).clip(0))
+    row, cell = nearest.cells_within(tree, node_low, node_high, node_held, points, bound)
+    assert len(row) == len(want) and set(zip(row.tolist(), cell.tolist(), strict=True)) == want
+    row, cell = nearest.nearest_cells(tree, node_held, cells, held, low, high, points, k)
+    assert (np.bincount(row, weights=node_held[cell], minlength=200) >= k).all()
+    assert sum(asked) < 200
