@@ -19,7 +19,7 @@ from ..operators import signal as sg
 from ..operators import stats as st
 from ..operators import tables as tb
 from ..operators import values as vl
-from ..session import ensure_checkpoint_dir
+from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources import store
 from .oracle_views import CTES, with_views
 
@@ -1261,6 +1261,8 @@ def _nearest_english(spark, sf, k: int):
         F.round(seqf.gc_percent(F.col("seq")), 6).alias("y"),
         F.round(seqf.repeat_percent(F.col("seq")), 6).alias("z"),
     )
+    # stored first: filters on the features would be pushed below the spreading of the texts and spell them again for each use
+    points = cut_lineage(points)
     return rounded(nearest_k(points.filter("lang != 'en'"), points.filter("lang = 'en'"), ["x", "y", "z"], k), "dist")
 
 
