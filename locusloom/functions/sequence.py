@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import workers_find_package
+
 from .names import kmer_columns
 
 # Core promoter motifs (name, pattern).
@@ -32,7 +36,8 @@ DNASE_HEXAMER = {
 
 # finding a position in a string walks over the letters before it, hence two cuts
 PIECE = 65536
-SHORT_PIECE = 256
+SHORT_PIECE = 4096
+AT_ONCE = 256  # pieces counted at once
 
 
 def _count(seq: Column, letters: str) -> Column:
@@ -114,18 +119,65 @@ def sequence_columns(classes: Sequence[str], yardstick: int = 0, seq: str = "seq
 def kmer_counts(df: DataFrame, ids: Sequence[str], k: int, seq: str = "seq") -> DataFrame:
     """Occurrences of each k-mer per row id, overlapping and case-blind: ``ids, kmer, n, total``.
 
-    Sequences are cut into overlapping pieces, so no row holds a long word list, and counts are
-    combined before the shuffle.
+    Sequences are cut into overlapping pieces, the words of some pieces are counted at a time in numpy, and the counts of a row
+    id are added up; no row per position is made.
     """
-    words = (
+    workers_find_package(df.sparkSession)
+    pieces = (
         df.select(*ids, F.upper(F.col(seq)).alias("_s"), (F.length(seq) - k + 1).alias("total"))
         .filter(F.col("total") > 0)
         .transform(lambda d: _overlapping_pieces(d, [*ids, "total"], k, PIECE))
         .transform(lambda d: _overlapping_pieces(d, [*ids, "total"], k, SHORT_PIECE))
-        .select(*ids, "total", "_s", F.explode(F.sequence(F.lit(1), F.length("_s") - k + 1)).alias("_i"))
-        .select(*ids, "total", F.substr(F.col("_s"), F.col("_i"), F.lit(k)).alias("kmer"))
     )
-    return words.groupBy(*ids, "total", "kmer").agg(F.count(F.lit(1)).alias("n")).select(*ids, "kmer", "n", "total")
+    kept = [*ids, "total"]
+    typed = ", ".join(f"`{c}` {pieces.schema[c].dataType.simpleString()}" for c in kept)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, AT_ONCE):
+                some = batch.slice(at, AT_ONCE)
+                row, words, n = count_words(some.column("_s").to_pylist(), k)
+                yield pa.RecordBatch.from_arrays([*[some.column(c).take(pa.array(row)) for c in kept], words, pa.array(n)], names=[*kept, "kmer", "n"])
+
+    words = pieces.mapInArrow(counted, f"{typed}, kmer string, n bigint")
+    return words.groupBy(*ids, "total", "kmer").agg(F.sum("n").alias("n")).select(*ids, "kmer", "n", "total")
+
+
+def count_words(texts: Sequence[str], k: int) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """``row, word, n``: the distinct words of ``k`` letters of each text, overlapping, and how often they occur."""
+    whole = "".join(texts)
+    letters = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    start = np.flatnonzero(row[: len(row) - k + 1] == row[k - 1 :])  # words that lie in one text
+    if len(start) == 0:
+        return start, pa.array([], pa.string()), start
+    row = row[start]
+    known = np.flatnonzero(np.bincount(letters))
+    rank = np.zeros(known[-1] + 1, dtype=np.int64)
+    rank[known] = np.arange(len(known))
+    code, room = rank[letters], len(known)
+    word, size = code[start], room
+    for i in range(1, k):
+        if size * room * len(texts) >= 1 << 62:  # numbers of the words seen so far instead of their letters
+            word = np.unique(word, return_inverse=True)[1]
+            size = int(word.max()) + 1
+        word, size = word * room + code[start + i], size * room
+    key = row * size + word
+    if len(texts) * size <= len(key):
+        counts = np.bincount(key)
+        found = np.flatnonzero(counts)
+        place = np.zeros(len(counts), dtype=np.int64)
+        place[key] = np.arange(len(key))
+        at, n = place[found], counts[found]
+    else:
+        _, at, n = np.unique(key, return_index=True, return_counts=True)
+    first = start[at]
+    if known[-1] < 128:
+        spelled = np.ascontiguousarray(letters[first[:, None] + np.arange(k)].astype(np.uint8))
+        words = pa.StringArray.from_buffers(len(first), pa.py_buffer(np.arange(0, k * len(first) + 1, k, dtype=np.int32)), pa.py_buffer(spelled))
+    else:
+        words = pa.array([whole[i : i + k] for i in first.tolist()], pa.string())
+    return row[at], words, n.astype(np.int64)
 
 
 def _overlapping_pieces(df: DataFrame, kept: Sequence[str], k: int, size: int) -> DataFrame:

@@ -278,3 +278,17 @@ def test_smoothing_keeps_cubics_and_short_windows(spark):
 def test_estimate_windows(spark, rows):
     sizes = spark.createDataFrame([("c", 107), ("d", 20)], "chrom string, size bigint")
     assert rows(ft.estimate_windows(sizes, 25, 30)) == [("c", 30, 55), ("c", 55, 80)]
+
+
+@pytest.mark.parametrize("k", [1, 3, 6, 30])
+def test_words_of_texts_are_counted_without_a_row_for_each(spark, k):
+    """Odd letters, empty and short texts, words too many to number by their letters; no Generate of positions in the plan."""
+    texts = ["ACGTACGTACGTACGTACGTACGTACGTACGTACGT", "", "AC", "N" * 40, "A\0C\u00dfG\U0001f600T" * 9, "".join(map(chr, range(65, 300)))]
+    row, words, n = sq.count_words(texts, k)
+    want = {}
+    for i, t in enumerate(texts):
+        for at in range(len(t) - k + 1):
+            want[i, t[at : at + k]] = want.get((i, t[at : at + k]), 0) + 1
+    assert {(i, w): c for i, w, c in zip(row.tolist(), words.to_pylist(), n.tolist(), strict=True)} == want and len(n) == len(want)
+    plan = sq.kmer_counts(one_sequence(spark), ["chrom"], k)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "sequence(1, (length(_s" not in plan
