@@ -6,7 +6,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import workers_find_package
@@ -82,15 +83,15 @@ def motif_percent(seq: Column, pattern: str) -> Column:
     return F.try_divide(F.length(up) - F.length(F.regexp_replace(up, pattern, "")), F.length(up)) * 100
 
 
-def hexamer_probability(word: Column) -> Column:
-    """Product over six positions of the cleavage preference of the letter there."""
-    p = F.lit(1.0)
+def hexamer_probabilities(words: Sequence[str]) -> np.ndarray:
+    """Product over six positions of the cleavage preference of the letter there, for words over ACGT."""
+    weights = np.full((6, 128), np.nan)
+    for base, percents in DNASE_HEXAMER.items():
+        weights[:, ord(base)] = [p / 100.0 for p in percents]
+    letters = np.frombuffer("".join(words).encode("ascii"), dtype=np.uint8).reshape(-1, 6)
+    p = np.ones(len(letters))
     for i in range(6):
-        letter = F.substring(word, i + 1, 1)
-        weight = F.lit(None).cast("double")
-        for base, percents in DNASE_HEXAMER.items():
-            weight = F.when(letter == base, F.lit(percents[i] / 100.0)).otherwise(weight)
-        p = p * weight
+        p = p * weights[i, letters[:, i]]
     return p
 
 
@@ -204,23 +205,63 @@ def kmer_table(df: DataFrame, ids: Sequence[str], k: int, seq: str = "seq") -> D
 def dnase_motif(df: DataFrame, ids: Sequence[str], seq: str = "seq") -> DataFrame:
     """Median, maximum and median absolute deviation of hexamer probabilities; zeros without a hexamer.
 
-    A row id has at most 4096 distinct hexamers, which bounds its window and its aggregation buffer.
+    The hexamers of a row id, at most 4096 distinct ones of each length of its sequences, come sorted together, as many at a time
+    as a batch holds.
     """
     ids = list(ids)
-    words = (
-        kmer_counts(df, ids, 6, seq)
-        .filter(F.col("kmer").rlike("^[ACGT]{6}$"))
-        .select(*ids, hexamer_probability(F.col("kmer")).alias("p"), "n")
-    )
-    whole = Window.partitionBy(*ids)
-    spread = (
-        words.withColumn("med", F.percentile("p", 0.5, F.col("n")).over(whole))
-        .groupBy(*ids)
-        .agg(
-            F.first("med").alias("ftdnm_abs_medprob"),
-            F.max("p").alias("ftdnm_abs_maxprob"),
-            F.percentile(F.abs(F.col("p") - F.col("med")), 0.5, F.col("n")).alias("ftdnm_abs_medad"),
-        )
-    )
     names = ["ftdnm_abs_medprob", "ftdnm_abs_maxprob", "ftdnm_abs_medad"]
-    return df.select(*ids).join(spread, ids, "left").fillna(0.0, subset=names)
+    words = kmer_counts(df, ids, 6, seq).filter(F.col("kmer").rlike("^[ACGT]{6}$")).select(*ids, "kmer", "n")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            now = now if held is None else pa.concat_tables([held, now]).combine_chunks()
+            begins = _begins(now, ids)
+            last = int(begins[-1]) if len(begins) else 0
+            if last > 0:
+                yield from _hexamer_lines(now.slice(0, last), ids, begins[:-1], names)
+            held = now.slice(last)
+        if held is not None and held.num_rows:
+            yield from _hexamer_lines(held, ids, np.zeros(1, dtype=np.int64), names)
+
+    typed = ", ".join(f"`{c}` {words.schema[c].dataType.simpleString()}" for c in ids)
+    found = words.repartition(*ids).sortWithinPartitions(*ids).mapInArrow(spread, f"{typed}, " + ", ".join(f"{n} double" for n in names))
+    return df.select(*ids).join(found, ids, "left").fillna(0.0, subset=names)
+
+
+def _begins(rows: pa.Table, ids: Sequence[str]) -> np.ndarray:
+    """Where another row id begins in rows sorted by it."""
+    if rows.num_rows == 0:
+        return np.zeros(0, dtype=np.int64)
+    new = np.zeros(rows.num_rows, dtype=bool)
+    new[0] = True
+    for c in ids:
+        column = rows.column(c).combine_chunks()
+        before, after = column.slice(0, len(column) - 1), column.slice(1)
+        other = pc.or_(pc.fill_null(pc.not_equal(before, after), False), pc.xor(before.is_null(), after.is_null()))
+        new[1:] |= other.to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new)
+
+
+def _hexamer_lines(rows: pa.Table, ids: Sequence[str], begins: np.ndarray, names: Sequence[str]) -> list[pa.RecordBatch]:
+    """One line for each row id: weighted median and maximum of the probabilities, median of their distances from it."""
+    p, n = hexamer_probabilities(rows.column("kmer").to_pylist()), rows.column("n").to_numpy()
+    group = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, rows.num_rows)))
+    middle = _weighted_medians(group, begins, p, n)
+    values = [middle, np.maximum.reduceat(p, begins), _weighted_medians(group, begins, np.abs(p - middle[group]), n)]
+    first = rows.select(list(ids)).take(pa.array(begins))
+    for name, value in zip(names, values, strict=True):
+        first = first.append_column(name, pa.array(value))
+    return first.combine_chunks().to_batches()
+
+
+def _weighted_medians(group: np.ndarray, begins: np.ndarray, values: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Median of each group's values, each ``n`` times; the mean of the middle two where their number is even."""
+    order = np.lexsort((values, group))
+    upto, sorted_values = np.cumsum(n[order]), values[order]
+    total = np.add.reduceat(n, begins)
+    before = np.cumsum(total) - total
+    low = sorted_values[np.searchsorted(upto, before + (total - 1) // 2 + 1)]
+    high = sorted_values[np.searchsorted(upto, before + total // 2 + 1)]
+    return np.where(low == high, low, 0.5 * low + 0.5 * high)

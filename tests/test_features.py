@@ -292,3 +292,24 @@ def test_words_of_texts_are_counted_without_a_row_for_each(spark, k):
     assert {(i, w): c for i, w, c in zip(row.tolist(), words.to_pylist(), n.tolist(), strict=True)} == want and len(n) == len(want)
     plan = sq.kmer_counts(one_sequence(spark), ["chrom"], k)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "sequence(1, (length(_s" not in plan
+
+
+def test_dnase_row_ids_span_batches(spark):
+    """Many row ids, some with several sequences, in batches smaller than the hexamers of one; equal to numpy."""
+    rng = random.Random(8)
+    data = [(i % 30, str(i % 2), "".join(rng.choice("ACGTacgtN") for _ in range(rng.choice([3, 60, 300])))) for i in range(50)]
+    probs = {}
+    for a, b, text in data:
+        up = text.upper()
+        words = [up[i : i + 6] for i in range(len(up) - 5) if "N" not in up[i : i + 6]]
+        probs.setdefault((a, b), []).extend(np.prod([sq.DNASE_HEXAMER[c][j] / 100 for j, c in enumerate(w)]) for w in words)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = sq.dnase_motif(spark.createDataFrame(data, "a int, b string, seq string"), ["a", "b"]).distinct().collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(got) == len(probs)
+    for r in got:
+        p = np.array(probs[r["a"], r["b"]] or [0.0])
+        assert tuple(r)[2:] == pytest.approx((np.median(p), p.max(), np.median(np.abs(p - np.median(p)))))
