@@ -59,3 +59,16 @@ def test_cells_of_points_are_looked_up_in_the_tree(monkeypatch, k):
     row, cell = nearest.nearest_cells(tree, node_held, cells, held, low, high, points, k)
     assert (np.bincount(row, weights=node_held[cell], minlength=200) >= k).all()
     assert sum(asked) < 200
+
+
+def test_features_are_spelled_once_before_they_are_filtered(spark, monkeypatch):
+    """What the search is given is stored: no filter or count of it spells the texts again."""
+    from locusloom.plans.queries import QUERIES
+
+    given = []
+    none = spark.createDataFrame([], "id long, rank long, target_id long, dist double")
+    monkeypatch.setattr(nearest, "nearest_k", lambda candidates, targets, *rest: given.extend([candidates, targets]) or none)
+    QUERIES["chebyshev_nearest"](spark, "/root/testdata/sf0.001")
+    assert len(given) == 2
+    for df in given:
+        assert "translate" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
