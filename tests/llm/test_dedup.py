@@ -197,6 +197,42 @@ def test_short_passages_without_marks_go_whole_at_any_place(table):
         assert got[d].start <= start and got[d].end >= end and 51 <= got[d].words <= 65 and got[d].kept_in == [d - 1]
 
 
+def test_every_equal_run_of_the_least_length_is_found_and_no_shorter_phrase(table):
+    """20 words pasted into two texts each; phrases of 10 words, which the texts share by chance, make no rows."""
+    rng = random.Random(21)
+    words = lambda n: [f"w{rng.randrange(10**6)}é" for _ in range(n)]
+    phrases = [words(10) for _ in range(3)]
+    own = lambda: [*words(rng.randrange(1, 30)), *rng.choice(phrases), *words(rng.randrange(1, 30))]
+    docs, at = [], {}
+    for k in range(60):
+        run = words(paragraphs.LEAST_RUN)
+        for d in (2 * k, 2 * k + 1):
+            docs.append((d, " ".join([*own(), *run, *own()])))
+        start = docs[-1][1].index(" ".join(run))
+        at[2 * k + 1] = (start, start + len(" ".join(run)), 2 * k)
+    got = paragraphs.equal_pieces(table(docs).select("doc_id", "text")).collect()
+    assert {r.doc_id: (r.start, r.end, r.kept) for r in got} == at and len(got) == len(at)
+
+
+def test_stretches_of_one_text_leave_what_stays_whole(table):
+    """A passage twice in one text, and one word many times."""
+    rng = random.Random(22)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage = words(30)
+    twice = [*words(7), *passage, *words(7), *passage, *words(7)]
+    docs = table([(1, " ".join(twice)), (2, " ".join(["word"] * 60))]).select("doc_id", "text")
+    got = {r.doc_id: (r.lo, r.hi, r.kept) for r in paragraphs.equal_pieces(docs).collect()}
+    assert got == {1: (44, 74, 1), 2: (paragraphs.WINDOW, 60, 2)}
+
+
+def test_span_hashes_tell_words_apart():
+    text = "a aa aaaaaaaa aaaaaaaaa aaaaaaaaaaaaaaaab aaaaaaaaaaaaaaaac b É日本 A a aaaaaaaaa aaaaaaaaaaaaaaaab " + "x" * 40 + " " + "X" * 40 + " " + "x" * 41
+    found = text.encode().lower().split()
+    h = paragraphs.Laid([None, text, ""]).h
+    assert len(h) == len(found)
+    assert all((h[i] == h[j]) == (found[i] == found[j]) for i in range(len(found)) for j in range(len(found)))
+
+
 def test_pieces_of_periodic_texts():
     for period in range(1, 5):
         h = np.tile(common.mixed(np.arange(1, period + 1, dtype=np.uint64)), 60 // period)
