@@ -65,6 +65,9 @@ def byte_stand_ins() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+
 _HASHES = Memo(xxhash.xxh3_64_intdigest)
 
 
@@ -105,6 +108,49 @@ def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return mixed(out)
 
 
+def span_hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span of bytes, eight bytes at a time. Spans of one length of up to eight bytes never collide."""
+    size = ends - starts
+    padded = np.concatenate([b, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(b) + 1, dtype="<u8", buffer=padded, strides=(1,))
+    h, rest, own, at = size.astype(U64) * U64(0x9E3779B97F4A7C15), size, None, starts
+    while len(at):
+        part = eight[at] & (U64(0xFFFFFFFFFFFFFFFF) >> (U64(8) * (U64(8) - np.minimum(rest, 8).astype(U64))))
+        mine = mixed((h if own is None else h[own]) ^ part)
+        h = mine if own is None else h
+        if own is not None:
+            h[own] = mine
+        more = np.flatnonzero(rest > 8)
+        own = more if own is None else own[more]
+        at, rest = at[more] + 8, rest[more] - 8
+    return h
+
+
+class Laid:
+    """Texts in a row, a line end between them: bytes ``b`` (``low``: A-Z in lower case), first and end byte of each word, the hashes
+    ``h`` of the words in lower case, and at which word each text begins (and the last one ends)."""
+
+    def __init__(self, texts: list[str | None]):
+        raw = [(t or "").encode() for t in texts]
+        joined = b"\n".join(raw)
+        self.b = np.frombuffer(joined, dtype=np.uint8)
+        edge = np.flatnonzero(np.diff(_SPACE[self.b].view(np.int8), prepend=np.int8(1), append=np.int8(1)))
+        self.starts, self.ends = edge[::2], edge[1::2]
+        self.low = joined.lower()
+        self.h = span_hashes(np.frombuffer(self.low, dtype=np.uint8), self.starts, self.ends)
+        self.at = np.cumsum([0, *(len(r) + 1 for r in raw)])
+        self.begins = np.searchsorted(self.starts, self.at)
+
+    def chars(self) -> tuple[np.ndarray, np.ndarray]:
+        """Characters up to each byte, and before each text."""
+        chars = np.cumsum((self.b & 0xC0) != 0x80)
+        return chars, np.concatenate([[0], chars])[self.at[:-1]]
+
+    def text_of(self, word: np.ndarray) -> np.ndarray:
+        """The number of the text that a word is in."""
+        return np.searchsorted(self.begins, word, side="right") - 1
+
+
 def signed(h: np.ndarray) -> np.ndarray:
     """Unsigned hashes as the bits of Spark's long."""
     return h.view(np.int64)

@@ -24,12 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, batches, lower_words, signed, word_hashes, written
+from .common import U64, Laid, batches, signed, span_hashes, written
 
 ORDER = 6
 HEAD = 3  # ORDER is twice HEAD
@@ -38,6 +37,7 @@ WORD_BITS = 20
 FLUSH = 100_000  # words a task counts before it passes them on
 ROWS = 1 << 18  # counts and questions that a task takes at once
 END = b"\n"  # can't occur in a word
+_END_HASH = span_hashes(np.frombuffer(END, dtype=np.uint8), np.zeros(1, np.int64), np.ones(1, np.int64))
 
 
 def contexts(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -60,10 +60,15 @@ def word_ends(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
     The latter hold up to ``HEAD`` bytes of the word and its closing space, and how many they are above them.
     """
-    last = np.fromiter((int.from_bytes((b"  " + w)[-HEAD:], "big") for w in words), dtype=U64, count=len(words))
-    heads = [(w + b" ")[:HEAD] for w in words]
-    first = np.fromiter((int.from_bytes(h, "little") | len(h) << 24 for h in heads), dtype=U64, count=len(words))
-    return last, first
+    stream = np.frombuffer(b" " * HEAD + b" ".join(words) + b" " * HEAD, dtype=np.uint8)
+    size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    end = HEAD - 1 + np.cumsum(size + 1)
+    start = end - size
+    last = first = np.zeros(len(words), dtype=U64)
+    for j in range(HEAD):
+        last = last | np.where(size > j, stream[end - 1 - j], 0x20).astype(U64) << U64(8 * j)
+        first = first | np.where(size >= j, stream[start + j], 0).astype(U64) << U64(8 * j)
+    return last, first | np.minimum(size + 1, HEAD).astype(U64) << U64(24)
 
 
 def pair_key(last: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -220,25 +225,40 @@ def held_out(doc_id: Column) -> Column:
 
 
 class WordTable:
-    """Numbers for words, and what is known of each in arrays; begun anew when it holds ``FLUSH`` words."""
+    """Numbers for words, told apart by their hashes, and what is known of each in arrays; begun anew when it holds ``FLUSH`` words."""
 
     def __init__(self, columns):
-        self.columns = columns  # of a list of words: a tuple of arrays
+        self.columns = columns  # of a list of words and their hashes: a tuple of arrays
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.known = tuple(self.columns([]))
-
-    def numbers(self, texts: list[list[bytes]]) -> np.ndarray:
-        """Numbers of the words of all texts in a row, the end sign before the first and after each text."""
-        new = list({END}.union(*texts).difference(self.number))
-        if new:
-            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
-            self.known = tuple(np.append(a, b) for a, b in zip(self.known, self.columns(new), strict=True))
-        look = self.number.__getitem__
-        parts = [np.fromiter(map(look, [*t, END]), dtype=np.int64, count=len(t) + 1) for t in texts]
-        return np.concatenate([[look(END)], *parts])
+        self.words: list[bytes] = []
+        self.hashes, self.number = np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64)  # hashes in order, and their words' numbers
+        self.known = tuple(self.columns([], self.hashes))
+
+    def numbers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the words of all texts in a row, the end sign before the first and after each text; how many words each has."""
+        laid = Laid(texts)
+        size, n = np.diff(laid.begins), len(laid.h)
+        kinds, first, where = np.unique(np.append(laid.h, _END_HASH), return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.hashes, kinds), max(len(self.hashes) - 1, 0))
+        old = self.hashes[at] == kinds if len(self.hashes) else np.zeros(len(kinds), dtype=bool)
+        number = np.zeros(len(kinds), dtype=np.int64)
+        number[old] = self.number[at[old]]
+        new = np.flatnonzero(~old)
+        if len(new):
+            number[new] = len(self.words) + np.arange(len(new))
+            spans = [(int(laid.starts[i]), int(laid.ends[i])) if i < n else None for i in first[new].tolist()]
+            words = [END if s is None else laid.low[s[0] : s[1]] for s in spans]
+            self.words += words
+            self.known = tuple(np.append(a, b) for a, b in zip(self.known, self.columns(words, kinds[new]), strict=True))
+            hashes, numbers = np.append(self.hashes, kinds[new]), np.append(self.number, number[new])
+            order = np.argsort(hashes)
+            self.hashes, self.number = hashes[order], numbers[order]
+        ids = number[where]
+        out = np.full(n + len(texts) + 1, ids[n])
+        out[np.arange(n) + np.repeat(np.arange(len(texts)), size) + 1] = ids[:n]
+        return out, size
 
 
 def corpus_counts(texts: DataFrame) -> DataFrame:
@@ -254,21 +274,21 @@ def corpus_counts(texts: DataFrame) -> DataFrame:
         return keys, np.bincount(where, times[owner], len(keys)).astype(np.int64)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, count, heads, seen = WordTable(word_ends), np.zeros(0, np.int64), [], 0
+        table, count, heads, seen = WordTable(lambda words, h: (*word_ends(words), h)), np.zeros(0, np.int64), [], 0
 
         def passed_on() -> pa.RecordBatch:
-            found = list(table.number)
-            own = np.array([w != END for w in found])
+            found, hashes = table.words, table.known[2]
+            own = hashes != _END_HASH[0]
             keys, n = map(np.concatenate, zip(*heads, keyed(contexts(found), count), strict=True))
             keys, where = np.unique(keys, return_inverse=True)
-            out = [(np.zeros(own.sum(), np.int32), signed(word_hashes(found))[own], count[own])]
+            out = [(np.zeros(own.sum(), np.int32), signed(hashes)[own], count[own])]
             out.append((np.ones(len(keys), np.int32), signed(keys), np.bincount(where, n, len(keys)).astype(np.int64)))
             out.append((np.full(1, 2, np.int32), np.zeros(1, np.int64), np.full(1, seen)))
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out]), t.type) for i, t in enumerate(schema)], schema=schema)
 
         for batch in batches(rows):
-            ids = table.numbers([lower_words(t) for t in batch.column(0).to_pylist()])
-            last, first = table.known
+            ids, _ = table.numbers(batch.column(0).to_pylist())
+            last, first, _ = table.known
             count = np.append(count, np.zeros(len(last) - len(count), np.int64)) + np.bincount(ids[1:], minlength=len(last))
             pairs, times = np.unique(pair_key(last[ids[:-1]], first[ids[1:]]), return_counts=True)
             heads.append(keyed(pair_contexts(pairs), times))
@@ -418,8 +438,8 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
         log_n = np.log10((n + 1) / size)
         base_end = float(np.log10((ends + 1) / size))
 
-        def columns(new: list[bytes]) -> tuple[np.ndarray, ...]:
-            h = signed(np.fromiter(map(xxhash.xxh3_64_intdigest, new), dtype=U64, count=len(new)))
+        def columns(new: list[bytes], hashes: np.ndarray) -> tuple[np.ndarray, ...]:
+            h = signed(hashes)
             base = np.full(len(new), np.nan)
             if len(keys) and len(new):
                 at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
@@ -430,17 +450,16 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 
         table = WordTable(columns)
         for batch in batches(rows):
-            found = [lower_words(t) for t in batch.column(1).to_pylist()]
-            if len(table.number) >= FLUSH:
+            if len(table.words) >= FLUSH:
                 table.clear()
-            ids = table.numbers(found)
+            ids, sizes = table.numbers(batch.column(1).to_pylist())
             last, first, hashes, log_base, log_word, more_word, names = table.known
             pairs, where = np.unique(pair_key(last[ids[:-1]], first[ids[1:]]), return_inverse=True)
             log_pair, more_pair = model.part_of_pairs(pairs)
             log_p = log_pair[where] + log_word[ids[1:]]
             out, lo = [[], [], [], [], [], [], [], []], 0
-            for own in found:
-                hi = lo + len(own)
+            for own in sizes.tolist():
+                hi = lo + own
                 of_words = ids[lo + 1 : hi + 1]
                 base = log_base[of_words]
                 unknown = np.isnan(base)
@@ -451,7 +470,7 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
                 seldom_pairs, pair_times = np.unique(of_pairs[more_pair[of_pairs]], return_counts=True)
                 units = names[seldom_words].tolist() + [b" " + p.to_bytes(7, "big") for p in pairs[seldom_pairs].tolist()]
                 lo = hi + 1
-                row = (len(own) + 1, len(own) - int(unknown.sum()) + (ends > 0), float(np.nansum(base)) + base_end, score, rare, times.astype(np.int32), units, np.append(word_times, pair_times).astype(np.int32))
+                row = (own + 1, own - int(unknown.sum()) + (ends > 0), float(np.nansum(base)) + base_end, score, rare, times.astype(np.int32), units, np.append(word_times, pair_times).astype(np.int32))
                 for col, v in zip(out, row, strict=True):
                     col.append(v)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(c, t.type) for c, t in zip(out, list(schema)[2:], strict=True)]], schema=schema)

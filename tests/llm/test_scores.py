@@ -177,6 +177,19 @@ def test_groups_that_span_several_batches(table, prose, spark, monkeypatch):
         assert score == pytest.approx(want[doc], rel=1e-9)
 
 
+def test_words_are_numbered_across_texts_without_a_lookup_each():
+    """Numbers of two calls agree, the end sign stands around each text, and words are kept with their hashes."""
+    table = ppm.WordTable(lambda words, hashes: (hashes,))
+    first, sizes = table.numbers(["B a b", None, "a \u65e5\u672c"])
+    again, _ = table.numbers(["c a", ""])
+    names = lambda ids: [table.words[i] for i in ids.tolist()]
+    end = ppm.END
+    assert sizes.tolist() == [3, 0, 2]
+    assert names(first) == [end, b"b", b"a", b"b", end, end, b"a", "\u65e5\u672c".encode(), end]
+    assert names(again) == [end, b"c", b"a", end, end]
+    assert len(set(table.words)) == len(table.words) == len(table.known[0]) == len(set(table.known[0].tolist()))
+
+
 def test_words_by_pair_equal_bytes_one_by_one():
     found = [b"\n", b"alpha", b"be", b"c", b"\n"]
     trie = ppm.Trie(np.zeros(0, np.uint64), np.zeros(0, np.int64))
