@@ -69,6 +69,15 @@ def with_axis(df: DataFrame, column: str, values: DataFrame | None = None, side:
     return met.select(*df.columns, F.struct(F.col("_coarse").alias("tile"), place.alias("place")).alias("_axis"))
 
 
+def also_reads(*columns: str) -> Column:
+    """An aggregate that is never null, of columns a branch doesn't use.
+
+    Spark prunes columns below a shuffle, branch by branch, and two branches with different columns can't read one shuffle:
+    all that lies before it is then done twice. A filter on this keeps the columns alike.
+    """
+    return F.max(F.hash(*columns))
+
+
 def prefix_scan(
     points: DataFrame,
     keys: Sequence[str],
@@ -86,7 +95,7 @@ def prefix_scan(
     scans from the largest order value down, all entries or those it names; ``inclusive`` adds the row itself. Sums
     over no rows are 0, other folds are NULL.
 
-    Rows are dealt out by (keys, tile) once; windows and tile totals both read that shuffle. ``blocks`` is for keys that
+    Rows are dealt out by (keys, tile) once; windows and tile totals both read that shuffle, with all columns. ``blocks`` is for keys that
     may hold the whole table (or for no keys at all), with integer tiles: tile totals are then scanned in blocks of
     ``2 ** BLOCK_BITS`` tiles, and only block totals by key.
     """
@@ -103,12 +112,13 @@ def prefix_scan(
 
     last = Window.currentRow if inclusive else -1
     rows = tiled.select("*", *[_FOLD[f](e).over(before([*keys, "_tile"], order, n, last)).alias(f"_in_{n}") for n, (f, e) in spec.items()])
-    totals = tiled.groupBy(*keys, "_tile").agg(*[_FOLD[f](e).alias(f"_all_{n}") for n, (f, e) in spec.items()])
+    totals = tiled.groupBy(*keys, "_tile").agg(*[_FOLD[f](e).alias(f"_all_{n}") for n, (f, e) in spec.items()], also_reads(*points.columns).alias("_read"))
+    totals = totals.filter(F.col("_read").isNotNull()).drop("_read")
     if blocks:
         totals = totals.withColumn("_block", F.shiftright("_tile", BLOCK_BITS))
         parts = carried(totals, [*keys, "_block"], "_tile", "_near")
         whole = totals.groupBy(*keys, "_block").agg(*[_FOLD[f](f"_all_{n}").alias(f"_all_{n}") for n, f in folds.items()])
-        both = parts.join(carried(whole, keys, "_block", "_far"), [*keys, "_block"])
+        both = parts.join(carried(whole, keys, "_block", "_far"), [*keys, "_block"], "left")
         carry = both.select(*keys, "_tile", *[_merged(f, F.col(f"_near_{n}"), F.col(f"_far_{n}")).alias(f"_carry_{n}") for n, f in folds.items()])
     else:
         carry = carried(totals, keys, "_tile", "_carry")

@@ -47,7 +47,8 @@ def parse_chain_lines(
     def number(i: int) -> Column:
         return F.coalesce(F.try_element_at(tokens, F.lit(i)).cast("bigint"), F.lit(0))
 
-    data = owned.filter(~is_head).select("head", "line_no", number(1).alias("size"), number(2).alias("dt"), number(3).alias("dq"))
+    # headers are told by the scan, so that they are read from its shuffle and not from the text again
+    data = owned.filter(F.col("head") < F.col("line_no")).select("head", "line_no", number(1).alias("size"), number(2).alias("dt"), number(3).alias("dq"))
     placed = prefix_scan(
         data,
         ["head"],
@@ -59,7 +60,7 @@ def parse_chain_lines(
             "n_before": ("sum", F.lit(1).cast("bigint")),
         },
     )
-    heads = chain_headers(filled)
+    heads = chain_headers(owned.filter(F.col("head") == F.col("line_no")))
     heads = heads.filter(F.assert_true(F.col("tstrand") == "+", F.lit("reverse target chain")).isNull())
     heads = heads.filter((F.col("score") >= min_score) & (F.col("tend") - F.col("tstart") >= min_size))
     if tselect:

@@ -302,3 +302,17 @@ def test_rows_are_made_once_and_read_from_what_they_replace(spark, tmp_path):
     some = store.read_group(spark, path, "g", "chr[01]").filter("start < 100")
     store.write_group(some, path, "g", lambda rows: store.region_metadata(rows, "g", ["y"]), "a")
     assert {r["chrom"]: r.numreg for r in store.read_metadata(spark, path).collect()} == {"chr0": 4, "chr1": 3, "chr2": 16}
+
+
+def test_chain_lines_are_read_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(row):
+        seen.add(1)
+        return row
+
+    numbered = [(i, line) for i, line in enumerate(CHAINS.split("\n"))]
+    lines = spark.createDataFrame(spark.sparkContext.parallelize(numbered, 2).map(told), "line_no bigint, value string")
+    same = spark.createDataFrame(numbered, "line_no bigint, value string")
+    assert sorted(parse_chain_lines(lines).collect()) == sorted(parse_chain_lines(same).collect())
+    assert seen.value == len(numbered)
