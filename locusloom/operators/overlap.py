@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import intervals as iv
+from ..session import cut_lineage
 from .dominance import nested_sums
 from .scan import TILE_BITS, position_tile, prefix_scan
 
@@ -42,35 +43,33 @@ def _contained_flags(rows: DataFrame, n: int) -> DataFrame:
         F.coalesce(F.when(F.col("_set") < j, F.col(f"near_{j}") <= F.col("end")).otherwise(F.col(f"far_{j}") >= F.col("end")), F.lit(False)).alias(f"hit_{j}")
         for j in range(n)
     ]
-    return rows.join(ends, ["chrom", "start"]).select(*rows.columns, *hits, *[F.lit(0).cast("bigint").alias(f"bp_{j}") for j in range(n)])
+    return rows.join(ends, ["chrom", "start"]).select(*rows.columns, *hits)
 
 
-def _overlap_flags(rows: DataFrame, n: int) -> DataFrame:
-    """Rows with, for each set ``j``, ``hit_j`` (shares a base with some interval of it) and ``bp_j`` (bases shared in all).
+def _overlap_flags(rows: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with, for each set ``j``, ``hit_j`` (shares a base with some interval of it); and per (chrom, pos) the bases
+    shared by each pair of sets (``bp_i_j``) since the position before, to be added up.
 
-    The prefix sums of ``intervals.overlap_totals``, with one slot per set: every end of every row is an event of its
-    set and a probe for the others.
+    One scan over all starts and ends. A row meets a set if the farthest end of those that start before its end lies
+    beyond its start. Bases of all pairs of intervals are depth times depth times length, so no row is asked for them.
     """
-    ends = rows.select("_set", "chrom", F.explode(F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("open")), F.struct(F.col("end").alias("pos"), F.lit(-1).alias("open")))).alias("p"))
-    mine = lambda i, way: F.sum(F.when((F.col("_set") == i) & (F.col("p.open") == way), F.lit(1)).otherwise(F.lit(0)))
-    points = ends.groupBy("chrom", F.col("p.pos").alias("pos")).agg(*[mine(i, way).alias(f"{name}_{i}") for i in range(n) for name, way in (("s", 1), ("e", -1))])
-    pos, tile = F.col("pos"), position_tile(F.col("pos"))
-    inner = pos - F.shiftleft(tile, TILE_BITS)
-    spec = {}
-    for i in range(n):
-        s, e = F.col(f"s_{i}"), F.col(f"e_{i}")
-        spec |= {f"begun_{i}": ("sum", s), f"ended_{i}": ("sum", e), f"tiles_{i}": ("sum", (s - e) * tile), f"inner_{i}": ("sum", (s - e) * inner)}
-    scanned = prefix_scan(points, ["chrom"], "pos", tile, spec)
-
-    def covered(i: int) -> Column:
-        depth = F.col(f"begun_{i}") - F.col(f"ended_{i}")
-        return F.shiftleft(tile * depth - F.col(f"tiles_{i}"), TILE_BITS) + inner * depth - F.col(f"inner_{i}")
-
-    at_start = scanned.select("chrom", pos.alias("start"), *[c for i in range(n) for c in ((F.col(f"ended_{i}") + F.col(f"e_{i}")).alias(f"_ended_{i}"), covered(i).alias(f"_from_{i}"))])
-    at_end = scanned.select("chrom", pos.alias("end"), *[c for i in range(n) for c in (F.col(f"begun_{i}").alias(f"_begun_{i}"), covered(i).alias(f"_to_{i}"))])
-    met = rows.join(at_start, ["chrom", "start"]).join(at_end, ["chrom", "end"])
-    flags = [c for j in range(n) for c in ((F.col(f"_begun_{j}") > F.col(f"_ended_{j}")).alias(f"hit_{j}"), (F.col(f"_to_{j}") - F.col(f"_from_{j}")).alias(f"bp_{j}"))]
-    return met.select(*rows.columns, *flags)
+    edges = [F.struct(F.col("start").alias("pos"), F.lit(1).alias("open"), F.col("end").alias("far")), F.struct(F.col("end").alias("pos"), F.lit(-1).alias("open"), F.lit(None).cast("bigint").alias("far"))]
+    ends = rows.select("_set", "chrom", F.explode(F.array(*edges)).alias("p"))
+    mine = lambda i, value, other=None: F.when(F.col("_set") == i, value).otherwise(other)
+    points = ends.groupBy("chrom", F.col("p.pos").alias("pos")).agg(
+        *[F.sum(mine(i, F.col("p.open"), 0)).alias(f"net_{i}") for i in range(n)], *[F.max(mine(i, F.col("p.far"))).alias(f"end_{i}") for i in range(n)]
+    )
+    spec = {f"depth_{i}": ("sum", F.col(f"net_{i}")) for i in range(n)} | {f"far_{i}": ("max", F.col(f"end_{i}")) for i in range(n)} | {"last": ("max", F.col("pos"))}
+    known = F.col("chrom").isNotNull() & F.col("pos").isNotNull()
+    scanned = prefix_scan(points.filter(known), ["chrom"], "pos", position_tile(F.col("pos")), spec).filter(known)
+    # one array per position, which isn't pruned, dealt out once: hits and bases are read from the same shuffle
+    slots = [F.col("pos") - F.col("last"), *[F.col(f"depth_{i}") for i in range(n)], *[F.col(f"far_{i}") for i in range(n)]]
+    profile = scanned.select("chrom", "pos", F.array(*slots).alias("_at")).repartition("chrom", "pos")
+    at, depth, far = F.col("_at"), (lambda i: F.col("_at")[1 + i]), (lambda i: F.col("_at")[1 + n + i])
+    met = rows.join(profile.withColumnRenamed("pos", "end"), ["chrom", "end"])
+    flagged = met.select(*rows.columns, *[F.coalesce(far(j) > F.col("start"), F.lit(False)).alias(f"hit_{j}") for j in range(n)])
+    shared = [F.coalesce(depth(i) * depth(j) * at[0], F.lit(0)).alias(f"bp_{i}_{j}") for i, j in combinations(range(n), 2)]
+    return flagged, profile.select("chrom", "pos", *shared)
 
 
 def _counts(**given: Column) -> list[Column]:
@@ -79,14 +78,15 @@ def _counts(**given: Column) -> list[Column]:
 
 def _restricted(sets: Sequence[DataFrame], rois: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Distinct rows of all sets strictly after the start of, and ending within, some ROI; and the ROIs with ``in_i``,
-    whether they hold such a region of set ``i``. One scan for each."""
+    whether they hold such a region of set ``i``. One scan of all rows; the ROIs are asked with those kept, which are stored
+    as they are read several times."""
     n = len(sets)
     other = [[c for c in d.columns if c not in ("chrom", "start", "end", "name")] for d in sets]
     told = [d.withColumn("_rest", F.to_json(F.struct(*o)) if o else F.lit("")) for d, o in zip(sets, other, strict=True)]
     columns = ["chrom", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), "name", "_rest"]
     rows = reduce(DataFrame.unionByName, [d.select(F.lit(i).alias("_set"), *columns) for i, d in enumerate(told)])
-    inside = iv.inside_any(rows, rois, strict_start=True).filter("inside").drop("inside").distinct().drop("_rest")
-    ends = _nearest_ends(rows, n, rois, strict=True)
+    inside = cut_lineage(iv.inside_any(rows, rois, strict_start=True).filter("inside").drop("inside").distinct().drop("_rest"))
+    ends = _nearest_ends(inside, n, rois, strict=True)
     holds = [F.coalesce(F.col(f"near_{i}") <= F.col("end"), F.lit(False)).alias(f"in_{i}") for i in range(n)]
     return inside, rois.select("chrom", "start", "end").join(ends, ["chrom", "start"]).select("chrom", *holds)
 
@@ -103,18 +103,17 @@ def pair_counts(sets: Sequence[DataFrame], rois: DataFrame | None = None, mode:
     else:
         rows, of_rois = _restricted(sets, rois)
     if mode == "contained":
-        flagged = _contained_flags(rows, n)
+        flagged = cut_lineage(_contained_flags(rows, n))  # read by name and by position
     elif mode == "overlap":
-        flagged = _overlap_flags(rows, n)
+        flagged, bases = _overlap_flags(rows, n)
     else:
         raise ValueError(f"unknown overlap mode: {mode}")
     per_name = flagged.groupBy("_set", "chrom", "name").agg(
         F.count(F.lit(1)).alias("num"),
         F.sum(F.col("end") - F.col("start")).alias("cov"),
         *[F.max(f"hit_{j}").cast("int").alias(f"hit_{j}") for j in range(n)],
-        *[F.sum(f"bp_{j}").alias(f"bp_{j}") for j in range(n)],
     )
-    others = F.array(*[F.struct(F.lit(j).alias("j"), F.col(f"hit_{j}").alias("hit"), F.col(f"bp_{j}").alias("bp")) for j in range(n)])
+    others = F.array(*[F.struct(F.lit(j).alias("j"), F.col(f"hit_{j}").alias("hit")) for j in range(n)])
     paired = per_name.select("_set", "chrom", "num", "cov", F.explode(others).alias("o")).filter("_set != o.j")
     first = F.col("_set") < F.col("o.j")
     a, b = (lambda c: F.when(first, c).otherwise(0)), (lambda c: F.when(first, 0).otherwise(c))
@@ -124,7 +123,6 @@ def pair_counts(sets: Sequence[DataFrame], rois: DataFrame | None = None, mode:
         "chrom",
         *_counts(
             a_num=a(F.col("num")), a_cov=a(F.col("cov")), a_hits=a(F.col("o.hit")), b_num=b(F.col("num")), b_cov=b(F.col("cov")), b_hits=b(F.col("o.hit")),
-            ovl_cov_bp=a(F.col("o.bp")),
         ),
     )
     pairs = list(combinations(range(n), 2))
@@ -141,6 +139,9 @@ def pair_counts(sets: Sequence[DataFrame], rois: DataFrame | None = None, mode:
         inner = {f"i{j}": F.when((F.col("_set") == j) & some(range(j)), F.col("end") - F.col("start")).otherwise(0) for j in range(1, n)}
         sums = nested_sums(flagged, ["chrom"], outer, inner, [(f"o{i}", f"i{j}") for i, j in pairs], rows)
         out = out.unionByName(by_pair(sums, lambda i, j: {"ovl_cov_bp": F.col(f"o{i}_i{j}")}))
+    else:
+        bases = bases.groupBy("chrom").agg(*[F.sum(f"bp_{i}_{j}").alias(f"bp_{i}_{j}") for i, j in pairs])
+        out = out.unionByName(by_pair(bases, lambda i, j: {"ovl_cov_bp": F.col(f"bp_{i}_{j}")}))
     if of_rois is not None:
         hit = lambda i, j: F.col(f"in_{i}") | F.col(f"in_{j}")
         out = out.unionByName(by_pair(of_rois, lambda i, j: {"roi_hits": hit(i, j).cast("int"), "roi_miss": (~hit(i, j)).cast("int")}))
