@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scan import TILE_BITS, position_tile, prefix_scan
+from .scan import TILE_BITS, also_reads, position_tile, prefix_scan
 
 KEY = ["chrom"]
 # cells of the join tree: 2**10 positions in a leaf, 16 cells in one of the next level, up to 2**42
@@ -169,7 +169,8 @@ def merge_overlapping(df: DataFrame, keys: Sequence[str] = ("chrom",), bits: int
     before = Window.partitionBy(*keys).orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
     tiles = (
         local.groupBy(*keys, "_tile")
-        .agg(F.max("end").alias("_top"), F.max("_first").alias("_last"))
+        .agg(F.max("end").alias("_top"), F.max("_first").alias("_last"), also_reads(*totals).alias("_read"))
+        .filter(F.col("_read").isNotNull())
         .withColumn("_limit", F.max("_top").over(before))
         .withColumn("_open", F.when(F.col("_limit").isNull() | (F.col("_last") > F.col("_limit")), F.col("_last")))
         .select(*keys, "_tile", "_limit", F.max("_open").over(before).alias("_owner"))
@@ -184,8 +185,10 @@ def merge_overlapping(df: DataFrame, keys: Sequence[str] = ("chrom",), bits: int
 
 def island_members(df: DataFrame, keys: Sequence[str] = ("chrom",)) -> DataFrame:
     """Every input row with the island it belongs to (``island_start``, ``island_end``)."""
-    keys = list(keys)
-    islands = merge_overlapping(df, keys)
+    return _members_of(df, merge_overlapping(df, keys), list(keys))
+
+
+def _members_of(df: DataFrame, islands: DataFrame, keys: list[str]) -> DataFrame:
     starts = df.select(*keys, "start").distinct()
     tile = position_tile(F.col("start"))
     marks = starts.join(islands.select(*keys, "start", F.col("end").alias("island_end")), [*keys, "start"], "left")
@@ -211,14 +214,13 @@ def merge_with_names(df: DataFrame, keys: Sequence[str] = ("chrom",), max_names:
     instead of building it; use ``island_members`` for such data.
     """
     keys = list(keys)
-    islands = merge_overlapping(df, keys)
-    small = islands.filter(
+    # told where rows look up their island, which is before any name is collected
+    small = merge_overlapping(df, keys).filter(
         F.assert_true(F.col("n_merged") <= max_names, F.lit("island has too many members to join their names")).isNull()
     )
-    members = island_members(df.select(*keys, "start", "end", "name"), keys)
-    named = members.join(small.select(*keys, F.col("start").alias("island_start"), "n_merged"), [*keys, "island_start"])
+    members = _members_of(df.select(*keys, "start", "end", "name"), small, keys)
     return (
-        named.groupBy(*keys, "island_start")
+        members.groupBy(*keys, "island_start")
         .agg(
             F.max("end").alias("end"),
             F.array_join(

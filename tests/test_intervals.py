@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from locusloom.operators import dominance
 from locusloom.operators import intervals as iv
 from locusloom.operators import overlap as ov
+from locusloom.operators.scan import prefix_scan
 
 REGION = "chrom string, start bigint, end bigint"
 
@@ -231,3 +232,47 @@ def test_gaps_deal_out_nothing_by_chromosome_alone(spark, rows):
                 want.append((c, at, min(s, size)))
             at = max(at, e)
     assert got == sorted(want)
+
+
+def counted(spark, rows, schema):
+    """Rows as a table, with a counter of how often they are read."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(row):
+        seen.add(1)
+        return row
+
+    return spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(told), schema), seen
+
+
+def test_scan_reads_its_rows_once(spark):
+    df, seen = counted(spark, [("a", i, i % 3, "x") for i in range(40)], "chrom string not null, pos long, v long, other string")
+    got = prefix_scan(df, ["chrom"], "pos", F.shiftright("pos", 3), {"s": ("sum", F.col("v"))}).collect()
+    assert {r.pos: r.s for r in got} == {i: sum(j % 3 for j in range(i)) for i in range(40)}
+    assert seen.value == 40
+
+
+def test_islands_are_built_once_for_their_names(spark):
+    rows = random_regions(21, n=30)
+    df, seen = counted(spark, rows, REGION + ", name string")
+    assert sum(r.n_merged for r in iv.merge_with_names(df).collect()) == len(rows)
+    assert seen.value <= 4 * len(rows)  # rows, their starts, and islands, which aren't built again to be counted
+
+
+def test_restricted_rows_are_read_for_one_scan(spark):
+    named = random_regions(22, n=30)
+    df, seen = counted(spark, named, REGION + ", name string")
+    rois = spark.createDataFrame([(c, s - 5, e + 5) for c, s, e, _ in named[:8]], REGION)
+    other = spark.createDataFrame(named[10:], REGION + ", name string")
+    got = {r.chrom: r for r in ov.pair_stats(df, other, rois).collect()}
+    inside = {r for r in named if any(c == r[0] and r[1] > s - 5 and r[2] <= e + 5 for c, s, e, _ in named[:8])}
+    assert sum(r.a_num for r in got.values()) == len(inside)
+    held = lambda c, s, e: any(r[0] == c and r[1] > s - 5 and r[2] <= e + 5 for r in named)
+    assert sum(r.roi_hits for r in got.values()) == sum(held(c, s, e) for c, s, e, _ in named[:8])
+    assert seen.value == 2 * len(named)  # ends, rows
+
+
+def test_overlap_looks_rows_up_once(spark):
+    df = spark.createDataFrame(random_regions(23, n=20), REGION + ", name string")
+    plan = ov.pairwise_overlap({"a": df, "b": df}, mode="overlap")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 1
