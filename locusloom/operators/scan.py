@@ -103,6 +103,7 @@ def prefix_scan(
     back = set(spec) if reverse is True else set(reverse or ())
     tiled = points.withColumn("_tile", tile).repartition(*keys, "_tile")
     folds = {n: f for n, (f, _) in spec.items()}
+    hashed = [f.name for f in points.schema if "map<" not in f.dataType.simpleString()]  # maps have no hash
 
     def before(by: Sequence[str], along: str, name: str, last: int) -> WindowSpec:
         return Window.partitionBy(*by).orderBy(F.desc(along) if name in back else F.asc(along)).rowsBetween(Window.unboundedPreceding, last)
@@ -112,7 +113,7 @@ def prefix_scan(
 
     last = Window.currentRow if inclusive else -1
     rows = tiled.select("*", *[_FOLD[f](e).over(before([*keys, "_tile"], order, n, last)).alias(f"_in_{n}") for n, (f, e) in spec.items()])
-    totals = tiled.groupBy(*keys, "_tile").agg(*[_FOLD[f](e).alias(f"_all_{n}") for n, (f, e) in spec.items()], also_reads(*points.columns).alias("_read"))
+    totals = tiled.groupBy(*keys, "_tile").agg(*[_FOLD[f](e).alias(f"_all_{n}") for n, (f, e) in spec.items()], also_reads(*hashed).alias("_read"))
     totals = totals.filter(F.col("_read").isNotNull()).drop("_read")
     if blocks:
         totals = totals.withColumn("_block", F.shiftright("_tile", BLOCK_BITS))
