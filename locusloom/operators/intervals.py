@@ -7,6 +7,8 @@ other columns.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -145,7 +147,8 @@ def merge_overlapping(df: DataFrame, keys: Sequence[str] = ("chrom",), bits: int
     """Union of overlapping and book-ended intervals, with the number of inputs per island.
 
     Extra keyword arguments are summed per island. Equal starts are folded first, islands are
-    built per tile, and only the tile totals are scanned along the key.
+    built per tile, and only the tile totals are scanned along the key. Rows learn their island's start in
+    the order they were sorted in, and are added up once.
     """
     keys = list(keys)
     totals = ["n_merged", *sums]
@@ -154,16 +157,15 @@ def merge_overlapping(df: DataFrame, keys: Sequence[str] = ("chrom",), bits: int
         F.count(F.lit(1)).alias("n_merged"),
         *[F.sum(c).alias(n) for n, c in sums.items()],
     )
+    # rows and tiles read one shuffle; the join below would leave NULLs out of one of them alone
+    tiled = folded.withColumn("_tile", position_tile(F.col("start"), bits)).filter(reduce(and_, [F.col(c).isNotNull() for c in [*keys, "_tile"]]))
     # islands inside each tile
     inside = Window.partitionBy(*keys, "_tile").orderBy("start")
     earlier, so_far = inside.rowsBetween(Window.unboundedPreceding, -1), inside.rowsBetween(Window.unboundedPreceding, 0)
     local = (
-        folded.withColumn("_tile", position_tile(F.col("start"), bits))
-        .withColumn("_reach", F.max("end").over(earlier))
+        tiled.withColumn("_reach", F.max("end").over(earlier))
         .withColumn("_open", F.when(F.col("_reach").isNull() | (F.col("start") > F.col("_reach")), F.col("start")))
-        .withColumn("_first", F.max("_open").over(so_far))
-        .groupBy(*keys, "_tile", "_first")
-        .agg(F.max("end").alias("end"), *[F.sum(n).alias(n) for n in totals])
+        .select(*keys, "_tile", "end", *totals, F.max("_open").over(so_far).alias("_first"))
     )
     # an island that reaches past its tile absorbs the islands it meets in later tiles
     before = Window.partitionBy(*keys).orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
