@@ -143,63 +143,78 @@ def range_join(
 # ---------------------------------------------------------------- islands
 
 
-def merge_overlapping(df: DataFrame, keys: Sequence[str] = ("chrom",), bits: int = TILE_BITS, **sums: Column) -> DataFrame:
-    """Union of overlapping and book-ended intervals, with the number of inputs per island.
+def _placed(df: DataFrame, keys: list[str], bits: int, folds: dict[str, Column]) -> DataFrame:
+    """Distinct starts with ``_island``, where their island begins, their farthest ``end`` and the ``folds`` of their rows.
 
-    Extra keyword arguments are summed per island. Equal starts are folded first, islands are
-    built per tile, and only the tile totals are scanned along the key. Rows learn their island's start in
-    the order they were sorted in, and are added up once.
+    Equal starts are folded first, islands are built per tile, and only the tile totals are scanned along the key.
+    Name no fold that isn't used: columns pruned in one branch would keep the two from reading one shuffle.
     """
-    keys = list(keys)
-    totals = ["n_merged", *sums]
-    folded = df.groupBy(*keys, "start").agg(
-        F.max("end").alias("end"),
-        F.count(F.lit(1)).alias("n_merged"),
-        *[F.sum(c).alias(n) for n, c in sums.items()],
-    )
-    # rows and tiles read one shuffle; the join below would leave NULLs out of one of them alone
-    tiled = folded.withColumn("_tile", position_tile(F.col("start"), bits)).filter(reduce(and_, [F.col(c).isNotNull() for c in [*keys, "_tile"]]))
+    folded = df.groupBy(*keys, "start").agg(F.max("end").alias("end"), *[c.alias(n) for n, c in folds.items()])
+    # the join below would leave NULLs out of one branch alone
+    known = [F.col(c).isNotNull() for c in [*keys, "_tile"]]
+    tiled = folded.withColumn("_tile", position_tile(F.col("start"), bits)).filter(reduce(and_, known))
     # islands inside each tile
     inside = Window.partitionBy(*keys, "_tile").orderBy("start")
     earlier, so_far = inside.rowsBetween(Window.unboundedPreceding, -1), inside.rowsBetween(Window.unboundedPreceding, 0)
     local = (
         tiled.withColumn("_reach", F.max("end").over(earlier))
         .withColumn("_open", F.when(F.col("_reach").isNull() | (F.col("start") > F.col("_reach")), F.col("start")))
-        .select(*keys, "_tile", "end", *totals, F.max("_open").over(so_far).alias("_first"))
+        .withColumn("_first", F.max("_open").over(so_far))
     )
     # an island that reaches past its tile absorbs the islands it meets in later tiles
     before = Window.partitionBy(*keys).orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
+    read = also_reads(*folds) if folds else F.lit(0)
     tiles = (
         local.groupBy(*keys, "_tile")
-        .agg(F.max("end").alias("_top"), F.max("_first").alias("_last"), also_reads(*totals).alias("_read"))
+        .agg(F.max("end").alias("_top"), F.max("_first").alias("_last"), read.alias("_read"))
         .filter(F.col("_read").isNotNull())
         .withColumn("_limit", F.max("_top").over(before))
         .withColumn("_open", F.when(F.col("_limit").isNull() | (F.col("_last") > F.col("_limit")), F.col("_last")))
         .select(*keys, "_tile", "_limit", F.max("_open").over(before).alias("_owner"))
     )
     begin = F.when(F.col("_first") <= F.col("_limit"), F.col("_owner")).otherwise(F.col("_first"))
-    return (
-        local.join(tiles, [*keys, "_tile"])
-        .groupBy(*keys, begin.alias("start"))
-        .agg(F.max("end").alias("end"), *[F.sum(n).alias(n) for n in totals])
-    )
+    return local.join(tiles, [*keys, "_tile"]).select(*keys, "start", "end", *folds, begin.alias("_island"))
+
+
+def islands(df: DataFrame, keys: Sequence[str] = ("chrom",), bits: int = TILE_BITS, **folds: Column) -> DataFrame:
+    """Union of overlapping and book-ended intervals, with ``folds``, each a sum or a count, of the inputs of an island."""
+    rows = _placed(df, list(keys), bits, folds)
+    return rows.groupBy(*keys, F.col("_island").alias("start")).agg(F.max("end").alias("end"), *[F.sum(n).alias(n) for n in folds])
+
+
+def merge_overlapping(df: DataFrame, keys: Sequence[str] = ("chrom",), bits: int = TILE_BITS, **sums: Column) -> DataFrame:
+    """``islands`` with the number of inputs, ``n_merged``; extra keyword arguments are summed per island."""
+    return islands(df, keys, bits, n_merged=F.count(F.lit(1)), **{n: F.sum(c) for n, c in sums.items()})
 
 
 def island_members(df: DataFrame, keys: Sequence[str] = ("chrom",)) -> DataFrame:
     """Every input row with the island it belongs to (``island_start``, ``island_end``)."""
-    return _members_of(df, merge_overlapping(df, keys), list(keys))
+    return _members(df, list(keys))
 
 
-def _members_of(df: DataFrame, islands: DataFrame, keys: list[str]) -> DataFrame:
-    starts = df.select(*keys, "start").distinct()
-    tile = position_tile(F.col("start"))
-    marks = starts.join(islands.select(*keys, "start", F.col("end").alias("island_end")), [*keys, "start"], "left")
+def _members(df: DataFrame, keys: list[str], most: int | None = None) -> DataFrame:
+    """``island_members``; an island of more than ``most`` rows stops the job."""
+    rows = _placed(df, keys, TILE_BITS, {} if most is None else {"n": F.count(F.lit(1))})
+    # a start marks itself, and adds its end to the mark where its island begins
+    counts = [] if most is None else ["n"]
+    own = F.struct(F.col("_island").alias("start"), F.col("end").alias("island_end"), *counts)
+    itself = F.struct("start", F.lit(None).cast("bigint").alias("island_end"), *[F.lit(0).cast("bigint").alias(n) for n in counts])
+    told = F.when(F.col("_island") == F.col("start"), F.array(own)).otherwise(F.array(own, itself))
+    marks = (
+        rows.select(*keys, F.explode(told).alias("m"))
+        .groupBy(*keys, F.col("m.start").alias("start"))
+        .agg(F.max("m.island_end").alias("island_end"), *[F.sum(f"m.{n}").alias(n) for n in counts])
+    )
+    if most is not None:
+        # told where rows look up their island, which is before any name is collected
+        few = F.assert_true(F.col("n") <= most, F.lit("island has too many members to join their names"))
+        marks = marks.filter(few.isNull()).drop("n")
     # island starts are input starts and islands are disjoint, so the last one at or before a row owns it
     owner = prefix_scan(
         marks,
         keys,
         "start",
-        tile,
+        position_tile(F.col("start")),
         {
             "island_start": ("max", F.when(F.col("island_end").isNotNull(), F.col("start"))),
             "island_end": ("max", F.col("island_end")),
@@ -216,11 +231,7 @@ def merge_with_names(df: DataFrame, keys: Sequence[str] = ("chrom",), max_names:
     instead of building it; use ``island_members`` for such data.
     """
     keys = list(keys)
-    # told where rows look up their island, which is before any name is collected
-    small = merge_overlapping(df, keys).filter(
-        F.assert_true(F.col("n_merged") <= max_names, F.lit("island has too many members to join their names")).isNull()
-    )
-    members = _members_of(df.select(*keys, "start", "end", "name"), small, keys)
+    members = _members(df.select(*keys, "start", "end", "name"), keys, max_names)
     return (
         members.groupBy(*keys, "island_start")
         .agg(
@@ -279,9 +290,9 @@ def runs_and_select(blocks: DataFrame, sizes: DataFrame) -> DataFrame:
 
     ``conserved`` is the select bit of the run; run boundaries are the splits.
     """
-    islands = merge_overlapping(blocks).select("chrom", "start", "end", F.lit(True).alias("conserved"))
+    covered = islands(blocks).withColumn("conserved", F.lit(True))
     rest = gaps(blocks, sizes).withColumn("conserved", F.lit(False))
-    return islands.unionByName(rest)
+    return covered.unionByName(rest)
 
 
 # ---------------------------------------------------------------- coverage without pairs

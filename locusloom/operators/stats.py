@@ -166,7 +166,7 @@ def segment_pairs(tracks: Mapping[str, DataFrame], blocks: DataFrame, rois: Data
     for name in masks:
         pieces = pieces.filter(name)
     size = F.col("end") - F.col("start")
-    segments = iv.merge_overlapping(pieces, **{c: F.coalesce(c, F.lit(0.0)) * size for c in columns}).withColumn("size", size)
+    segments = iv.islands(pieces, **{c: F.sum(F.coalesce(c, F.lit(0.0)) * size) for c in columns}).withColumn("size", size)
     means = segments.filter(F.col("size") >= skip_size).select("chrom", "start", "end", "size", *[(F.col(c) / F.col("size")).alias(c) for c in columns])
     return _pairs_of(means, list(tracks), columns, ["chrom", "start", "end", "size"])
 

@@ -132,7 +132,7 @@ def convert_regions(spark: SparkSession, files: Sequence[str], select: str, **op
         if "name" in regions.columns:
             regions = iv.merge_with_names(regions).drop("n_merged")
         else:
-            regions = iv.merge_overlapping(regions).drop("n_merged")
+            regions = iv.islands(regions)
     if "name" not in regions.columns:
         regions = row_number_by_position(regions, "_i").select(
             *regions.columns, F.concat(F.lit("region_"), "_i").alias("name")

@@ -264,6 +264,17 @@ def test_islands_read_their_rows_once(spark):
     assert plan.count("Aggregate [") == 4  # equal starts (for rows and tiles), tiles, islands
 
 
+def test_members_read_their_rows_twice(spark):
+    """Once for the islands, once to be given theirs; starts aren't looked up in islands built apart."""
+    data = [r for r in random_regions(25, n=30) if r[3] != "all"]
+    df, seen = counted(spark, data, REGION + ", name string")
+    got = iv.island_members(df).collect()
+    islands = brute_islands(data)
+    assert sorted((r.chrom, r.start, r.end, r.name) for r in got) == sorted(data)
+    assert all((r.chrom, r.island_start, r.island_end) in {i[:3] for i in islands} and r.island_start <= r.start <= r.end <= r.island_end for r in got)
+    assert seen.value == 2 * len(data)
+
+
 def test_islands_are_built_once_for_their_names(spark):
     rows = random_regions(21, n=30)
     df, seen = counted(spark, rows, REGION + ", name string")
