@@ -68,22 +68,22 @@ def _levels(df: DataFrame, keys: Sequence[str]) -> tuple[Column, Column]:
     return levels["longest"], levels["fits"]
 
 
-def _point_cells(df: DataFrame, position: Column, top: Column) -> DataFrame:
-    """One row per level: the leaf of a position and the cells above it."""
-    on_level = df.select("*", F.explode(F.sequence(F.lit(0), top)).alias("_level"))
-    return on_level.select("*", _shift(position.cast("bigint"), F.col("_level") * LEVEL_BITS + LEAF_BITS).alias("_cell"))
-
+def _cells(df: DataFrame, start: Column, end: Column, extents: tuple[int, Column] | None = None, points: tuple[int, Column] | None = None) -> DataFrame:
+    """Rows with ``_role, _level, _cell`` of their extents, their starts, or both, each given as a role and the top level.
 
-def _interval_cells(df: DataFrame, start: Column, end: Column, top: Column) -> DataFrame:
-    """One row per cell of the smallest set that covers an interval, leaves at its ends taken whole.
-
-    On each level these are the cells before the first and after the last whole cell of the next level, at most 30;
-    on the top level, or where no whole cell of the next level fits, all that are left.
+    A start has one row per level: its leaf and the cells above it. An extent has one row per cell of the smallest set that covers
+    it, leaves at its ends taken whole: on each level these are the cells before the first and after the last whole cell of the
+    next level, at most 30; on the top level, or where no whole cell of the next level fits, all that are left. Both come from
+    one pass, as a row that was costly to make or to fold would else be made in one task twice.
     """
     start, end = start.cast("bigint"), end.cast("bigint")
     first, last = _shift(start, F.lit(LEAF_BITS)), _shift(end - 1, F.lit(LEAF_BITS)) + 1
-    own = F.least(top, _level_of(last - first))
-    on_level = df.select("*", F.explode(F.sequence(F.lit(0), own)).alias("_level"))
+    given = [x for x in (extents, points) if x is not None]
+    on_role = df.select("*", F.explode(F.array(*[F.lit(role) for role, _ in given])).alias("_role"))
+    extent = F.lit(False) if extents is None else F.col("_role") == extents[0]
+    own = F.lit(0) if extents is None else F.least(extents[1], _level_of(last - first))
+    highest = own if points is None else F.when(extent, own).otherwise(points[1])
+    on_level = on_role.select("*", F.explode(F.sequence(F.lit(0), highest)).alias("_level"))
     up = 1 << LEVEL_BITS
     ceiled = lambda x, bits: _shift(x + _pow2(bits) - 1, bits)
     bits = F.col("_level") * LEVEL_BITS
@@ -91,10 +91,19 @@ def _interval_cells(df: DataFrame, start: Column, end: Column, top: Column) -> D
     low_up, high_up = ceiled(first, bits + LEVEL_BITS) * up, _shift(last, bits + LEVEL_BITS) * up
     whole = (F.col("_level") == own) | (low_up >= high_up)
     run = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>"))
-    cells = F.when(whole, run(low, high)).otherwise(F.concat(run(low, low_up), run(high_up, high)))
+    covering = F.when(whole, run(low, high)).otherwise(F.concat(run(low, low_up), run(high_up, high)))
+    cells = F.when(extent, covering).otherwise(F.array(_shift(start, bits + LEAF_BITS)))
     return on_level.select("*", F.explode(cells).alias("_cell"))
 
 
+def _point_cells(df: DataFrame, position: Column, top: Column) -> DataFrame:
+    return _cells(df, position, position, points=(0, top)).drop("_role")
+
+
+def _interval_cells(df: DataFrame, start: Column, end: Column, top: Column) -> DataFrame:
+    return _cells(df, start, end, extents=(0, top)).drop("_role")
+
+
 def _pow2(bits: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), bits)
 
@@ -125,17 +134,16 @@ def range_join(
     keys = list(keys)
     renamed = right.select(*[F.col(c).alias(c if c in keys else c + suffix) for c in right.columns])
     s, e, rs, re_ = F.col("start"), F.col("end"), F.col(f"start{suffix}"), F.col(f"end{suffix}")
-    tagged = lambda df, role: df.withColumn("_role", F.lit(role))
     left_longest, left_fits = _levels(left if left_bound is None else left_bound, keys)
     right_longest, right_fits = _levels(right if right_bound is None else right_bound, keys)
-    top = F.least(left_longest, right_fits)
-    a, b = tagged(_interval_cells(left, s, e, top), 0), tagged(_point_cells(renamed, rs, top), 0)
+    within, around = F.least(left_longest, right_fits), F.least(right_longest, left_fits)
     if mode == "overlap":
-        top = F.least(right_longest, left_fits)
-        a = a.unionByName(tagged(_point_cells(left, s, top), 1))
-        b = b.unionByName(tagged(_interval_cells(renamed, rs, re_, top), 1))
+        a = _cells(left, s, e, (0, within), (1, around))
+        # apart, so that the size check of a broadcast sees both
+        b = _cells(renamed, rs, re_, extents=(1, around)).unionByName(_cells(renamed, rs, re_, points=(0, within)))
         hit = F.when(F.col("_role") == 0, (rs >= s) & (rs < e)).otherwise((s > rs) & (s < re_))
     else:
+        a, b = _cells(left, s, e, extents=(0, within)), _cells(renamed, rs, re_, points=(0, within))
         hit = (rs >= s) & (re_ <= e)
     return a.join(b, [*keys, "_role", "_level", "_cell"]).filter(hit).drop("_role", "_level", "_cell")
 

@@ -61,23 +61,27 @@ def axis_pieces(tracks: Mapping[str, DataFrame], masks: Mapping[str, DataFrame]
     left out.
     """
     masks = masks or {}
-    rows = []
-    for i, runs in enumerate(tracks.values()):
-        run = F.struct(F.col("start").alias("s"), F.col("end").alias("e"), F.col("value").cast("double").alias("v"))
-        none = F.lit(None).cast("struct<s:bigint,e:bigint,v:double>")
-        ends = F.array(F.struct(F.col("start").alias("pos"), run.alias("run")), F.struct(F.col("end").alias("pos"), none.alias("run")))
-        rows.append(
-            runs.select("chrom", F.explode(ends).alias("p")).select("chrom", "p.pos", F.lit(i).alias("which"), "p.run", F.lit(0).alias("net"))
-        )
-    for j, intervals in enumerate(masks.values(), start=len(tracks)):
-        none = F.lit(None).cast("struct<s:bigint,e:bigint,v:double>")
-        ends = F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("net")), F.struct(F.col("end").alias("pos"), F.lit(-1).alias("net")))
-        rows.append(
-            intervals.select("chrom", F.explode(ends).alias("p")).select("chrom", "p.pos", F.lit(j).alias("which"), none.alias("run"), "p.net")
-        )
-    own = [F.max(F.when(F.col("which") == i, F.col("run"))).alias(f"_r{i}") for i in range(len(tracks))]
+    # numbers and no structs before the shuffle: those would be sorted to be folded, a whole split in one task
+    none = F.lit(None)
+
+    def bound(pos: str, upto: Column, v: Column, net: int) -> Column:
+        return F.struct(F.col(pos).alias("pos"), upto.cast("bigint").alias("upto"), v.cast("double").alias("v"), F.lit(net).alias("net"))
+
+    def points_of(table: DataFrame, which: int, opened: Column, closed: Column) -> DataFrame:
+        return table.select("chrom", F.explode(F.array(opened, closed)).alias("p")).select("chrom", F.lit(which).alias("which"), "p.*")
+
+    rows = [points_of(r, i, bound("start", F.col("end"), F.col("value"), 0), bound("end", none, none, 0)) for i, r in enumerate(tracks.values())]
+    rows += [points_of(m, j, bound("start", none, none, 1), bound("end", none, none, -1)) for j, m in enumerate(masks.values(), start=len(tracks))]
+    folds = []
+    for i in range(len(tracks)):  # one run of a track at most starts at a position
+        folds += [F.max(F.when(F.col("which") == i, F.col(c))).alias(f"_{c}{i}") for c in ("upto", "v")]
     net = [F.sum(F.when(F.col("which") == j, F.col("net"))).alias(f"_m{j}") for j in range(len(tracks), len(tracks) + len(masks))]
-    points = reduce(DataFrame.unionByName, rows).groupBy("chrom", "pos").agg(*own, *net)
+    folded = reduce(DataFrame.unionByName, rows).groupBy("chrom", "pos").agg(*folds, *net)
+    begun = [
+        F.when(F.col(f"_upto{i}").isNotNull(), F.struct(F.col("pos").alias("s"), F.col(f"_upto{i}").alias("e"), F.col(f"_v{i}").alias("v"))).alias(f"_r{i}")
+        for i in range(len(tracks))
+    ]
+    points = folded.select("chrom", "pos", *begun, *[f"_m{j}" for j in range(len(tracks), len(tracks) + len(masks))])
     spec = {"_from": ("max", F.col("pos"))}
     spec |= {f"_last{i}": ("max", F.col(f"_r{i}")) for i in range(len(tracks))}
     spec |= {f"_depth{j}": ("sum", F.col(f"_m{j}")) for j in range(len(tracks), len(tracks) + len(masks))}
@@ -201,14 +205,15 @@ def masked_stats(regions: DataFrame, runs: DataFrame, blocks: DataFrame | None =
     )
     v, w = F.col("value"), F.col("w")
     short = F.when(length <= LONG_REGION, v)
-    folded = pieces.groupBy(*keys).agg(
+    # the regions go along, so that those without a piece aren't looked up afterwards
+    bare = regions.select(*keys, F.lit(None).cast(pieces.schema["value"].dataType).alias("value"), F.lit(0).cast(pieces.schema["w"].dataType).alias("w"))
+    out = pieces.unionByName(bare).groupBy(*keys).agg(
         F.sum("w").alias("n_cons"),
         F.sum(v * w).alias("total"),
         F.max(v).alias("hi"),
         F.min(v).alias("lo"),
         F.percentile(short, 0.5, w).alias("mid"),
     )
-    out = spans.join(folded, keys, "left")
     mid = F.col("mid")
     if not regions.filter(length > LONG_REGION).isEmpty():
         medians = exact_percentiles(pieces.filter(length > LONG_REGION), keys, v, [0.5], w)

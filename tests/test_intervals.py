@@ -252,6 +252,18 @@ def test_scan_reads_its_rows_once(spark):
     assert seen.value == 40
 
 
+def test_range_join_folds_its_left_rows_once(spark):
+    """Extents and starts of the left rows come from one pass: two would fold them twice, in one task each time."""
+    data = random_regions(26, n=30)
+    left, right = spark.createDataFrame(data, REGION + ", name string"), spark.createDataFrame(data[::2], REGION + ", name string")
+    joined = iv.range_join(left.select("chrom", "start", "end").distinct(), right, left_bound=left)
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Aggregate \[chrom#\d+, start#\d+L, end#\d+L\]", plan)) == 1
+    got = sorted((r.chrom, r.start, r.end, r.name_r) for r in joined.collect())
+    spans = {r[:3] for r in data}
+    assert got == sorted((c, s, e, n) for c, s, e in spans for d, t, f, n in data[::2] if c == d and s < f and t < e)
+
+
 def test_islands_read_their_rows_once(spark):
     """Rows and tiles read one shuffle, though rows without a chromosome are left out; islands aren't folded before they are joined."""
     data = [r for r in random_regions(24, n=30) if r[3] != "all"]
