@@ -138,14 +138,13 @@ def range_join(
     right_longest, right_fits = _levels(right if right_bound is None else right_bound, keys)
     within, around = F.least(left_longest, right_fits), F.least(right_longest, left_fits)
     if mode == "overlap":
-        a = _cells(left, s, e, (0, within), (1, around))
-        # apart, so that the size check of a broadcast sees both
-        b = _cells(renamed, rs, re_, extents=(1, around)).unionByName(_cells(renamed, rs, re_, points=(0, within)))
+        a, b = _cells(left, s, e, (0, within), (1, around)), _cells(renamed, rs, re_, (1, around), (0, within))
         hit = F.when(F.col("_role") == 0, (rs >= s) & (rs < e)).otherwise((s > rs) & (s < re_))
     else:
         a, b = _cells(left, s, e, extents=(0, within)), _cells(renamed, rs, re_, points=(0, within))
         hit = (rs >= s) & (re_ <= e)
-    return a.join(b, [*keys, "_role", "_level", "_cell"]).filter(hit).drop("_role", "_level", "_cell")
+    # a broadcast would be decided by the size of the rows before they are cut into cells
+    return a.join(b.hint("merge"), [*keys, "_role", "_level", "_cell"]).filter(hit).drop("_role", "_level", "_cell")
 
 
 # ---------------------------------------------------------------- islands

@@ -264,6 +264,18 @@ def test_range_join_folds_its_left_rows_once(spark):
     assert got == sorted((c, s, e, n) for c, s, e in spans for d, t, f, n in data[::2] if c == d and s < f and t < e)
 
 
+def test_range_join_folds_its_right_rows_once_and_broadcasts_no_cells(spark):
+    data = random_regions(27, n=30)
+    left, right = spark.createDataFrame(data, REGION + ", name string"), spark.createDataFrame(data[::2], REGION + ", name string")
+    joined = iv.range_join(left, right.groupBy("chrom", "start", "end").agg(F.count("name").alias("n")), right_bound=right)
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Aggregate \[chrom#\d+, start#\d+L, end#\d+L\]", plan)) == 1
+    assert not re.search(r"BroadcastHashJoin.*_cell", joined._jdf.queryExecution().executedPlan().toString())
+    got = sorted((r.chrom, r.start, r.end, r.name, r.start_r, r.end_r) for r in joined.collect())
+    others = {r[:3] for r in data[::2]}
+    assert got == sorted((c, s, e, n, t, f) for c, s, e, n in data for d, t, f in others if c == d and s < f and t < e)
+
+
 def test_islands_read_their_rows_once(spark):
     """Rows and tiles read one shuffle, though rows without a chromosome are left out; islands aren't folded before they are joined."""
     data = [r for r in random_regions(24, n=30) if r[3] != "all"]
