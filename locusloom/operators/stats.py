@@ -158,8 +158,8 @@ def segment_means(
     return segment_pairs({"a": a, "b": b}, blocks, rois, skip_size).drop(*PAIR)
 
 
-def segment_pairs(tracks: Mapping[str, DataFrame], blocks: DataFrame, rois: DataFrame | None = None, skip_size: int = 0) -> DataFrame:
-    """``segment_means`` of every pair of tracks, with both names as keys; segments and sums are made once for all."""
+def _segment_table(tracks: Mapping[str, DataFrame], blocks: DataFrame, rois: DataFrame | None, skip_size: int) -> tuple[DataFrame, list[str]]:
+    """Segments ``chrom, start, end, size`` with the mean of each track, and the names of these columns."""
     masks = {"cons": blocks} if rois is None else {"cons": blocks, "roi": rois}
     columns = [f"_t{i}" for i in range(len(tracks))]
     pieces = axis_pieces(dict(zip(columns, tracks.values(), strict=True)), masks)
@@ -168,9 +168,42 @@ def segment_pairs(tracks: Mapping[str, DataFrame], blocks: DataFrame, rois: Data
     size = F.col("end") - F.col("start")
     segments = iv.islands(pieces, **{c: F.sum(F.coalesce(c, F.lit(0.0)) * size) for c in columns}).withColumn("size", size)
     means = segments.filter(F.col("size") >= skip_size).select("chrom", "start", "end", "size", *[(F.col(c) / F.col("size")).alias(c) for c in columns])
+    return means, columns
+
+
+def segment_pairs(tracks: Mapping[str, DataFrame], blocks: DataFrame, rois: DataFrame | None = None, skip_size: int = 0) -> DataFrame:
+    """``segment_means`` of every pair of tracks, with both names as keys; segments and sums are made once for all."""
+    means, columns = _segment_table(tracks, blocks, rois, skip_size)
     return _pairs_of(means, list(tracks), columns, ["chrom", "start", "end", "size"])
 
 
+def pair_summary(tracks: Mapping[str, DataFrame], blocks: DataFrame, rois: DataFrame | None = None, skip_size: int = 0) -> DataFrame:
+    """``segment_summary`` of every pair of tracks and chromosome; a track is summed up once, not for each pair it is in."""
+    means, columns = _segment_table(tracks, blocks, rois, skip_size)
+    named = [x for c in columns for x in (F.lit(c), F.col(c))]
+    keys, what = ["chrom", "what"], F.col("what")
+    long = means.select("chrom", F.explode(F.create_map(F.lit("size"), F.col("size").cast("double"), *named)).alias("what", "x"))
+    folded = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    medians = exact_percentiles(long, keys, F.col("x"), [0.5]).select(*keys, F.element_at("pct", 1).alias("mid"))
+    wide = folded.join(medians, keys).groupBy("chrom").agg(
+        F.max(F.when(what == "size", F.col("n"))).alias("num_regions"),
+        *[F.max(F.when(what == c, F.struct("lo", "mid", "hi"))).alias(c) for c in ("size", *columns)],
+    )
+    pairs = _pairs_of(wide, list(tracks), columns, ["chrom", "num_regions", "size"])
+
+    def of(column: str, stat: str, name: str) -> Column:
+        value = F.col(f"{column}.{stat}")
+        return (value.cast("bigint") if column == "size" else F.round(value, 2)).alias(name)
+
+    return pairs.select(
+        *PAIR, "chrom", "num_regions",
+        of("size", "lo", "reg_size_min"), of("size", "hi", "reg_size_max"),
+        of("a", "lo", "sig1_mean_min"), of("a", "hi", "sig1_mean_max"),
+        of("b", "lo", "sig2_mean_min"), of("b", "hi", "sig2_mean_max"),
+        of("size", "mid", "reg_size_median"), of("a", "mid", "sig1_mean_median"), of("b", "mid", "sig2_mean_median"),
+    )
+
+
 def segment_summary(segments: DataFrame, keys: Sequence[str] = ("chrom",)) -> DataFrame:
     """Number of segments, and median, minimum and maximum of their size and of both means."""
     keys = list(keys)

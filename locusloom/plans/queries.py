@@ -748,7 +748,7 @@ def corr_segments(spark, sf):
     cast(trunc(median(size)) as bigint) as reg_size_median, round(median(a), 2) as sig1_mean_median, round(median(b), 2) as sig2_mean_median from sg group by 1, 2, 3""",
 )
 def segment_summary(spark, sf):
-    return st.segment_summary(_segments(spark, sf), [*st.PAIR, "chrom"])
+    return st.pair_summary(_by_sample(spark, sf), views.target_blocks(spark, sf), views.rois(spark, sf), 30)
 
 
 @query(

@@ -225,3 +225,18 @@ def test_bottom_k_deals_out_no_row_of_a_later_bucket(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
     assert sorted((r["y"], r["count"]) for r in n) == [(0, 50), (1, 50), (2, 50)]
+
+
+def test_pairs_are_summed_up_from_tracks_summed_up_once(spark):
+    """The same as of all pairs' segments; pairs are made of the tracks' totals, not of every segment."""
+    rng = random.Random(31)
+    cuts = [sorted(rng.sample(range(300), 24)) for _ in range(3)]
+    schema = "chrom string, start bigint, end bigint, value double"
+    tracks = {f"t{i}": spark.createDataFrame([(c, s, e, rng.gauss(1, 2)) for c in "xy" for s, e in zip(at[::2], at[1::2])], schema) for i, at in enumerate(cuts)}
+    blocks = spark.createDataFrame([(c, s, s + rng.randint(3, 9)) for c in "xy" for s in range(0, 300, 12)], "chrom string, start bigint, end bigint")
+    got = st.pair_summary(tracks, blocks, skip_size=4)
+    want = st.segment_summary(st.segment_pairs(tracks, blocks, skip_size=4), [*st.PAIR, "chrom"])
+    assert got.dtypes == want.dtypes
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [" in plan and "sample_a" not in plan[plan.index("Aggregate [") :]
