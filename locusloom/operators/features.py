@@ -85,23 +85,39 @@ def chunk_sequences(df: DataFrame, chunk: int = SEQ_CHUNK) -> DataFrame:
 def attach_sequence(regions: DataFrame, chunks: DataFrame, chunk: int = SEQ_CHUNK) -> DataFrame:
     """Add ``seq``, the sequence under each region, from chunked sequences.
 
-    Regions meet the chunks they touch by an equi-join on (chrom, chunk) and their pieces are
-    put together per distinct region. A region past the end of its sequence fails the job.
+    Regions meet the chunks they touch by an equi-join on (chrom, chunk). A region inside one chunk is cut from it there;
+    only the pieces of those that touch several are dealt out again and put together. A region past the end of its sequence
+    fails the job, as does one on a chunk stored twice.
     """
-    spans = regions.select(*REGION).distinct()
-    touched = F.sequence(F.expr(f"start div {chunk}"), F.expr(f"(end - 1) div {chunk}"))
-    base = F.col("chunk") * chunk
+    own = [F.col(f"`{c}`") for c in (*REGION, *[c for c in regions.columns if c not in (*REGION, "seq")])]
+    known = regions.select(*own).filter(F.col("chrom").isNotNull())
+    first, last = F.expr(f"start div {chunk}"), F.expr(f"(end - 1) div {chunk}")
+    lettered = F.count(F.when(F.octet_length("seq") > 0, 1))
+    # dealt out before they are folded, which leaves them as the join needs them: one shuffle, one sort
+    stored = (
+        chunks.select("chrom", F.col("chunk").alias("_chunk"), "seq")
+        .repartition("chrom", "_chunk")
+        .groupBy("chrom", "_chunk")
+        .agg(F.when(lettered <= 1, F.max("seq")).alias("_letters"))
+        .withColumn("_bytes", F.octet_length("_letters") == F.length("_letters"))
+    )
+    base = F.col("_chunk") * chunk
     cut_from = F.greatest(F.col("start") - base, F.lit(0))
     cut_to = F.least(F.col("end") - base, F.lit(chunk))
-    pieces = (
-        spans.select(*REGION, F.explode(touched).alias("chunk"))
-        .join(chunks, ["chrom", "chunk"], "left")
-        .select(*REGION, "chunk", F.substr(F.col("seq"), (cut_from + 1).cast("int"), (cut_to - cut_from).cast("int")).alias("seq"))
-    )
-    whole = pieces.groupBy(*REGION).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "seq"))), lambda p: p["seq"]), "").alias("seq")
+    cut = lambda letters: F.substr(letters, (cut_from + 1).cast("int"), (cut_to - cut_from).cast("int"))
+    # finding a position in a string walks over the letters before it; among letters of one byte it is known
+    piece = F.when(F.col("_bytes"), cut(F.col("_letters").cast("binary")).cast("string")).otherwise(cut(F.col("_letters")))
+    met = lambda df: df.join(stored, ["chrom", "_chunk"], "left")
+    inside = met(known.filter(first == last).withColumn("_chunk", first)).select(*own, piece.alias("seq"))
+    numbered = known.filter(first != last).withColumn("_row", F.monotonically_increasing_id())
+    pieces = met(numbered.withColumn("_chunk", F.explode(F.sequence(first, last))))
+    across = (
+        pieces.select("_row", F.struct(*own).alias("_own"), F.struct("_chunk", piece.alias("seq")).alias("_piece"))
+        .groupBy("_row")
+        .agg(F.first("_own").alias("_own"), F.array_sort(F.collect_list("_piece")).alias("_pieces"))
+        .select("_own.*", F.array_join(F.transform("_pieces", lambda p: p["seq"]), "").alias("seq"))
     )
-    return iv.check_regions(regions.drop("seq").join(whole, REGION), "seq")
+    return iv.check_regions(inside.unionByName(across), "seq")
 
 
 def sequence_features(

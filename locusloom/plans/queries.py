@@ -924,13 +924,19 @@ def dnase_pwm(spark, sf):
       round(len(regexp_replace(seq, '[^acgt]', '', 'g')) / len(seq)::double * 100, 6) as ftrep_pct_repcon from w""",
 )
 def window_sequences(spark, sf):
-    """Documents as chromosomes: windows over each, their sequence attached from chunks, then features."""
-    docs = views.sequences(spark, sf).select(F.concat(F.lit("doc"), "doc_id").alias("chrom"), "seq")
-    whole = docs.select("chrom", F.col("chrom").alias("name"), F.lit(0).cast("bigint").alias("start"), F.length("seq").cast("bigint").alias("end"))
-    windows = ft.sliding_windows(whole, 200, 100).select("chrom", "start", "end")
-    with_seq = ft.attach_sequence(windows, ft.chunk_sequences(docs, 4096), 4096)
-    made = ft.sequence_features(with_seq, ["len", "gc", "rep"]).drop("seq")
-    return rounded(made, "ftgc_pct_GC", "ftrep_pct_repcon")
+    """Documents as chromosomes: windows over each, their sequence attached from chunks, then features.
+
+    Ids may repeat, so a document goes by the place it is stored at; its name comes back at the end. Those without letters are
+    one empty window, which has no sequence to attach.
+    """
+    docs = views.placed_sequences(spark, sf).withColumnRenamed("place", "chrom")
+    named = F.concat_ws("", F.lit("doc"), "doc_id").alias("name")
+    whole = docs.select("chrom", named, F.lit(0).cast("bigint").alias("start"), F.col("size").alias("end"))
+    windows, empty = (ft.sliding_windows(whole.filter(wanted), 200, 100) for wanted in ("end > 0", "end = 0"))
+    with_seq = ft.attach_sequence(windows, ft.chunk_sequences(docs, 4096), 4096).unionByName(empty.withColumn("seq", F.lit("")))
+    made = ft.sequence_features(with_seq, ["len", "gc", "rep"])
+    shares = [F.coalesce(F.round(c, 6), F.lit(float("nan"))).alias(c) for c in ("ftgc_pct_GC", "ftrep_pct_repcon")]
+    return made.select(F.col("source").alias("chrom"), "start", "end", "ftlen_abs_length", *shares)
 
 
 # ---------------------------------------------------------------- tables

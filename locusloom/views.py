@@ -100,12 +100,24 @@ _LETTERS = "bdefhijklmnopqrsuvwxyzBDEFGHIJKLMOPQRSUVWXYZ"
 _BASES = "acgtacgtacgtacgtacgtacACGTACGTACGTACGTACGTA"
 
 
+def _spelled(text: str):
+    return F.translate(F.regexp_replace(text, "[^A-Za-z]", "N"), _LETTERS, _BASES)
+
+
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents spelled in sequence letters; lower case stays lower case."""
-    text = F.regexp_replace("text", "[^A-Za-z]", "N")
-    return spread(table(spark, sf_dir, "documents")).select(
-        "doc_id", F.translate(text, _LETTERS, _BASES).alias("seq"), "lang"
-    )
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", _spelled("text").alias("seq"), "lang")
+
+
+def placed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences with ``place``, the row and file that hold them, as ids may repeat or be missing, and with ``size``.
+
+    The size needs no spelling: a letter without a base vanishes, any other is spelled as one.
+    """
+    place = F.concat_ws(" ", "_metadata.row_index", "_metadata.file_path")
+    left = reduce(lambda text, letter: F.replace(text, F.lit(letter), F.lit("")), _LETTERS[len(_BASES) :], F.col("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", place.alias("place"), F.length(left).cast("bigint").alias("size"), "text")
+    return spread(docs).select("doc_id", "place", "size", _spelled("text").alias("seq"))
 
 
 def motif_bins(spark: SparkSession, sf_dir: str, width: int = 250) -> DataFrame:

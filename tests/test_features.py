@@ -88,6 +88,28 @@ def test_windows(spark, rows):
         ft.sliding_windows(df, 2, 4)
 
 
+def test_windows_of_documents_whose_ids_repeat(spark, tmp_path):
+    from locusloom.plans.queries import QUERIES
+
+    rng = random.Random(4)
+    long = "".join(rng.choice("abcgtACGTZ ,\u00e9") for _ in range(9_000))
+    documents = [(1, long), (1, long), (1, long[::-1][:700]), (2, "Zaz gc."), (None, "GCgc" * 60), (3, ""), (3, None), (4, "ZZ"), (5, "tt" * 2_048 + "cc" * 200)]
+    table = spark.createDataFrame([(i, t, "en") for i, t in documents], "doc_id bigint, text string, lang string")
+    table.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    letters = str.maketrans("bdefhijklmnopqrsuvwxyzBDEFGHIJKLMOPQRSUVWXY", "acgtacgtacgtacgtacgtacACGTACGTACGTACGTACGTA", "Z")
+    want = []
+    for i, t in documents:
+        seq = None if t is None else re.sub("[^A-Za-z]", "N", t).translate(letters)
+        n = -1 if seq is None else len(seq)
+        starts = [s for s in range(0, n // 200 * 200, 100) if s + 200 <= n]
+        for s, e in [(s, s + 200) for s in starts] or [(0, n)] * (n >= 0):
+            part = seq[s:e]
+            gc, low = (f"{sum(c in k for c in part) / len(part) * 100:.4f}" if part else "nan" for k in ("GCgc", "acgt"))
+            want.append(("doc" + ("" if i is None else str(i)), s, e, e - s, gc, low))
+    got = [(*r[:4], f"{r[4]:.4f}", f"{r[5]:.4f}") for r in QUERIES["window_sequences"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and len([w for w in want if w[0] == "doc1"]) > 160
+
+
 def test_training_positions_are_seeded(spark):
     sizes = spark.createDataFrame([("c", 100_000), ("d", 50_000)], "chrom string, size bigint")
     one, two = (ft.training_positions(sizes, 7, 25, seed=3).collect() for _ in range(2))

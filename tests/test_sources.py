@@ -174,6 +174,23 @@ def test_sequence_is_attached_across_chunks(spark, rows):
         attach_sequence(beyond, chunk_sequences(genome, 4), 4).collect()
 
 
+def test_regions_keep_their_columns_where_sequence_is_attached(spark, rows):
+    genome = spark.createDataFrame([("c", "ACG\u00e9acgtN\u00e9GG"), ("d", "TTTTGGGG")], "chrom string, seq string")
+    regions = spark.sql(
+        """select * from values ('c', 3L, 4L, 1, map('k', 1)), ('c', 8L, 11L, 2, map('k', 2)), ('c', 2L, 10L, 3, null), ('c', 2L, 10L, 3, null),
+        ('d', 0L, 4L, 4, map('k', 4)), ('d', 4L, 8L, 5, map()), (null, 0L, 4L, 6, null) as r(chrom, start, end, `a.b`, m)"""
+    )
+    got = attach_sequence(regions, chunk_sequences(genome, 4), 4)
+    assert got.columns == ["chrom", "start", "end", "a.b", "m", "seq"]
+    assert rows(got, "`a.b`", F.col("m")["k"], "seq") == sorted(
+        [(1, 1, "\u00e9"), (2, 2, "N\u00e9G"), (3, None, "G\u00e9acgtN\u00e9"), (3, None, "G\u00e9acgtN\u00e9"), (4, 4, "TTTT"), (5, None, "GGGG")]
+    )
+    for twice in ("TTTTGGGG", "CC"):
+        chunks = chunk_sequences(genome.unionAll(spark.createDataFrame([("d", twice)], "chrom string, seq string")), 4)
+        with pytest.raises(Exception, match="malformed region"):
+            attach_sequence(regions, chunks, 4).collect()
+
+
 def test_chrom_sizes_and_codecs(spark, tmp_path, rows):
     body = "chr1\t100\nchr2 200\n\nscaffold_3\t9\n"
     for name, write in (("s.txt", None), ("s.txt.gz", gzip.compress), ("s.txt.bz2", bz2.compress)):
