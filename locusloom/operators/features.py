@@ -75,11 +75,26 @@ def _by_chrom():
 # ---------------------------------------------------------------- sequence
 
 
+def _cut(letters: Column, octets: Column, one_byte: Column, at: Column, n: Column) -> Column:
+    """``n`` letters from the position ``at`` on, the first being 1.
+
+    Finding a position in a string walks over the letters before it; where all are ``one_byte`` long it is that of the octet.
+    """
+    return F.when(one_byte, F.substr(octets, at, n).cast("string")).otherwise(F.substr(letters, at, n))
+
+
+def _one_byte(letters: Column) -> Column:
+    return F.octet_length(letters) == F.length(letters)
+
+
 def chunk_sequences(df: DataFrame, chunk: int = SEQ_CHUNK) -> DataFrame:
     """Whole sequences (``chrom, seq``) as chunks ``chrom, chunk, seq``: the form joins use."""
-    return df.select(
-        "chrom", "seq", F.explode(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / chunk).cast("int"))).alias("chunk")
-    ).select("chrom", F.col("chunk").cast("bigint").alias("chunk"), F.substr("seq", F.col("chunk") * chunk + 1, F.lit(chunk)).alias("seq"))
+    seq = F.col("seq")
+    known = df.select("chrom", "seq", seq.cast("binary").alias("_octets"), _one_byte(seq).alias("_one_byte"))
+    piece = _cut(seq, F.col("_octets"), F.col("_one_byte"), F.col("chunk") * chunk + 1, F.lit(chunk))
+    return known.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / chunk).cast("int"))).alias("chunk")).select(
+        "chrom", F.col("chunk").cast("bigint").alias("chunk"), piece.alias("seq")
+    )
 
 
 def attach_sequence(regions: DataFrame, chunks: DataFrame, chunk: int = SEQ_CHUNK) -> DataFrame:
@@ -99,14 +114,13 @@ def attach_sequence(regions: DataFrame, chunks: DataFrame, chunk: int = SEQ_CHUN
         .repartition("chrom", "_chunk")
         .groupBy("chrom", "_chunk")
         .agg(F.when(lettered <= 1, F.max("seq")).alias("_letters"))
-        .withColumn("_bytes", F.octet_length("_letters") == F.length("_letters"))
+        .withColumn("_one_byte", _one_byte(F.col("_letters")))
     )
     base = F.col("_chunk") * chunk
     cut_from = F.greatest(F.col("start") - base, F.lit(0))
     cut_to = F.least(F.col("end") - base, F.lit(chunk))
-    cut = lambda letters: F.substr(letters, (cut_from + 1).cast("int"), (cut_to - cut_from).cast("int"))
-    # finding a position in a string walks over the letters before it; among letters of one byte it is known
-    piece = F.when(F.col("_bytes"), cut(F.col("_letters").cast("binary")).cast("string")).otherwise(cut(F.col("_letters")))
+    letters, at, n = F.col("_letters"), (cut_from + 1).cast("int"), (cut_to - cut_from).cast("int")
+    piece = _cut(letters, letters.cast("binary"), F.col("_one_byte"), at, n)
     met = lambda df: df.join(stored, ["chrom", "_chunk"], "left")
     inside = met(known.filter(first == last).withColumn("_chunk", first)).select(*own, piece.alias("seq"))
     numbered = known.filter(first != last).withColumn("_row", F.monotonically_increasing_id())
